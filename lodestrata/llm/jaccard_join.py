@@ -6,9 +6,11 @@ the larger one, short of one element. Larger sets go into inverted lists of thei
 n-grams, rare ones first, linked sets share one of their first n - ceil(t * n) + 1. A counting sketch over the whole corpus
 gives that order; n-grams that it has seen once only are in no list.
 
-Lists are scanned in two passes, neither of which makes all pairs of a group of copies. First every document is compared
-with one leader of each of its rarest lists, and linked ones are joined into components. Then only pairs from different
-components that meet in a list are compared. No list is cut, and every candidate is verified on the whole sets.
+Lists are scanned in three passes, none of which makes all pairs of a group of copies. First every document is compared
+with one leader of each of its rarest lists, and linked ones are joined into components. Then pairs from different
+components that meet in a list are compared, first with some members of each list, and after joining components again
+with all. The lists hold 1024 bits of each set; their differences bound the overlap before any text is read. No list is
+cut, and every candidate is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ _GRAM = {n: c.Rolling(0x8CB92BA72F3D8DD7 + 2 * n) for n in range(1, 9)}
 LIGHT_MOST = 12  # up to here one missing n-gram is all that a link of 85 % allows
 COUNTED = np.uint64(int(0.3125 * 2**64))  # n-grams with hashes below are counted by the sketch
 LEADERS = 4
+SOME = 32  # members of each list in the round before the last
+BITS = [f"b{i}" for i in range(16)]
 
 
 def gram_set(text: str | None, n: int) -> np.ndarray:
@@ -48,9 +52,10 @@ def _fp(x: np.ndarray) -> tuple[int, int]:
     return int(a.sum(dtype=np.uint64).view(np.int64)), int(b.sum(dtype=np.uint64).view(np.int64))
 
 
-def least_overlap(na, nb, percent: int):
-    """ceil(t / (1 + t) * (na + nb)), in whole numbers."""
-    return -(-(percent * (na + nb)) // (100 + percent))
+def parities(x: np.ndarray) -> np.ndarray:
+    """1024 bits of a set: how many elements fall on each, modulo 2. Two sets differ by at least the bits that differ."""
+    odd = np.bincount((c.mix(x) >> np.uint64(54)).astype(np.int64), minlength=1024).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -62,9 +67,10 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
         for b in batches:
             found = [gram_set(t.as_py(), n) for t in b.column(1)]
             fps = [_fp(x) for x in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([x[0] for x in fps], pa.int64()), pa.array([x[1] for x in fps], pa.int64())], names=["doc_id", "n_shingles", "fp1", "fp2"])
+            bits = np.array([parities(x) for x in found]).reshape(-1, len(BITS)).T
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([x[0] for x in fps], pa.int64()), pa.array([x[1] for x in fps], pa.int64()), *(pa.array(np.ascontiguousarray(x)) for x in bits)], names=["doc_id", "n_shingles", "fp1", "fp2", *BITS])
 
-    return docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, n_shingles long, fp1 long, fp2 long")
+    return docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, n_shingles long, fp1 long, fp2 long, " + ", ".join(f"{x} long" for x in BITS))
 
 
 def _sketch(docs: DataFrame, n: int) -> list[np.ndarray]:
@@ -118,7 +124,8 @@ def _light_links(docs: DataFrame, n: int, most: int) -> DataFrame:
 
 
 def _postings(docs: DataFrame, n: int, percent: int, levels, more_than: int) -> DataFrame:
-    """token, doc_id, size, pos (in the global order), ord (among the document's listed n-grams)."""
+    """token, doc_id, size, pos (in the global order), ord (among the document's listed n-grams), single (how many in a
+    thousand of its n-grams occur once)."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,11 +143,11 @@ def _postings(docs: DataFrame, n: int, percent: int, levels, more_than: int) ->
                 first = np.argsort(rank, kind="stable")[:p]
                 pos = np.flatnonzero(rank[first] > 0).astype(np.int32)
                 if len(pos):
-                    out.append((x[first[pos]].view(np.int64), np.full(len(pos), doc_id), np.full(len(pos), len(x), np.int32), pos, np.arange(len(pos), dtype=np.int32)))
+                    out.append((x[first[pos]].view(np.int64), np.full(len(pos), doc_id), np.full(len(pos), len(x), np.int32), pos, np.arange(len(pos), dtype=np.int32), np.full(len(pos), len(x[:inside]) and int(1000 * (level == 0).mean()), np.int32)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*out)], names=["token", "doc_id", "size", "pos", "ord"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*out)], names=["token", "doc_id", "size", "pos", "ord", "single"])
 
-    return docs.select("doc_id", "text").mapInArrow(prefixes, "token long, doc_id long, size int, pos int, ord int")
+    return docs.select("doc_id", "text").mapInArrow(prefixes, "token long, doc_id long, size int, pos int, ord int, single int")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -202,30 +209,37 @@ def similar_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     links = c.materialize(links.distinct(), "equal")
     posts = c.materialize(_postings(known, n, percent, _sketch(known, n), light), "lists")
 
-    # every document against the first one of each of its rarest lists, by size
+    # every document against one leader of each of its rarest lists: the one with the fewest n-grams of its own
     leaders = posts.where(f"ord < {LEADERS}")
-    lead = leaders.groupBy("token").agg(F.min(F.struct("size", "doc_id")).alias("lead"))
-    pairs = leaders.join(lead, "token").where(f"doc_id <> lead.doc_id and 100 * lead.size >= {percent} * size")
+    lead = leaders.groupBy("token").agg(F.min(F.struct("single", "size", "doc_id")).alias("lead"))
+    pairs = leaders.join(lead, "token").where(f"doc_id <> lead.doc_id and 100 * least(size, lead.size) >= {percent} * greatest(size, lead.size)")
     pairs = pairs.select(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-    same = links.select("a", F.col("b").alias("doc_id"))  # copies are linked to their class's document already
-    pairs = pairs.join(same.select(F.col("doc_id").alias("b")).distinct(), "b", "left_anti").join(same.select(F.col("doc_id").alias("a")).distinct(), "a", "left_anti")
-    pairs = c.materialize(pairs, "pairs")
-    links = c.materialize(links.unionByName(_verified(pairs, known, n, percent)), "links")
-    label = connected(links, "a", "b")
-
-    # what is left: pairs from different components in one list, each class once
-    own = posts.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    own = own.join(same.select("doc_id").distinct(), "doc_id", "left_anti")
-    own = c.materialize(own.select("token", "doc_id", "size", "pos", "label"), "labelled")
-    mixed = own.groupBy("token").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("token")
-    own = own.join(mixed, "token")
-    a, b = (own.select("token", *(F.col(x).alias(f"{x}_{s}") for x in ("doc_id", "size", "pos", "label"))) for s in "ab")
-    need = f"(({percent} * (size_a + size_b) + {99 + percent}) div {100 + percent})"
-    ordered = "(size_a < size_b or size_a = size_b and doc_id_a < doc_id_b)"
-    rest = a.join(b, "token").where(f"label_a <> label_b and {ordered} and 100 * size_a >= {percent} * size_b and 1 + least(size_a - pos_a, size_b - pos_b) - 1 >= {need}")
-    rest = c.materialize(rest.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
-    links = links.unionByName(_verified(rest, known, n, percent)) if rest.limit(1).count() else links
-    label = connected(c.materialize(links, "links"), "a", "b").withColumnRenamed("node", "doc_id")
+    copies = equal.select(F.col("b").alias("doc_id")).distinct()  # they are linked to their class's document already
+    pairs = pairs.join(copies.withColumnRenamed("doc_id", "b"), "b", "left_anti").join(copies.withColumnRenamed("doc_id", "a"), "a", "left_anti")
+    links = c.materialize(links.unionByName(_verified(c.materialize(pairs, "pairs"), known, n, percent)), "links")
+
+    # what is left: pairs from different components in one list; first against some members of each list, then all
+    bits = profile.select("doc_id", *BITS).dropDuplicates(["doc_id"])
+    for some in (SOME, None):
+        label = connected(links, "a", "b").withColumnRenamed("node", "doc_id")
+        own = posts.select("token", "doc_id", "size", "pos").join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+        own = c.materialize(own.join(copies, "doc_id", "left_anti"), "labelled")
+        mixed = own.groupBy("token").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("token")
+        own = c.materialize(own.join(mixed, "token").join(bits, "doc_id"), "mixed")
+        a, b = (own.select(*(F.col(x).alias(x if x == "token" else f"{x}_{s}") for x in own.columns)) for s in "ab")
+        ordered = "(size_a < size_b or size_a = size_b and doc_id_a < doc_id_b)"
+        if some:
+            chosen = own.groupBy("token", F.pmod(F.xxhash64("doc_id"), F.lit(some)).alias("at")).agg(F.min("doc_id").alias("doc_id_a")).drop("at")
+            a, ordered = a.join(chosen, ["token", "doc_id_a"]), "doc_id_a <> doc_id_b"
+        need = f"(({percent} * (size_a + size_b) + {99 + percent}) div {100 + percent})"
+        differ = " + ".join(f"bit_count({x}_a ^ {x}_b)" for x in BITS)
+        rest = a.join(b, "token").where(f"label_a <> label_b and {ordered} and 100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b) and least(size_a - pos_a, size_b - pos_b) >= {need} and {differ} <= size_a + size_b - 2 * {need}")
+        rest = c.materialize(rest.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct(), "rest")
+        if rest.limit(1).count():
+            links = c.materialize(links.unionByName(_verified(rest, known, n, percent)), "links")
+        elif some:
+            continue
+    label = connected(links, "a", "b").withColumnRenamed("node", "doc_id")
     return profile.join(label, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 
 
