@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
 #: Measures and the least distance of a fence from the third quartile, so that groups of nearly equal texts keep theirs.
-MEASURES = {"symbol_ratio": 0.10, "dup_line_ratio": 0.30, "repeat_ratio": 0.10, "word_length": 4.0}
+MEASURES = {"symbol_ratio": 0.10, "dup_line_ratio": 0.30, "repeat_ratio": 0.20, "word_length": 4.0}
 
 
 def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
