@@ -41,7 +41,10 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     twice = F.filter("_sorted", lambda x, k: (x["h"] == hash_at(k + 2)) | ((k > 0) & (x["h"] == hash_at(F.greatest(k, F.lit(1))))))
     out = out.drop("_lines", "_windows").withColumn("_twice", F.sort_array(F.transform(twice, lambda x: x["i"]))).drop("_sorted")
     covered = F.aggregate("_twice", F.struct(F.lit(0).alias("n"), F.lit(-9).alias("last")), lambda s, i: F.struct((s["n"] + F.least(F.lit(5), i - s["last"])).alias("n"), i.alias("last")))
-    return out.withColumn("n_repeat_words", F.coalesce(covered["n"], F.lit(0)).cast("long")).drop("_twice")
+    out = out.withColumn("n_repeat_words", F.coalesce(covered["n"], F.lit(0)).cast("long"))
+    # a generator of one row: conditions on the measures stay above it, else Spark would put the expressions into each of them
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return out.select(*docs.columns, F.inline(F.array(F.struct(*names))))
 
 
 def _ratios(out: DataFrame) -> DataFrame:
