@@ -52,32 +52,36 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def rank_table(docs: DataFrame, path: str, end_id: int) -> np.ndarray:
-    """Ids by descending count over all texts (ties: the lesser id first). The vocabulary bounds it."""
+def rank_table(shards: DataFrame) -> np.ndarray:
+    """Ids by descending count over all shards (ties: the lesser id first). The vocabulary bounds it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for _, ids in ids_of(batches, "text", path, end_id):
-            own = np.bincount(np.concatenate(ids))
-            own[: len(total)] += total[: len(own)]
-            total = own if len(own) >= len(total) else np.concatenate([own, total[len(own) :]])
+        total = np.zeros(1 << 16, np.int64)
+        for b in batches:
+            for ids, narrow in zip(b.column(0), b.column(1)):
+                own = np.bincount(_raw(ids.as_py(), narrow.as_py()))
+                if len(own) > len(total):
+                    total = np.concatenate([total, np.zeros(len(own) - len(total), np.int64)])
+                total[: len(own)] += own
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
-    counts = docs.select("text").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counts = shards.select("ids", "narrow").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     return counts.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy(np.uint32)
 
 
+def _raw(ids: bytes, narrow: bool) -> np.ndarray:
+    return np.frombuffer(ids, "<u2" if narrow else "<u4")
+
+
 def write_ids(docs: DataFrame, tokenizer: str, end_id: int, out: str) -> None:
     """Writes the ids of every text, end_id after each, to `out`. Null texts are empty, null doc_ids come first; rows with
-    one doc_id are in the order of their texts' hashes. Further columns are ignored. An empty table gives no shards."""
+    one doc_id are in the order of their texts' hashes. Further columns are ignored. An empty table gives no shards.
+
+    Texts are put in order and encoded once, into shards of plain ids in the shared folder; counts and then ranks are taken
+    from those."""
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
-    ranks = rank_table(docs, tokenizer, end_id)
-    spark.createDataFrame([(bytearray(ranks.tobytes()),)], "ids binary").coalesce(1).write.parquet(f"{out}/ranks")
-    to_rank = np.zeros(int(ranks.max(initial=0)) + 1, np.uint32)
-    to_rank[ranks] = np.arange(len(ranks), dtype=np.uint32)
-    shared = spark.sparkContext.broadcast(to_rank)
     n_parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = docs.repartitionByRange(n_parts, F.col("doc_id").asc_nulls_first(), c.text_key()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), c.text_key())
 
@@ -87,8 +91,9 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, out: str) -> None:
         part, shard, doc_ids, ids, held = TaskContext.get().partitionId(), 0, [], [], 0
 
         def flush() -> pa.RecordBatch:
-            control, data = pack(shared.value[np.concatenate(ids)])
-            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([shard]), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([[len(x) for x in ids]], pa.list_(pa.int32())), pa.array([control], pa.binary()), pa.array([data], pa.binary())], names=["part", "shard", "doc_ids", "n", "control", "data"])
+            every = np.concatenate(ids)
+            narrow = int(every.max(initial=0)) < 1 << 16
+            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([shard]), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([[len(x) for x in ids]], pa.list_(pa.int32())), pa.array([every.astype("<u2" if narrow else "<u4").tobytes()], pa.binary()), pa.array([narrow])], names=["part", "shard", "doc_ids", "n", "ids", "narrow"])
 
         for b, found in ids_of(batches, "text", tokenizer, end_id):
             for doc_id, own in zip(b.column(0).to_pylist(), found):
@@ -101,7 +106,19 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, out: str) -> None:
         if ids:
             yield flush()
 
-    ordered.mapInArrow(shards, SHARD_SCHEMA).write.parquet(f"{out}/shards")
+    plain = c.materialize(ordered.mapInArrow(shards, "part long, shard long, doc_ids array<long>, n array<int>, ids binary, narrow boolean"), "plain-ids")
+    ranks = rank_table(plain)
+    spark.createDataFrame([(bytearray(ranks.tobytes()),)], "ids binary").coalesce(1).write.parquet(f"{out}/ranks")
+    to_rank = np.zeros(int(ranks.max(initial=0)) + 1, np.uint32)
+    to_rank[ranks] = np.arange(len(ranks), dtype=np.uint32)
+    shared = spark.sparkContext.broadcast(to_rank)
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            streams = [pack(shared.value[_raw(x.as_py(), y.as_py())]) for x, y in zip(b.column(4), b.column(5))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], *(pa.array([x[k] for x in streams], pa.binary()) for k in range(2))], names=["part", "shard", "doc_ids", "n", "control", "data"])
+
+    plain.mapInArrow(coded, SHARD_SCHEMA).write.parquet(f"{out}/shards")
 
 
 def read_ids(spark, path: str) -> DataFrame:
