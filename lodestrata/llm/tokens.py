@@ -13,7 +13,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-CACHE, PARTS = 600_000, 800_000  # pieces and parts of pieces that a Python worker remembers, some 300 MB at most
+CACHE, PARTS = 1_200_000, 900_000  # pieces and parts of pieces that a Python worker remembers, some 400 MB at most
 PIECE = 200  # longer pieces aren't remembered
 BATCH_BYTES = 8 << 20  # text that is looked at together; a longer text is alone
 _BEFORE_SPACE = re.compile(r"\S+|\s+\S*")
@@ -75,6 +75,8 @@ class Pieces:
     def _part(self, piece: str) -> tuple[str, str]:
         if self.folds and piece.isascii():
             piece = piece.lower()
+        if piece[-1:].isalpha():
+            return piece, ""
         found = None if self.whole or "<|" in piece else _ENDS.fullmatch(piece)
         return found.groups() if found else (piece, "")
 
@@ -89,7 +91,7 @@ class Pieces:
             ids = encode(self.model, missing[k : k + 20_000])
             self.parts.update(zip(missing[k : k + 20_000], map(len, ids) if self.lengths_only else (np.array(x, np.uint32).tobytes() for x in ids)))
         parts = self.parts
-        self.known.update((p, parts[a] + parts[b]) for p, (a, b) in cut.items())
+        self.known.update((p, parts[a] + parts[b] if b else parts[a]) for p, (a, b) in cut.items())
         for p in [x for x in missing if len(x) > PIECE]:
             del parts[p]
 
