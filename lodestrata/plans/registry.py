@@ -1,4 +1,155 @@
 """All registered queries and the SQL that states their results."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import risk
+from ..operators import findings as ops
+from ..operators import manifests
+from . import derive
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+def _quote(x) -> str:
+    return "NULL" if x is None else str(x).lower() if isinstance(x, bool) else f"'{x}'" if isinstance(x, str) else str(x)
+
+
+_RULES = ", ".join("(" + ", ".join(map(_quote, r)) + ")" for r in risk.RULES)
+_ALIAS = ", ".join(f"('{k}', '{name}')" for name, known in risk.ALIASES.items() for k in known.split())
+_PARTS = lambda parts: "[" + ", ".join(f"'{p}'" for p in parts) + "]"
+SCORED = f"""{derive.FINDINGS_SQL}, rules(rule_algorithm, rule_tier, rule_broken, rule_quantum, replacement, kind, days, shelf) AS (VALUES {_RULES}), alias(k, name) AS (VALUES {_ALIAS}),
+named AS (SELECT f.*, coalesce(a.name, upper(trim(f.algorithm))) AS canonical_algorithm FROM findings f LEFT JOIN alias a ON a.k = lower(trim(f.algorithm))),
+joined AS (SELECT n.*, r.*, coalesce(rule_quantum, false) AS quantum_vulnerable, coalesce(canonical_algorithm = 'RSA' AND key_size < 2048, false) AS small,
+  coalesce(canonical_algorithm = 'RSA' AND key_size = 2048, false) AS exact, CASE WHEN supplied_shelf_life >= 0 THEN supplied_shelf_life ELSE shelf END AS data_shelf_life_years
+  FROM named n LEFT JOIN rules r ON canonical_algorithm = rule_algorithm),
+urgency AS (SELECT *, quantum_vulnerable AND NOT small AND NOT exact AND rule_tier = 'HIGH' AND supplied_shelf_life IS NOT NULL AND coalesce(data_shelf_life_years + days / 365.0 > 12, false) AS urgent0 FROM joined),
+scored AS (SELECT * EXCLUDE (urgent0), coalesce(urgent0, false) AS urgent, CASE WHEN small THEN 'CRITICAL' WHEN exact THEN 'MEDIUM' ELSE coalesce(rule_tier, 'UNSCORED') END AS risk_tier,
+  small OR coalesce(rule_broken, false) AS classical_broken,
+  CASE WHEN NOT quantum_vulnerable THEN 'NOT_APPLICABLE' WHEN supplied_shelf_life IS NULL THEN 'UNKNOWN' WHEN urgent0 THEN 'HIGH' ELSE 'ASSESSMENT_REQUIRED' END AS hndl_exposure,
+  replacement AS recommended_replacement, kind AS recommendation_type, CAST(days AS INT) AS migration_effort_days,
+  CASE WHEN regexp_matches(lower(file), '{risk.CRITICAL_PATH}') THEN 'CRITICAL' WHEN regexp_matches(lower(file), '{risk.HIGH_PATH}') THEN 'HIGH' ELSE 'MEDIUM' END AS criticality,
+  CASE WHEN list_has_any(string_split(lower(file), '/'), {_PARTS(risk.TEST_PARTS)}) THEN 'TEST_ONLY' WHEN list_has_any(string_split(lower(file), '/'), {_PARTS(risk.DEMO_PARTS)}) THEN 'DEMO_ONLY' ELSE 'PRODUCTION' END AS source_context
+  FROM urgency)"""
+TIER_SQL = "count(*) AS total, " + ", ".join(f"count(*) FILTER (risk_tier = '{t}') AS \"{t}\"" for t in (*risk.TIERS, "UNSCORED"))
+BAND_SQL = ", ".join(f"count(*) FILTER (confidence_band = '{b}') AS \"{b}\"" for b in ("VERIFIED", "PROBABLE", "UNVERIFIED"))
+RANK_SQL = "CASE risk_tier WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 ELSE 4 END"
+
+
+def scored(spark, d: str) -> DataFrame:
+    return risk.score_findings(derive.findings(spark, d))
+
+
+@query(f"WITH {SCORED} SELECT scan_id, {TIER_SQL} FROM scored GROUP BY scan_id")
+def risk_summary_by_scan(spark, d):
+    return ops.risk_summary(scored(spark, d), "scan_id")
+
+
+@query(f"WITH {SCORED} SELECT {TIER_SQL}, {BAND_SQL} FROM scored")
+def scan_summary_total(spark, d):
+    return ops.scan_summary(scored(spark, d))
+
+
+@query(f"WITH {derive.FINDINGS_SQL} SELECT id, scan_id, line, confidence_score, confidence_band, CASE WHEN confidence_band = 'VERIFIED' THEN 'high' ELSE 'unverified' END AS confidence FROM findings")
+def confidence_of_findings(spark, d):
+    from ..functions.confidence import legacy
+
+    return derive.findings(spark, d).select("id", "scan_id", "line", "confidence_score", "confidence_band", legacy(F.col("confidence_band")).alias("confidence"))
+
+
+_SCORED_COLS = "id, canonical_algorithm, key_size, risk_tier, classical_broken, quantum_vulnerable, urgent, hndl_exposure, data_shelf_life_years, recommended_replacement, recommendation_type, migration_effort_days, criticality, source_context"
+
+
+@query(f"WITH {SCORED} SELECT {_SCORED_COLS} FROM scored")
+def scored_findings(spark, d):
+    return scored(spark, d).select(*_SCORED_COLS.split(", "))
+
+
+@query(f"WITH {SCORED} SELECT id, scan_id, algorithm, language, risk_tier FROM scored WHERE risk_tier IN ('CRITICAL', 'HIGH') AND language IN ('python', 'java') AND confidence_band IN ('VERIFIED', 'PROBABLE') AND (contains(lower(file), 'auth') OR contains(lower(algorithm), 'auth'))")
+def filtered_findings(spark, d):
+    return ops.select_findings(scored(spark, d), tiers=["critical ", "HIGH"], languages=["python", "java"], min_band="PROBABLE", search="AUTH").select("id", "scan_id", "algorithm", "language", "risk_tier")
+
+
+@query(f"WITH {SCORED}, d AS (SELECT DISTINCT id, algorithm, risk_tier FROM scored) SELECT id, algorithm, risk_tier FROM d ORDER BY algorithm DESC, id LIMIT 50 OFFSET 100")
+def findings_page(spark, d):
+    return ops.page(scored(spark, d).select("id", "algorithm", "risk_tier").distinct(), "algorithm", True, 50, 100)
+
+
+@query(f"WITH {SCORED} SELECT scan_id, coalesce(bool_or(confidence_band IN ('VERIFIED', 'PROBABLE') AND {RANK_SQL} <= 1), false) AS violated FROM scored GROUP BY scan_id")
+def policy_gate(spark, d):
+    return ops.gate(scored(spark, d), "HIGH", "PROBABLE", "scan_id")
+
+
+@query(f"WITH {SCORED}, {derive.SCANS_SQL} SELECT s.scan_id, any_value(repo_id) AS repo_id, any_value(status) AS status, count(f.id) AS total, count(*) FILTER (risk_tier = 'CRITICAL') AS critical FROM scans s LEFT JOIN scored f ON f.scan_id = s.scan_id GROUP BY s.scan_id")
+def trend_by_scan(spark, d):
+    joined = derive.scans(spark, d).join(scored(spark, d).select("scan_id", "id", "risk_tier"), "scan_id", "left")
+    return joined.groupBy("scan_id").agg(F.first("repo_id").alias("repo_id"), F.first("status").alias("status"), F.count("id").alias("total"), F.count_if(F.col("risk_tier") == "CRITICAL").alias("critical"))
+
+
+@query(f"WITH {derive.SCANS_SQL} SELECT repo_id, scan_id, status FROM scans QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY started_at DESC, scan_id DESC) = 1")
+def latest_scan_by_repository(spark, d):
+    return derive.scans(spark, d).groupBy("repo_id").agg(F.max_by(F.struct("scan_id", "status"), F.struct("started_at", "scan_id")).alias("s")).select("repo_id", "s.*")
+
+
+@query(f"WITH {SCORED} SELECT DISTINCT algorithm, coalesce(CASE algorithm WHEN 'DES' THEN 'AES-256-GCM' END, 'Manual review needed') AS fix FROM scored")
+def remediation_by_algorithm(spark, d):
+    return ops.remediation(scored(spark, d).select("algorithm").distinct())
+
+
+@query(f"WITH {derive.FINDINGS_SQL} SELECT file, algorithm, min(line) AS line, count(*) AS occurrences FROM findings GROUP BY file, algorithm")
+def deduplicated_findings(spark, d):
+    return derive.findings(spark, d).groupBy("file", "algorithm").agg(F.min("line").alias("line"), F.count("*").alias("occurrences"))
+
+
+@query("SELECT o_orderkey AS report_id, o_custkey % 50 AS agent_id FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 7 = 0)")
+def idempotent_ingest(spark, d):
+    reports = derive.table(spark, d, "orders").select(F.col("o_orderkey").alias("report_id"), (F.col("o_custkey") % 50).alias("agent_id"), "o_custkey")
+    known = reports.where("o_custkey % 7 = 0")
+    return ops.new_only(reports.unionByName(reports), known, "report_id", ["agent_id"]).select("report_id", "agent_id")
+
+
+@query(f"""WITH {derive.LAYERS_SQL}, files AS (SELECT image, path, max(layer_index) AS layer_index FROM entries WHERE kind = 'FILE' GROUP BY image, path)
+SELECT image, path, layer_index FROM files f WHERE NOT EXISTS (SELECT 1 FROM entries m WHERE m.image = f.image AND m.kind <> 'FILE' AND m.layer_index > f.layer_index
+  AND (m.kind = 'WHITEOUT' AND m.path = f.path OR starts_with(f.path, m.path || '/')))""")
+def merged_layer_view(spark, d):
+    return ops.merged_layers(derive.layer_entries(spark, d))
+
+
+@query("""WITH lines AS (SELECT l_orderkey AS path, min(l_linenumber) AS a, max(l_linenumber) AS b FROM lineitem GROUP BY l_orderkey)
+SELECT path, 2 AS lineno, 'ssl_protocols' AS directive, 'TLSv1.' || (a % 4) || ' TLSv1.3' AS value FROM lines
+UNION ALL SELECT path, 4, 'ssl_ciphers', 'RC4:DES' || b FROM lines""")
+def nginx_directives(spark, d):
+    keys = derive.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("path")).agg(F.min("l_linenumber").alias("a"), F.max("l_linenumber").alias("b"))
+    text = F.concat(F.lit("# tls\n  SSL_protocols   TLSv1."), F.col("a") % 4, F.lit(" TLSv1.3;\n\nssl_ciphers RC4:DES"), F.col("b"), F.lit(";\n}\nlonely;\n"))
+    return manifests.nginx_directives(keys.select("path", text.alias("text")))
+
+
+@query("""SELECT p_partkey AS path, 3 AS line, 'Py_Crypto.x' AS name, CASE WHEN p_partkey % 2 = 0 THEN '2.' || p_size END AS version FROM part
+UNION ALL SELECT p_partkey, 5, 'cryptography', NULL FROM part""")
+def requirement_lines(spark, d):
+    spec = F.concat(F.when(F.col("p_partkey") % 2 == 0, "==").otherwise(">="), F.lit("2."), F.col("p_size"))
+    text = F.concat(F.lit("# pins\n-r base.txt\nPy_Crypto.x[extra]"), spec, F.lit(" ; python_version > '3' \\\n  --hash=sha256:00 # why\ncryptography ==41.* # loose\ngit+https://host/x.git\n"))
+    return manifests.requirements(derive.table(spark, d, "part").select(F.col("p_partkey").alias("path"), text.alias("text")))
+
+
+@query(f"""WITH {SCORED} SELECT count(*) FILTER (classical_broken) AS broken, count(*) FILTER (quantum_vulnerable) AS quantum, count(DISTINCT file) AS files, count(DISTINCT recommended_replacement) AS replacements, {BAND_SQL} FROM scored""")
+def compliance_report(spark, d):
+    return scored(spark, d).agg(F.count_if("classical_broken").alias("broken"), F.count_if("quantum_vulnerable").alias("quantum"), F.countDistinct("file").alias("files"), F.countDistinct("recommended_replacement").alias("replacements"), *(F.count_if(F.col("confidence_band") == b).alias(b) for b in ("VERIFIED", "PROBABLE", "UNVERIFIED")))
+
+
+@query(f"WITH {SCORED} SELECT CAST(row_number() OVER (PARTITION BY scan_id ORDER BY {RANK_SQL}, id) AS INT) AS place, scan_id, id, risk_tier FROM (SELECT DISTINCT scan_id, id, risk_tier FROM scored)")
+def severity_order(spark, d):
+    rows = scored(spark, d).select("scan_id", "id", "risk_tier").distinct()
+    return rows.withColumn("place", F.row_number().over(W.partitionBy("scan_id").orderBy(ops.severity_rank(), "id")))
