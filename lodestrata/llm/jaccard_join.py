@@ -107,8 +107,10 @@ def _light_links(docs: DataFrame, n: int, most: int) -> DataFrame:
         for b in batches:
             out: list[tuple] = []
             for doc_id, t in zip(b.column(0).to_pylist(), b.column(1)):
-                if (t := t.as_py()) is None or len(t) > 1 << 16 and len(t.split(None, 64)) > 64 and len(set(t.split())) > 64:
-                    continue  # more than 64 different words make more n-grams than a light set has
+                t = t.as_py()
+                # so many different words at its beginning (the last of them perhaps cut) make more n-grams than a light set has
+                if len(set(t[:4000].encode("utf-8", "surrogatepass").lower().split())) > most + n:
+                    continue
                 x = gram_set(t, n)
                 if 0 < len(x) <= most:
                     a, z = fingerprint(x)
