@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
 #: Measures and the least distance of a fence from the third quartile, so that groups of nearly equal texts keep theirs.
@@ -68,9 +70,12 @@ def judge(docs: DataFrame, spread: float = 6.0, least_docs: int = 30, accuracy:
     Null texts have no words and fail. Null languages and sources are groups of their own. Repeated rows are judged each;
     further columns stay, but for those with these names, which are replaced; an empty table gives an empty result."""
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *MEASURES]
-    docs = docs.drop(*own)
-    measured = _ratios(with_measures(docs))
-    fences = thresholds(_ratios(with_measures(docs.select("text", "lang", "source"))).where("n_words >= 10"), spread, least_docs, accuracy)
+    return _judged(_ratios(with_measures(docs.drop(*own))), spread, least_docs, accuracy)
+
+
+def _judged(measured: DataFrame, spread: float = 6.0, least_docs: int = 30, accuracy: int = 10_000) -> DataFrame:
+    measured = materialize(measured, "measures")  # taken once, for the sketches and for the verdicts
+    fences = thresholds(measured.where("n_words >= 10"), spread, least_docs, accuracy)
     out = measured.join(fences, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     beyond = " or ".join(f"coalesce({m} > max_{m}, false)" for m in MEASURES)
@@ -78,5 +83,6 @@ def judge(docs: DataFrame, spread: float = 6.0, least_docs: int = 30, accuracy:
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
-    out = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    out = _judged(_ratios(with_measures(docs)).drop("text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
