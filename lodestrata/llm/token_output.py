@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,21 +53,21 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def rank_table(shards: DataFrame) -> np.ndarray:
-    """Ids by descending count over all shards (ties: the lesser id first). The vocabulary bounds it."""
+def rank_table(encoded: DataFrame) -> np.ndarray:
+    """Ids by descending count over all documents (ties: the lesser id first). The vocabulary bounds it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for b in batches:
-            for ids, narrow in zip(b.column(0), b.column(1)):
-                own = np.bincount(_raw(ids.as_py(), narrow.as_py()))
+            for narrow in (True, False):
+                own = np.bincount(_raw(b"".join(b.column(0).filter(b.column(1) if narrow else pc.invert(b.column(1))).to_pylist()), narrow))
                 if len(own) > len(total):
                     total = np.concatenate([total, np.zeros(len(own) - len(total), np.int64)])
                 total[: len(own)] += own
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
-    counts = shards.select("ids", "narrow").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counts = encoded.select("ids", "narrow").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     return counts.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy(np.uint32)
 
 
@@ -74,16 +75,30 @@ def _raw(ids: bytes, narrow: bool) -> np.ndarray:
     return np.frombuffer(ids, "<u2" if narrow else "<u4")
 
 
+def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """doc_id, key (of the text), ids (in two bytes each where narrow, else four)."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, found in ids_of(batches, "text", tokenizer, end_id):
+            narrow = [int(x.max(initial=0)) < 1 << 16 for x in found]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([x.astype("<u2" if y else "<u4").tobytes() for x, y in zip(found, narrow)], pa.binary()), pa.array(narrow, pa.bool_())], names=["doc_id", "key", "ids", "narrow"])
+
+    return docs.select("doc_id", c.text_key().alias("key"), "text").mapInArrow(encode, "doc_id long, key long, ids binary, narrow boolean")
+
+
 def write_ids(docs: DataFrame, tokenizer: str, end_id: int, out: str) -> None:
     """Writes the ids of every text, end_id after each, to `out`. Null texts are empty, null doc_ids come first; rows with
     one doc_id are in the order of their texts' hashes. Further columns are ignored. An empty table gives no shards.
 
-    Texts are put in order and encoded once, into shards of plain ids in the shared folder; counts and then ranks are taken
-    from those."""
-    docs = docs.select("doc_id", "text")
+    Texts are encoded once where they lie, into a table of ids in the shared folder. Counts are taken from it, and only ids
+    (about half a text's bytes) are shuffled and sorted, while no tokenizer takes memory beside them."""
     spark = docs.sparkSession
-    n_parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = docs.repartitionByRange(n_parts, F.col("doc_id").asc_nulls_first(), c.text_key()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), c.text_key())
+    encoded = c.materialize(_encoded(docs, tokenizer, end_id), "ids")
+    ranks = rank_table(encoded)
+    spark.createDataFrame([(bytearray(ranks.tobytes()),)], "ids binary").coalesce(1).write.parquet(f"{out}/ranks")
+    to_rank = np.zeros(int(ranks.max(initial=0)) + 1, np.uint32)
+    to_rank[ranks] = np.arange(len(ranks), dtype=np.uint32)
+    shared = spark.sparkContext.broadcast(to_rank)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -91,34 +106,24 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, out: str) -> None:
         part, shard, doc_ids, ids, held = TaskContext.get().partitionId(), 0, [], [], 0
 
         def flush() -> pa.RecordBatch:
-            every = np.concatenate(ids)
-            narrow = int(every.max(initial=0)) < 1 << 16
-            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([shard]), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([[len(x) for x in ids]], pa.list_(pa.int32())), pa.array([every.astype("<u2" if narrow else "<u4").tobytes()], pa.binary()), pa.array([narrow])], names=["part", "shard", "doc_ids", "n", "ids", "narrow"])
+            control, data = pack(shared.value[np.concatenate(ids)])
+            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([shard]), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([[len(x) for x in ids]], pa.list_(pa.int32())), pa.array([control], pa.binary()), pa.array([data], pa.binary())], names=["part", "shard", "doc_ids", "n", "control", "data"])
 
-        for b, found in ids_of(batches, "text", tokenizer, end_id):
-            for doc_id, own in zip(b.column(0).to_pylist(), found):
-                doc_ids.append(doc_id)
-                ids.append(own)
-                held += len(own)
+        for b in batches:
+            for doc_id, own, narrow in zip(*(b.column(k) for k in range(3))):
+                doc_ids.append(doc_id.as_py())
+                ids.append(_raw(own.as_py(), narrow.as_py()))
+                held += len(ids[-1])
                 if held >= SHARD_IDS:
                     yield flush()
                     shard, doc_ids, ids, held = shard + 1, [], [], 0
         if ids:
             yield flush()
 
-    plain = c.materialize(ordered.mapInArrow(shards, "part long, shard long, doc_ids array<long>, n array<int>, ids binary, narrow boolean"), "plain-ids")
-    ranks = rank_table(plain)
-    spark.createDataFrame([(bytearray(ranks.tobytes()),)], "ids binary").coalesce(1).write.parquet(f"{out}/ranks")
-    to_rank = np.zeros(int(ranks.max(initial=0)) + 1, np.uint32)
-    to_rank[ranks] = np.arange(len(ranks), dtype=np.uint32)
-    shared = spark.sparkContext.broadcast(to_rank)
-
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            streams = [pack(shared.value[_raw(x.as_py(), y.as_py())]) for x, y in zip(b.column(4), b.column(5))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], *(pa.array([x[k] for x in streams], pa.binary()) for k in range(2))], names=["part", "shard", "doc_ids", "n", "control", "data"])
-
-    plain.mapInArrow(coded, SHARD_SCHEMA).write.parquet(f"{out}/shards")
+    n_parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    order = (F.col("doc_id").asc_nulls_first(), F.col("key"))
+    ordered = encoded.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
+    ordered.select("doc_id", "ids", "narrow").mapInArrow(shards, SHARD_SCHEMA).write.parquet(f"{out}/shards")
 
 
 def read_ids(spark, path: str) -> DataFrame:

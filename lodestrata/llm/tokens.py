@@ -13,7 +13,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-CACHE, PARTS = 1_200_000, 900_000  # pieces and parts of pieces that a Python worker remembers, some 400 MB at most
+CACHE, PARTS = 800_000, 600_000  # pieces and parts of pieces that a Python worker remembers, some 300 MB at most
 PIECE = 200  # longer pieces aren't remembered
 BATCH_BYTES = 8 << 20  # text that is looked at together; a longer text is alone
 _BEFORE_SPACE = re.compile(r"\S+|\s+\S*")
