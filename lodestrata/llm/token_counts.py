@@ -22,7 +22,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int, text: str = "text") ->
         pieces = Pieces(path, spaced=True, lengths_only=True)
         for b in batches:
             ids = b.column(0)
-            for start, texts in by_bytes(b.column(1).to_pylist()):
+            for start, texts in by_bytes(b.column(1)):
                 n = [sum(x) for x in pieces.look_up(texts)]
                 yield pa.RecordBatch.from_arrays([ids.slice(start, len(texts)), pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 

@@ -12,10 +12,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-CACHE, PARTS = 800_000, 600_000  # pieces and parts of pieces that a Python worker remembers, some 300 MB at most
+CACHE, PARTS = 600_000, 500_000  # pieces and parts of pieces that a Python worker remembers, some 250 MB at most
 PIECE = 200  # longer pieces aren't remembered
-BATCH_BYTES = 8 << 20  # text that is looked at together; a longer text is alone
+BATCH_BYTES = 1 << 20  # text that is looked at together; a longer text is alone
 _BEFORE_SPACE = re.compile(r"\S+|\s+\S*")
 _ENDS = re.compile(r"(.*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])([!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)", re.S)
 _models: dict[str, object] = {}
@@ -87,9 +88,9 @@ class Pieces:
             self.parts.clear()
             missing = list(set(chain.from_iterable(cut.values())) - {""})
         self.parts[""] = self.none
-        for k in range(0, len(missing), 20_000):
-            ids = encode(self.model, missing[k : k + 20_000])
-            self.parts.update(zip(missing[k : k + 20_000], map(len, ids) if self.lengths_only else (np.array(x, np.uint32).tobytes() for x in ids)))
+        for k in range(0, len(missing), 5_000):
+            ids = encode(self.model, missing[k : k + 5_000])
+            self.parts.update(zip(missing[k : k + 5_000], map(len, ids) if self.lengths_only else (np.array(x, np.uint32).tobytes() for x in ids)))
         parts = self.parts
         self.known.update((p, parts[a] + parts[b] if b else parts[a]) for p, (a, b) in cut.items())
         for p in [x for x in missing if len(x) > PIECE]:
@@ -111,18 +112,15 @@ class Pieces:
         return out
 
 
-def by_bytes(texts: list[str | None], most: int = BATCH_BYTES) -> Iterator[tuple[int, list[str]]]:
-    """Consecutive texts in batches of about equal bytes: the first one's position and the texts, null as empty."""
-    start, held, batch = 0, 0, []
-    for k, t in enumerate(texts):
-        t = t or ""
-        if batch and held + len(t) > most:
-            yield start, batch
-            start, held, batch = k, 0, []
-        batch.append(t)
-        held += len(t)
-    if batch:
-        yield start, batch
+def by_bytes(texts: pa.Array, most: int | None = None) -> Iterator[tuple[int, list[str]]]:
+    """Consecutive texts in batches of about equal bytes: the first one's position and the texts, null as empty. Only one
+    batch at a time is turned into Python strings."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = held = 0
+    while start < len(ends):
+        end = max(start + 1, int(np.searchsorted(ends, held + (most or BATCH_BYTES), "right")))
+        yield start, [t or "" for t in texts.slice(start, end - start).to_pylist()]
+        start, held = end, int(ends[end - 1])
 
 
 def ids_of(batches: Iterator[pa.RecordBatch], column: str, path: str, end_id: int | None) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -130,5 +128,5 @@ def ids_of(batches: Iterator[pa.RecordBatch], column: str, path: str, end_id: in
     pieces = Pieces(path, spaced=False, lengths_only=False, folds=True)
     tail = b"" if end_id is None else np.array([end_id], np.uint32).tobytes()
     for b in batches:
-        for start, texts in by_bytes(b.column(column).to_pylist()):
+        for start, texts in by_bytes(b.column(column)):
             yield b.slice(start, len(texts)), [np.frombuffer(b"".join(x) + tail, np.uint32) for x in pieces.look_up(texts)]
