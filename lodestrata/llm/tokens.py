@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ BATCH_BYTES = 1 << 20  # text that is looked at together; a longer text is alone
 _BEFORE_SPACE = re.compile(r"\S+|\s+\S*")
 _ENDS = re.compile(r"(.*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])([!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)", re.S)
 _models: dict[str, object] = {}
+_word_ends: dict[str, np.ndarray | None] = {}
 _known: dict[tuple, tuple[dict, dict]] = {}
 
 
@@ -49,6 +51,22 @@ def encode(model, texts: list[str]) -> list[list[int]]:
     return model.encode(texts, num_threads=1)
 
 
+def word_ends(model) -> np.ndarray | None:
+    """By id, whether a token ends a word; None where the vocabulary doesn't tell for every byte."""
+    suffix = getattr(getattr(model, "model", None), "end_of_word_suffix", None)
+    vocab = model.get_vocab() if suffix else {}
+    if sum(len(t) == len(suffix) + 1 and t.endswith(suffix) for t in vocab) < 256:
+        return None
+    ends = np.zeros(max(vocab.values()) + 1, bool)
+    ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+    return ends
+
+
+def _one_word(piece: str) -> bool:
+    """Letters only, which normalization leaves as they are but for A-Z: one word to every word-level vocabulary."""
+    return piece.isalpha() and (piece.isascii() or piece == piece.lower() and is_normalized("NFC", piece))
+
+
 class Pieces:
     """Cuts texts into pieces and looks up what is known of each: its ids as bytes, or their number alone.
 
@@ -62,6 +80,11 @@ class Pieces:
         self.whole = path.endswith(".model")
         self.known, self.parts = _known.setdefault((path, spaced, lengths_only), ({}, {}))
         self.none = 0 if lengths_only else b""
+        self.ends = None
+        if folds and not lengths_only and not spaced and not self.whole:
+            if path not in _word_ends:
+                _word_ends[path] = word_ends(self.model)
+            self.ends = _word_ends[path]
 
     def cut(self, text: str) -> list[str]:
         if self.whole:
@@ -88,14 +111,35 @@ class Pieces:
             self.parts.clear()
             missing = list(set(chain.from_iterable(cut.values())) - {""})
         self.parts[""] = self.none
-        for k in range(0, len(missing), 5_000):
-            ids = encode(self.model, missing[k : k + 5_000])
-            self.parts.update(zip(missing[k : k + 5_000], map(len, ids) if self.lengths_only else (np.array(x, np.uint32).tobytes() for x in ids)))
+        if self.ends is None:
+            self._encode(missing)
+        else:
+            words = list(filter(_one_word, missing))
+            self._encode([*set(missing).difference(words), *self._encode_words(words)])
         parts = self.parts
         self.known.update((p, parts[a] + parts[b] if b else parts[a]) for p, (a, b) in cut.items())
         for p in [x for x in missing if len(x) > PIECE]:
             del parts[p]
 
+    def _encode(self, pieces: list[str]) -> None:
+        for k in range(0, len(pieces), 5_000):
+            ids = encode(self.model, pieces[k : k + 5_000])
+            self.parts.update(zip(pieces[k : k + 5_000], map(len, ids) if self.lengths_only else (np.array(x, np.uint32).tobytes() for x in ids)))
+
+    def _encode_words(self, words: list[str]) -> list[str]:
+        """Encodes words many at a time, as one text, whose ids are cut where words end. Returns those that it couldn't cut."""
+        groups, left = [words[k : k + 200] for k in range(0, len(words), 200)], []
+        for k in range(0, len(groups), 25):
+            for group, ids in zip(groups[k : k + 25], encode(self.model, list(map(" ".join, groups[k : k + 25])))):
+                ids = np.array(ids, np.uint32)
+                cuts = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
+                if len(cuts) != len(group) or cuts[-1] != ids.nbytes:
+                    left += group
+                    continue
+                raw, cuts = ids.tobytes(), cuts.tolist()
+                self.parts.update((w, raw[a:b]) for w, a, b in zip(group, [0, *cuts], cuts))
+        return left
+
     def look_up(self, texts: list[str]) -> list[list]:
         """For each text, what is known of its pieces, in order."""
         cut = [self.cut(t) for t in texts]
