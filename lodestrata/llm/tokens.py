@@ -19,6 +19,8 @@ CACHE, PARTS = 600_000, 500_000  # pieces and parts of pieces that a Python work
 PIECE = 200  # longer pieces aren't remembered
 BATCH_BYTES = 1 << 20  # text that is looked at together; a longer text is alone
 _BEFORE_SPACE = re.compile(r"\S+|\s+\S*")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"  # white space to Python, but tokens to the tokenizers
+_PIECE = re.compile(r"(?:\S|[\x1c-\x1f])+")
 _ENDS = re.compile(r"(.*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])([!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)", re.S)
 _models: dict[str, object] = {}
 _word_ends: dict[str, np.ndarray | None] = {}
@@ -90,7 +92,7 @@ class Pieces:
         if self.whole:
             return [text]
         if not self.spaced:
-            return text.split()
+            return _PIECE.findall(text) if any(x in text for x in _SEPARATORS) else text.split()
         parts = text.split(" ")
         if "" in parts or any(p[-1].isspace() for p in parts):  # runs of white space
             return _BEFORE_SPACE.findall(text)

@@ -165,6 +165,16 @@ def test_token_output_round_trip(spark, docs, tmp_path):
         at += len(ids)
 
 
+def test_separators_stay_tokens():
+    texts = [f"abc{x}def !{x}! {x} x{x} {x}y  {x}" for x in map(chr, [0, 0x85, 0xA0, 0x1680, *range(0x1C, 0x20), *range(0x2000, 0x200B), 0x2028, 0x202F, 0x205F, 0x3000])] + ["\x1c", "a\x1c\x1d b\n\x1e\x1f"]
+    import numpy as np
+
+    pieces = tokens.Pieces(WORDS, spaced=False, lengths_only=False, folds=True)
+    assert [np.frombuffer(b"".join(x), np.uint32).tolist() for x in pieces.look_up(texts)] == [plain_ids(WORDS, t) for t in texts]
+    counts = tokens.Pieces(BYTES, spaced=True, lengths_only=True)
+    assert [sum(x) for x in counts.look_up(texts)] == [len(plain_ids(BYTES, t)) for t in texts]
+
+
 def test_variable_length_coding():
     import numpy as np
 
