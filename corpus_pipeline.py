@@ -4,28 +4,45 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.llm import common as c
 from lodestrata.llm import decontaminate, jaccard_join, packing, quality_rules, secret_scan
 from lodestrata.llm.common import shared_dir
 
 
+def row_key(name: str) -> Column:
+    """Tells rows apart by their id, which may be null, and their text."""
+    return F.xxhash64(F.col(name).isNull(), name, "text")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality_rules.judge(docs).where("kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of similar ones (five-word shingles, similarity 0.8)."""
-    groups = jaccard_join.similar_groups(docs, n=5, percent=80).select("doc_id", "component_id").where("doc_id <> component_id").distinct()
-    return docs.join(groups.select("doc_id"), "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id"])
+    """The first document of each group of similar ones (five-word shingles, similarity 0.8).
+
+    Rows are compared one by one, those without a doc_id too, and so are different texts of one doc_id; the first is the one
+    of the least doc_id, those without one last. Rows with equal doc_id and text are one document."""
+    rows = docs.withColumn("row", row_key("doc_id"))
+    groups = jaccard_join.similar_groups(rows.select(F.col("row").alias("doc_id"), "text"), n=5, percent=80)
+    linked = groups.select(F.col("doc_id").alias("row"), "component_id").distinct()
+    several = linked.where("row <> component_id").select("component_id").distinct()
+    members = c.materialize(linked.join(several, "component_id").join(rows.select("row", "doc_id").distinct(), "row"), "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row"))
+    gone = members.select("row").join(first.select("row"), "row", "left_anti")
+    return rows.join(gone, "row", "left_anti").dropDuplicates(["row"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    found = decontaminate.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    rows = docs.withColumn("row", row_key("doc_id"))
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(row_key("item_id").alias("item_id"), "text")
+    found = decontaminate.matches(rows.select(F.col("row").alias("doc_id"), "text"), items)
+    return rows.join(found.select(F.col("doc_id").alias("row")).distinct(), "row", "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
