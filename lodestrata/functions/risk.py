@@ -40,7 +40,7 @@ ALIASES = {
 CRITICAL_PATH, HIGH_PATH = "auth|login|payment|billing|session", "api|service|core|db|database"
 TEST_PARTS, DEMO_PARTS = ("test", "tests", "__tests__", "fixtures", "fixture", "spec"), ("demo", "demos", "example", "examples", "sample", "samples")
 # fixed values: fixes by exact name
-FIXES = {"DES": "AES-256-GCM", "SHA1": "SHA-256", "RSA_LT_2048_SIGNATURE": "RSA-3072+/Ed25519 now; ML-DSA (Dilithium-class) for PQC track", "RSA_LT_2048_KEYEXCHANGE": "ML-KEM (Kyber-class)"}
+FIXES = {"MD5": "SHA-256 or BLAKE2", "DES": "AES-256-GCM", "SHA1": "SHA-256", "RSA_LT_2048_SIGNATURE": "RSA-3072+/Ed25519 now; ML-DSA (Dilithium-class) for PQC track", "RSA_LT_2048_KEYEXCHANGE": "ML-KEM (Kyber-class)"}
 NO_FIX = "Manual review needed"
 
 
