@@ -1,8 +1,8 @@
 """Secret scans with ownership over the whole corpus.
 
 Every text is searched once for assignments, access keys, long hexadecimal strings and further candidates (known credential
-formats). Hashes of all candidates are aggregated over the corpus by distinct repositories and owners: what many owners
-have is an example or a public constant, what one owner has looks live. Only candidates' hashes and spans are shuffled, never
+formats). Hashes of all candidates are aggregated over the corpus by distinct texts, repositories and owners: what a good part
+of all owners and repositories has, in different texts, is an example or a public constant; anything else looks live. Only candidates' hashes and spans are shuffled, never
 texts, and the aggregates combine in the tasks first, so that an example in a third of all texts is one row from each task
 and repository."""
 
@@ -41,9 +41,10 @@ def find(text: str) -> list[tuple[int, int, int, str]]:
 SPAN = "struct<start:int,kind:int,end:int,hash:bigint>"
 
 
-def scan(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), most_owners: int = 1, most_repositories: int = 3) -> DataFrame:
+def scan(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), most_owners: int = 3, most_repositories: int = 3, percent: int = 25) -> DataFrame:
     """doc_id, key (of the text), spans: of the base kinds all, of the others those that look live; each with n_owners,
-    n_repositories and live (that few owners and repositories, at most as given, have the secret).
+    n_repositories and live: not both more than most_owners and `percent` of the corpus's owners, and more than
+    most_repositories and `percent` of its repositories, have the secret. Equal texts count once, for their least owner and repository.
 
     A row for each row of docs. Null texts are empty; null owners and repositories count as one more each. Rows with equal
     doc_id and text have equal spans. Further columns are ignored; an empty table gives an empty result."""
@@ -57,9 +58,11 @@ def scan(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = (
 
     found = c.materialize(texts.mapInArrow(search, f"doc_id bigint, key bigint, owner bigint, repository bigint, spans array<{SPAN}>"), "secrets")
     one = found.where("size(spans) > 0").select("doc_id", "key", "owner", "repository", F.explode("spans").alias("s"))
-    owned = one.select("s.hash", "owner", "repository").distinct()
+    owned = one.groupBy("s.hash", "key").agg(F.min(F.struct("owner", "repository")).alias("o")).select("hash", "o.owner", "o.repository").distinct()
     counts = owned.groupBy("hash").agg(F.countDistinct("owner").alias("n_owners"), F.countDistinct("repository").alias("n_repositories"))
-    live = (F.col("n_owners") <= most_owners) & (F.col("n_repositories") <= most_repositories)
+    all_owners, all_repositories = found.agg(F.approx_count_distinct("owner", 0.02), F.approx_count_distinct("repository", 0.02)).first()
+    common = lambda n, most, total: F.col(n) > max(most, total * percent // 100)
+    live = ~(common("n_owners", most_owners, all_owners) & common("n_repositories", most_repositories, all_repositories))
     rated = one.select("doc_id", "key", "s.*").distinct().join(counts, "hash").withColumn("live", live).where(f"live or kind < {KINDS.index('owned')}")
     rated = rated.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "n_owners", "n_repositories", "live"))).alias("spans"))
     rated = rated.withColumnsRenamed({"doc_id": "r_id", "key": "r_key"})
@@ -73,10 +76,12 @@ def redact(docs: DataFrame, placeholder: str = "[secret]", **options) -> DataFra
     live = scan(docs, **options).select("doc_id", "key", F.filter("spans", lambda s: s["live"]).alias("cut_spans")).where("size(cut_spans) > 0").distinct()
     live = live.withColumnsRenamed({"doc_id": "cut_id", "key": "cut_key"})
     joined = docs.withColumn("text_key", c.text_key()).join(live, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("text_key") == F.col("cut_key")), "left")
-    # from the last span to the first; a span that reaches into the one cut before it ends where that one starts
-    state = F.struct(F.col("text").alias("text"), F.lit(2**31 - 1).alias("from"))
-    step = lambda s, x: F.struct(F.when(x["end"] <= s["from"], F.concat(F.substring(s["text"], F.lit(1), x["start"]), F.lit(placeholder), F.substring(s["text"], x["end"] + 1, F.length(s["text"])))).otherwise(F.concat(F.substring(s["text"], F.lit(1), x["start"]), F.substring(s["text"], s["from"] + 1, F.length(s["text"])))).alias("text"), x["start"].alias("from"))
-    text = F.when(F.col("cut_spans").isNull(), F.col("text")).otherwise(F.aggregate(F.reverse("cut_spans"), state, step)["text"])
+    # spans that overlap are one; the text between the spans is kept, and what follows the last one
+    state = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
+    added = lambda s, x: F.when(x["start"] < s["at"], s["text"]).otherwise(F.concat(s["text"], F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"]), F.lit(placeholder)))
+    step = lambda s, x: F.struct(added(s, x).alias("text"), F.greatest(s["at"], x["end"]).alias("at"))
+    done = lambda s: F.concat(s["text"], F.substring(F.col("text"), s["at"] + 1, F.length("text")))
+    text = F.when(F.col("cut_spans").isNull(), F.col("text")).otherwise(F.aggregate("cut_spans", state, step, done))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("cut_spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))

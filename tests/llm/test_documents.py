@@ -101,6 +101,23 @@ def test_secrets(docs):
     assert clean[1].text == TEXTS[0][1] and len(clean) == len({i for i, _ in TEXTS})
 
 
+def test_few_owners_do_not_clear_a_secret(spark):
+    spread = "gh" + "p_" + "B" * 36
+    rows = [(i, f"{'two owners ' * (i % 2)}password=hunter{i // 2:04}", f"s{i % 20}", "en") for i in range(40)]
+    rows += [(100 + i, f"copied key {spread}", f"s{i}", "en") for i in range(20)]  # one text
+    rows += [(200 + i, f"guide {i}: password=changeme1", f"s{i}", "en") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    found = {r.doc_id: r.spans for r in secret_scan.scan(df).collect()}
+    assert all(len(found[i]) == 1 and found[i][0].live == (i < 200) for i, *_ in rows)
+    assert found[0][0].n_owners == 2 and found[100][0].n_owners == 1 and found[200][0].n_owners == 20
+
+
+def test_overlapping_secrets_leave_no_rest(spark):
+    rows = [(1, "\u00e9 password=" + "0123456789abcdef" * 2 + "-XYZ then token=abcdefg."), (2, "a\U0001f600 0123456789abcdef01234567 z")]
+    df = spark.createDataFrame([(*r, "s", "en") for r in rows], "doc_id long, text string, source string, lang string")
+    assert {tuple(r)[:2] for r in secret_scan.redact(df).collect()} == {(1, "\u00e9 [secret] then [secret]"), (2, "a\U0001f600 [secret] z")}
+
+
 def test_decontamination(spark, docs):
     items = spark.createDataFrame([(100, " ".join(BASE[40:80])), (101, " ".join(words(30, 77))), (102, "one two"), (103, None), (104, "")], "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.start, round(r.similarity, 3)) for r in decontaminate.matches(docs, items).collect()}
