@@ -3,8 +3,9 @@
 Native: DataFrame and SQL expressions only. Measures of each text are built-in expressions over its own row. Spark's
 approximate percentiles are mergeable quantile sketches: each task sketches the measures of its rows by language and source,
 and merged sketches of some kilobytes for each of the groups are all that is shuffled. A document is rejected where a measure
-lies beyond its group's fence, `spread` times the distance between quartiles above the third one; groups of few documents
-have the fence of all documents."""
+lies beyond its group's fence, `spread` times the distance between quartiles above the third one, of those documents that
+the base rules keep; groups of few of these have the fence of all. Where three quarters of a group have one value (no symbols,
+no repeated lines), its quartiles do not differ, and the least distance decides."""
 
 from __future__ import annotations
 
@@ -16,11 +17,11 @@ from .common import materialize
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
 #: Measures and the least distance of a fence from the third quartile, so that groups of nearly equal texts keep theirs.
-MEASURES = {"symbol_ratio": 0.10, "dup_line_ratio": 0.30, "repeat_ratio": 0.20, "word_length": 4.0}
+MEASURES = {"symbol_ratio": 0.02, "dup_line_ratio": 0.34, "repeat_ratio": 0.16, "word_length": 0.5}
 
 
 def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words. Null texts have no words."""
+    """Adds n_words, word_chars, n_symbols, _n_lines (with words), n_dup_lines and n_repeat_words. Null texts have no words."""
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.filter(F.split(t, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     out = docs.withColumn("_words", words)
@@ -36,6 +37,7 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
         "_windows": F.when(n >= 6, window).otherwise(F.array().cast("array<bigint>")),
     })
     out = out.drop("_words").withColumns({
+        "_n_lines": F.size("_lines").cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "_sorted": F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), F.sort_array(F.arrays_zip(F.col("_windows").alias("h"), F.sequence(F.lit(1), F.greatest(F.size("_windows"), F.lit(1))).alias("i")))),
     })
@@ -45,13 +47,13 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     covered = F.aggregate("_twice", F.struct(F.lit(0).alias("n"), F.lit(-9).alias("last")), lambda s, i: F.struct((s["n"] + F.least(F.lit(5), i - s["last"])).alias("n"), i.alias("last")))
     out = out.withColumn("n_repeat_words", F.coalesce(covered["n"], F.lit(0)).cast("long"))
     # a generator of one row: conditions on the measures stay above it, else Spark would put the expressions into each of them
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    names = ["n_words", "word_chars", "n_symbols", "_n_lines", "n_dup_lines", "n_repeat_words"]
     return out.select(*docs.columns, F.inline(F.array(F.struct(*names))))
 
 
 def _ratios(out: DataFrame) -> DataFrame:
     per = lambda x, y: F.coalesce(F.col(x) / F.nullif(F.col(y), F.lit(0)), F.lit(0.0))
-    return out.withColumns({"symbol_ratio": per("n_symbols", "word_chars"), "dup_line_ratio": per("n_dup_lines", "n_words"), "repeat_ratio": per("n_repeat_words", "n_words"), "word_length": per("word_chars", "n_words")})
+    return out.withColumns({"symbol_ratio": per("n_symbols", "word_chars"), "dup_line_ratio": per("n_dup_lines", "_n_lines"), "repeat_ratio": per("n_repeat_words", "n_words"), "word_length": per("word_chars", "n_words")})
 
 
 def thresholds(measured: DataFrame, spread: float, least_docs: int, accuracy: int) -> DataFrame:
@@ -69,17 +71,17 @@ def judge(docs: DataFrame, spread: float = 6.0, least_docs: int = 30, accuracy:
     base_failed: fewer than 10 words, or more than a fifth of the words in windows of five words that the text has twice.
     Null texts have no words and fail. Null languages and sources are groups of their own. Repeated rows are judged each;
     further columns stay, but for those with these names, which are replaced; an empty table gives an empty result."""
-    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *MEASURES]
+    own = ["n_words", "word_chars", "n_symbols", "_n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *MEASURES]
     return _judged(_ratios(with_measures(docs.drop(*own))), spread, least_docs, accuracy)
 
 
 def _judged(measured: DataFrame, spread: float = 6.0, least_docs: int = 30, accuracy: int = 10_000) -> DataFrame:
     measured = materialize(measured, "measures")  # taken once, for the sketches and for the verdicts
-    fences = thresholds(measured.where("n_words >= 10"), spread, least_docs, accuracy)
-    out = measured.join(fences, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    fences = thresholds(measured.where(~failed), spread, least_docs, accuracy)
+    out = measured.join(fences, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
     beyond = " or ".join(f"coalesce({m} > max_{m}, false)" for m in MEASURES)
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~F.expr(beyond)).drop("g_lang", "g_source", *MEASURES, *(f"max_{m}" for m in MEASURES))
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~F.expr(beyond)).drop("g_lang", "g_source", "_n_lines", *MEASURES, *(f"max_{m}" for m in MEASURES))
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:

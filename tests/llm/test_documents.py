@@ -150,6 +150,19 @@ def test_quality_measures(docs):
     assert next(r for r in rows if r.doc_id == 1).kept
 
 
+def test_every_measure_rejects_junk(spark):
+    clean = [words(60 + k, 100 + k) for k in range(40)]
+    rows = [(k, " ".join(w), "web") for k, w in enumerate(clean)]
+    rows += [(100 + k, " ".join(w) + " " + "#" * (k * 2), "code") for k, w in enumerate(clean)]  # symbols are usual here
+    lines = "\n".join(x for k in range(5) for x in ("ok", " ".join(words(20, 300 + k))))
+    w = words(100, 400)
+    junk = {200: " ".join(words(60, 500)) + " " + "#" * 30, 201: lines, 202: " ".join([*w[:9], *w[9:91], *w[:9]]), 203: " ".join(x + "xyz" for x in words(60, 600))}
+    rows += [(i, t, "web") for i, t in junk.items()] + [(300, junk[200], "code")]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame([(i, t, "en", s) for i, t, s in rows], "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[i].base_failed for i in got)
+    assert sorted(i for i in got if not got[i].kept) == sorted(junk)
+
+
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
 
