@@ -2,7 +2,7 @@
 
 Each page becomes lines, one for each block, with a zone: main (inside an article or main element) or open; what stands in
 navigation, headers, footers, forms, adverts and the like is no line. Pages are paired within their host with the page of the
-nearest URL path whose lines differ, the two are aligned by the longest common subsequence of their lines, and shared lines
+nearest URL path whose lines differ, however many equal pages lie between, the two are aligned by the longest common subsequence of their lines, and shared lines
 are deleted. Shared lines of the main zone stay, for two pages may quote one passage; so pages that mark their article
 are given whole, and the others lose what their neighbour has too. Only line hashes are sorted and paired, never texts."""
 
@@ -13,6 +13,7 @@ from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -148,64 +149,97 @@ def shared_lines(a: list[int], b: list[int]) -> list[int]:
     return [*range(lo), *reversed(middle), *range(len(a) - hi, len(a))]
 
 
-GROUP = 256  # consecutive pages that are compared in one go
+GROUP = 256  # consecutive runs of equal pages that are compared in one go
 BROADCAST_ROWS = 20_000
+NEAR = 80  # percent of the characters of both pages: pages that share so much are copies of each other, not of one frame
+
+
+def nearness(a: str | None, b: str | None) -> tuple[int, int]:
+    """Folders, then characters, that two paths have in common."""
+    both = commonprefix((a or "", b or ""))
+    return both.count("/"), len(both)
+
+
+def _only_shared(lines: list[int], sizes: list[int], others: list[int], other_sizes: list[int]) -> list[int] | None:
+    """Positions of the lines that both have; None where there are none or the pages are near copies."""
+    shared = shared_lines(lines, others)
+    same = sum(sizes[i] for i in shared)
+    return shared if shared and 100 * same < NEAR * max(sum(sizes), sum(other_sizes)) else None
 
 
 def _deleted(pages: DataFrame) -> DataFrame:
-    """row, gone: positions of lines that a page without a main zone shares with its neighbour."""
+    """row, gone: positions of lines that a page without a main zone shares with its neighbour.
+
+    Pages in the order of host and path fall into runs of equal lines, numbered over all partitions. Of the run before and
+    the one after, the one whose nearest path has more in common with the page's is the neighbour, or the other one where
+    the page is a near copy of the first."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, whole = [], []
+            out, sizes, whole = [], [], []
             for t in b.column(3):
                 lines, main = lines_of(t.as_py())
                 whole.append(any(main))
                 out.append(np.array([xxhash.xxh3_64_intdigest(x) for x in lines], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(whole), c.lists(out, pa.int64())], names=["row", "host", "path", "marked", "lines"])
+                sizes.append(np.array([len(x) for x in lines], np.int32))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(whole), c.lists(out, pa.int64()), c.lists(sizes, pa.int32())], names=["row", "host", "path", "marked", "lines", "sizes"])
 
     host, path = url_parts()
-    keyed = pages.select("row", host.alias("host"), path.alias("path"), "html").mapInArrow(hashes, "row long, host string, path string, marked boolean, lines array<long>")
+    kept = "row long, host string, path string, marked boolean, lines array<long>, sizes array<int>"
+    keyed = pages.select("row", host.alias("host"), path.alias("path"), "html").mapInArrow(hashes, kept)
     order = ("host", "path", "row")
     n = max(8, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, at = TaskContext.get().partitionId(), 0
+        part, run, last = TaskContext.get().partitionId(), -1, None
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(b), part)), pa.array(np.arange(at, at + len(b)))], names=[*b.schema.names, "part", "at"])
-            at += len(b)
-
-    kept = "row long, host string, path string, marked boolean, lines array<long>"
-    ranked = c.materialize(keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(number, f"{kept}, part long, at long"), "pages")
-    sizes = {r[0]: r[1] for r in ranked.groupBy("part").count().collect()}  # a number for each partition
-    before, total = {}, 0
-    for p in sorted(sizes):
-        before[p], total = total, total + sizes[p]
-    if not total:
+            runs, heads, signs = [], [], []
+            for h, x in zip(b.column(1).to_pylist(), b.column(4)):
+                sign = xxhash.xxh3_64_intdigest(x.values.to_numpy().tobytes()) - (1 << 63)
+                heads.append((h, sign) != last)
+                run += heads[-1]
+                last = h, sign
+                runs.append(run)
+                signs.append(sign)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(b), part)), pa.array(runs, pa.int64()), pa.array(heads), pa.array(signs, pa.int64())], names=[*b.schema.names, "part", "at", "head", "sign"])
+
+    ranked = c.materialize(keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(number, f"{kept}, part long, at long, head boolean, sign long"), "pages")
+    edge = F.struct("at", F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("none"), "sign")
+    edges = ranked.where("head").groupBy("part").agg(F.min(edge).alias("first"), F.max(edge).alias("last")).orderBy("part").collect()  # a row for each partition
+    before, goes_on, total, last = {}, [], -1, None
+    for part, first, end in edges:
+        same = last == tuple(first)[1:]
+        goes_on += [part] * same
+        before[part] = total if same else total + 1
+        total, last = before[part] + end["at"], tuple(end)[1:]
+    if not edges:
         return ranked.select("row", F.array().cast("array<int>").alias("gone"))
     offset = F.element_at(F.create_map(*(F.lit(x) for p in before.items() for x in p)), F.col("part"))
-    rank = (offset + F.col("at")).alias("rank")
-    # the pages next to a group's ends are in both groups
-    near = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor((F.col("rank") + d) / GROUP))
-    dealt = ranked.select("row", "host", "marked", "lines", rank).select("*", F.explode(F.array_distinct(near)).alias("grp"))
+    ranked = ranked.withColumn("run", (offset + F.col("at")).cast("long"))
+    ends = ranked.groupBy("run").agg(F.max("path").alias("last_path"), F.bool_and("marked").alias("marked")).withColumnRenamed("run", "end_run")
+    runs = ranked.where(F.col("head") & ~((F.col("at") == 0) & F.col("part").isin(goes_on))).drop("marked").join(ends, F.col("run") == F.col("end_run"))
+    # the runs next to a group's ends are in both groups
+    near = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor((F.col("run") + d) / GROUP))
+    dealt = runs.select("run", "host", "path", "last_path", "marked", "lines", "sizes", F.explode(F.array_distinct(near)).alias("grp"))
+    aligned = "run long, path_before string, path_after string, gone_before array<int>, gone_after array<int>"
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
 
         def end() -> pa.RecordBatch:
-            rows, gone = [], []
+            out = []
             for k, r in enumerate(held):
-                if r["marked"] or r["rank"] // GROUP != r["grp"]:
+                if r["marked"] or r["run"] // GROUP != r["grp"]:
                     continue
-                near = [*held[k - 1 :: -1]] if k else []
-                near += held[k + 1 :]
-                other = next((x for x in near if x["host"] == r["host"] and x["lines"] != r["lines"]), None)
-                if other and (shared := shared_lines(r["lines"], other["lines"])):
-                    rows.append(r["row"])
-                    gone.append(np.array(shared, np.int32))
-            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), c.lists(gone, pa.int32())], names=["row", "gone"])
+                sides = [held[j] if 0 <= j < len(held) and held[j]["host"] == r["host"] else None for j in (k - 1, k + 1)]
+                gone = [x and _only_shared(r["lines"], r["sizes"], x["lines"], x["sizes"]) for x in sides]
+                if any(gone):
+                    out.append((r["run"], sides[0] and sides[0]["last_path"], sides[1] and sides[1]["path"], *gone))
+            cols = list(zip(*out)) or [()] * 5
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, kinds)], names=["run", "path_before", "path_after", "gone_before", "gone_after"])
 
         for b in batches:
             for r in b.to_pylist():
@@ -216,14 +250,24 @@ def _deleted(pages: DataFrame) -> DataFrame:
         if held:
             yield end()
 
-    return dealt.repartition(n, "grp").sortWithinPartitions("grp", "rank").mapInArrow(align, "row long, gone array<int>")
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gone = []
+            for r in b.to_pylist():
+                after = not r["gone_before"] or r["gone_after"] and nearness(r["path"], r["path_after"]) > nearness(r["path"], r["path_before"])
+                gone.append(np.array(r["gone_after" if after else "gone_before"], np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), c.lists(gone, pa.int32())], names=["row", "gone"])
+
+    found = c.materialize(dealt.repartition(n, "grp").sortWithinPartitions("grp", "run").mapInArrow(align, aligned), "aligned")
+    own = ranked.where("not marked").select("row", "path", "run").join(found, "run")
+    return own.select("row", "path", "path_before", "path_after", "gone_before", "gone_after").mapInArrow(choose, "row long, gone array<int>")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text for each row of pages: its blocks in order, joined by an empty line.
 
     Null and empty pages have an empty text; null URLs are one host of their own. Equal rows give equal results: a page is
-    compared with the nearest one whose lines differ. White space in a block is one space, character references are
+    compared with the nearest one whose lines differ, and keeps all lines where only near copies stand beside it. White space in a block is one space, character references are
     decoded, nothing is cut off. Further columns are ignored; an empty table gives an empty result."""
     pages = pages.select("page_id", "url", "html", F.xxhash64("page_id", "url", "html").alias("row"))
     gone = c.materialize(_deleted(pages).dropDuplicates(["row"]), "shared")

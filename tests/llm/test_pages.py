@@ -21,6 +21,19 @@ def test_html(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_neighbours_beyond_copies_and_near_copies(spark):
+    page = lambda own, top="Shared top", end="Shared end": f"<div>{top}</div><p>{own}</p><div>{end}</div>"
+    rows = [(k, f"http://long.org/a/{k:04}", page("Copied often by many")) for k in range(700)] + [(700, "http://long.org/b", page("Own words of another"))]
+    rows += [(800, "http://near.org/a/z", page("Far page text", "Top A", "End A")), (801, "http://near.org/b/1", page("First page text", "Top A", "End B")), (802, "http://near.org/b/2", page("Second page text", "Top B", "End B"))]
+    article = [f"A long line of an article, number {k}" for k in range(12)]
+    both = lambda x: "".join(f"<p>{y}</p>" for y in [*article, x])
+    rows += [(900, "http://copy.org/1", both("one")), (901, "http://copy.org/2", both("two"))]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert {got[k] for k in range(700)} == {"Copied often by many"} and got[700] == "Own words of another"
+    assert got[801] == "Top A\n\nFirst page text"
+    assert got[900].split("\n\n") == [*article, "one"] and got[901].split("\n\n") == [*article, "two"]
+
+
 def test_longest_common_lines():
     assert html_text.shared_lines([1, 2, 3, 4, 5], [1, 9, 3, 5]) == [0, 2, 4]
     assert html_text.shared_lines([], [1]) == [] and html_text.shared_lines([1, 1], [1]) == [0]
