@@ -65,7 +65,7 @@ class Windows:
             self.most = most
 
 
-def _rows(windows: Iterator[list], first_id: int, with_ids: bool, pad_from: int = 0) -> pa.RecordBatch | None:
+def _rows(windows: Iterator[list], first_id: int, with_ids: bool) -> pa.RecordBatch | None:
     out: list[tuple] = []
     ids = []
     for seq, window in enumerate(windows):
@@ -111,8 +111,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 2048, open_wi
         from pyspark import TaskContext
 
         windows, seq = Windows(size, open_windows), TaskContext.get().partitionId() << 32
-        for b, found in ids_of(batches, "text", tokenizer, end_id):
-            done = [w for doc_id, ids in zip(b.column("doc_id").to_pylist(), found) for w in windows.put(doc_id, 0, len(ids), ids)]
+        for b, ids, at in ids_of(batches, "text", tokenizer, end_id):
+            ends = at.tolist()
+            done = [w for doc_id, s, e in zip(b.column("doc_id").to_pylist(), ends, ends[1:]) for w in windows.put(doc_id, 0, e - s, ids[s:e])]
             if rows := _rows(done, seq, False):
                 yield rows
             seq += len(done)

@@ -5,6 +5,7 @@ behind. Ids are replaced by their ranks in the corpus, the most frequent id firs
 A rank takes 1 to 4 bytes, little-endian. Control bytes are kept apart: 2 bits for each rank, four to a byte, the first in
 the lowest bits, hold its number of bytes less 1. A shard holds consecutive documents in ascending order of doc_id:
   part, shard   long    the order of shards
+  before        long    ids of the part's earlier shards
   doc_ids, n    array   the documents and their numbers of ids
   control, data binary  the streams
 """
@@ -25,7 +26,7 @@ from . import common as c
 from .tokens import ids_of
 
 SHARD_IDS = 1 << 20
-SHARD_SCHEMA = "part long, shard long, doc_ids array<long>, n array<int>, control binary, data binary"
+SHARD_SCHEMA = "part long, shard long, before long, doc_ids array<long>, n array<int>, control binary, data binary"
 _LENGTHS = np.array([[(b >> 2 * k & 3) + 1 for k in range(4)] for b in range(256)], np.uint8)  # of the four ranks of a control byte
 
 
@@ -79,9 +80,17 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """doc_id, key (of the text), ids (in two bytes each where narrow, else four)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, found in ids_of(batches, "text", tokenizer, end_id):
-            narrow = [int(x.max(initial=0)) < 1 << 16 for x in found]
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([x.astype("<u2" if y else "<u4").tobytes() for x, y in zip(found, narrow)], pa.binary()), pa.array(narrow, pa.bool_())], names=["doc_id", "key", "ids", "narrow"])
+        for b, ids, at in ids_of(batches, "text", tokenizer, end_id):
+            top = np.maximum.reduceat(ids, at[:-1])  # no text is without an id
+            wide = top >= 1 << 16
+            size = np.where(wide, 4, 2) * np.diff(at)
+            if wide.any():
+                raw = b"".join(ids[s:e].astype("<u4" if w else "<u2").tobytes() for s, e, w in zip(at[:-1].tolist(), at[1:].tolist(), wide.tolist()))
+            else:
+                raw = ids.astype("<u2").tobytes()
+            ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            binary = pa.Array.from_buffers(pa.binary(), len(b), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], binary, pa.array(~wide)], names=["doc_id", "key", "ids", "narrow"])
 
     return docs.select("doc_id", c.text_key().alias("key"), "text").mapInArrow(encode, "doc_id long, key long, ids binary, narrow boolean")
 
@@ -103,11 +112,11 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, out: str) -> None:
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, shard, doc_ids, ids, held = TaskContext.get().partitionId(), 0, [], [], 0
+        part, shard, before, doc_ids, ids, held = TaskContext.get().partitionId(), 0, 0, [], [], 0
 
         def flush() -> pa.RecordBatch:
             control, data = pack(shared.value[np.concatenate(ids)])
-            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([shard]), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([[len(x) for x in ids]], pa.list_(pa.int32())), pa.array([control], pa.binary()), pa.array([data], pa.binary())], names=["part", "shard", "doc_ids", "n", "control", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([shard]), pa.array([before]), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([[len(x) for x in ids]], pa.list_(pa.int32())), pa.array([control], pa.binary()), pa.array([data], pa.binary())], names=["part", "shard", "before", "doc_ids", "n", "control", "data"])
 
         for b in batches:
             for doc_id, own, narrow in zip(*(b.column(k) for k in range(3))):
@@ -116,7 +125,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, out: str) -> None:
                 held += len(ids[-1])
                 if held >= SHARD_IDS:
                     yield flush()
-                    shard, doc_ids, ids, held = shard + 1, [], [], 0
+                    shard, before, doc_ids, ids, held = shard + 1, before + held, [], [], 0
         if ids:
             yield flush()
 
@@ -131,19 +140,19 @@ def read_ids(spark, path: str) -> DataFrame:
     ranks = np.frombuffer(bytes(spark.read.parquet(f"{path}/ranks").first()[0]), np.uint32)
     shared = spark.sparkContext.broadcast(ranks)
     shards = spark.read.schema(SHARD_SCHEMA).parquet(f"{path}/shards")
-    # a total for each part and shard of it: some bytes for a million ids
-    totals = shards.select("part", "shard", F.aggregate("n", F.lit(0).cast("long"), lambda s, x: s + x).alias("total")).orderBy("part", "shard").toPandas()
-    totals["start"] = totals["total"].cumsum() - totals["total"]
-    before = {(p, s): at for p, s, at in zip(totals["part"], totals["shard"], totals["start"])}
-    starts = spark.sparkContext.broadcast(before)
+    # one total for each part, that is for each partition of the writing job
+    total = F.aggregate("n", F.lit(0).cast("long"), lambda s, x: s + x)
+    totals = shards.groupBy("part").agg(F.max(F.col("before") + total).alias("total")).orderBy("part").collect()
+    parts = np.array([r["part"] for r in totals], np.int64)
+    starts = spark.sparkContext.broadcast((parts, np.concatenate([[0], np.cumsum([r["total"] for r in totals])]).astype(np.int64)))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, shard, doc_ids, n, control, data in zip(*(b.column(k) for k in range(6))):
+            for part, _, before, doc_ids, n, control, data in zip(*b.columns):
                 n = np.array(n.as_py(), np.int64)
                 ids = shared.value[unpack(control.as_py(), data.as_py(), int(n.sum()))]
                 end = np.cumsum(n)
-                first = starts.value[part.as_py(), shard.as_py()]
+                first = starts.value[1][np.searchsorted(starts.value[0], part.as_py())] + before.as_py()
                 offsets = np.concatenate([[0], end]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids.as_py(), pa.int64()), pa.array(first + end - n), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))], names=["doc_id", "start", "n_tokens", "ids"])
 

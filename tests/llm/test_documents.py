@@ -1,11 +1,13 @@
 """Operators on documents against plain versions, with the cases that each docstring defines."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -128,10 +130,58 @@ def test_near_passages_are_within_the_radius():
     item = BASE[:60]
     for at in range(1, 60, 7):
         near = [*item[:at], "other", *item[at + 1 :]]
-        index = decontaminate.Index([(1, decontaminate.shingles(" ".join(item), 5))], 20)
+        index = decontaminate.Index([(1, decontaminate.shingles(" ".join(item), 5))], 32)
         assert index.search(decontaminate.shingles(" ".join(words(50, 5) + near + words(50, 6)), 5), 80)
 
 
+def plain_matches(docs, items, percent=80, k=5):
+    """All windows of an item's size in every document, compared one by one."""
+    grams = lambda w, n: [tuple(w[j : j + n]) for j in range(max(1, len(w) - n + 1))]
+    split = lambda t: re.findall(r"\w+", (t or "").lower())
+    out = {}
+    for item, own in ((i, split(t)) for i, t in items):
+        for doc, w in ((d, split(t)) for d, t in docs):
+            n = min(k, len(own), len(w)) if len(own) < k else min(k, len(w))
+            if not own or not w:
+                continue
+            a, b = grams(own, min(k, len(own))), grams(w, n)
+            size = min(len(a), len(b))
+            best = 0
+            for j in range(len(b) - size + 1):
+                both = sum((Counter(a) & Counter(b[j : j + size])).values())
+                if 100 * both >= percent * (len(a) + size - both):
+                    best = max(best, both / (len(a) + size - both))
+            if best:
+                out[doc, item] = round(best, 6)
+    return out
+
+
+def test_decontamination_equals_all_windows(spark):
+    chance = random.Random(9)
+    items = [(k, " ".join(words(25 + 7 * k, 50 + k))) for k in range(12)] + [(20, "to be or not to be or not to be or not to be")]
+    rows = []
+    for k in range(300):
+        item = (items[k % 13][1]).split()
+        for _ in range(k % 4):
+            item[chance.randrange(len(item))] = f"other{k}"
+        if k % 5 == 0:
+            del item[chance.randrange(len(item))]
+        rows.append((k, " ".join(words(k % 40, 200 + k) + item + words(30, 900 + k))))
+    got = {(r.doc_id, r.item_id): round(r.similarity, 6) for r in decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = plain_matches(rows, items)
+    assert len(want) > 100 and got == want
+
+
+def test_index_compares_fewer_than_all(spark):
+    import numpy as np
+
+    items = [(k, decontaminate.shingles(" ".join(words(40, 1000 + k)), 5)) for k in range(400)]
+    index = decontaminate.Index(items, 32)
+    begin, listed = zip(*index.by_length[36][2])
+    assert sum(len(x) / (len(b) - 1) for b, x in zip(begin, listed)) < 0.35 * len(items)  # items looked at by a random window
+    assert np.array_equal(index.near(36, np.unpackbits(index.by_length[36][1], axis=1).astype(bool))[0], np.arange(400))
+
+
 def test_quality_measures(docs):
     rows = quality_rules.judge(docs).collect()
     assert rows[0].asDict().keys() >= {"label", "size", "n_words", "kept"}
@@ -197,12 +247,28 @@ def test_token_output_round_trip(spark, docs, tmp_path):
 
 def test_separators_stay_tokens():
     texts = [f"abc{x}def !{x}! {x} x{x} {x}y  {x}" for x in map(chr, [0, 0x85, 0xA0, 0x1680, *range(0x1C, 0x20), *range(0x2000, 0x200B), 0x2028, 0x202F, 0x205F, 0x3000])] + ["\x1c", "a\x1c\x1d b\n\x1e\x1f"]
-    import numpy as np
-
-    pieces = tokens.Pieces(WORDS, spaced=False, lengths_only=False, folds=True)
-    assert [np.frombuffer(b"".join(x), np.uint32).tolist() for x in pieces.look_up(texts)] == [plain_ids(WORDS, t) for t in texts]
-    counts = tokens.Pieces(BYTES, spaced=True, lengths_only=True)
-    assert [sum(x) for x in counts.look_up(texts)] == [len(plain_ids(BYTES, t)) for t in texts]
+    assert ids_of(texts) == [[*plain_ids(WORDS, t), 1] for t in texts]
+    assert tokens.Pieces(BYTES).counts(texts) == [len(plain_ids(BYTES, t)) for t in texts]
+
+
+def ids_of(texts):
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    return [ids[s:e].tolist() for _, ids, at in tokens.ids_of(iter([batch]), "text", WORDS, 1) for s, e in zip(at.tolist(), at[1:].tolist())]
+
+
+def test_ids_of_odd_texts_are_the_tokenizers(monkeypatch):
+    """Random strings of what normalization, white space, contractions and special tokens treat in their own ways."""
+    chance = random.Random(5)
+    parts = ["a", "B", "\u00df", "\u0130", "e\u0301", "\u00c9", "\u03a3", "1", "\u00b2", "'s", "'", "!", "...", "\x1c", "\x1f", " ", "  ", "\n", "\x0b", "\u00a0", "\x85", "\u0301", "\u2009", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "\u212a", "\u017f", "\u01c5", "\u65e5\u672c", "\U0001f600", "We'LL", "_", "-", "\ufb01"]
+    texts = ["".join(chance.choices(parts, k=chance.randrange(12))) for _ in range(5000)] + [None, "", "\u0130.", "x" * 5000 + "! y", "word " * 3000]
+    model = Tokenizer.from_file(WORDS)
+    want = [[*x.ids, 1] for x in model.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert ids_of(texts) == want
+    monkeypatch.setattr(tokens, "CORES", 50)  # tables that are forgotten now and then
+    monkeypatch.setattr(tokens, "ID_BATCH_BYTES", 500)
+    tokens._ids.clear()
+    assert ids_of(texts) == want
+    tokens._ids.clear()
 
 
 def test_variable_length_coding():
