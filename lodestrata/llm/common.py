@@ -12,14 +12,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows and bytes of an Arrow batch that goes to Python at most, so that long texts and arrays don't add up.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 WORD = "[^\\x20\\x09-\\x0D]+"
 _U = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir); a temporary one only where none is set and Spark is local, as in
+    tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -31,7 +36,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     This cuts the lineage: a lost executor costs no recomputation of what lies before it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = {k: spark.conf.get(k, None) for k in SMALL_BATCHES}
+    for k, v in SMALL_BATCHES.items():
+        spark.conf.set(k, v)
+    try:
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -106,11 +118,12 @@ def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
 # Counting sketch. Each partition counts keys in `depth` rows of `width` counters and emits the touched counters by
 # block; the merge adds them up (saturating), so that a merged counter is never below any of its keys' counts.
 BLOCK_BITS = 19
+WIDEST = 28  # log2 of the counters in a row at most: 64 MB that every task gets
 _SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 SKETCH_SCHEMA = "row int, block int, pos binary, n binary"
 
 
-def sketch_bits(n_keys: int, load: float, at_least: int = BLOCK_BITS + 1, at_most: int = 28) -> int:
+def sketch_bits(n_keys: int, load: float, at_least: int = BLOCK_BITS + 1, at_most: int = WIDEST) -> int:
     """log2 of the width for n_keys keys at the given load. at_most bounds what is broadcast: 2**28 counters of 2 bits, 64 MB
     a row. A fuller sketch only overestimates more; it never loses a key."""
     return int(min(at_most, max(at_least, np.ceil(np.log2(max(n_keys, 1) / load)))))

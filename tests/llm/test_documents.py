@@ -85,10 +85,68 @@ def test_jaccard_join(docs):
     assert parent[3] == 1
 
 
-def test_light_subsets_link_sets_that_differ_by_one(spark):
-    own = [(i, " ".join(f"q{i}_{k}" for k in range(10 + j))) for i in (1, 2) for j in (0,)] + [(3, " ".join(f"q1_{k}" for k in range(11)))]
-    df = spark.createDataFrame(own, "doc_id long, text string")
-    assert {tuple(r) for r in jaccard_join._light_links(df, 4, 12).collect()} == {(1, 3, 7)}
+def components(sets, percent):
+    """By comparing all pairs."""
+    parent = {i: i for i in sets}
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                low, high = sorted((parent[a], parent[b]))
+                parent = {i: low if v == high else v for i, v in parent.items()}
+    return parent
+
+
+def near_copies(seed):
+    """Groups of texts of all sizes with some words changed, added or left out, and words that very many have."""
+    chance = random.Random(seed)
+    rows = []
+    for group in range(60):
+        base = [f"g{group}_{k}" if k % 3 else "often" for k in range(chance.choice((3, 5, 6, 8, 9, 10, 12, 13, 15, 20, 30, 60, 120)))]
+        for _ in range(chance.randrange(1, 7)):
+            own = list(base)
+            for _ in range(chance.randrange(0, 1 + len(own) // 12 + 1)):
+                at = chance.randrange(len(own))
+                own[at : at + 1] = chance.choice(([], [f"x{chance.random()}"], [own[at], "more"]))
+            rows.append((len(rows), " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize(("n", "percent"), [(1, 85), (4, 85), (2, 80), (5, 80), (1, 60), (3, 100)])
+def test_jaccard_join_of_near_copies(spark, n, percent):
+    rows = near_copies(n * percent)
+    sets = {}
+    for i, t in rows:
+        w = t.split()
+        sets[i] = {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
+    got = {r.doc_id: r.component_id for r in jaccard_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), n, percent).collect()}
+    assert got == components(sets, percent)
+
+
+@pytest.mark.parametrize("percent", [85, 80, 60])
+def test_light_sets_alone(spark, percent):
+    """The subsets find every link among sets up to the boundary, without lists."""
+    chance = random.Random(percent)
+    rows = [(k, " ".join(chance.sample([f"w{k // 4}_{j}" for j in range(13)], chance.randrange(5, 12)))) for k in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, fp1 long")
+    links = {tuple(r) for r in jaccard_join._light_links(df, none, 1, percent, 12).collect()}
+    sets = {i: set(t.split()) for i, t in rows}
+    assert all(100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) for a, b in links)
+    linked = {i: {i} for i in sets}
+    for a, b in links:
+        both = linked[a] | linked[b]
+        for i in both:
+            linked[i] = both
+    assert {i: min(x) for i, x in linked.items()} == components(sets, percent)
+
+
+def test_light_boundary_follows_the_costs():
+    sets = {n: 1000 for n in range(1, 65)}
+    rows = {n: 2000 for n in range(1, 65)}
+    at = lambda length, percent: jaccard_join.light_boundary(sets, rows, {n: 2000 * length for n in rows}, percent)
+    assert at(1, 85) < at(100, 85) < at(10_000, 85) and at(1, 80) < at(100, 80) < at(10_000, 80)
+    assert at(100, 80) >= 8  # the pipeline's percentage has a light half too
 
 
 def test_secrets(docs):
