@@ -1,10 +1,11 @@
 """HTML extraction with nearest-URL page differencing.
 
-Each page becomes lines, one for each block, with a zone: main (inside an article or main element) or open; what stands in
-navigation, headers, footers, forms, adverts and the like is no line. Pages are paired within their host with the page of the
-nearest URL path whose lines differ, however many equal pages lie between, the two are aligned by the longest common subsequence of their lines, and shared lines
-are deleted. Shared lines of the main zone stay, for two pages may quote one passage; so pages that mark their article
-are given whole, and the others lose what their neighbour has too. Only line hashes are sorted and paired, never texts."""
+Each page becomes lines, one for each block of visible text, in zones: main (inside an article or main element), frame (what
+is marked as navigation, header, footer, form, advert, comment and the like) or open. Pages are paired within their host with
+the page of the nearest URL path whose lines differ, however many equal pages lie between; the two are aligned by the longest
+common subsequence of their lines, and shared lines are deleted. Shared lines of the main zone stay, for two articles may
+quote one passage. An exact check by markup follows: lines of the frame that no neighbour shares go too. Line hashes are
+sorted and paired, not texts; texts are compressed and moved once, to meet the lines to delete."""
 
 from __future__ import annotations
 
@@ -24,99 +25,151 @@ from pyspark.sql import functions as F
 from . import common as c
 from .url_filters import url_parts
 
+FRAME, OPEN, MAIN = range(3)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([A-Za-z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_WHITE = re.compile(r"[^\S\x1c-\x1f]+")  # the separators U+001C to U+001F are no white space
 _RAW = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg")}
-_GONE = frozenset("nav header footer aside form head select button dialog menu object audio video canvas".split())
+_GONE_BLOCKS = frozenset("nav header footer aside form head dialog menu".split())
+_GONE = _GONE_BLOCKS | frozenset("select button object audio video canvas".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _MAIN = frozenset(("article", "main"))
-_BLOCKS = frozenset("p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table thead tbody tr caption section article main blockquote pre hr figure figcaption address details summary fieldset body html center".split())
-_LEAVES = frozenset("p h1 h2 h3 h4 h5 h6".split())  # ended by any block
-_ITEMS, _LISTS = frozenset(("li", "dt", "dd")), frozenset(("ul", "ol", "dl", "menu"))
-_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent notice popup modal overlay sidebar menu navbar navigation nav breadcrumb breadcrumbs comment comments disqus footer header masthead share sharing social related newsletter subscribe signup login pagination pager widget".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_BLOCKS = _GONE_BLOCKS | _HEADINGS | frozenset("p div li ul ol dl dt dd table thead tbody tr caption section article main blockquote pre hr figure figcaption address details summary fieldset body html center".split())
+#: Elements that a new one ends, and those it doesn't look beyond.
+_ENDED = {
+    "li": (frozenset(("li",)), frozenset(("ul", "ol", "menu"))),
+    "dt": (frozenset(("dt", "dd")), frozenset(("dl",))),
+    "dd": (frozenset(("dt", "dd")), frozenset(("dl",))),
+    "tr": (frozenset(("tr",)), frozenset(("table",))),
+    "td": (frozenset(("td", "th")), frozenset(("tr", "table"))),
+    "th": (frozenset(("td", "th")), frozenset(("tr", "table"))),
+    "body": (frozenset(("head",)), frozenset()),
+}
+_P, _P_BOUNDS = frozenset(("p",)), frozenset("td th table caption object button".split())
+#: Parts of class names and ids by which an element is no content; those of pages' headers count outside the main zone only.
+_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent notice popup modal overlay sidebar menu navbar navigation nav breadcrumb breadcrumbs comment comments disqus footer share sharing social newsletter subscribe signup login pagination pager".split())
+_HEADERS = frozenset(("header", "masthead"))
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu".split())
 _SPLIT = re.compile(r"[\s_-]+")
 
 
-def _hidden(attrs: str) -> tuple[bool, bool]:
+def _marks(attrs: str, in_main: bool) -> tuple[bool, bool]:
     """Whether an element is no content, and whether it is the main one, by its attributes."""
     if "=" not in attrs and "hidden" not in attrs:
         return False, False
     found = {k.lower(): (a or b or d or "").lower() for k, a, b, d in _ATTR.findall(attrs)}
     names = _SPLIT.split(f"{found.get('class', '')} {found.get('id', '')}")
     gone = "hidden" in found or found.get("aria-hidden") == "true" or found.get("role") in _ROLES or not _NAMES.isdisjoint(names) or "display:none" in found.get("style", "").replace(" ", "")
+    gone = gone or not in_main and not _HEADERS.isdisjoint(names)
     return gone, found.get("role") == "main" or found.get("itemprop") == "articlebody"
 
 
-def lines_of(html: str | None) -> tuple[list[str], list[bool]]:
-    """The lines of a page, and for each whether it is in the main zone."""
-    lines: list[str] = []
-    main: list[bool] = []
-    held: list[str] = []
-    skip, depth = "", 0  # the element that is left out and how many of its name are open in it
-    mains: list[list] = []  # open main elements: name and how many of that name are open in it
-    at, end = 0, len(html or "")
+class _Reader:
+    """Lines and zones of a page. Open elements are on a stack, so that an element that is not closed ends with the ones around it."""
 
-    def close() -> None:
-        if held:
-            text = " ".join(unescape("".join(held)).split())
-            held.clear()
-            if text:
-                lines.append(text)
-                main.append(bool(mains))
+    def __init__(self):
+        self.lines: list[str] = []
+        self.zones: list[int] = []
+        self.held: list[str] = []
+        self.open: list[tuple] = []  # tag, frame and main before it, text held before it
+        self.frame = self.main = False
 
+    def flush(self) -> None:
+        if self.held:
+            text = _WHITE.sub(" ", unescape("".join(self.held)).replace("\0", "\ufffd")).strip(" ")
+            self.held = []
+            if text:
+                self.lines.append(text)
+                self.zones.append(FRAME if self.frame else MAIN if self.main else OPEN)
+
+    def end(self, n: int) -> None:
+        """Ends open elements till n are left."""
+        while len(self.open) > n:
+            tag, frame, main, saved = self.open.pop()
+            if tag in _BLOCKS or saved is not None or main != self.main:
+                self.flush()
+            if saved is not None:
+                self.held = saved
+            self.frame, self.main = frame, main
+
+    def end_among(self, tags: frozenset, bounds: frozenset) -> None:
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] in tags:
+                self.end(k)
+                return
+            if self.open[k][0] in bounds:
+                return
+
+    def start(self, tag: str, attrs: str) -> None:
+        block = tag in _BLOCKS
+        if block:
+            self.flush()
+            self.end_among(_P, _P_BOUNDS)
+            if tag in _HEADINGS and self.open and self.open[-1][0] in _HEADINGS:
+                self.end(len(self.open) - 1)
+        if tag in _ENDED:
+            self.end_among(*_ENDED[tag])
+        if tag in ("br", "td", "th"):
+            self.held.append(" ")
+        if tag in _VOID or attrs.endswith("/"):
+            return
+        gone, is_main = _marks(attrs, self.main) if attrs else (False, False)
+        gone = tag in _GONE and not (tag == "header" and self.main) or gone and tag not in ("html", "body")
+        is_main = is_main or tag in _MAIN
+        saved = None
+        if gone and not self.frame and not block:
+            saved, self.held = self.held, []
+        elif is_main and not self.main and not block:
+            self.flush()
+        self.open.append((tag, self.frame, self.main, saved))
+        self.frame, self.main = self.frame or gone, self.main or is_main
+
+    def close(self, tag: str) -> None:
+        """A closing tag ends the last such element, and all that is open in it; no inline one ends a block."""
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] == tag:
+                self.end(k)
+                return
+            if tag not in _BLOCKS and self.open[k][0] in _BLOCKS:
+                return
+
+
+def lines_of(html: str | None) -> tuple[list[str], list[int]]:
+    """The lines of a page and the zone of each."""
+    page = _Reader()
+    at, end = 0, len(html or "")
     while at < end:
         m = _TOKEN.search(html, at)
-        if not skip:
-            held.append(html[at : m.start() if m else end])
+        page.held.append(html[at : m.start() if m else end])
         if not m:
             break
         at = m.end()
         if not m[2]:
             continue
-        closing, tag, attrs = bool(m[1]), m[2].lower(), m[3]
-        if tag in _RAW and not closing:
-            if not attrs.endswith("/"):
+        tag = m[2].lower()
+        if m[1]:
+            page.close(tag)
+        elif tag in _RAW:
+            if not m[3].endswith("/"):
                 stop = _RAW[tag].search(html, at)
                 at = stop.end() if stop else end
-            continue
-        if skip:
-            if skip in _ITEMS and (tag in _LISTS and closing or tag in _ITEMS and not closing and depth == 1):
-                skip = ""
-            elif skip in _LEAVES and tag in _BLOCKS and tag not in _ITEMS and not (closing and tag == skip) or skip == "head" and tag == "body":
-                skip = ""
-            elif tag == skip:
-                depth += -1 if closing else 1
-                if depth <= 0:
-                    skip = ""
-                    continue
-            if skip:
-                continue
-        block = tag in _BLOCKS or tag in _GONE
-        if block:
-            close()
-        elif tag in ("br", "td", "th"):
-            held.append(" ")
-        if closing:
-            if mains and tag == mains[-1][0]:
-                mains[-1][1] -= 1
-                if not mains[-1][1]:
-                    close()
-                    mains.pop()
-            continue
-        if tag in _VOID or attrs.endswith("/"):
-            continue
-        gone, is_main = _hidden(attrs) if attrs else (False, False)
-        if tag in _GONE or gone and tag not in ("html", "body"):
-            close()
-            skip, depth = tag, 1
-        elif mains and tag == mains[-1][0]:
-            mains[-1][1] += 1
-        elif tag in _MAIN or is_main:
-            close()
-            mains.append([tag, 1])
-    close()
-    return lines, main
+        else:
+            page.start(tag, m[3])
+    page.end(0)
+    page.flush()
+    return page.lines, page.zones
+
+
+def main_text(lines: list[str], zones: list[int], gone: list[int]) -> list[str]:
+    """The lines that stay: those of the main zone, and open ones that are not gone; without the open ones where the main zone
+    has more text than they have."""
+    lost = set(gone)
+    own = [k for k, z in enumerate(zones) if z == MAIN or z == OPEN and k not in lost]
+    size = lambda zone: sum(len(lines[k]) for k in own if zones[k] == zone)
+    if size(MAIN) >= size(OPEN) > 0:
+        own = [k for k in own if zones[k] == MAIN]
+    return [lines[k] for k in own]
 
 
 def shared_lines(a: list[int], b: list[int]) -> list[int]:
@@ -150,7 +203,6 @@ def shared_lines(a: list[int], b: list[int]) -> list[int]:
 
 
 GROUP = 256  # consecutive runs of equal pages that are compared in one go
-BROADCAST_ROWS = 20_000
 NEAR = 80  # percent of the characters of both pages: pages that share so much are copies of each other, not of one frame
 
 
@@ -161,32 +213,34 @@ def nearness(a: str | None, b: str | None) -> tuple[int, int]:
 
 
 def _only_shared(lines: list[int], sizes: list[int], others: list[int], other_sizes: list[int]) -> list[int] | None:
-    """Positions of the lines that both have; None where there are none or the pages are near copies."""
+    """Positions of lines outside the main zone that both have; None where there are none or, for pages without a main zone,
+    where they are near copies. Sizes are in characters, negative in the main zone."""
     shared = shared_lines(lines, others)
-    same = sum(sizes[i] for i in shared)
-    return shared if shared and 100 * same < NEAR * max(sum(sizes), sum(other_sizes)) else None
+    if all(x >= 0 for x in sizes) and 100 * sum(sizes[i] for i in shared) >= NEAR * max(sum(map(abs, sizes)), sum(map(abs, other_sizes))):
+        return None
+    return [i for i in shared if sizes[i] >= 0] or None
 
 
-def _deleted(pages: DataFrame) -> DataFrame:
-    """row, gone: positions of lines that a page without a main zone shares with its neighbour.
+def deleted_lines(pages: DataFrame) -> DataFrame:
+    """row, gone: positions of the lines that a page shares with its neighbour.
 
     Pages in the order of host and path fall into runs of equal lines, numbered over all partitions. Of the run before and
     the one after, the one whose nearest path has more in common with the page's is the neighbour, or the other one where
-    the page is a near copy of the first."""
+    nothing is to be deleted by the first."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, sizes, whole = [], [], []
+            out, sizes = [], []
             for t in b.column(3):
-                lines, main = lines_of(t.as_py())
-                whole.append(any(main))
-                out.append(np.array([xxhash.xxh3_64_intdigest(x) for x in lines], np.uint64).view(np.int64))
-                sizes.append(np.array([len(x) for x in lines], np.int32))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(whole), c.lists(out, pa.int64()), c.lists(sizes, pa.int32())], names=["row", "host", "path", "marked", "lines", "sizes"])
+                lines, zones = lines_of(t.as_py())
+                out.append(np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines], np.uint64).view(np.int64))
+                sizes.append(np.array([-len(x) if z == MAIN else len(x) for x, z in zip(lines, zones)], np.int32))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], c.lists(out, pa.int64()), c.lists(sizes, pa.int32())], names=["row", "host", "path", "lines", "sizes"])
 
     host, path = url_parts()
-    kept = "row long, host string, path string, marked boolean, lines array<long>, sizes array<int>"
-    keyed = pages.select("row", host.alias("host"), path.alias("path"), "html").mapInArrow(hashes, kept)
+    kept = "row long, host string, path string, lines array<long>, sizes array<int>"
+    # written before it is dealt by range, which looks at its input twice
+    keyed = c.materialize(pages.select("row", host.alias("host"), path.alias("path"), "html").mapInArrow(hashes, kept), "hashes")
     order = ("host", "path", "row")
     n = max(8, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -196,8 +250,8 @@ def _deleted(pages: DataFrame) -> DataFrame:
         part, run, last = TaskContext.get().partitionId(), -1, None
         for b in batches:
             runs, heads, signs = [], [], []
-            for h, x in zip(b.column(1).to_pylist(), b.column(4)):
-                sign = xxhash.xxh3_64_intdigest(x.values.to_numpy().tobytes()) - (1 << 63)
+            for h, x, y in zip(b.column(1).to_pylist(), b.column(3), b.column(4)):
+                sign = xxhash.xxh3_64_intdigest(x.values.to_numpy().tobytes() + y.values.to_numpy().tobytes()) - (1 << 63)
                 heads.append((h, sign) != last)
                 run += heads[-1]
                 last = h, sign
@@ -208,21 +262,17 @@ def _deleted(pages: DataFrame) -> DataFrame:
     ranked = c.materialize(keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(number, f"{kept}, part long, at long, head boolean, sign long"), "pages")
     edge = F.struct("at", F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("none"), "sign")
     edges = ranked.where("head").groupBy("part").agg(F.min(edge).alias("first"), F.max(edge).alias("last")).orderBy("part").collect()  # a row for each partition
-    before, goes_on, total, last = {}, [], -1, None
+    offsets, total, last = [], -1, None
     for part, first, end in edges:
         same = last == tuple(first)[1:]
-        goes_on += [part] * same
-        before[part] = total if same else total + 1
-        total, last = before[part] + end["at"], tuple(end)[1:]
-    if not edges:
-        return ranked.select("row", F.array().cast("array<int>").alias("gone"))
-    offset = F.element_at(F.create_map(*(F.lit(x) for p in before.items() for x in p)), F.col("part"))
-    ranked = ranked.withColumn("run", (offset + F.col("at")).cast("long"))
-    ends = ranked.groupBy("run").agg(F.max("path").alias("last_path"), F.bool_and("marked").alias("marked")).withColumnRenamed("run", "end_run")
-    runs = ranked.where(F.col("head") & ~((F.col("at") == 0) & F.col("part").isin(goes_on))).drop("marked").join(ends, F.col("run") == F.col("end_run"))
+        offsets.append((part, total if same else total + 1, same))
+        total, last = offsets[-1][1] + end["at"], tuple(end)[1:]
+    ranked = ranked.join(F.broadcast(pages.sparkSession.createDataFrame(offsets, "part long, before long, goes_on boolean")), "part").withColumn("run", F.col("before") + F.col("at"))
+    ends = ranked.groupBy("run").agg(F.max("path").alias("last_path")).withColumnRenamed("run", "end_run")
+    runs = ranked.where("head and not (at = 0 and goes_on)").join(ends, F.col("run") == F.col("end_run"))
     # the runs next to a group's ends are in both groups
     near = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor((F.col("run") + d) / GROUP))
-    dealt = runs.select("run", "host", "path", "last_path", "marked", "lines", "sizes", F.explode(F.array_distinct(near)).alias("grp"))
+    dealt = runs.select("run", "host", "path", "last_path", "lines", "sizes", F.explode(F.array_distinct(near)).alias("grp"))
     aligned = "run long, path_before string, path_after string, gone_before array<int>, gone_after array<int>"
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +281,7 @@ def _deleted(pages: DataFrame) -> DataFrame:
         def end() -> pa.RecordBatch:
             out = []
             for k, r in enumerate(held):
-                if r["marked"] or r["run"] // GROUP != r["grp"]:
+                if r["run"] // GROUP != r["grp"]:
                     continue
                 sides = [held[j] if 0 <= j < len(held) and held[j]["host"] == r["host"] else None for j in (k - 1, k + 1)]
                 gone = [x and _only_shared(r["lines"], r["sizes"], x["lines"], x["sizes"]) for x in sides]
@@ -259,7 +309,7 @@ def _deleted(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), c.lists(gone, pa.int32())], names=["row", "gone"])
 
     found = c.materialize(dealt.repartition(n, "grp").sortWithinPartitions("grp", "run").mapInArrow(align, aligned), "aligned")
-    own = ranked.where("not marked").select("row", "path", "run").join(found, "run")
+    own = ranked.select("row", "path", "run").dropDuplicates(["row"]).join(found, "run")
     return own.select("row", "path", "path_before", "path_after", "gone_before", "gone_after").mapInArrow(choose, "row long, gone array<int>")
 
 
@@ -267,24 +317,32 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text for each row of pages: its blocks in order, joined by an empty line.
 
     Null and empty pages have an empty text; null URLs are one host of their own. Equal rows give equal results: a page is
-    compared with the nearest one whose lines differ, and keeps all lines where only near copies stand beside it. White space in a block is one space, character references are
-    decoded, nothing is cut off. Further columns are ignored; an empty table gives an empty result."""
+    compared with the nearest one whose lines differ; a page without a main zone keeps all open lines where only near copies
+    stand beside it. White space in a block is one space, character references are decoded, nothing is cut off. Further
+    columns are ignored; an empty table gives an empty result."""
     pages = pages.select("page_id", "url", "html", F.xxhash64("page_id", "url", "html").alias("row"))
-    gone = c.materialize(_deleted(pages).dropDuplicates(["row"]), "shared")
+    gone = c.materialize(deleted_lines(pages), "shared").withColumnRenamed("row", "gone_row")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, found = [], []
+            for t in b.column(2):
+                lines, zones = lines_of(t.as_py())
+                texts.append(pa.compress("\0".join(lines).encode("utf-8", "surrogatepass"), "zstd", asbytes=True) if lines else b"")
+                found.append((sum(len(x.encode("utf-8", "surrogatepass")) + 1 for x in lines) - 1, bytes(zones)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(texts, pa.binary()), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], names=["page_id", "url", "row", "lines", "size", "zones"])
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for t in b.column(2):
-                lines, main = lines_of(t.as_py())
-                out.append([x for x, m in zip(lines, main) if m] if any(main) else lines)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(out, pa.list_(pa.string()))], names=["page_id", "url", "row", "lines"])
-
-    lines = pages.mapInArrow(texts, "page_id long, url string, row long, lines array<string>")
-    few = gone.count() <= BROADCAST_ROWS
-    out = lines.join(F.broadcast(gone) if few else gone, "row", "left")
-    left = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)))
-    return out.select("page_id", "url", F.array_join(left, "\n\n").alias("text"))
+            for raw, size, zones, lost in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5))):
+                lines = pa.decompress(raw, size, "zstd", asbytes=True).decode("utf-8", "surrogatepass").split("\0") if raw else []
+                out.append("\n\n".join(main_text(lines, list(zones), lost or [])))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
+
+    lines = pages.mapInArrow(packed, "page_id long, url string, row long, lines binary, size long, zones binary")
+    out = lines.join(gone, F.col("row") == F.col("gone_row"), "left")
+    return out.select("page_id", "url", "lines", "size", "zones", "gone").mapInArrow(texts, "page_id long, url string, text string")
 
 
 def op6_html_extraction(spark, sf_dir: str) -> DataFrame:

@@ -34,6 +34,84 @@ def test_neighbours_beyond_copies_and_near_copies(spark):
     assert got[900].split("\n\n") == [*article, "one"] and got[901].split("\n\n") == [*article, "two"]
 
 
+def test_elements_end_with_those_around_them():
+    text = lambda html: html_text.main_text(*html_text.lines_of(html), [])
+    assert text("<article><p>one</p><div class=ad>buy<p>two</p></article><p>x") == ["one"]
+    assert text("<article><p>one<div class=ad>buy</div><p>two</article><div>short</div>") == ["one", "two"]
+    assert text("<article><header><h1>Head</h1></header><div class='related-work'>kept</div></article><header>page</header>") == ["Head", "kept"]
+    assert text("<article class=teaser>Teaser</article><p>A story that stands beside it and is longer</p>") == ["Teaser", "A story that stands beside it and is longer"]
+    assert text("<main><p>a <span class=ad>buy</span> b <b>c</main>") == ["a b c"]
+    assert text("<p>a\x1cb \u00a0\t c&#32; </p>") == ["a\x1cb c"]
+    assert text("<ul><li class=menu>x<li>y<ul><li>z</ul></ul><table><tr><td>1<td>2<tr><td>3</table>") == ["y", "z", "1 2", "3"]
+
+
+def common(a, b):
+    """The length of a longest common subsequence, by a table of all suffixes."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = 1 + best[i + 1][j + 1] if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    return best[0][0]
+
+
+def plain_extract(rows):
+    """Neighbours by looking at all pages of a host, shared lines by a table of all prefixes."""
+    page = {r: html_text.lines_of(r[2]) for r in rows}
+    key = {r: url_filters_parts(r[1]) for r in rows}
+    order = sorted(set(rows), key=lambda r: (key[r], r[0]))
+
+    sizes = {}
+    for k, r in enumerate(order):
+        near = []
+        for step in (-1, 1):
+            j = k + step
+            while 0 <= j < len(order) and key[order[j]][0] == key[r][0] and page[order[j]] == page[r]:
+                j += step
+            if 0 <= j < len(order) and key[order[j]][0] == key[r][0]:
+                near.append(order[j])
+        sizes[r] = [common(page[r][0], page[x][0]) for x in near]
+    return sizes
+
+
+def url_filters_parts(url):
+    tail = url.split("://", 1)[1].split("?")[0].split("#")[0]
+    host, slash, path = tail.partition("/")
+    return host.lower(), slash + path
+
+
+def test_deleted_lines_are_a_longest_common_subsequence(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    chance = random.Random(4)
+    rows = []
+    for k in range(400):
+        frame = [f"menu {j}" for j in range(chance.randrange(3, 6))]
+        own = [f"text {k} {j}" for j in range(chance.randrange(1, 9))]
+        html = "<nav>" + "".join(f"<p>{x}</p>" for x in frame) + "</nav><article>" + "".join(f"<p>{x}</p>" for x in own) + "</article><footer>end</footer>"
+        rows.append((k, f"http://h{k % 7}.org/{chance.choice('ab')}/{chance.randrange(60)}", html))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4).withColumn("row", F.col("page_id"))
+    gone = {r.row: r.gone for r in html_text.deleted_lines(df).collect()}
+    want = plain_extract(rows)
+    for r in rows:
+        lines, zones = html_text.lines_of(r[2])
+        assert all(zones[i] != html_text.MAIN for i in gone[r[0]]) and len(gone[r[0]]) in want[r] and min(want[r]) >= 4
+    out = {r.page_id: r.text for r in html_text.extract(df).collect()}
+    assert all(out[k] == "\n\n".join(x for x, z in zip(*html_text.lines_of(h)) if z == html_text.MAIN) for k, _, h in rows)
+
+
+def test_differencing_of_the_test_pages(spark):
+    """These pages' frames are dealt without regard to hosts, so that neighbours share few lines; none of an article is deleted."""
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    gone = {r.row: r.gone for r in html_text.deleted_lines(pages.withColumn("row", F.col("page_id"))).collect()}
+    zones = {r.page_id: html_text.lines_of(r.html)[1] for r in pages.collect()}
+    found = [zones[p][k] for p, own in gone.items() for k in own]
+    assert len(found) > 30 and html_text.MAIN not in found
+
+
 def test_longest_common_lines():
     assert html_text.shared_lines([1, 2, 3, 4, 5], [1, 9, 3, 5]) == [0, 2, 4]
     assert html_text.shared_lines([], [1]) == [] and html_text.shared_lines([1, 1], [1]) == [0]
@@ -52,3 +130,13 @@ def test_empty(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_text.extract(none).count() == 0
     assert url_filters.judge(none, url_filters.rule_table(spark)).count() == 0
+
+
+def test_shared_lines_equal_the_table():
+    import random
+
+    chance = random.Random(2)
+    for _ in range(300):
+        a, b = ([chance.randrange(6) for _ in range(chance.randrange(12))] for _ in range(2))
+        found = html_text.shared_lines(a, b)
+        assert len(found) == common(a, b) and common([a[i] for i in found], b) == len(found)
