@@ -135,9 +135,10 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, out: str) -> None:
     ordered.select("doc_id", "ids", "narrow").mapInArrow(shards, SHARD_SCHEMA).write.parquet(f"{out}/shards")
 
 
-def read_ids(spark, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before), n_tokens, ids, decoded from what write_ids wrote."""
-    ranks = np.frombuffer(bytes(spark.read.parquet(f"{path}/ranks").first()[0]), np.uint32)
+def read_ids(spark, path: str, digests: bool = False) -> DataFrame:
+    """doc_id, start (ids of all documents before), n_tokens, ids, decoded from what write_ids wrote. With digests,
+    ids_crc32 (of the ids as little-endian 32-bit integers) instead of ids."""
+    ranks = np.frombuffer(bytes(spark.read.parquet(f"{path}/ranks").first()[0]), "<u4")
     shared = spark.sparkContext.broadcast(ranks)
     shards = spark.read.schema(SHARD_SCHEMA).parquet(f"{path}/shards")
     # one total for each part, that is for each partition of the writing job
@@ -149,23 +150,18 @@ def read_ids(spark, path: str) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, _, before, doc_ids, n, control, data in zip(*b.columns):
-                n = np.array(n.as_py(), np.int64)
+                n = n.values.to_numpy().astype(np.int64)
                 ids = shared.value[unpack(control.as_py(), data.as_py(), int(n.sum()))]
                 end = np.cumsum(n)
                 first = starts.value[1][np.searchsorted(starts.value[0], part.as_py())] + before.as_py()
-                offsets = np.concatenate([[0], end]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids.as_py(), pa.int64()), pa.array(first + end - n), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))], names=["doc_id", "start", "n_tokens", "ids"])
+                if digests:
+                    raw = memoryview(ids.tobytes())
+                    last = pa.array([zlib.crc32(raw[s:e]) for s, e in zip((4 * (end - n)).tolist(), (4 * end).tolist())], pa.int64())
+                else:
+                    last = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], end]).astype(np.int32)), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([doc_ids.values, pa.array(first + end - n), pa.array(n), last], names=["doc_id", "start", "n_tokens", "ids_crc32" if digests else "ids"])
 
-    return shards.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids array<int>")
-
-
-def with_crc(tokens: DataFrame) -> DataFrame:
-    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = [zlib.crc32(x.values.to_numpy().astype("<u4").tobytes()) for x in b.column(3)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(own, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return tokens.mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.mapInArrow(decode, f"doc_id long, start long, n_tokens long, {'ids_crc32 long' if digests else 'ids array<int>'}")
 
 
 def op7_token_output(spark, sf_dir: str) -> DataFrame:
@@ -173,4 +169,4 @@ def op7_token_output(spark, sf_dir: str) -> DataFrame:
 
     out = f"{c.shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), 1, out)
-    return with_crc(read_ids(spark, out))
+    return read_ids(spark, out, digests=True)

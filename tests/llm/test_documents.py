@@ -301,6 +301,10 @@ def test_token_output_round_trip(spark, docs, tmp_path):
         if i != 10:
             assert got[i].start == at
         at += len(ids)
+    sums = token_output.read_ids(spark, f"file://{tmp_path}/out", digests=True).collect()
+    crc = lambda t: zlib.crc32(b"".join(x.to_bytes(4, "little") for x in [*plain_ids(WORDS, t), 1]))
+    assert Counter((r.doc_id, r.ids_crc32) for r in sums) == Counter((i, crc(t)) for i, t in TEXTS)
+    assert sorted(r.start for r in sums if r.doc_id == 10) == [got[10].start - 3, got[10].start] or sorted(r.start for r in sums if r.doc_id == 10) == [got[10].start, got[10].start + 3]
 
 
 def test_separators_stay_tokens():
