@@ -20,9 +20,11 @@ SPACE = " \t\n\x0b\x0c\r"
 MEASURES = {"symbol_ratio": 0.02, "dup_line_ratio": 0.34, "repeat_ratio": 0.16, "word_length": 0.5}
 
 
-def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, _n_lines (with words), n_dup_lines and n_repeat_words. Null texts have no words."""
-    t = F.coalesce(F.col(text), F.lit(""))
+def with_measures(docs: DataFrame, carried: list[str]) -> DataFrame:
+    """doc (the carried columns as one, so that none clashes with others), lang, source, n_words, word_chars, n_symbols, n_lines
+    (with words), n_dup_lines and n_repeat_words. Null texts have no words."""
+    docs = docs.select(F.struct(*carried).alias("doc"), "lang", "source", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    t = F.col("text")
     words = F.filter(F.split(t, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     out = docs.withColumn("_words", words)
     n = F.size("_words")
@@ -37,7 +39,7 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
         "_windows": F.when(n >= 6, window).otherwise(F.array().cast("array<bigint>")),
     })
     out = out.drop("_words").withColumns({
-        "_n_lines": F.size("_lines").cast("long"),
+        "n_lines": F.size("_lines").cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "_sorted": F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), F.sort_array(F.arrays_zip(F.col("_windows").alias("h"), F.sequence(F.lit(1), F.greatest(F.size("_windows"), F.lit(1))).alias("i")))),
     })
@@ -47,13 +49,13 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     covered = F.aggregate("_twice", F.struct(F.lit(0).alias("n"), F.lit(-9).alias("last")), lambda s, i: F.struct((s["n"] + F.least(F.lit(5), i - s["last"])).alias("n"), i.alias("last")))
     out = out.withColumn("n_repeat_words", F.coalesce(covered["n"], F.lit(0)).cast("long"))
     # a generator of one row: conditions on the measures stay above it, else Spark would put the expressions into each of them
-    names = ["n_words", "word_chars", "n_symbols", "_n_lines", "n_dup_lines", "n_repeat_words"]
-    return out.select(*docs.columns, F.inline(F.array(F.struct(*names))))
+    names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
+    return out.select("doc", "lang", "source", F.inline(F.array(F.struct(*names))))
 
 
 def _ratios(out: DataFrame) -> DataFrame:
     per = lambda x, y: F.coalesce(F.col(x) / F.nullif(F.col(y), F.lit(0)), F.lit(0.0))
-    return out.withColumns({"symbol_ratio": per("n_symbols", "word_chars"), "dup_line_ratio": per("n_dup_lines", "_n_lines"), "repeat_ratio": per("n_repeat_words", "n_words"), "word_length": per("word_chars", "n_words")})
+    return out.withColumns({"symbol_ratio": per("n_symbols", "word_chars"), "dup_line_ratio": per("n_dup_lines", "n_lines"), "repeat_ratio": per("n_repeat_words", "n_words"), "word_length": per("word_chars", "n_words")})
 
 
 def thresholds(measured: DataFrame, spread: float, least_docs: int, accuracy: int) -> DataFrame:
@@ -62,29 +64,38 @@ def thresholds(measured: DataFrame, spread: float, least_docs: int, accuracy: in
     fence = lambda q, least: q[1] + F.greatest(spread * (q[1] - q[0]), F.lit(least))
     groups = measured.groupBy("lang", "source").agg(F.count("*").alias("n"), *(quartiles(m).alias(m) for m in MEASURES))
     overall = measured.agg(*(quartiles(m).alias(f"all_{m}") for m in MEASURES))
+    # one row for all beside each group
     return groups.join(F.broadcast(overall)).select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *(fence(F.when(F.col("n") >= least_docs, F.col(m)).otherwise(F.col(f"all_{m}")), least).alias(f"max_{m}") for m, least in MEASURES.items()))
 
 
+def _judged(docs: DataFrame, carried: list[str], spread: float, least_docs: int, accuracy: int) -> DataFrame:
+    measured = materialize(_ratios(with_measures(docs, carried)), "measures")  # taken once, for the sketches and for the verdicts
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    fences = thresholds(measured.where(~failed), spread, least_docs, accuracy)
+    out = measured.join(fences, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
+    beyond = " or ".join(f"coalesce({m} > max_{m}, false)" for m in MEASURES)
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~F.expr(beyond))
+
+
+VERDICT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def judge(docs: DataFrame, spread: float = 6.0, least_docs: int = 30, accuracy: int = 10_000) -> DataFrame:
     """All columns of docs and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
     base_failed: fewer than 10 words, or more than a fifth of the words in windows of five words that the text has twice.
     Null texts have no words and fail. Null languages and sources are groups of their own. Repeated rows are judged each;
-    further columns stay, but for those with these names, which are replaced; an empty table gives an empty result."""
-    own = ["n_words", "word_chars", "n_symbols", "_n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *MEASURES]
-    return _judged(_ratios(with_measures(docs.drop(*own))), spread, least_docs, accuracy)
+    further columns stay, whatever their names, but for those named like the verdict's, which are replaced; an empty table
+    gives an empty result."""
+    out = _judged(docs, docs.columns, spread, least_docs, accuracy)
+    return out.select(*(F.col("doc")[x].alias(x) for x in docs.columns if x not in VERDICT), *VERDICT)
 
 
-def _judged(measured: DataFrame, spread: float = 6.0, least_docs: int = 30, accuracy: int = 10_000) -> DataFrame:
-    measured = materialize(measured, "measures")  # taken once, for the sketches and for the verdicts
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    fences = thresholds(measured.where(~failed), spread, least_docs, accuracy)
-    out = measured.join(fences, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
-    beyond = " or ".join(f"coalesce({m} > max_{m}, false)" for m in MEASURES)
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~F.expr(beyond)).drop("g_lang", "g_source", "_n_lines", *MEASURES, *(f"max_{m}" for m in MEASURES))
+def kept_rows(docs: DataFrame, spread: float = 6.0, least_docs: int = 30, accuracy: int = 10_000) -> DataFrame:
+    """The rows that judge() keeps, with the columns of docs as they are, whatever their names."""
+    return _judged(docs, docs.columns, spread, least_docs, accuracy).where("kept").select(*(F.col("doc")[x].alias(x) for x in docs.columns))
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    out = _judged(_ratios(with_measures(docs)).drop("text"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return _judged(docs, ["doc_id"], 6.0, 30, 10_000).select("doc.doc_id", *VERDICT)

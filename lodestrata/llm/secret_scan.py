@@ -1,15 +1,20 @@
 """Secret scans with ownership over the whole corpus.
 
-Every text is searched once for assignments, access keys, long hexadecimal strings and further candidates (known credential
-formats). Hashes of all candidates are aggregated over the corpus by distinct texts, repositories and owners: what a good part
-of all owners and repositories has, in different texts, is an example or a public constant; anything else looks live. Only candidates' hashes and spans are shuffled, never
-texts, and the aggregates combine in the tasks first, so that an example in a third of all texts is one row from each task
-and repository."""
+Every text is searched once for the base kinds (assignments to telling names, access keys, long hexadecimal strings) and for
+further candidates of any name: known credential formats and strings as random as keys are. Hashes of all candidates are
+aggregated over the corpus by distinct texts, repositories and owners: what a good part of all owners and repositories has,
+in different texts, is an example or a public constant; anything else looks live. So ownership decides which of the further
+candidates become spans, and which of the base spans are redacted.
+
+Only candidates' hashes and spans are shuffled, never texts. The counts combine in the tasks first, and go back to each
+occurrence by hash and part, so that an example in a third of all texts is spread over PARTS tasks."""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from math import log2
 
 import pyarrow as pa
 import xxhash
@@ -27,17 +32,39 @@ _HEX_LONG = re.compile(r"[0-9a-f]{24}")
 _FORMATS = re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----[A-Za-z0-9+/=\s]{32,}-----END (?:[A-Z]+ )?PRIVATE KEY-----")
 
 
+#: Strings that may be keys: of this length, with letters in both cases and digits, and so many bits a character.
+_RANDOM = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+_DIGIT = re.compile(r"[0-9]")
+LEAST_BITS, LONGEST = 3.5, 512
+
+
+def randomness(text: str) -> float:
+    """Bits a character, by how often each one occurs."""
+    n = len(text)
+    return -sum(k / n * log2(k / n) for k in Counter(text).values())
+
+
+def _as_random_as_keys(text: str) -> bool:
+    return len(text) <= LONGEST and len(_DIGIT.findall(text)) >= 2 and text.lower() != text != text.upper() and randomness(text) >= LEAST_BITS
+
+
 def find(text: str) -> list[tuple[int, int, int, str]]:
-    """Start, kind (its place in KINDS), end and the secret itself, in order."""
+    """Start, kind (its place in KINDS), end and the secret itself, in order. Further candidates overlap no base span and no
+    other one."""
     out = [(m.start(), 0, m.end(), m[2]) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
         out += [(m.start(), 1, m.end(), m[0]) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     if _HEX_LONG.search(text):
         out += [(m.start(), 2, m.end(), m[0]) for m in _HEX.finditer(text) if m.end() - m.start() >= 24]
-    out += [(m.start(), 3, m.end(), m[0]) for m in _FORMATS.finditer(text)]
+    more = [(m.start(), 3, m.end(), m[0]) for m in _FORMATS.finditer(text)]
+    more += [(m.start(), 3, m.end(), m[0]) for m in _RANDOM.finditer(text) if _as_random_as_keys(m[0])]
+    for x in more:
+        if not any(x[0] < y[2] and y[0] < x[2] for y in out):
+            out.append(x)
     return sorted(out)
 
 
+PARTS = 32  # parts of a hash that very many occurrences may have
 SPAN = "struct<start:int,kind:int,end:int,hash:bigint>"
 
 
@@ -63,7 +90,9 @@ def scan(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = (
     all_owners, all_repositories = found.agg(F.approx_count_distinct("owner", 0.02), F.approx_count_distinct("repository", 0.02)).first()
     common = lambda n, most, total: F.col(n) > max(most, total * percent // 100)
     live = ~(common("n_owners", most_owners, all_owners) & common("n_repositories", most_repositories, all_repositories))
-    rated = one.select("doc_id", "key", "s.*").distinct().join(counts, "hash").withColumn("live", live).where(f"live or kind < {KINDS.index('owned')}")
+    part = F.pmod(F.xxhash64("doc_id", "key"), F.lit(PARTS)).cast("int")
+    counts = counts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    rated = one.select("doc_id", "key", "s.*").distinct().withColumn("part", part).join(counts, ["hash", "part"]).withColumn("live", live).where(f"live or kind < {KINDS.index('owned')}")
     rated = rated.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "n_owners", "n_repositories", "live"))).alias("spans"))
     rated = rated.withColumnsRenamed({"doc_id": "r_id", "key": "r_key"})
     out = found.select("doc_id", "key").join(rated, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("key") == F.col("r_key")), "left")
@@ -75,17 +104,20 @@ def redact(docs: DataFrame, placeholder: str = "[secret]", **options) -> DataFra
     row stays; columns and their order stay."""
     live = scan(docs, **options).select("doc_id", "key", F.filter("spans", lambda s: s["live"]).alias("cut_spans")).where("size(cut_spans) > 0").distinct()
     live = live.withColumnsRenamed({"doc_id": "cut_id", "key": "cut_key"})
-    joined = docs.withColumn("text_key", c.text_key()).join(live, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("text_key") == F.col("cut_key")), "left")
+    # the row as one column, so that no name of docs clashes with another one
+    joined = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text", c.text_key().alias("text_key"))
+    joined = joined.join(live, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("text_key") == F.col("cut_key")), "left")
     # spans that overlap are one; the text between the spans is kept, and what follows the last one
     state = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
     added = lambda s, x: F.when(x["start"] < s["at"], s["text"]).otherwise(F.concat(s["text"], F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"]), F.lit(placeholder)))
     step = lambda s, x: F.struct(added(s, x).alias("text"), F.greatest(s["at"], x["end"]).alias("at"))
     done = lambda s: F.concat(s["text"], F.substring(F.col("text"), s["at"] + 1, F.length("text")))
     text = F.when(F.col("cut_spans").isNull(), F.col("text")).otherwise(F.aggregate("cut_spans", state, step, done))
-    out = joined.withColumn("text", text)
+    joined = joined.withColumn("text", text)
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("cut_spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("cut_spans").isNull(), F.col("doc.n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*(new[x].alias(x) if x in new else F.col("doc")[x].alias(x) for x in docs.columns))
 
 
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
