@@ -18,8 +18,9 @@ def row_key(name: str) -> Column:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality_rules.judge(docs).where("kept").select(*docs.columns)
+    """Documents that the quality rules keep. Null texts have no words and go; repeated rows are judged each; null languages
+    and sources are groups of their own; columns stay, whatever their names; an empty table stays empty."""
+    return quality_rules.kept_rows(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

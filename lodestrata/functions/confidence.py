@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,8 +19,8 @@ def distinct_signals(signals: Column) -> Column:
 
 def score(signals: Column) -> Column:
     """Sum of the distinct signals' weights (unknown ones weigh nothing), within 0 and 1."""
-    table = F.create_map(*(F.lit(x) for p in WEIGHTS.items() for x in p))
-    total = F.aggregate(distinct_signals(signals), F.lit(0), lambda s, x: s + F.coalesce(table[x], F.lit(0)))
+    has = lambda s: F.coalesce(F.array_contains(signals, s), F.lit(False))
+    total = reduce(Column.__add__, (F.when(has(s), w).otherwise(0) for s, w in WEIGHTS.items()))
     return (F.least(F.greatest(total, F.lit(0)), F.lit(100)) / 100).cast("decimal(3,2)")
 
 

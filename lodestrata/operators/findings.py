@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import confidence, risk
 
-SORTABLE = ("id", "file", "line", "algorithm", "risk_tier", "confidence_score")
+# fixed values: columns that a page may be sorted by (id where none is named), ranks of tiers
+SORTABLE = ("risk_tier", "algorithm", "primitive", "language", "file", "line")
 TIER_RANK = {"CRITICAL": 0, "HIGH": 1, "MEDIUM": 2, "LOW": 3}
 
 
@@ -28,32 +31,35 @@ def scan_summary(findings: DataFrame, *by: str) -> DataFrame:
     return findings.groupBy(*by).agg(*tier_counts(), *(F.count_if(F.col("confidence_band") == b).alias(b) for b in confidence.RANKS))
 
 
-def select_findings(findings: DataFrame, *, tiers=(), languages=(), algorithms=(), min_band: str | None = None, search: str | None = None) -> DataFrame:
+def select_findings(findings: DataFrame, *, tiers=(), primitives=(), languages=(), algorithms=(), min_band: str | None = None, search: str | None = None) -> DataFrame:
     """OR within each list, AND across; empty lists do not filter. A null band passes no min_band."""
     for tier in tiers:
         if tier.strip().upper() not in risk.TIERS:
             raise ValueError(f"no such tier: {tier}")
-    for column, values, change in (("risk_tier", tiers, str.upper), ("language", languages, str), ("algorithm", algorithms, str)):
+    for column, values, change in (("risk_tier", tiers, str.upper), ("primitive", primitives, str), ("language", languages, str), ("algorithm", algorithms, str)):
         if wanted := [change(v.strip()) for v in values if v.strip()]:
             findings = findings.where(F.col(column).isin(wanted))
     if min_band:
-        findings = findings.where(F.col("confidence_band").isin([b for b, r in confidence.RANKS.items() if r >= confidence.RANKS[min_band]]))
+        least = confidence.RANKS.get(min_band.strip().upper())
+        if least is None:
+            raise ValueError(f"no such band: {min_band}")
+        findings = findings.where(F.col("confidence_band").isin([b for b, r in confidence.RANKS.items() if r >= least]))
     if search:
         findings = findings.where(F.contains(F.lower(F.coalesce("file", F.lit(""))), F.lit(search.lower())) | F.contains(F.lower(F.coalesce("algorithm", F.lit(""))), F.lit(search.lower())))
     return findings
 
 
-def page(findings: DataFrame, sort_by: str = "id", descending: bool = False, limit: int = 50, offset: int = 0) -> DataFrame:
+def page(findings: DataFrame, sort_by: str | None = None, descending: bool = False, limit: int = 50, offset: int = 0) -> DataFrame:
     """One page. Ties are in order of id, nulls come last going up and first going down."""
-    if sort_by not in SORTABLE or not 1 <= limit <= 200 or offset < 0:
+    if sort_by not in (None, *SORTABLE) or not 1 <= limit <= 200 or offset < 0:
         raise ValueError("sort_by, limit or offset is out of range")
-    key = F.col(sort_by).desc_nulls_first() if descending else F.col(sort_by).asc_nulls_last()
+    name = sort_by or "id"
+    key = F.col(name).desc_nulls_first() if descending else F.col(name).asc_nulls_last()
     return findings.orderBy(key, F.col("id").asc()).offset(offset).limit(limit)
 
 
 def severity_rank(tier: str = "risk_tier") -> Column:
-    table = F.create_map(*(F.lit(x) for p in TIER_RANK.items() for x in p))
-    return F.coalesce(table[F.col(tier)], F.lit(4))
+    return reduce(lambda c, x: c.when(F.col(tier) == x[0], x[1]), TIER_RANK.items(), F).otherwise(4)
 
 
 def gate(findings: DataFrame, fail_on: str, min_band: str = "UNVERIFIED", *by: str) -> DataFrame:
@@ -74,8 +80,8 @@ def new_only(incoming: DataFrame, known: DataFrame, key: str, order: list[str])
 
 
 def remediation(findings: DataFrame) -> DataFrame:
-    table = F.create_map(*(F.lit(x) for p in risk.FIXES.items() for x in p))
-    return findings.withColumn("fix", F.coalesce(table[F.col("algorithm")], F.lit(risk.NO_FIX)))
+    fix = reduce(lambda c, x: c.when(F.col("algorithm") == x[0], x[1]), risk.FIXES.items(), F)
+    return findings.withColumn("fix", fix.otherwise(risk.NO_FIX))
 
 
 def merged_layers(entries: DataFrame) -> DataFrame:

@@ -6,35 +6,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: All white space, where Spark's trim() takes spaces only.
+_AROUND = "^\\s+|\\s+$"
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, _AROUND, "")
+
+
 def nginx_directives(files: DataFrame) -> DataFrame:
-    """path, lineno, directive, value of `text`, a line each; blank lines, comments and braces are none."""
-    lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("n", "line")).withColumn("line", F.trim("line"))
-    lines = lines.where("line <> '' and not startswith(line, '#') and not startswith(line, '{') and not startswith(line, '}')")
-    bare = F.trim(F.regexp_replace("line", ";$", ""))
-    return lines.select("path", (F.col("n") + 1).alias("lineno"), F.lower(F.regexp_extract(bare, "^(\\S+)\\s+(.+)$", 1)).alias("directive"), F.regexp_extract(bare, "^(\\S+)\\s+(.+)$", 2).alias("value")).where("value <> ''")
+    """path, lineno, directive, value of `text`, a line each; blank lines, comments and lone braces are none."""
+    lines = files.select("path", F.posexplode(F.split("text", "\\r\\n|\\n|\\r")).alias("n", "line")).withColumn("line", trimmed(F.col("line")))
+    lines = lines.where("line not in ('', '{', '}') and not startswith(line, '#')")
+    bare = trimmed(F.regexp_replace("line", ";$", ""))
+    part = lambda k: F.regexp_extract(bare, "(?s)^(\\S+)\\s+(.+)$", k)
+    return lines.select("path", (F.col("n") + 1).alias("lineno"), F.lower(part(1)).alias("directive"), part(2).alias("value")).where("value <> ''")
 
 
 def exact_pin(spec: Column) -> Column:
     """The version of `===1.2` or `==1.2` without a wildcard, else null."""
-    version = F.trim(F.regexp_replace(spec, "^={2,3}", ""))
+    version = F.regexp_replace(spec, "^={2,3}", "")
     return F.when(spec.startswith("==") & ~version.contains("*"), version)
 
 
 def package_name(name: Column, ecosystem: Column) -> Column:
-    low = F.trim(F.lower(name))
-    return F.when(ecosystem == "pypi", F.regexp_replace(low, "[-_.]+", "-")).otherwise(low)
+    """Names in lower case; of PyPI's, runs of `-_.` are one dash."""
+    return F.when(ecosystem == "pypi", F.regexp_replace(F.lower(name), "[-_.]+", "-")).otherwise(F.lower(name))
 
 
 def requirements(files: DataFrame) -> DataFrame:
-    """path, line, name, version of requirement files. Options, paths and bare addresses are no requirements; continued lines
-    belong to the first."""
-    joined = files.select("path", F.regexp_replace("text", "\\\\\\r?\\n", "\u0001").alias("text"))
-    lines = joined.select("path", F.posexplode(F.split("text", "\\r?\\n")).alias("n", "raw"), F.split("text", "\\r?\\n").alias("all"))
+    """path, line, name, version, declared of requirement files. Options, paths and bare addresses are no requirements; continued
+    lines belong to the first and are joined without a space."""
+    text = F.regexp_replace(F.regexp_replace("text", "\\r\\n?", "\n"), "\\\\[^\\S\\n]*\\n[^\\S\\n]*", "\u0001")
+    lines = files.select("path", F.posexplode(F.split(text, "\n")).alias("n", "raw"), F.split(text, "\n").alias("all"))
     before = F.aggregate(F.slice("all", 1, F.col("n")), F.lit(0), lambda s, x: s + F.length(x) - F.length(F.replace(x, F.lit("\u0001"), F.lit(""))))
-    line = F.regexp_replace(F.replace("raw", F.lit("\u0001"), F.lit(" ")), "(^|[ \\t])#.*$", "")
-    line = F.trim(F.regexp_replace(line, "\\s--hash[= ]\\S+", ""))
-    out = lines.select("path", (F.col("n") + 1 + before).cast("int").alias("line"), line.alias("spec")).where("spec <> '' and not spec rlike '^[-./]' and (not contains(spec, '://') or spec rlike '^[A-Za-z0-9._-]+(\\\\[[^]]*\\\\])? *@')")
-    bare = F.trim(F.regexp_extract("spec", "^([^;]*)", 1))
-    name = F.regexp_extract(bare, "^([A-Za-z0-9][A-Za-z0-9._-]*)", 1)
-    rest = F.trim(F.regexp_replace(bare, "^[A-Za-z0-9][A-Za-z0-9._-]*\\s*(\\[[^\\]]*\\])?", ""))
-    return out.select("path", "line", name.alias("name"), exact_pin(rest).alias("version")).where("name <> ''")
+    line = trimmed(F.replace("raw", F.lit("\u0001"), F.lit("")))
+    line = trimmed(F.regexp_replace(line, "(^#|[ \\t]#).*$", ""))
+    out = lines.select("path", (F.col("n") + 1 + before).cast("int").alias("line"), line.alias("spec")).where("spec <> '' and not spec rlike '^[-./]'")
+    address = F.contains("spec", F.lit("://"))
+    out = out.where(~address | F.contains("spec", F.lit(" @ ")))
+    name, spec = requirement_parts(trimmed(F.split("spec", "--hash")[0]))
+    name = F.when(address, F.split(trimmed(F.split("spec", " @ ")[0]), "\\s+")[0]).otherwise(name)
+    spec = F.when(address, "").otherwise(spec)
+    return out.select("path", "line", name.alias("name"), exact_pin(spec).alias("version"), F.concat(name, spec).alias("declared")).where("name <> ''")
+
+
+def requirement_parts(requirement: Column) -> tuple[Column, Column]:
+    """Name, and version specifiers without spaces, of a requirement; markers and extras are left out."""
+    bare = trimmed(F.split(requirement, ";")[0])
+    part = lambda k: F.regexp_extract(bare, "(?s)^([\\p{L}\\p{N}._-]*)(?:\\[[^\\]]*\\]?)?(.*)$", k)
+    return part(1), F.replace(part(2), F.lit(" "), F.lit(""))

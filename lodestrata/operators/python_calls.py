@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,25 +12,49 @@ from pyspark.sql import functions as F
 
 from ..functions import confidence
 
-# fixed values: algorithm, primitive, library and its calls
+# fixed values: call, algorithm, primitive, library
 CALLS = [
-    ("hash", "hashlib", {"MD5": "hashlib.md5", "SHA-1": "hashlib.sha1", "SHA-256": "hashlib.sha256", "SHA-384": "hashlib.sha384", "SHA-512": "hashlib.sha512"}),
-    ("hash", "PyCryptodome", {"MD5": "MD5.new", "SHA-1": "SHA1.new", "SHA-224": "SHA224.new", "SHA-256": "SHA256.new", "SHA-384": "SHA384.new", "SHA-512": "SHA512.new"}),
-    ("encrypt", "PyCryptodome", {"DES": "DES.new", "3DES": "DES3.new", "RC4": "ARC4.new", "AES": "AES.new"}),
-    ("mac", "PyCryptodome", {"HMAC": "HMAC.new"}),
-    ("asymmetric-keygen", "PyCryptodome", {"RSA": "RSA.generate"}),
-    ("asymmetric-keygen", "cryptography", {"RSA": "rsa.generate_private_key", "ECC": "ec.generate_private_key", "DSA": "dsa.generate_private_key"}),
-    ("hash", "cryptography", {"MD5": "hashes.MD5", "SHA-1": "hashes.SHA1", "SHA-256": "hashes.SHA256", "SHA-384": "hashes.SHA384", "SHA-512": "hashes.SHA512"}),
-    ("encrypt", "cryptography", {"RC4": "algorithms.ARC4", "3DES": "algorithms.TripleDES", "AES": "algorithms.AES"}),
-    ("protocol", "ssl", {"TLS": "ssl.SSLContext ssl.create_default_context ssl.wrap_socket"}),
+    ("hashlib.md5", "MD5", "hash", "hashlib"),
+    ("hashlib.sha1", "SHA-1", "hash", "hashlib"),
+    ("hashlib.sha256", "SHA-256", "hash", "hashlib"),
+    ("hashlib.sha384", "SHA-384", "hash", "hashlib"),
+    ("hashlib.sha512", "SHA-512", "hash", "hashlib"),
+    ("MD5.new", "MD5", "hash", "PyCryptodome"),
+    ("SHA1.new", "SHA-1", "hash", "PyCryptodome"),
+    ("SHA224.new", "SHA-224", "hash", "PyCryptodome"),
+    ("SHA256.new", "SHA-256", "hash", "PyCryptodome"),
+    ("SHA384.new", "SHA-384", "hash", "PyCryptodome"),
+    ("SHA512.new", "SHA-512", "hash", "PyCryptodome"),
+    ("DES.new", "DES", "encrypt", "PyCryptodome"),
+    ("DES3.new", "3DES", "encrypt", "PyCryptodome"),
+    ("ARC4.new", "RC4", "encrypt", "PyCryptodome"),
+    ("AES.new", "AES", "encrypt", "PyCryptodome"),
+    ("HMAC.new", "HMAC", "mac", "PyCryptodome"),
+    ("RSA.generate", "RSA", "asymmetric-keygen", "PyCryptodome"),
+    ("rsa.generate_private_key", "RSA", "asymmetric-keygen", "cryptography"),
+    ("ec.generate_private_key", "ECC", "asymmetric-keygen", "cryptography"),
+    ("dsa.generate_private_key", "DSA", "asymmetric-keygen", "cryptography"),
+    ("hashes.MD5", "MD5", "hash", "cryptography"),
+    ("hashes.SHA1", "SHA-1", "hash", "cryptography"),
+    ("hashes.SHA256", "SHA-256", "hash", "cryptography"),
+    ("hashes.SHA384", "SHA-384", "hash", "cryptography"),
+    ("hashes.SHA512", "SHA-512", "hash", "cryptography"),
+    ("algorithms.ARC4", "RC4", "encrypt", "cryptography"),
+    ("algorithms.TripleDES", "3DES", "encrypt", "cryptography"),
+    ("algorithms.AES", "AES", "encrypt", "cryptography"),
+    ("ssl.SSLContext", "TLS", "protocol", "ssl"),
+    ("ssl.create_default_context", "TLS", "protocol", "ssl"),
+    ("ssl.wrap_socket", "TLS", "protocol", "ssl"),
 ]
+# fixed values: names of digests, weak algorithms
 DIGESTS = {"md5": "MD5", "sha1": "SHA-1", "sha224": "SHA-224", "sha256": "SHA-256", "sha384": "SHA-384", "sha512": "SHA-512"}
 WEAK = ("MD5", "SHA-1", "DES", "3DES", "RC4")
 _SITES = "file string, line int, ordinal int, candidates array<string>, digest string, key_size int, alias_traced boolean, snippet string"
 
 
 def call_sites(source: str) -> list[tuple]:
-    """Calls whose root is an import: line, names to try (whole, last three, last two), digest argument, key size, renamed, text."""
+    """Calls whose root is an import: line, names to try (whole, last three, last two), digest argument, key size, whether the import's target
+    differs from its local name, text."""
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError):
@@ -37,9 +62,9 @@ def call_sites(source: str) -> list[tuple]:
     names: dict[str, str] = {}
     for node in ast.walk(tree):
         if isinstance(node, ast.Import):
-            names.update((a.asname or a.name.split(".")[0], a.name if a.asname else a.name.split(".")[0]) for a in node.names)
-        elif isinstance(node, ast.ImportFrom) and node.module:
-            names.update((a.asname or a.name, f"{node.module}.{a.name}") for a in node.names)
+            names.update((a.asname or a.name.split(".")[0], a.name) for a in node.names)
+        elif isinstance(node, ast.ImportFrom):
+            names.update((a.asname or a.name, f"{node.module or ''}.{a.name}") for a in node.names)
     out = []
     for node in (n for n in ast.walk(tree) if isinstance(n, ast.Call)):
         parts, at = [], node.func
@@ -52,9 +77,11 @@ def call_sites(source: str) -> list[tuple]:
         tries = list(dict.fromkeys(".".join(dotted[-k:]) for k in (len(dotted), 3, 2) if k <= len(dotted)))
         literal = lambda kind: next((a.value for a in node.args if isinstance(a, ast.Constant) and type(a.value) is kind), None)
         named = {k.arg: k.value.value for k in node.keywords if isinstance(k.value, ast.Constant)}
-        digest = literal(str) or (named.get("name") if isinstance(named.get("name"), str) else None)
+        third = node.args[2] if len(node.args) > 2 else None
+        mac = third.value if isinstance(third, ast.Constant) and isinstance(third.value, str) else named.get("digestmod")
+        digest = mac if "hmac.new" in tries else literal(str)
         size = next((named[k] for k in ("key_size", "bits") if type(named.get(k)) is int), literal(int))
-        out.append((node.lineno, tries, digest, size, names[at.id].split(".")[-1] != at.id, ast.unparse(node)[:500]))
+        out.append((node.lineno, tries, digest if isinstance(digest, str) else None, size, names[at.id] != at.id, ast.unparse(node)[:500]))
     return out
 
 
@@ -69,14 +96,14 @@ def python_findings(files: DataFrame) -> DataFrame:
             yield out.astype({"key_size": "Int32"})
 
     calls = files.where("ext = '.py'").select("rel_path", "content").mapInPandas(sites, _SITES)
-    rules = [(call, alg, prim, lib) for prim, lib, known in CALLS for alg, some in known.items() for call in some.split()]
-    rules = F.broadcast(files.sparkSession.createDataFrame(rules, "name string, algorithm string, primitive string, library string"))
+    rules = F.broadcast(files.sparkSession.createDataFrame(CALLS, "name string, algorithm string, primitive string, library string"))
     tried = calls.select("file", "line", "ordinal", F.posexplode("candidates").alias("pos", "name")).join(rules, "name")
     best = tried.groupBy("file", "line", "ordinal").agg(F.min_by(F.struct("algorithm", "primitive", "library"), "pos").alias("rule"))
-    table = F.create_map(*(F.lit(x) for p in DIGESTS.items() for x in p))
-    named = F.when(F.arrays_overlap("candidates", F.array(F.lit("hashlib.new"), F.lit("hmac.new"))), table[F.lower("digest")])
-    out = calls.join(best, ["file", "line", "ordinal"], "left").withColumn("algorithm", F.coalesce("rule.algorithm", named)).where("algorithm is not null")
+    named = reduce(lambda c, x: c.when(F.lower("digest") == x[0], x[1]), DIGESTS.items(), F)
+    of = lambda name: F.array_contains("candidates", name)
+    out = calls.join(best, ["file", "line", "ordinal"], "left").withColumn("algorithm", F.coalesce("rule.algorithm", F.when(of("hashlib.new") | of("hmac.new"), named))).where("algorithm is not null")
+    mac = F.col("rule").isNull() & of("hmac.new")
     sized = F.when(F.col("algorithm").isin("RSA", "ECC", "DSA"), F.col("key_size"))
     signals = F.array_compact(F.array(*map(F.lit, ("import_resolved", "call_site_matched", "expected_module_confirmed", "literal_algorithm_arg")), F.when(F.col("alias_traced"), "alias_traced"), F.when(sized.isNotNull(), "key_size_extracted")))
-    out = out.select("file", "line", F.col("snippet").alias("matched_call"), F.coalesce("rule.library", F.lit("hashlib")).alias("library"), "algorithm", F.coalesce("rule.primitive", F.lit("hash")).alias("primitive"), F.lit("python").alias("language"), F.col("algorithm").isin(*WEAK).alias("weak_by_default"), sized.alias("key_size"), confidence.distinct_signals(signals).alias("confidence_signals"))
+    out = out.select("file", "line", F.col("snippet").alias("matched_call"), F.when(mac, "hmac").otherwise(F.coalesce("rule.library", F.lit("hashlib"))).alias("library"), "algorithm", F.when(mac, "mac").otherwise(F.coalesce("rule.primitive", F.lit("hash"))).alias("primitive"), F.lit("python").alias("language"), F.col("algorithm").isin(*WEAK).alias("weak_by_default"), sized.alias("key_size"), confidence.distinct_signals(signals).alias("confidence_signals"))
     return out.withColumn("confidence_score", confidence.score(F.col("confidence_signals"))).withColumn("confidence_band", confidence.band(F.col("confidence_score")))

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import confidence
+from .tables_sql import SCORE_SQL
 
 NAMES = ["MD5", "sha1", "SHA-256", "DES", "3des", "RC4", "aes-256-gcm", "RSA", "ec", "DSA", "TLSv1.0", "tls1.2"]
 SIZES = [None, 1024, 2048, 3072, None]
@@ -56,21 +56,19 @@ def layer_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select((F.col("l_orderkey") % 100).alias("image"), F.col("l_linenumber").cast("int").alias("layer_index"), path.alias("path"), kind.alias("kind"))
 
 
-_LIST = lambda v: "[" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x) for x in v) + "]"
-_SUM = " + ".join(f"CASE WHEN {f'(l_partkey + l_linenumber) % {b} <> 0' if b > 1 else 'true'} THEN {confidence.WEIGHTS[s]} ELSE 0 END" for s, b in zip(SIGNALS, BITS))
 FINDINGS_SQL = f"""raw AS (
-  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INT)) AS id, l_orderkey AS scan_id, CAST(l_linenumber AS INT) AS line,
-    {_LIST(NAMES)}[l_partkey % {len(NAMES)} + 1] AS algorithm, CAST({_LIST(SIZES)}[l_suppkey % {len(SIZES)} + 1] AS INT) AS key_size,
-    {_LIST(FOLDERS)}[l_suppkey % {len(FOLDERS)} + 1] || '/f' || (l_partkey % 7) || '.py' AS file, {_LIST(LANGUAGES)}[l_partkey % {len(LANGUAGES)} + 1] AS language,
-    CASE WHEN CAST(l_quantity AS INT) % 3 > 0 THEN CAST(CAST(l_quantity AS INT) % 25 AS DOUBLE) END AS supplied_shelf_life,
-    greatest(0, least(100, {_SUM})) AS hundredths FROM lineitem
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INT)) AS id, l_orderkey AS scan_id, CAST(l_linenumber AS INT) AS line, l_partkey + l_linenumber AS k,
+    ['MD5', 'sha1', 'SHA-256', 'DES', '3des', 'RC4', 'aes-256-gcm', 'RSA', 'ec', 'DSA', 'TLSv1.0', 'tls1.2'][l_partkey % 12 + 1] AS algorithm, CAST([NULL, 1024, 2048, 3072, NULL][l_suppkey % 5 + 1] AS INT) AS key_size,
+    ['src/auth', 'src/api', 'tests', 'examples/demo', 'lib/core', 'app'][l_suppkey % 6 + 1] || '/f' || (l_partkey % 7) || '.py' AS file, ['python', 'java', 'javascript'][l_partkey % 3 + 1] AS language,
+    CASE WHEN CAST(l_quantity AS INT) % 3 > 0 THEN CAST(CAST(l_quantity AS INT) % 25 AS DOUBLE) END AS supplied_shelf_life FROM lineitem
+), weighed AS (SELECT *, greatest(0, least(100, {SCORE_SQL})) AS hundredths FROM raw
 ), findings AS (
-  SELECT * EXCLUDE (hundredths), CAST(hundredths / 100.0 AS DECIMAL(3, 2)) AS confidence_score,
-    CASE WHEN hundredths >= 85 THEN 'VERIFIED' WHEN hundredths >= 60 THEN 'PROBABLE' ELSE 'UNVERIFIED' END AS confidence_band FROM raw
+  SELECT * EXCLUDE (hundredths, k), CAST(hundredths / 100.0 AS DECIMAL(3, 2)) AS confidence_score,
+    CASE WHEN hundredths >= 85 THEN 'VERIFIED' WHEN hundredths >= 60 THEN 'PROBABLE' ELSE 'UNVERIFIED' END AS confidence_band FROM weighed
 )"""
 LAYERS_SQL = """kinds AS (
   SELECT l_orderkey % 100 AS image, CAST(l_linenumber AS INT) AS layer_index, l_partkey AS p,
-    CASE WHEN l_returnflag = 'R' THEN CASE WHEN l_partkey % 2 = 0 THEN 'WHITEOUT' ELSE 'OPAQUE' END ELSE 'FILE' END AS kind FROM lineitem WHERE l_orderkey % 5 > 0
+    CASE WHEN l_returnflag = 'R' THEN CASE WHEN l_partkey % 2 = 0 THEN 'WHITEOUT' ELSE 'OPAQUE' END ELSE 'FILE' END AS kind FROM lineitem
 ), entries AS (
   SELECT image, layer_index, kind, CASE WHEN kind = 'OPAQUE' OR p % 4 = 0 THEN 'd' || (p % 3) ELSE 'd' || (p % 3) || '/f' || (p % 4) END AS path FROM kinds
 )"""

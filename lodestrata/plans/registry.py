@@ -10,6 +10,7 @@ from ..functions import risk
 from ..operators import findings as ops
 from ..operators import manifests
 from . import derive
+from .tables_sql import BAND_SQL, FIX_SQL, RANK_SQL, SCORED_SQL, TIER_SQL
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -23,29 +24,7 @@ def query(sql: str):
     return add
 
 
-def _quote(x) -> str:
-    return "NULL" if x is None else str(x).lower() if isinstance(x, bool) else f"'{x}'" if isinstance(x, str) else str(x)
-
-
-_RULES = ", ".join("(" + ", ".join(map(_quote, r)) + ")" for r in risk.RULES)
-_ALIAS = ", ".join(f"('{k}', '{name}')" for name, known in risk.ALIASES.items() for k in known.split())
-_PARTS = lambda parts: "[" + ", ".join(f"'{p}'" for p in parts) + "]"
-SCORED = f"""{derive.FINDINGS_SQL}, rules(rule_algorithm, rule_tier, rule_broken, rule_quantum, replacement, kind, days, shelf) AS (VALUES {_RULES}), alias(k, name) AS (VALUES {_ALIAS}),
-named AS (SELECT f.*, coalesce(a.name, upper(trim(f.algorithm))) AS canonical_algorithm FROM findings f LEFT JOIN alias a ON a.k = lower(trim(f.algorithm))),
-joined AS (SELECT n.*, r.*, coalesce(rule_quantum, false) AS quantum_vulnerable, coalesce(canonical_algorithm = 'RSA' AND key_size < 2048, false) AS small,
-  coalesce(canonical_algorithm = 'RSA' AND key_size = 2048, false) AS exact, CASE WHEN supplied_shelf_life >= 0 THEN supplied_shelf_life ELSE shelf END AS data_shelf_life_years
-  FROM named n LEFT JOIN rules r ON canonical_algorithm = rule_algorithm),
-urgency AS (SELECT *, quantum_vulnerable AND NOT small AND NOT exact AND rule_tier = 'HIGH' AND supplied_shelf_life IS NOT NULL AND coalesce(data_shelf_life_years + days / 365.0 > 12, false) AS urgent0 FROM joined),
-scored AS (SELECT * EXCLUDE (urgent0), coalesce(urgent0, false) AS urgent, CASE WHEN small THEN 'CRITICAL' WHEN exact THEN 'MEDIUM' ELSE coalesce(rule_tier, 'UNSCORED') END AS risk_tier,
-  small OR coalesce(rule_broken, false) AS classical_broken,
-  CASE WHEN NOT quantum_vulnerable THEN 'NOT_APPLICABLE' WHEN supplied_shelf_life IS NULL THEN 'UNKNOWN' WHEN urgent0 THEN 'HIGH' ELSE 'ASSESSMENT_REQUIRED' END AS hndl_exposure,
-  replacement AS recommended_replacement, kind AS recommendation_type, CAST(days AS INT) AS migration_effort_days,
-  CASE WHEN regexp_matches(lower(file), '{risk.CRITICAL_PATH}') THEN 'CRITICAL' WHEN regexp_matches(lower(file), '{risk.HIGH_PATH}') THEN 'HIGH' ELSE 'MEDIUM' END AS criticality,
-  CASE WHEN list_has_any(string_split(lower(file), '/'), {_PARTS(risk.TEST_PARTS)}) THEN 'TEST_ONLY' WHEN list_has_any(string_split(lower(file), '/'), {_PARTS(risk.DEMO_PARTS)}) THEN 'DEMO_ONLY' ELSE 'PRODUCTION' END AS source_context
-  FROM urgency)"""
-TIER_SQL = "count(*) AS total, " + ", ".join(f"count(*) FILTER (risk_tier = '{t}') AS \"{t}\"" for t in (*risk.TIERS, "UNSCORED"))
-BAND_SQL = ", ".join(f"count(*) FILTER (confidence_band = '{b}') AS \"{b}\"" for b in ("VERIFIED", "PROBABLE", "UNVERIFIED"))
-RANK_SQL = "CASE risk_tier WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 ELSE 4 END"
+SCORED = f"{derive.FINDINGS_SQL}, {SCORED_SQL}"
 
 
 def scored(spark, d: str) -> DataFrame:
@@ -69,7 +48,7 @@ def confidence_of_findings(spark, d):
     return derive.findings(spark, d).select("id", "scan_id", "line", "confidence_score", "confidence_band", legacy(F.col("confidence_band")).alias("confidence"))
 
 
-_SCORED_COLS = "id, canonical_algorithm, key_size, risk_tier, classical_broken, quantum_vulnerable, urgent, hndl_exposure, data_shelf_life_years, recommended_replacement, recommendation_type, migration_effort_days, criticality, source_context"
+_SCORED_COLS = "id, canonical_algorithm, key_size, risk_tier, risk_reason, quantum_threat_horizon_years, risk_model_version, classical_broken, quantum_vulnerable, urgent, hndl_exposure, data_shelf_life_years, recommended_replacement, recommendation_type, migration_effort_days, criticality, source_context"
 
 
 @query(f"WITH {SCORED} SELECT {_SCORED_COLS} FROM scored")
@@ -103,9 +82,9 @@ def latest_scan_by_repository(spark, d):
     return derive.scans(spark, d).groupBy("repo_id").agg(F.max_by(F.struct("scan_id", "status"), F.struct("started_at", "scan_id")).alias("s")).select("repo_id", "s.*")
 
 
-@query(f"WITH {SCORED} SELECT DISTINCT algorithm, coalesce(CASE algorithm WHEN 'DES' THEN 'AES-256-GCM' END, 'Manual review needed') AS fix FROM scored")
+@query(f"WITH {derive.FINDINGS_SQL} SELECT DISTINCT algorithm, {FIX_SQL} AS fix FROM findings")
 def remediation_by_algorithm(spark, d):
-    return ops.remediation(scored(spark, d).select("algorithm").distinct())
+    return ops.remediation(derive.findings(spark, d).select("algorithm").distinct())
 
 
 @query(f"WITH {derive.FINDINGS_SQL} SELECT file, algorithm, min(line) AS line, count(*) AS occurrences FROM findings GROUP BY file, algorithm")
@@ -127,21 +106,42 @@ def merged_layer_view(spark, d):
     return ops.merged_layers(derive.layer_entries(spark, d))
 
 
-@query("""WITH lines AS (SELECT l_orderkey AS path, min(l_linenumber) AS a, max(l_linenumber) AS b FROM lineitem GROUP BY l_orderkey)
-SELECT path, 2 AS lineno, 'ssl_protocols' AS directive, 'TLSv1.' || (a % 4) || ' TLSv1.3' AS value FROM lines
-UNION ALL SELECT path, 4, 'ssl_ciphers', 'RC4:DES' || b FROM lines""")
+@query("""WITH o AS (SELECT o_orderkey AS path, o_orderkey % 4 AS shape, o_custkey AS v FROM orders)
+SELECT path, 2 AS lineno, 'ssl_protocols' AS directive, 'TLSv1.' || (v % 4) || ' TLSv1.3' AS value FROM o WHERE shape IN (0, 1)
+UNION ALL SELECT path, 4, 'ssl_ciphers', 'RC4:DES' || v FROM o WHERE shape = 0
+UNION ALL SELECT path, 5, 'ssl_ciphers', 'HIGH:!MD5 # ' || v FROM o WHERE shape = 1
+UNION ALL SELECT path, 1, 'server', '{' FROM o WHERE shape = 2
+UNION ALL SELECT path, 2, 'listen', (v % 1000) || ' ssl' FROM o WHERE shape = 2
+UNION ALL SELECT path, 4, '}', '# end' FROM o WHERE shape = 2
+UNION ALL SELECT path, 3, 'ssl_verify_client', 'off' FROM o WHERE shape = 3 AND v % 2 = 1""")
 def nginx_directives(spark, d):
-    keys = derive.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("path")).agg(F.min("l_linenumber").alias("a"), F.max("l_linenumber").alias("b"))
-    text = F.concat(F.lit("# tls\n  SSL_protocols   TLSv1."), F.col("a") % 4, F.lit(" TLSv1.3;\n\nssl_ciphers RC4:DES"), F.col("b"), F.lit(";\n}\nlonely;\n"))
-    return manifests.nginx_directives(keys.select("path", text.alias("text")))
-
-
-@query("""SELECT p_partkey AS path, 3 AS line, 'Py_Crypto.x' AS name, CASE WHEN p_partkey % 2 = 0 THEN '2.' || p_size END AS version FROM part
-UNION ALL SELECT p_partkey, 5, 'cryptography', NULL FROM part""")
+    o = derive.table(spark, d, "orders").select(F.col("o_orderkey").alias("path"), (F.col("o_orderkey") % 4).alias("shape"), F.col("o_custkey").cast("string").alias("v"), "o_custkey")
+    text = (
+        F.when(F.col("shape") == 0, F.concat(F.lit("# tls\n  SSL_protocols   TLSv1."), F.col("o_custkey") % 4, F.lit(" TLSv1.3;\n\nssl_ciphers RC4:DES"), "v", F.lit(";\n}\nlonely;\n")))
+        .when(F.col("shape") == 1, F.concat(F.lit("{\n\tssl_protocols\tTLSv1."), F.col("o_custkey") % 4, F.lit(" TLSv1.3 ;\n\t#ssl_ciphers x;\n\n\t ssl_ciphers  HIGH:!MD5 # "), "v"))
+        .when(F.col("shape") == 2, F.concat(F.lit("server {\r\n\tlisten "), F.col("o_custkey") % 1000, F.lit(" ssl;\r\n  }\r\n} # end\r\n")))
+        .otherwise(F.concat(F.lit("\n \t \n"), F.when(F.col("o_custkey") % 2 == 1, "ssl_verify_client off;").otherwise("#ssl_verify_client off;")))
+    )
+    return manifests.nginx_directives(o.select("path", text.alias("text")))
+
+
+@query("""WITH p AS (SELECT p_partkey AS path, p_partkey % 3 AS shape, p_size AS v FROM part)
+SELECT path, 3 AS line, 'Py_Crypto.x' AS name, CASE WHEN path % 2 = 0 THEN '2.' || v END AS version FROM p WHERE shape = 0
+UNION ALL SELECT path, 5, 'cryptography', NULL FROM p WHERE shape = 0
+UNION ALL SELECT path, 1, 'requests', '2.' || v FROM p WHERE shape = 1
+UNION ALL SELECT path, 4, 'flask', '1.0' FROM p WHERE shape = 1
+UNION ALL SELECT path, 6, 'own', NULL FROM p WHERE shape = 1
+UNION ALL SELECT path, 2, 'a.b', '1!2.' || v || '+x' FROM p WHERE shape = 2
+UNION ALL SELECT path, 3, 'c', NULL FROM p WHERE shape = 2""")
 def requirement_lines(spark, d):
-    spec = F.concat(F.when(F.col("p_partkey") % 2 == 0, "==").otherwise(">="), F.lit("2."), F.col("p_size"))
-    text = F.concat(F.lit("# pins\n-r base.txt\nPy_Crypto.x[extra]"), spec, F.lit(" ; python_version > '3' \\\n  --hash=sha256:00 # why\ncryptography ==41.* # loose\ngit+https://host/x.git\n"))
-    return manifests.requirements(derive.table(spark, d, "part").select(F.col("p_partkey").alias("path"), text.alias("text")))
+    p = derive.table(spark, d, "part").select(F.col("p_partkey").alias("path"), (F.col("p_partkey") % 3).alias("shape"), F.col("p_size").cast("string").alias("v"))
+    spec = F.concat(F.when(F.col("path") % 2 == 0, "==").otherwise(">="), F.lit("2."), "v")
+    text = (
+        F.when(F.col("shape") == 0, F.concat(F.lit("# pins\n-r base.txt\nPy_Crypto.x[extra]"), spec, F.lit(" ; python_version > '3' \\\n  --hash=sha256:00 # why\ncryptography ==41.* # loose\ngit+https://host/x.git\n")))
+        .when(F.col("shape") == 1, F.concat(F.lit("req\\\n  uests==2."), "v", F.lit("\t# tab\n#flask\n\tflask == 1.0\n./local\nown @ https://host/own.whl\n")))
+        .otherwise(F.concat(F.lit("\r\na.b === 1!2."), "v", F.lit("+x\r\nc[one,two] ~= 2 ; extra == 'q'\r\n--index-url https://host\r\n")))
+    )
+    return manifests.requirements(p.select("path", text.alias("text"))).drop("declared")
 
 
 @query(f"""WITH {SCORED} SELECT count(*) FILTER (classical_broken) AS broken, count(*) FILTER (quantum_vulnerable) AS quantum, count(DISTINCT file) AS files, count(DISTINCT recommended_replacement) AS replacements, {BAND_SQL} FROM scored""")

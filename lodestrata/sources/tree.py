@@ -6,36 +6,63 @@ import os
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-# fixed values: folders that scans leave out
-SKIP = frozenset(".git .hg .svn .venv venv node_modules __pycache__ .pytest_cache .mypy_cache .tox dist build target .idea".split())
+# fixed values: folders that scans of sources and manifests, of configuration and of binaries leave out
+SKIP = ("node_modules", ".git", "__pycache__", ".pytest_cache", ".venv", "venv", "env", "dist", "build", "target", ".idea", ".vscode", "coverage", ".nyc_output")
+SKIP_CONFIG = ("node_modules", ".git", "__pycache__", ".pytest_cache", ".venv", "venv", "env", ".idea", ".vscode", ".nyc_output")
+SKIP_BINARY = (".git", "__pycache__", ".pytest_cache", "node_modules")
+SKIPS = {"source": SKIP, "config": SKIP_CONFIG, "binary": SKIP_BINARY, "none": ()}
 
 
-class _Chunk(InputPartition):
-    def __init__(self, paths: list[str]):
-        super().__init__(len(paths))
-        self.paths = paths
+class _Folders(InputPartition):
+    """Folders that are read with all below them, or only their own files."""
+
+    def __init__(self, folders: list[tuple[str, bool]]):
+        super().__init__(len(folders))
+        self.folders = folders
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.root, self.most, self.chunk = options["path"], int(options.get("maxBytes", 1 << 31)), int(options.get("filesPerPartition", 64))
+        self.root, self.most = options["path"], int(options.get("maxBytes", 1 << 31))
+        self.levels, self.folders = int(options.get("levels", 2)), int(options.get("foldersPerPartition", 8))
+        self.skip = frozenset(SKIPS[options.get("skip", "source")])
+
+    def _below(self, folder: str) -> list[str]:
+        with os.scandir(folder) as found:
+            return sorted(e.path for e in found if e.is_dir(follow_symlinks=False) and e.name not in self.skip)
 
     def partitions(self):
-        found = []
-        for folder, names, files in os.walk(self.root):
-            names[:] = sorted(n for n in names if n not in SKIP)
-            found += [p for f in sorted(files) if not os.path.islink(p := os.path.join(folder, f)) and os.path.getsize(p) <= self.most]
-        return [_Chunk(found[k : k + self.chunk]) for k in range(0, len(found), self.chunk)] or [_Chunk([])]
+        """The driver lists the upper levels of folders only; tasks walk what is below and look at the files."""
+        if os.path.isfile(self.root):
+            return [_Folders([(self.root, False)])]
+        level, out = [self.root], []
+        for _ in range(self.levels):
+            out += [(f, False) for f in level]
+            level = [x for f in level for x in self._below(f)]
+        out += [(f, True) for f in level]
+        return [_Folders(out[k : k + self.folders]) for k in range(0, len(out), self.folders)]
 
     def read(self, partition):
-        for p in partition.paths:
-            with open(p, "rb") as f:
-                data = f.read()
-            yield (p, os.path.relpath(p, self.root), os.path.basename(p), os.path.splitext(p)[1].lower(), len(data), data)
+        base = self.root if os.path.isdir(self.root) else os.path.dirname(self.root)
+        for folder, deep in partition.folders:
+            for p in self._files(folder, deep):
+                if os.path.getsize(p) <= self.most:
+                    with open(p, "rb") as f:
+                        data = f.read()
+                    yield (p, os.path.relpath(p, base), os.path.basename(p), os.path.splitext(p)[1].lower(), len(data), data)
+
+    def _files(self, folder: str, deep: bool):
+        if os.path.isfile(folder):
+            yield folder
+            return
+        for at, names, files in os.walk(folder):
+            names[:] = sorted(n for n in names if n not in self.skip) if deep else []
+            yield from (p for f in sorted(files) if not os.path.islink(p := os.path.join(at, f)))
 
 
 class TreeSource(DataSource):
-    """spark.dataSource.register(TreeSource); spark.read.format("tree").load(root)"""
+    """spark.dataSource.register(TreeSource); spark.read.format("tree").load(root). Tasks read from `root`, so it has to be
+    mounted on every machine. Options: skip (source, config, binary or none), maxBytes, levels, foldersPerPartition."""
 
     @classmethod
     def name(cls):

@@ -13,7 +13,26 @@ def test_tree_and_python_calls(spark, tmp_path):
     spark.dataSource.register(TreeSource)
     rows = python_findings(spark.read.format("tree").load(str(tmp_path))).collect()
     got = {r.file: (r.line, r.algorithm, r.key_size, float(r.confidence_score)) for r in rows}
-    assert got == {".github/ci.py": (2, "MD5", None, 0.9), "__init__.py": (2, "DES", None, 1.0), "a.py": (2, "RSA", 1024, 0.95)}
+    assert got == {".github/ci.py": (2, "MD5", None, 0.9), "__init__.py": (2, "DES", None, 1.0), "a.py": (2, "RSA", 1024, 1.0)}  # from an import whose target is longer than its name
+
+
+def test_digests_by_name(spark):
+    """hmac.new takes its third argument or digestmod, hashlib.new its first string."""
+    source = "\n".join(["import hmac, hashlib", "import hashlib as h", "hmac.new(b'k', b'm', digestmod='sha1')", "hmac.new('key', b'm', 'SHA256')", "hmac.new('sha1', b'm')", "h.new('sha224')", "hashlib.new(name)", "hmac.new(b'k', b'm', hashlib.sha512)"])
+    files = spark.createDataFrame([("x.py", ".py", bytearray(source.encode()))], "rel_path string, ext string, content binary")
+    got = {r.line: (r.algorithm, r.library, r.primitive, float(r.confidence_score)) for r in python_findings(files).collect()}
+    assert got == {3: ("SHA-1", "hmac", "mac", 0.9), 4: ("SHA-256", "hmac", "mac", 0.9), 6: ("SHA-224", "hashlib", "hash", 1.0)}
+
+
+def test_trees_leave_out_folders_by_kind_of_scan(spark, tmp_path):
+    for folder in ("a/b/c/d", "dist", "coverage", ".git", "env", ".github"):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "f.txt").write_text("x")
+    spark.dataSource.register(TreeSource)
+    read = lambda skip: {r.rel_path.rsplit("/", 1)[0] for r in spark.read.format("tree").option("skip", skip).load(str(tmp_path)).collect()}
+    assert read("source") == {"a/b/c/d", ".github"}
+    assert read("config") == {"a/b/c/d", ".github", "dist", "coverage"}
+    assert read("binary") == {"a/b/c/d", ".github", "dist", "coverage", "env"}
 
 
 def test_confidence_vectors(spark):
