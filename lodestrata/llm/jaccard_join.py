@@ -71,6 +71,17 @@ def least_overlap(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
+def _equal_links(sets: DataFrame) -> DataFrame:
+    """a, b, fp1: documents b whose set is that of a smaller document, by way of the least one of their part of the class."""
+    key = ["fp1", "fp2", "n_shingles"]
+    own = sets.select("doc_id", *key, F.pmod(F.hash("doc_id"), F.lit(PARTS)).alias("part"))
+    lead = own.groupBy(*key, "part").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n"))
+    top = lead.groupBy(*key).agg(F.min("lead").alias("a"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    within = own.join(lead.where("n > 1").drop("n"), [*key, "part"]).select(F.col("lead").alias("a"), F.col("doc_id").alias("b"), "fp1")
+    across = lead.join(top, key).select("a", F.col("lead").alias("b"), "fp1")
+    return within.unionByName(across).where("a <> b").distinct()
+
+
 def _profile(docs: DataFrame, n: int) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -302,27 +313,25 @@ def _leader_pairs(posts: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
 
 
 def _mixed_pairs(posts: DataFrame, links: DataFrame, bits: DataFrame, percent: int, some: int | None) -> DataFrame:
-    """Pairs from different components that meet in a list and may be similar; with `some`, only those in which one is among
-    so many members of the list. Lists are cut by size first: a pair's sizes are in one class or in neighbouring ones."""
+    """Pairs from different components that meet in a list and may be similar; with `some`, only those of longer lists in which
+    one is among so many members. Of each list, those outside its largest component are compared with all of it, so that the
+    members of one component, however many, are not compared among themselves."""
     label = connected(links, "a", "b").withColumnRenamed("node", "doc_id")
     own = posts.select("token", "doc_id", "size", "pos").join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     own = c.materialize(own, "labelled")
-    mixed = own.groupBy("token").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("token")
-    # sizes that may link differ by the factor 100 / percent at most, a little less than a class is wide
-    step = np.log(100 / percent) * 1.001 if percent < 100 else 1.0
-    own = own.join(mixed, "token").withColumn("size_class", F.floor(F.log("size") / step))
+    lists = own.groupBy("token", "label").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("label", "n").alias("largest"), F.sum("n").alias("length"), F.count("*").alias("labels"))
+    lists = lists.where(f"labels > 1 and length > {some or 0}").select("token", "largest")
+    own = own.join(lists, "token")
     own = c.materialize(own.join(bits.drop("size"), "doc_id"), "mixed")
-    a, b = (own.select(*(F.col(x).alias(x if x == "token" else f"{x}_{s}") for x in own.columns)) for s in "ab")
-    near = F.array(F.lit(0), F.lit(1)) if not some else F.array(F.lit(-1), F.lit(0), F.lit(1))
     if some:
-        chosen = own.groupBy("token", F.col("size_class").alias("size_class_a"), F.pmod(F.xxhash64("doc_id"), F.lit(some)).alias("at")).agg(F.min("doc_id").alias("doc_id_a")).drop("at")
-        a, ordered = a.join(chosen, ["token", "size_class_a", "doc_id_a"]), "doc_id_a <> doc_id_b"
+        first = own.groupBy("token", F.pmod(F.xxhash64("doc_id"), F.lit(some)).alias("at")).agg(F.min("doc_id").alias("doc_id")).drop("at")
+        a = own.join(first, ["token", "doc_id"], "left_semi")
     else:
-        ordered = "(size_a < size_b or size_a = size_b and doc_id_a < doc_id_b)"
-    a = a.withColumn("size_class_b", F.explode(F.transform(near, lambda d: F.col("size_class_a") + d)))
+        a = own.where("label <> largest")
+    a, b = (x.drop("largest").select(*(F.col(k).alias(k if k == "token" else f"{k}_{s}") for k in x.columns if k != "largest")) for x, s in ((a, "a"), (own, "b")))
     need = f"(({percent} * (size_a + size_b) + {99 + percent}) div {100 + percent})"
-    found = a.join(b, ["token", "size_class_b"]).where(f"label_a <> label_b and {ordered} and least(size_a - pos_a, size_b - pos_b) >= {need} and {_possible(percent)}")
-    return found.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+    found = a.join(b, "token").where(f"label_a <> label_b and least(size_a - pos_a, size_b - pos_b) >= {need} and {_possible(percent)}")
+    return found.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
 
 
 def similar_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
@@ -336,14 +345,13 @@ def similar_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     known = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     profile = c.materialize(_profile(docs, n), "sets")
     sets = profile.where("doc_id is not null and n_shingles > 0")
-    classes = sets.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("a"))
-    equal = c.materialize(sets.select("doc_id", "fp1", "fp2", "n_shingles").join(classes, ["fp1", "fp2", "n_shingles"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b"), "fp1").distinct(), "equal")
+    equal = c.materialize(_equal_links(sets), "equal")
     copies = equal.select(F.col("b").alias("doc_id"), "fp1")  # they are linked to their class's document already
     bits = sets.join(copies, ["doc_id", "fp1"], "left_anti").select("doc_id", F.col("n_shingles").alias("size"), *BITS).distinct()
     levels, counted = _sketch(known, n)
     posts = c.materialize(_postings(known, n, percent, levels, counted).join(copies, ["doc_id", "fp1"], "left_anti").drop("fp1"), "lists")
 
-    number = {r[0]: r[1] for r in classes.where(f"n_shingles <= {LIGHT_SIZES}").groupBy("n_shingles").count().collect()}
+    number = {r[0]: r[1] for r in bits.where(f"size <= {LIGHT_SIZES}").groupBy("size").count().collect()}
     light = light_boundary(number, *_costs(posts), percent)
     links = equal.select("a", "b")
     if light:
