@@ -5,7 +5,8 @@ smaller doc_id.
 
 1. Every window is represented by the least hash among its half-length word runs (equal windows have equal
    representatives). Each partition counts its documents' representatives in a count-min sketch; the merged sketch
-   overestimates in how many documents a window occurs.
+   overestimates in how many documents a window occurs. A sketch is 128 MB at most: representatives beyond what it holds
+   at its load are taken in slices of their hash space, with passes over the texts for each.
 2. Only windows estimated in two documents or more are grouped exactly. Neighbouring windows with one representative form a
    run. Equal runs are grouped first, then single windows among the different runs of one representative, by 128 bits of
    hash. Either grouping is a partial aggregate to the least doc_id, so a passage in a third of all documents is one row
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from . import common as c
 
 _SHORT, _LONG, _RUN = c.Rolling(0xD6E8FEB86659FD93), c.Rolling(0xA0761D6478BD642F), c.Rolling(0xE7037ED1A0B428DB)
+LOAD = 0.5  # representatives for each counter of a sketch of the largest width
+SLICE = int(LOAD * (1 << c.WIDEST))  # representatives that one sketch counts
 MAX_RUN = 32  # windows in a run; longer runs are cut at multiples of it, counted from their start
 
 
@@ -46,19 +50,20 @@ def runs(rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, end
 
 
-def covered_ranges(docs: DataFrame, window: int = 50) -> DataFrame:
-    """doc_id, key, ranges: the starts and numbers of the windows that also start in a document with a smaller doc_id.
+def _repeated_runs(docs: DataFrame, window: int, bits: int, depth: int, k: int, slices: int) -> DataFrame:
+    """The runs of windows whose representatives are in slice k of `slices` and are estimated in two documents or more."""
 
-    docs needs doc_id and text; rows without a doc_id or a text neither give nor get ranges."""
-    docs = docs.select("doc_id", "text", c.text_key().alias("key")).where("doc_id is not null and text is not null")
-    n_reps = c.text_bytes(docs) // 6 * 4 // max(window, 4) + 1
-    bits, depth = c.sketch_bits(n_reps, 0.25), 2
+    def is_mine(rep: np.ndarray) -> np.ndarray:
+        return (rep >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32) == np.uint64(k)
+
+    def mine(rep: np.ndarray) -> np.ndarray:
+        return rep if slices == 1 else rep[is_mine(rep)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = c.PartialSketch(bits, depth)
         for b in batches:
             for text in b.column(0):
-                if len(words := c.split_words(text.as_py())) >= window and sketch.add(np.unique(representatives(words, window)[0])):
+                if len(words := c.split_words(text.as_py())) >= window and sketch.add(mine(np.unique(representatives(words, window)[0]))):
                     yield from sketch.flush()
         yield from sketch.flush()
 
@@ -75,7 +80,7 @@ def covered_ranges(docs: DataFrame, window: int = 50) -> DataFrame:
                     continue
                 rep, own = representatives(words, window)
                 start, end = runs(rep)
-                keep = c.level_of(rep[start], shared.value) > 0
+                keep = (c.level_of(rep[start], shared.value) > 0) & is_mine(rep[start])
                 if not keep.any():
                     continue
                 prefix = _RUN.prefix(own)
@@ -86,7 +91,18 @@ def covered_ranges(docs: DataFrame, window: int = 50) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in zip(*out)), c.lists(wins, pa.int64())], names=["doc_id", "key", "rep", "run", "start", "n", "wins"])
 
-    anchors = c.materialize(docs.mapInArrow(repeated, "doc_id long, key long, rep long, run long, start int, n int, wins array<long>"), "windows")
+    return c.materialize(docs.mapInArrow(repeated, "doc_id long, key long, rep long, run long, start int, n int, wins array<long>"), "windows")
+
+
+def covered_ranges(docs: DataFrame, window: int = 50) -> DataFrame:
+    """doc_id, key, ranges: the starts and numbers of the windows that also start in a document with a smaller doc_id.
+
+    docs needs doc_id and text; rows without a doc_id or a text neither give nor get ranges."""
+    docs = docs.select("doc_id", "text", c.text_key().alias("key")).where("doc_id is not null and text is not null")
+    n_reps = c.text_bytes(docs) // 6 * 4 // max(window, 4) + 1
+    slices = int(-(-n_reps // SLICE))
+    bits, depth = c.sketch_bits(-(-n_reps // slices), 0.25 if slices == 1 else LOAD), 2
+    anchors = reduce(DataFrame.unionByName, [_repeated_runs(docs, window, bits, depth, k, slices) for k in range(slices)])
     firsts = anchors.groupBy("rep", "run").agg(F.min("doc_id").alias("first_id"))
     several = firsts.groupBy("rep").agg((F.count("*") > 1).alias("several"))
     firsts = c.materialize(firsts.join(several, "rep"), "runs")

@@ -50,6 +50,12 @@ def docs(spark):
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
+def test_substring_dedup_in_slices(docs, monkeypatch):
+    whole = Counter(map(tuple, substring_dedup.remove_repeats(docs).collect()))
+    monkeypatch.setattr(substring_dedup, "SLICE", 400)
+    assert Counter(map(tuple, substring_dedup.remove_repeats(docs).collect())) == whole
+
+
 def test_substring_dedup(docs):
     first = {}
     for i, t in sorted((x for x in TEXTS if x[0] is not None), key=lambda x: x[0]):
