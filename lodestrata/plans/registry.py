@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import risk
 from ..operators import findings as ops
 from ..operators import manifests
-from . import derive
+from . import derive, scans
 from .tables_sql import BAND_SQL, FIX_SQL, RANK_SQL, SCORED_SQL, TIER_SQL
 
 QUERIES: dict = {}
@@ -153,3 +153,7 @@ def compliance_report(spark, d):
 def severity_order(spark, d):
     rows = scored(spark, d).select("scan_id", "id", "risk_tier").distinct()
     return rows.withColumn("place", F.row_number().over(W.partitionBy("scan_id").orderBy(ops.severity_rank(), "id")))
+
+
+QUERIES |= scans.QUERIES
+ORACLES |= scans.ORACLES

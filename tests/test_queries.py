@@ -19,7 +19,7 @@ def plain(x):
 def test_query(spark, name):
     got = registry.QUERIES[name](spark, DIR)
     con = duckdb.connect()
-    for t in ("lineitem", "orders", "part", "customer", "events"):
+    for t in ("lineitem", "orders", "part", "customer", "events", "supplier", "nation"):
         con.sql(f"create view {t} as select * from '{DIR}/{t}.parquet'")
     want = con.sql(registry.ORACLES[name])
     cols = sorted(got.columns)
