@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import confidence
+from ..functions.finding import as_findings
 
 # fixed values: call, algorithm, primitive, library
 CALLS = [
@@ -105,5 +105,5 @@ def python_findings(files: DataFrame) -> DataFrame:
     mac = F.col("rule").isNull() & of("hmac.new")
     sized = F.when(F.col("algorithm").isin("RSA", "ECC", "DSA"), F.col("key_size"))
     signals = F.array_compact(F.array(*map(F.lit, ("import_resolved", "call_site_matched", "expected_module_confirmed", "literal_algorithm_arg")), F.when(F.col("alias_traced"), "alias_traced"), F.when(sized.isNotNull(), "key_size_extracted")))
-    out = out.select("file", "line", F.col("snippet").alias("matched_call"), F.when(mac, "hmac").otherwise(F.coalesce("rule.library", F.lit("hashlib"))).alias("library"), "algorithm", F.when(mac, "mac").otherwise(F.coalesce("rule.primitive", F.lit("hash"))).alias("primitive"), F.lit("python").alias("language"), F.col("algorithm").isin(*WEAK).alias("weak_by_default"), sized.alias("key_size"), confidence.distinct_signals(signals).alias("confidence_signals"))
-    return out.withColumn("confidence_score", confidence.score(F.col("confidence_signals"))).withColumn("confidence_band", confidence.band(F.col("confidence_score")))
+    out = out.select("file", "line", F.col("snippet").alias("matched_call"), F.when(mac, "hmac").otherwise(F.coalesce("rule.library", F.lit("hashlib"))).alias("library"), "algorithm", F.when(mac, "mac").otherwise(F.coalesce("rule.primitive", F.lit("hash"))).alias("primitive"), F.lit("python").alias("language"), F.col("algorithm").isin(*WEAK).alias("weak_by_default"), sized.alias("key_size"), signals.alias("confidence_signals"))
+    return as_findings(out, detection_method="ast_static_analysis", artifact_type="SOURCE_FILE")
