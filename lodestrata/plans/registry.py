@@ -155,5 +155,7 @@ def severity_order(spark, d):
     return rows.withColumn("place", F.row_number().over(W.partitionBy("scan_id").orderBy(ops.severity_rank(), "id")))
 
 
-QUERIES |= scans.QUERIES
-ORACLES |= scans.ORACLES
+from . import inventory_queries  # noqa: E402  it takes a query of this module
+
+QUERIES |= scans.QUERIES | inventory_queries.QUERIES
+ORACLES |= scans.ORACLES | inventory_queries.ORACLES
