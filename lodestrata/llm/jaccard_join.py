@@ -370,3 +370,15 @@ def similar_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
 
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return similar_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+grams AS (SELECT DISTINCT doc_id, hash(array_to_string(list_slice(words, i, i + 3), ' ')) AS g FROM docs, LATERAL (SELECT unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS i) WHERE len(words) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n_both FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM common JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE 100 * n_both >= 85 * (s.n + t.n - n_both)),
+ways AS (SELECT x AS a, y AS b FROM links UNION ALL SELECT y, x FROM links),
+reached(doc_id, other) AS (SELECT doc_id, doc_id FROM docs UNION SELECT r.doc_id, w.b FROM reached r JOIN ways w ON w.a = r.other)
+SELECT doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(other) AS component_id FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
+"""

@@ -148,3 +148,14 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP1_SQL = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (SELECT doc_id, i, sha256(array_to_string(list_slice(words, i, i + 49), ' ')) AS h FROM docs, LATERAL (SELECT unnest(range(1, len(words) - 48)) AS i)),
+firsts AS (SELECT h, min(doc_id) AS first_id FROM windows GROUP BY h),
+gone AS (SELECT doc_id, list(DISTINCT i + k) AS places FROM windows JOIN firsts USING (h), range(0, 50) AS r(k) WHERE first_id < doc_id GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN places IS NULL THEN words ELSE list_transform(list_filter(list_zip(words, range(1, len(words) + 1)), lambda x: NOT list_contains(places, x[2])), lambda x: x[1]) END, ' ')) AS kept_sha256
+FROM docs LEFT JOIN gone USING (doc_id)
+"""

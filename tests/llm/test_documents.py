@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from lodestrata.llm import decontaminate, jaccard_join, packing, quality_rules, secret_scan, substring_dedup, token_counts, token_output, tokens
+from lodestrata.llm import decontaminate, jaccard_join, packing, quality_rules, queries, secret_scan, substring_dedup, token_counts, token_output, tokens
 
 WORD = "[^\x20\x09-\x0d]+"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, size int, label string"
@@ -302,6 +302,56 @@ def test_quality_measures(docs):
     assert next(r for r in rows if r.doc_id == 1).kept
 
 
+def plain_verdicts(rows, spread=6.0, least_docs=30):
+    """rows: id, text, lang, source. Whether each is kept, by quartiles of sorted lists."""
+    measures, failed = {}, {}
+    for i, t, *_ in rows:
+        t = t or ""
+        w = re.findall(WORD, t)
+        c = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        hit = {k + j for k in range(len(w) - 4) if c[tuple(w[k : k + 5])] > 1 for j in range(5)}
+        lines = [x for x in t.split("\n") if re.search(WORD, x)]
+        chars = sum(map(len, w))
+        part = lambda a, b: a / b if b else 0.0
+        measures[i] = (part(len(re.findall(r"[#*$%&|<>]", t)), chars), part(len(lines) - len(set(lines)), len(lines)), part(len(hit), len(w)), part(chars, len(w)))
+        failed[i] = len(w) < 10 or 100 * len(hit) > 20 * len(w)
+
+    def fences(ids):
+        out = []
+        for k, least in enumerate(quality_rules.MEASURES.values()):
+            v = sorted(measures[i][k] for i in ids)
+            q = [v[max(0, -(-len(v) * p // 4) - 1)] for p in (1, 3)]
+            out.append(q[1] + max(spread * (q[1] - q[0]), least))
+        return out
+
+    groups = defaultdict(list)
+    for i, _, lang, source in rows:
+        if not failed[i]:
+            groups[lang, source].append(i)
+    everyone = [i for own in groups.values() for i in own]
+    limit = {g: fences(own if len(own) >= least_docs else everyone) for g, own in groups.items()}
+    return {i: not failed[i] and all(m <= f for m, f in zip(measures[i], limit[lang, source])) for i, _, lang, source in rows}
+
+
+def test_verdicts_equal_plain_quartiles(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    want = plain_verdicts(rows)
+    assert {r.doc_id: r.kept for r in quality_rules.judge(df).select("doc_id", "kept").collect()} == want
+    assert 0.5 < sum(want.values()) / len(want) < 1
+
+
+@pytest.mark.parametrize("name", ["op1_substring_dedup", "op3_ngram_jaccard_join"])
+def test_statements(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    want = con.sql(queries.ORACLES[name])
+    got = queries.QUERIES[name](spark, "/root/testdata/sf0.001").select(*want.columns).collect()
+    assert Counter(map(tuple, got)) == Counter(want.fetchall())
+
+
 def test_every_measure_rejects_junk(spark):
     clean = [words(60 + k, 100 + k) for k in range(40)]
     rows = [(k, " ".join(w), "web") for k, w in enumerate(clean)]
