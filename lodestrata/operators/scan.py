@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from ..functions import risk
 from ..sources.tree import TreeSource
 from . import findings as ops
+from .binaries import binary_findings
 from .calls import java_js_findings
 from .config import config_findings
 from .dependencies import dependency_findings
 from .python_calls import python_findings
 
-TYPES = ("source", "dependency", "config")
+TYPES = ("source", "dependency", "config", "binary")
 REDACTED = "[redacted]"
 
 
@@ -37,6 +38,8 @@ def tree_findings(spark: SparkSession, root: str, types=("source",)) -> DataFram
         out.append(dependency_findings(_files(spark, root, "source").select(F.col("rel_path").alias("path"), "name", "content")))
     if "config" in types:
         out.append(config_findings(_files(spark, root, "config").select(F.col("rel_path").alias("path"), "name", "ext", "content")))
+    if "binary" in types:
+        out.append(binary_findings(_files(spark, root, "binary")))
     return reduce(DataFrame.unionByName, out)
 
 
