@@ -145,7 +145,7 @@ def score_findings(findings: DataFrame, assumption: str | None = None) -> DataFr
         F.when(~quantum, "NOT_APPLICABLE").when(stated.isNull(), "UNKNOWN").when(urgent, "HIGH").otherwise("ASSESSMENT_REQUIRED").alias("hndl_exposure"),
         shelf.alias("data_shelf_life_years"),
         F.lit(HORIZON_YEARS).alias("quantum_threat_horizon_years"),
-        F.when(stated.isNotNull(), F.lit(assumption)).alias("assumption_source"),
+        F.when(stated.isNotNull(), F.lit(assumption).cast("string")).alias("assumption_source"),
         F.lit(MODEL).alias("risk_model_version"),
         F.col("rule_replacement").alias("recommended_replacement"),
         F.col("rule_kind").alias("recommendation_type"),

@@ -60,7 +60,7 @@ SIGNALS = ("import_resolved", "call_site_matched", "expected_module_confirmed",
 _ROW = "file string, language string, ordinal int, local string, module string, member string, line int, object string, method string, text string, size int, chained int, inline string, snippet string"
 
 
-def java_js_findings(files: DataFrame) -> DataFrame:
+def java_js_findings(files: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
     """Findings of the sources of a tree (rel_path, ext, content): the first rule that a call matches whose module is the one
     that its object or method is bound to. Files that are no UTF-8 are read with replacements."""
 
@@ -89,7 +89,7 @@ def java_js_findings(files: DataFrame) -> DataFrame:
     method = F.when(F.col("object") == "", F.coalesce("bound.member", "method")).otherwise(F.col("method"))
     out = out.withColumns({"module": module, "called": method, "rules_of": F.when(F.col("language") == "java", "java").otherwise("javascript")})
     named = F.when((F.col("object") == "") & (F.col("language") == "java"), F.substring_index("module", ".", -1)).otherwise(F.col("object"))
-    rules = [(k, *r) for k, r in enumerate(RULES)]
+    rules = [(k, *r) for k, r in enumerate(rules)]
     rules = F.broadcast(files.sparkSession.createDataFrame(rules, "rule int, rules_of string, library string, called string, wanted string, algorithm string, primitive string, weak_by_default boolean, modules array<string>"))
     plain = lambda x: F.regexp_replace(F.lower(x), "[^\\p{L}\\p{N}]", "")
     own_path = (F.col("language") == "java") & F.array_contains("modules", F.col("object"))

@@ -126,14 +126,14 @@ def _matches(kind: Column, value: Column, patterns: Column) -> Column:
     return F.when(kind == "nginx", in_line).when(kind == "hcl2", F.exists(patterns, lambda p: same(clean, p))).otherwise(in_text)
 
 
-def config_findings(files: DataFrame) -> DataFrame:
+def config_findings(files: DataFrame, rules: list[tuple] = RULES, detectors: list[tuple] = DETECTORS) -> DataFrame:
     """Settings that detectors know; of equal ones (file, algorithm, evidence) the first in the order of pairs, rules and detectors.
 
     A value that is filled in later matches any YAML or JSON detector of its key, unverified. The table of detectors has some
     hundred rows, one for each key, and goes to every task."""
     spark = files.sparkSession
-    rules = {r[0]: (k, *r) for k, r in enumerate(RULES)}
-    rows = [(k, how, key, kind, *rules[rule], values) for k, (rule, kind, how, keys, values) in enumerate(DETECTORS) for key in keys]
+    rules = {r[0]: (k, *r) for k, r in enumerate(rules)}
+    rows = [(k, how, key, kind, *rules[rule], values) for k, (rule, kind, how, keys, values) in enumerate(detectors) for key in keys]
     table = spark.createDataFrame(rows, "detector int, how string, wanted_key string, wanted_kind string, rule_order int, rule string, algorithm string, primitive string, key_size int, weak_by_default boolean, patterns array<string>")
     pairs = config_pairs(files).withColumn("leaf", F.coalesce(F.lower(F.try_element_at("key_path", F.lit(-1))), F.lit(""))).withColumn("wanted_kind", F.when(F.col("kind") == "json", "yaml").otherwise(F.col("kind")))
     exact = F.broadcast(table.where("how = 'equals'").drop("how"))

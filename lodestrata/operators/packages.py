@@ -65,10 +65,10 @@ def installed(databases: DataFrame) -> DataFrame:
     return rows.unionByName(rpm).withColumn("version", F.when(F.col("version") == "", "unknown").otherwise(F.col("version")))
 
 
-def package_findings(databases: DataFrame) -> DataFrame:
+def package_findings(databases: DataFrame, packages: list[tuple] = PACKAGES) -> DataFrame:
     """Packages that a rule names, wholly or before a dash or underscore; of a package the first row and the first rule, in each
     layer's database. The rules are 19 rows."""
-    rules = [(k, *r) for k, r in enumerate(PACKAGES)]
+    rules = [(k, *r) for k, r in enumerate(packages)]
     rules = F.broadcast(databases.sparkSession.createDataFrame(rules, "rule int, rule_ecosystem string, rule_package string, library string"))
     name, wanted = F.col("package"), F.col("rule_package")
     fits = (F.col("ecosystem") == F.col("rule_ecosystem")) & ((name == wanted) | name.startswith(F.concat(wanted, F.lit("-"))) | name.startswith(F.concat(wanted, F.lit("_"))))

@@ -85,7 +85,7 @@ def call_sites(source: str) -> list[tuple]:
     return out
 
 
-def python_findings(files: DataFrame) -> DataFrame:
+def python_findings(files: DataFrame, calls_known: list[tuple] = CALLS) -> DataFrame:
     """Findings of the .py files of a tree (file, content): the first of a call's names that a rule has; else, for hashlib.new
     and hmac.new, the digest named by a literal."""
 
@@ -96,7 +96,7 @@ def python_findings(files: DataFrame) -> DataFrame:
             yield out.astype({"key_size": "Int32"})
 
     calls = files.where("ext = '.py'").select("rel_path", "content").mapInPandas(sites, _SITES)
-    rules = F.broadcast(files.sparkSession.createDataFrame(CALLS, "name string, algorithm string, primitive string, library string"))
+    rules = F.broadcast(files.sparkSession.createDataFrame(calls_known, "name string, algorithm string, primitive string, library string"))
     tried = calls.select("file", "line", "ordinal", F.posexplode("candidates").alias("pos", "name")).join(rules, "name")
     best = tried.groupBy("file", "line", "ordinal").agg(F.min_by(F.struct("algorithm", "primitive", "library"), "pos").alias("rule"))
     named = reduce(lambda c, x: c.when(F.lower("digest") == x[0], x[1]), DIGESTS.items(), F)
