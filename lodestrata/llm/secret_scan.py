@@ -92,7 +92,7 @@ def scan(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = (
     live = ~(common("n_owners", most_owners, all_owners) & common("n_repositories", most_repositories, all_repositories))
     part = F.pmod(F.xxhash64("doc_id", "key"), F.lit(PARTS)).cast("int")
     counts = counts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    rated = one.select("doc_id", "key", "s.*").distinct().withColumn("part", part).join(counts, ["hash", "part"]).withColumn("live", live).where(f"live or kind < {KINDS.index('owned')}")
+    rated = one.select("doc_id", "key", "s.*").distinct().withColumn("part", part).join(counts.hint("merge"), ["hash", "part"]).withColumn("live", live).where(f"live or kind < {KINDS.index('owned')}")
     rated = rated.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "n_owners", "n_repositories", "live"))).alias("spans"))
     rated = rated.withColumnsRenamed({"doc_id": "r_id", "key": "r_key"})
     out = found.select("doc_id", "key").join(rated, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("key") == F.col("r_key")), "left")
@@ -105,18 +105,18 @@ def redact(docs: DataFrame, placeholder: str = "[secret]", **options) -> DataFra
     live = scan(docs, **options).select("doc_id", "key", F.filter("spans", lambda s: s["live"]).alias("cut_spans")).where("size(cut_spans) > 0").distinct()
     live = live.withColumnsRenamed({"doc_id": "cut_id", "key": "cut_key"})
     # the row as one column, so that no name of docs clashes with another one
-    joined = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text", c.text_key().alias("text_key"))
-    joined = joined.join(live, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("text_key") == F.col("cut_key")), "left")
+    own, text_key = F.struct(*docs.columns).alias("doc"), c.text_key().alias("text_key")
+    joined = docs.select(own, F.col("doc_id").alias("row_id"), text_key).join(live, F.col("row_id").eqNullSafe(F.col("cut_id")) & (F.col("text_key") == F.col("cut_key")), "left")
     # spans that overlap are one; the text between the spans is kept, and what follows the last one
+    old = F.col("doc.text")
     state = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
-    added = lambda s, x: F.when(x["start"] < s["at"], s["text"]).otherwise(F.concat(s["text"], F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"]), F.lit(placeholder)))
+    added = lambda s, x: F.when(x["start"] < s["at"], s["text"]).otherwise(F.concat(s["text"], F.substring(old, s["at"] + 1, x["start"] - s["at"]), F.lit(placeholder)))
     step = lambda s, x: F.struct(added(s, x).alias("text"), F.greatest(s["at"], x["end"]).alias("at"))
-    done = lambda s: F.concat(s["text"], F.substring(F.col("text"), s["at"] + 1, F.length("text")))
-    text = F.when(F.col("cut_spans").isNull(), F.col("text")).otherwise(F.aggregate("cut_spans", state, step, done))
-    joined = joined.withColumn("text", text)
-    new = {"text": F.col("text")}
+    done = lambda s: F.concat(s["text"], F.substring(old, s["at"] + 1, F.length(old)))
+    joined = joined.withColumn("new_text", F.when(F.col("cut_spans").isNull(), old).otherwise(F.aggregate("cut_spans", state, step, done)))
+    new = {"text": F.col("new_text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("cut_spans").isNull(), F.col("doc.n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col("cut_spans").isNull(), F.col("doc.n_chars")).otherwise(F.length("new_text")).cast(docs.schema["n_chars"].dataType)
     return joined.select(*(new[x].alias(x) if x in new else F.col("doc")[x].alias(x) for x in docs.columns))
 
 
