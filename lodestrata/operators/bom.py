@@ -142,7 +142,8 @@ def issues(texts: DataFrame, key: str = "doc") -> DataFrame:
 
     Where the structure is wrong nothing else is checked, as in the format's own rules. Of a bom-ref that is there more than
     once the second place is named."""
-    parsed = texts.select(key, F.try_parse_json("text").alias("v"))
+    # a generator of one row: the checks stay above it, else Spark would parse the text for each of them
+    parsed = texts.select(key, F.explode(F.array(F.try_parse_json("text"))).alias("v"))
     bad = F.when(F.col("v").isNull(), _issue("NOT_JSON_SERIALIZABLE", "", "Document is not JSON.")).when(_kind(F.col("v")) != "OBJECT", _issue("DOCUMENT_NOT_OBJECT", "", "Document must be a JSON object."))
     parsed = parsed.withColumn("bad", bad)
     docs = parsed.where("bad is null")
@@ -195,11 +196,11 @@ def issues(texts: DataFrame, key: str = "doc") -> DataFrame:
     found = found.unionByName(deep(places, field("location", _TEXT, _filled(_get(x, "location"))), field("line", _INT, _within(_get(x, "line"), 0), False)))
     found = found.unionByName(deep(properties, field("name", _TEXT, _filled(_get(x, "name"))), field("value", _TEXT, None)))
 
-    whole = listed.join(found.select(key).distinct(), key, "left_anti")
-    refs = whole.select(key, "at", _text(_get(p, "bom-ref")).alias("ref")).withColumn("n", F.row_number().over(W.partitionBy(key, "ref").orderBy("at")))
+    # taken of all documents; where the structure is wrong they are left out below
+    refs = listed.select(key, "at", _text(_get(p, "bom-ref")).alias("ref")).withColumn("n", F.row_number().over(W.partitionBy(key, "ref").orderBy("at")))
     more = [refs.where("n = 2").select(key, _issue("BOM_REF_DUPLICATE", F.concat(F.lit("/components/"), "at", F.lit("/bom-ref")), "bom-ref must be unique.").alias("i"))]
     values = lambda name: F.transform(F.filter(F.try_variant_get(p, "$.properties", "array<struct<name:string,value:string>>"), lambda y: y["name"] == OWN + name), lambda y: y["value"])
-    tiers = whole.select(key, to("/properties").alias("to"), values("risk_tier").alias("tier"), values("criticality").alias("critical"))
+    tiers = listed.select(key, to("/properties").alias("to"), values("risk_tier").alias("tier"), values("criticality").alias("critical"))
     tier_ok = (F.size("tier") == 1) & F.get("tier", F.lit(0)).isin(*TIERS)
     wrong = F.array(
         F.when(F.size("tier") != 1, _issue("RISK_TIER_PROPERTY_MISSING", F.col("to"), "A component has exactly one tier.")).when(~tier_ok, _issue("RISK_TIER_PROPERTY_INVALID", F.col("to"), "No such tier.")),
@@ -207,9 +208,11 @@ def issues(texts: DataFrame, key: str = "doc") -> DataFrame:
     )
     more.append(tiers.select(key, F.explode(F.array_compact(wrong)).alias("i")))
     counts = tiers.groupBy(key).agg(F.count("*").alias("total"), *(F.count_if(tier_ok & (F.get("tier", F.lit(0)) == t)).alias(t) for t in TIERS))
-    stated = docs.join(found.select(key).distinct(), key, "left_anti").where(_kind(summary) == "OBJECT").select(key, *(F.try_variant_get(summary, f"$.{t}", "long").alias(f"said_{t}") for t in ("total", *TIERS)))
+    stated = docs.where(_kind(summary) == "OBJECT").select(key, *(F.try_variant_get(summary, f"$.{t}", "long").alias(f"said_{t}") for t in ("total", *TIERS)))
     both = stated.join(counts, key, "left")
     off = [F.when(F.coalesce(t, F.lit(0)) != F.col(f"said_{t}"), _issue("SUMMARY_TOTAL_MISMATCH" if t == "total" else "SUMMARY_TIER_MISMATCH", f"/{SUMMARY}/{t}", "The summary does not match the components.")) for t in ("total", *TIERS)]
     more.append(both.select(key, F.explode(F.array_compact(F.array(*off))).alias("i")))
-    out = reduce(DataFrame.unionByName, [parsed.where("bad is not null").select(key, F.col("bad").alias("i")), found, *more])
+    structure = reduce(DataFrame.unionByName, [parsed.where("bad is not null").select(key, F.col("bad").alias("i")), found]).withColumn("level", F.lit(1))
+    out = structure.unionByName(reduce(DataFrame.unionByName, more).withColumn("level", F.lit(2)))
+    out = out.withColumn("least", F.min("level").over(W.partitionBy(key))).where("level = least")
     return out.select(key, "i.*")

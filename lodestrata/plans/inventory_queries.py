@@ -48,7 +48,7 @@ def bom_components(spark, d):
     )
 
 
-@query("""WITH o AS (SELECT o_orderkey AS doc, o_orderkey % 7 AS shape FROM orders)
+@query("""WITH o AS (SELECT c_custkey AS doc, c_custkey % 7 AS shape FROM customer)
 SELECT doc, 'FIELD_INVALID_VALUE' AS code, '/bomFormat' AS path FROM o WHERE shape = 1
 UNION ALL SELECT doc, 'FIELD_MISSING', '/version' FROM o WHERE shape = 2
 UNION ALL SELECT doc, 'FIELD_WRONG_TYPE', '/components/0/name' FROM o WHERE shape = 3
@@ -56,7 +56,7 @@ UNION ALL SELECT doc, 'BOM_REF_DUPLICATE', '/components/1/bom-ref' FROM o WHERE
 UNION ALL SELECT doc, 'SUMMARY_TIER_MISMATCH', '/x-risk-summary/' || t FROM o, (VALUES ('HIGH'), ('LOW')) AS x(t) WHERE shape = 5
 UNION ALL SELECT doc, 'NOT_JSON_SERIALIZABLE', '' FROM o WHERE shape = 6""")
 def bom_issues(spark, d):
-    o = derive.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc"), (F.col("o_orderkey") % 7).alias("shape"), F.md5(F.col("o_orderkey").cast("string")).alias("m"))
+    o = derive.table(spark, d, "customer").select(F.col("c_custkey").alias("doc"), (F.col("c_custkey") % 7).alias("shape"), F.md5(F.col("c_custkey").cast("string")).alias("m"))
     at = lambda k, damaged, fine: F.when(F.col("shape") == k, damaged).otherwise(fine)
     part = lambda ref, name: F.concat(F.lit('{"type": "cryptographic-asset", "bom-ref": "'), ref, F.lit('", "name": '), name, F.lit(', "cryptoProperties": {"assetType": "protocol"}, "evidence": {"occurrences": [{"location": "a"}]}, "properties": [{"name": "lodestrata:risk_tier", "value": "HIGH"}]}'))
     serial = F.concat_ws("-", *(F.substring("m", a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
