@@ -312,13 +312,15 @@ def _leader_pairs(posts: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     return rated.groupBy("b").agg(F.min(F.struct("far", "a")).alias("best")).select("best.a", "b")
 
 
-def _mixed_pairs(posts: DataFrame, links: DataFrame, bits: DataFrame, percent: int, some: int | None) -> DataFrame:
+def _labelled(posts: DataFrame, label: DataFrame) -> DataFrame:
+    own = posts.select("token", "doc_id", "size", "pos").join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    return c.materialize(own, "labelled")
+
+
+def _mixed_pairs(own: DataFrame, bits: DataFrame, percent: int, some: int | None) -> DataFrame:
     """Pairs from different components that meet in a list and may be similar; with `some`, only those of longer lists in which
     one is among so many members. Of each list, those outside its largest component are compared with all of it, so that the
     members of one component, however many, are not compared among themselves."""
-    label = connected(links, "a", "b").withColumnRenamed("node", "doc_id")
-    own = posts.select("token", "doc_id", "size", "pos").join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    own = c.materialize(own, "labelled")
     lists = own.groupBy("token", "label").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("label", "n").alias("largest"), F.sum("n").alias("length"), F.count("*").alias("labels"))
     lists = lists.where(f"labels > 1 and length > {some or 0}").select("token", "largest")
     own = own.join(lists, "token")
@@ -360,14 +362,26 @@ def similar_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
 
     pairs = c.materialize(_leader_pairs(posts, bits, percent), "pairs")
     links = c.materialize(links.unionByName(_verified(pairs, known, n, percent)), "links")
+    label = _labels(links)
+    own = _labelled(posts, label)
     for some in (SOME, None):
-        rest = c.materialize(_mixed_pairs(posts, links, bits, percent, some), "rest")
-        if not rest.isEmpty():
-            links = c.materialize(links.unionByName(_verified(rest, known, n, percent)), "links")
-    label = connected(links, "a", "b").withColumnRenamed("node", "doc_id")
+        rest = c.materialize(_mixed_pairs(own, bits, percent, some), "rest")
+        if rest.isEmpty():
+            continue
+        more = c.materialize(_verified(rest, known, n, percent), "more")
+        if more.isEmpty():
+            continue
+        links = links.unionByName(more)
+        label = _labels(links)
+        if some:
+            own = _labelled(posts, label)
     return profile.join(label, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 
 
+def _labels(links: DataFrame) -> DataFrame:
+    return c.materialize(connected(links, "a", "b").withColumnRenamed("node", "doc_id"), "labels")
+
+
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return similar_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
