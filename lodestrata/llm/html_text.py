@@ -47,11 +47,15 @@ _ENDED = {
     "body": (frozenset(("head",)), frozenset()),
 }
 _P, _P_BOUNDS = frozenset(("p",)), frozenset("td th table caption object button".split())
-#: Parts of class names and ids by which an element is no content; those of pages' headers count outside the main zone only.
-_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent notice popup modal overlay sidebar menu navbar navigation nav breadcrumb breadcrumbs comment comments disqus footer share sharing social newsletter subscribe signup login pagination pager".split())
-_HEADERS = frozenset(("header", "masthead"))
+#: Whole class names and ids by which an element is no content; those of pages' headers count outside the main zone only.
+_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising ad-banner ad-container ad-slot ad-wrapper adsbygoogle sponsor sponsored sponsored-content promo "
+    "banner cookie cookies cookie-banner cookie-bar cookie-consent cookie-notice consent gdpr notice site-notice popup modal overlay sidebar side-bar left-sidebar right-sidebar widget-area "
+    "menu main-menu nav-menu site-menu navbar navigation main-navigation site-navigation nav main-nav site-nav breadcrumb breadcrumbs comment comments comment-list comments-list comments-area comments-section comment-section comment-form reader-comments user-comments disqus disqus_thread "
+    "footer site-footer page-footer share share-buttons sharing social social-share social-links newsletter newsletter-signup subscribe signup login login-form search-form pagination pager".split()
+)
+_HEADERS = frozenset(("header", "masthead", "site-header", "page-header", "top-bar"))
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu".split())
-_SPLIT = re.compile(r"[\s_-]+")
 
 
 def _marks(attrs: str, in_main: bool) -> tuple[bool, bool]:
@@ -59,7 +63,7 @@ def _marks(attrs: str, in_main: bool) -> tuple[bool, bool]:
     if "=" not in attrs and "hidden" not in attrs:
         return False, False
     found = {k.lower(): (a or b or d or "").lower() for k, a, b, d in _ATTR.findall(attrs)}
-    names = _SPLIT.split(f"{found.get('class', '')} {found.get('id', '')}")
+    names = f"{found.get('class', '')} {found.get('id', '')}".split()
     gone = "hidden" in found or found.get("aria-hidden") == "true" or found.get("role") in _ROLES or not _NAMES.isdisjoint(names) or "display:none" in found.get("style", "").replace(" ", "")
     gone = gone or not in_main and not _HEADERS.isdisjoint(names)
     return gone, found.get("role") == "main" or found.get("itemprop") == "articlebody"
@@ -162,14 +166,9 @@ def lines_of(html: str | None) -> tuple[list[str], list[int]]:
 
 
 def main_text(lines: list[str], zones: list[int], gone: list[int]) -> list[str]:
-    """The lines that stay: those of the main zone, and open ones that are not gone; without the open ones where the main zone
-    has more text than they have."""
+    """The lines that stay: those of the main zone, and open ones that are not gone."""
     lost = set(gone)
-    own = [k for k, z in enumerate(zones) if z == MAIN or z == OPEN and k not in lost]
-    size = lambda zone: sum(len(lines[k]) for k in own if zones[k] == zone)
-    if size(MAIN) >= size(OPEN) > 0:
-        own = [k for k in own if zones[k] == MAIN]
-    return [lines[k] for k in own]
+    return [x for k, (x, z) in enumerate(zip(lines, zones)) if z == MAIN or z == OPEN and k not in lost]
 
 
 def shared_lines(a: list[int], b: list[int]) -> list[int]:

@@ -36,8 +36,8 @@ def test_neighbours_beyond_copies_and_near_copies(spark):
 
 def test_elements_end_with_those_around_them():
     text = lambda html: html_text.main_text(*html_text.lines_of(html), [])
-    assert text("<article><p>one</p><div class=ad>buy<p>two</p></article><p>x") == ["one"]
-    assert text("<article><p>one<div class=ad>buy</div><p>two</article><div>short</div>") == ["one", "two"]
+    assert text("<article><p>one</p><div class=ad>buy<p>two</p></article><p>x") == ["one", "x"]
+    assert text("<article><p>one<div class=ad>buy</div><p>two</article><div>short</div>") == ["one", "two", "short"]
     assert text("<article><header><h1>Head</h1></header><div class='related-work'>kept</div></article><header>page</header>") == ["Head", "kept"]
     assert text("<article class=teaser>Teaser</article><p>A story that stands beside it and is longer</p>") == ["Teaser", "A story that stands beside it and is longer"]
     assert text("<main><p>a <span class=ad>buy</span> b <b>c</main>") == ["a b c"]
@@ -45,6 +45,52 @@ def test_elements_end_with_those_around_them():
     assert text("<ul><li class=menu>x<li>y<ul><li>z</ul></ul><table><tr><td>1<td>2<tr><td>3</table>") == ["y", "z", "1 2", "3"]
 
 
+def test_open_lines_stay_beside_an_article_of_any_size():
+    """No length decides, and no part of a class name does."""
+    text = lambda html: html_text.main_text(*html_text.lines_of(html), [])
+    for body in ("x", "y" * 150, "z" * 5000):
+        assert text(f"<h1>Title of the story</h1><p>Lead outside.</p><article>{body}</article><p>After text.</p>") == ["Title of the story", "Lead outside.", body, "After text."]
+    kept = '<article><p class="share-price">a</p><p id="comment-on-law">b</p><p class="menu-of-day">c</p><p class="ad-hoc">d</p></article>'
+    assert text(kept) == ["a", "b", "c", "d"]
+    assert text('<article><p>a</p><div class="box comments">b</div><div id="cookie-notice">c</div><div role="dialog">d</div></article>') == ["a"]
+
+
+def made_sites():
+    """(rows, text with differencing, text without): sites whose frames carry no mark, so that only neighbours tell them."""
+    import random
+
+    chance = random.Random(8)
+    rows, wanted, plain = [], {}, {}
+    for host in range(12):
+        top, end = [f"Site {host} top {k}" for k in range(3)], [f"Site {host} end {k}" for k in range(2)]
+        folders = {f: f"Section {host} {f} links" for f in "ab"}
+        for k in range(chance.randrange(4, 30)):
+            folder = chance.choice("ab")
+            own = [f"Own line {host} {k} {j} " + "words " * chance.randrange(1, 30) for j in range(chance.randrange(3, 9))]
+            own = [x.strip() for x in own]
+            head, tail = own[:1], own[1:]
+            body = "".join(f"<p>{x}</p>" for x in tail)
+            body = f"<article>{body}</article>" if k % 2 else body
+            frame = "".join(f"<div>{x}</div>" for x in [*top, folders[folder]])
+            html = f"<body><nav>Menu</nav>{frame}<h1>{head[0]}</h1>{body}<aside>Aside {k}</aside>{''.join(f'<div>{x}</div>' for x in end)}</body>"
+            page = len(rows)
+            rows.append((page, f"http://site{host}.org/{folder}/{k:03}", html))
+            wanted[page] = [*head, *tail]
+            plain[page] = [*top, folders[folder], *head, *tail, *end]
+    return rows, wanted, plain
+
+
+def test_differencing_decides_where_nothing_is_marked(spark):
+    rows, wanted, plain = made_sites()
+    got = {r.page_id: r.text.split("\n\n") for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    for page, url, html in rows:
+        assert html_text.main_text(*html_text.lines_of(html), []) == plain[page]
+        # the line of a folder stays on a page that is alone in it, since no other page has it
+        assert [x for x in got[page] if not x.startswith("Section")] == wanted[page]
+    alone = sum(any(x.startswith("Section") for x in own) for own in got.values())
+    assert alone < len(rows) / 10
+
+
 def common(a, b):
     """The length of a longest common subsequence, by a table of all suffixes."""
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
