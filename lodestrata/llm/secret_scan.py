@@ -32,10 +32,10 @@ _HEX_LONG = re.compile(r"[0-9a-f]{24}")
 _FORMATS = re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----[A-Za-z0-9+/=\s]{32,}-----END (?:[A-Z]+ )?PRIVATE KEY-----")
 
 
-#: Strings that may be keys: of this length, with letters in both cases and digits, and so many bits a character.
+#: Strings that may be keys: of 20 characters or more, with letters in both cases and digits, and so many bits a character.
 _RANDOM = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 _DIGIT = re.compile(r"[0-9]")
-LEAST_BITS, LONGEST = 3.5, 512
+LEAST_BITS = 3.5
 
 
 def randomness(text: str) -> float:
@@ -45,7 +45,7 @@ def randomness(text: str) -> float:
 
 
 def _as_random_as_keys(text: str) -> bool:
-    return len(text) <= LONGEST and len(_DIGIT.findall(text)) >= 2 and text.lower() != text != text.upper() and randomness(text) >= LEAST_BITS
+    return len(_DIGIT.findall(text)) >= 2 and text.lower() != text != text.upper() and randomness(text) >= LEAST_BITS
 
 
 def find(text: str) -> list[tuple[int, int, int, str]]:
@@ -58,9 +58,14 @@ def find(text: str) -> list[tuple[int, int, int, str]]:
         out += [(m.start(), 2, m.end(), m[0]) for m in _HEX.finditer(text) if m.end() - m.start() >= 24]
     more = [(m.start(), 3, m.end(), m[0]) for m in _FORMATS.finditer(text)]
     more += [(m.start(), 3, m.end(), m[0]) for m in _RANDOM.finditer(text) if _as_random_as_keys(m[0])]
-    for x in more:
-        if not any(x[0] < y[2] and y[0] < x[2] for y in out):
-            out.append(x)
+    if more:
+        taken = bytearray(len(text))
+        for start, _, end, _ in out:
+            taken[start:end] = b"\1" * (end - start)
+        for x in more:
+            if taken.find(1, x[0], x[2]) < 0:
+                taken[x[0] : x[2]] = b"\1" * (x[2] - x[0])
+                out.append(x)
     return sorted(out)
 
 
@@ -87,7 +92,7 @@ def scan(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = (
     one = found.where("size(spans) > 0").select("doc_id", "key", "owner", "repository", F.explode("spans").alias("s"))
     owned = one.groupBy("s.hash", "key").agg(F.min(F.struct("owner", "repository")).alias("o")).select("hash", "o.owner", "o.repository").distinct()
     counts = owned.groupBy("hash").agg(F.countDistinct("owner").alias("n_owners"), F.countDistinct("repository").alias("n_repositories"))
-    all_owners, all_repositories = found.agg(F.approx_count_distinct("owner", 0.02), F.approx_count_distinct("repository", 0.02)).first()
+    all_owners, all_repositories = found.agg(F.countDistinct("owner"), F.countDistinct("repository")).first()
     common = lambda n, most, total: F.col(n) > max(most, total * percent // 100)
     live = ~(common("n_owners", most_owners, all_owners) & common("n_repositories", most_repositories, all_repositories))
     part = F.pmod(F.xxhash64("doc_id", "key"), F.lit(PARTS)).cast("int")

@@ -468,3 +468,19 @@ def test_empty_tables(spark, tmp_path):
     token_output.write_ids(none, WORDS, 1, f"file://{tmp_path}/out")
     assert token_output.read_ids(spark, f"file://{tmp_path}/out").count() == 0
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_candidates_of_any_number_and_length():
+    """A text of 100,000 candidates takes time in proportion; one of 5000 characters is found whole."""
+    import time
+
+    chance = random.Random(6)
+    key = lambda n: "".join(chance.choice("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789") for _ in range(n))
+    keys = [key(24) for _ in range(100_000)]
+    began = time.perf_counter()
+    found = secret_scan.find(" ".join(keys))
+    assert time.perf_counter() - began < 20
+    assert [f[3] for f in found if f[1] == 3] == [k for k in keys if secret_scan._as_random_as_keys(k)] and len(found) > 90_000
+    long = key(5000)
+    assert [(f[0], f[2]) for f in secret_scan.find(f"x {long} y")] == [(2, 5002)]
+    assert secret_scan.find("password=" + long) == [(0, 0, 5009, long)]
