@@ -23,7 +23,7 @@ MEASURES = {"symbol_ratio": 0.02, "dup_line_ratio": 0.34, "repeat_ratio": 0.16,
 def with_measures(docs: DataFrame, carried: list[str]) -> DataFrame:
     """doc (the carried columns as one, so that none clashes with others), lang, source, n_words, word_chars, n_symbols, n_lines
     (with words), n_dup_lines and n_repeat_words. Null texts have no words."""
-    docs = docs.select(F.struct(*carried).alias("doc"), "lang", "source", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    docs = docs.select(F.struct(*(F.col(f"`{x}`") for x in carried)).alias("doc"), "lang", "source", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     t = F.col("text")
     words = F.filter(F.split(t, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     out = docs.withColumn("_words", words)

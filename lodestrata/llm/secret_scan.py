@@ -110,7 +110,7 @@ def redact(docs: DataFrame, placeholder: str = "[secret]", **options) -> DataFra
     live = scan(docs, **options).select("doc_id", "key", F.filter("spans", lambda s: s["live"]).alias("cut_spans")).where("size(cut_spans) > 0").distinct()
     live = live.withColumnsRenamed({"doc_id": "cut_id", "key": "cut_key"})
     # the row as one column, so that no name of docs clashes with another one
-    own, text_key = F.struct(*docs.columns).alias("doc"), c.text_key().alias("text_key")
+    own, text_key = F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("doc"), c.text_key().alias("text_key")
     joined = docs.select(own, F.col("doc_id").alias("row_id"), text_key).join(live, F.col("row_id").eqNullSafe(F.col("cut_id")) & (F.col("text_key") == F.col("cut_key")), "left")
     # spans that overlap are one; the text between the spans is kept, and what follows the last one
     old = F.col("doc.text")

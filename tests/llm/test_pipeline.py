@@ -18,6 +18,42 @@ def test_near_duplicates_by_row(spark):
     assert Counter(tuple(r) for r in got.collect()) == Counter([*ROWS[:2], ROWS[3], *ROWS[5:7], *ROWS[8:]])
 
 
+def odd(spark):
+    """Rows with columns of clashing names, a null in each column, equal ids and texts with other columns, empty and long texts."""
+    names = "doc_id long, text string, lang string, source string, row string, row_key string, doc string, component_id string, cut_id string, n_chars long, `a.b` int"
+    text = words(60, 1)
+    rows = [(1, text, "en", "b", "mine", "k", "d", "c", "x", 5, 1), (1, text, "en", "a", "mine", "k", "d", "c", "x", 5, 1), (1, text, None, "a", None, None, None, None, None, None, None), (2, words(60, 7), "de", "a", "r2", "k", "d", "c", "x", 1, 2)]
+    rows += [(3, None, None, None, "r3", None, None, None, None, None, None), (4, "", "en", "a", "r4", "k", "d", "c", "x", 0, 3), (None, words(40_000, 9), "en", "a", "r5", "k", "d", "c", "x", 9, 4), (5, words(50, 8) + " password=abcdefgh", "en", "a", "r6", "k", "d", "c", "x", 9, 4)]
+    return spark.createDataFrame(rows, names).repartition(2), rows
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    spark.createDataFrame([(1, words(60, 7))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, rows = odd(spark)
+    got = {stage: Counter(tuple(r) for r in f(spark, docs, str(tmp_path)).collect()) for stage, f in corpus_pipeline.STAGES[:4]}
+    assert got["ngram_jaccard_join"] == Counter([rows[1], *rows[3:]])
+    assert got["decontamination"] == Counter([*rows[:3], *rows[4:]])
+    secret = rows[7][1].replace("password=abcdefgh", "[secret]")
+    assert got["secret_scan"] == Counter([*rows[:7], (5, secret, *rows[7][2:9], len(secret), 4)])
+    assert sum(got["quality_rules"].values()) == 6 and set(got["quality_rules"]) < set(rows)
+    packed = corpus_pipeline.sequences(spark, docs, "").collect()
+    assert sum(r.start == 0 for r in packed) == len(rows)
+    for stage, f in corpus_pipeline.STAGES:
+        none = f(spark, docs.where("false"), str(tmp_path))
+        assert none.count() == 0 and (stage == "packing" or none.columns == docs.columns)
+
+
+def test_keys_of_different_rows_differ(spark, monkeypatch):
+    """With a first key of few bits, rows that clash get other keys."""
+    from pyspark.sql import functions as F
+
+    key = corpus_pipeline._key
+    monkeypatch.setattr(corpus_pipeline, "_key", lambda seed, name: F.pmod(key(seed, name), F.lit(11)) if seed == 0 else key(seed, name))
+    docs = spark.createDataFrame([(k // 2 if k % 5 else None, words(6, k)) for k in range(60)] + [(0, words(6, 1))] * 2, SCHEMA)
+    keys = docs.select(corpus_pipeline.row_key(docs, "doc_id")).distinct().count()
+    assert keys == docs.distinct().count()
+
+
 def test_decontamination_by_row(spark, tmp_path):
     items = [(7, words(60, 2)), (None, words(60, 6)), (None, words(60, 5)), (8, None)]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
