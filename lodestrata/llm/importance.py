@@ -11,6 +11,7 @@ import hashlib
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,16 +46,21 @@ class Features:
 
     def forget(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.seen = np.zeros((3, 0), np.uint32)  # checksum, checksum with a space behind, bytes
+        self.known = 0
+        self.seen = np.zeros((3, 4096), np.uint32)  # checksum, checksum with a space behind, bytes; grows by doubling
 
     def _numbers(self, words: list[bytes]) -> np.ndarray:
         index = self.index
         ids = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
-        if len(index) > self.seen.shape[1]:
-            new = list(index)[self.seen.shape[1] :]
+        if len(index) > self.known:
+            new = list(islice(reversed(index), len(index) - self.known))[::-1]
             sums = [zlib.crc32(w) for w in new]
-            more = np.array([sums, [zlib.crc32(b" ", s) for s in sums], [min(len(w), _SHORT + 1) for w in new]], np.uint32)
-            self.seen = np.concatenate([self.seen, more], axis=1)
+            if len(index) > self.seen.shape[1]:
+                grown = np.zeros((3, 2 * len(index)), np.uint32)
+                grown[:, : self.known] = self.seen[:, : self.known]
+                self.seen = grown
+            self.seen[:, self.known : len(index)] = sums, [zlib.crc32(b" ", s) for s in sums], [min(len(w), _SHORT + 1) for w in new]
+            self.known = len(index)
         return ids
 
     def of(self, text: bytes | None) -> Iterator[tuple[int, np.ndarray]]:
