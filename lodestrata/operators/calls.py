@@ -75,7 +75,7 @@ def java_js_findings(files: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
             out = pd.DataFrame(rows, columns=[x.split()[0] for x in _ROW.split(", ")], dtype=object)
             yield out
 
-    rows = files.where(F.col("ext").isin(*EXTENSIONS)).select("rel_path", "ext", "content").mapInPandas(read, _ROW)
+    rows = files.where(F.col("ext").isin(*EXTENSIONS) & F.col("content").isNotNull()).select("rel_path", "ext", "content").mapInPandas(read, _ROW)
     calls = rows.where("ordinal is not null").drop("local", "module", "member")
     # the last import of a name holds; a file's rows come in order
     imports = rows.where("local is not null").select("file", "local", "module", "member").groupBy("file", "local").agg(F.max_by(F.struct("module", "member"), F.struct("module", "member")).alias("bound"))

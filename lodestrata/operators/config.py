@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,23 +89,45 @@ def file_format(path: Column, name: Column, ext: Column) -> Column:
     )
 
 
-def config_pairs(files: DataFrame) -> DataFrame:
-    """path, fmt, kind, ordinal, line, key_path, value of configuration files (path, name, ext, content), in order in each file.
+def _kinds(files: DataFrame) -> DataFrame:
+    files = files.select("path", file_format(F.col("path"), F.col("name"), F.col("ext")).alias("fmt"), "content").where("fmt is not null and content is not null")
+    return files.withColumn("kind", F.when(F.col("fmt").startswith("yaml"), "yaml").otherwise(F.col("fmt")))
+
 
-    nginx directives are read by expressions, the others file by file; files that are no UTF-8 or can't be parsed have none."""
-    files = files.select("path", file_format(F.col("path"), F.col("name"), F.col("ext")).alias("fmt"), "content").where("fmt is not null")
-    kind = F.when(F.col("fmt").startswith("yaml"), "yaml").otherwise(F.col("fmt"))
-    files = files.withColumn("kind", kind)
+def _parsed(files: DataFrame) -> DataFrame:
+    """Pairs of files that are parsed one by one; a file that can't be is one row without ordinal, with the reason as value."""
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(path, fmt, kind, k, 0, *own) for path, fmt, kind, content in zip(b["path"], b["fmt"], b["kind"], b["content"]) for k, own in enumerate(parsers.pairs(kind, bytes(content)))]
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in _PAIR.split(", ")])
+            rows = []
+            for path, fmt, kind, content in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3)):
+                found, problem = parsers.pairs(kind, content.as_py())
+                rows += [(path, fmt, kind, k, 0, *own) for k, own in enumerate(found)]
+                rows += [(path, fmt, kind, None, 0, None, problem)] if problem else []
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=[x.split()[0] for x in _PAIR.split(", ")])
+
+    return _kinds(files).where("kind <> 'nginx'").select("path", "fmt", "kind", "content").mapInArrow(parse, _PAIR)
+
+
+def _nginx(files: DataFrame) -> DataFrame:
+    return _kinds(files).where("kind = 'nginx'").select("path", F.expr("try_validate_utf8(cast(content as string))").alias("text"))
 
-    parsed = files.where("kind <> 'nginx'").select("path", "fmt", "kind", "content").mapInPandas(parse, _PAIR)
-    texts = files.where("kind = 'nginx'").select("path", F.expr("try_validate_utf8(cast(content as string))").alias("text")).where("text is not null")
+
+def config_pairs(files: DataFrame) -> DataFrame:
+    """path, fmt, kind, ordinal, line, key_path, value of configuration files (path, name, ext, content), in order in each file.
+
+    nginx directives are read by expressions, the others file by file; files that are no UTF-8 or can't be parsed have none
+    (config_problems() says which)."""
+    texts = _nginx(files).where("text is not null")
     lines = manifests.nginx_directives(texts).select("path", F.lit("nginx").alias("fmt"), F.lit("nginx").alias("kind"), F.col("lineno").cast("int").alias("ordinal"), F.col("lineno").cast("int").alias("line"), F.array("directive").alias("key_path"), "value")
-    return parsed.unionByName(lines)
+    return _parsed(files).where("ordinal is not null").unionByName(lines)
+
+
+def config_problems(files: DataFrame) -> DataFrame:
+    """path, problem of configuration files that can't be read."""
+    no_text = _nginx(files).where("text is null").select("path", F.lit("UnicodeDecodeError: no UTF-8").alias("problem"))
+    return _parsed(files).where("ordinal is null").select("path", F.col("value").alias("problem")).unionByName(no_text)
 
 
 def interpolated(value: Column) -> Column:

@@ -32,22 +32,40 @@ EVIDENCE = 255
 _RECORD = "path string, ordinal int, line int, ecosystem string, name string, version string, scope string, declared string"
 
 
-def dependency_records(files: DataFrame) -> DataFrame:
-    """path, ordinal, line, ecosystem, name, version, scope, declared of all manifests among files (path, name, content).
-
-    Requirement files are read by expressions, the others file by file. Files that are no UTF-8 or can't be parsed have no
-    records; an exact version only, else null."""
+def _parsed(files: DataFrame) -> DataFrame:
+    """Records of manifests that are parsed file by file; a file that can't be is one row without ordinal, with the reason as declared."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(path, k, 0, *own) for path, name, content in zip(b["path"], b["name"], b["content"]) for k, own in enumerate(parsers.dependencies(name, bytes(content)))]
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in _RECORD.split(", ")])
+            rows = []
+            for path, name, content in zip(b["path"], b["name"], b["content"]):
+                found, problem = parsers.dependencies(name, bytes(content))
+                rows += [(path, k, 0, *own) for k, own in enumerate(found)]
+                rows += [(path, None, 0, None, None, None, None, problem)] if problem else []
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in _RECORD.split(", ")]).astype({"ordinal": "Int32"})
+
+    return files.where(F.col("name").isin(*parsers.MANIFESTS) & F.col("content").isNotNull()).select("path", "name", "content").mapInPandas(parse, _RECORD)
+
+
+def _requirements(files: DataFrame) -> DataFrame:
+    return files.where("name like 'requirements%.txt' and content is not null").select("path", F.regexp_replace("name", "\\.txt$", "").alias("scope"), F.expr("try_validate_utf8(cast(content as string))").alias("text"))
 
-    parsed = files.where(F.col("name").isin(*parsers.MANIFESTS)).select("path", "name", "content").mapInPandas(parse, _RECORD)
-    texts = files.where("name like 'requirements%.txt'").select("path", F.regexp_replace("name", "\\.txt$", "").alias("scope"), F.expr("try_validate_utf8(cast(content as string))").alias("text"))
+
+def dependency_records(files: DataFrame) -> DataFrame:
+    """path, ordinal, line, ecosystem, name, version, scope, declared of all manifests among files (path, name, content).
+
+    Requirement files are read by expressions, the others file by file. Files that are no UTF-8 or can't be parsed have no
+    records (dependency_problems() says which); an exact version only, else null."""
+    texts = _requirements(files)
     lines = manifests.requirements(texts.where("text is not null").withColumn("path", F.struct("path", "scope")))
     lines = lines.select("path.path", F.col("line").alias("ordinal"), "line", F.lit("pypi").alias("ecosystem"), "name", "version", "path.scope", "declared")
-    return parsed.unionByName(lines)
+    return _parsed(files).where("ordinal is not null").unionByName(lines)
+
+
+def dependency_problems(files: DataFrame) -> DataFrame:
+    """path, problem of manifests that can't be read."""
+    no_text = _requirements(files).where("text is null").select("path", F.lit("UnicodeDecodeError: no UTF-8").alias("problem"))
+    return _parsed(files).where("ordinal is null").select("path", F.col("declared").alias("problem")).unionByName(no_text)
 
 
 def dependency_findings(files: DataFrame, packages: list[tuple] = PACKAGES) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.finding import as_findings
 from ..sources import der
+from ..sources.images import ImageSource
 from .findings import merged_layers
 from .packages import kept_path, package_findings
 
@@ -41,16 +43,42 @@ def key_findings(files: DataFrame) -> DataFrame:
     return as_findings(out, library="openssl", language="n/a", detection_method="certificate_parse", artifact_type="CONTAINER_LAYER", artifact_ref=F.col("file")).withColumn("confidence", F.lit("high"))
 
 
+def certificate_findings(files: DataFrame) -> DataFrame:
+    """Keys in certificate and key files that stand alone (rel_path, content)."""
+    found = key_findings(files.select(F.col("rel_path").alias("file"), F.col("rel_path").alias("path"), "content"))
+    return found.withColumn("artifact_type", F.lit("SOURCE_FILE"))
+
+
+def read_images(spark: SparkSession, root: str, most: int = 1 << 31) -> DataFrame:
+    """Entries of all images at or below root; what can't be read is a row of kind PROBLEM."""
+    spark.dataSource.register(ImageSource)
+    return spark.read.format("image_layers").options(maxBytes=most, problems="rows").load(root)
+
+
+def within_limit(entries: DataFrame, most: int = 1 << 31) -> tuple[DataFrame, DataFrame]:
+    """Entries of the images whose layers unpack to `most` bytes in all, and problems (source, path, image, layer_index, problem) of
+    the others, with the layer where a running sum over the layers goes beyond the limit, and of what couldn't be read."""
+    sizes = entries.where("kind = 'FILE'").groupBy("source", "image", "layer_index").agg(F.sum("size").alias("size"))
+    # a row for each layer of an image
+    running = sizes.withColumn("total", F.sum("size").over(W.partitionBy("source", "image").orderBy("layer_index")))
+    over = running.where(F.col("total") > most).groupBy("source", "image").agg(F.min("layer_index").alias("layer_index"))
+    over = over.withColumn("problem", F.lit(f"more than {most} bytes"))
+    read = entries.where("kind = 'PROBLEM'").select("source", "image", "layer_index", "problem")
+    problems = over.unionByName(read).withColumn("path", F.col("source"))
+    return entries.join(problems.select("source").distinct(), "source", "left_anti"), problems
+
+
 def image_findings(entries: DataFrame) -> DataFrame:
     """image and findings of layer entries (image, layer, layer_index, path, kind, content): of files that later layers leave,
     each in the layer that it is from."""
+    entries = entries.where("kind <> 'PROBLEM'")
     left = merged_layers(entries.select("image", "path", "layer_index", "kind"))
     files = entries.where("kind = 'FILE'").join(left, ["image", "path", "layer_index"])
-    database = F.when(F.col("path") == "var/lib/dpkg/status", "deb").when(F.col("path") == "lib/apk/db/installed", "apk").when(F.col("path").startswith("var/lib/rpm/"), "rpm")
+    database = F.when(F.col("path") == "var/lib/dpkg/status", "deb").when(F.col("path") == "lib/apk/db/installed", "apk").when(F.col("path").rlike("^var/lib/rpm/Packages[^/]*$"), "rpm")
     # the image goes along in front of the layer's digest, and is cut off again
     mark = F.concat_ws("\u001f", "image", "layer")
-    packages = package_findings(files.select(mark.alias("layer"), database.alias("ecosystem"), "content").where("ecosystem is not null"))
-    keys = key_findings(files.where(kept_path()).select(F.concat_ws(":", mark, "path").alias("file"), "path", "content"))
+    packages = package_findings(files.select(mark.alias("layer"), database.alias("ecosystem"), "content").where("ecosystem is not null and content is not null"))
+    keys = key_findings(files.where(kept_path() & F.col("content").isNotNull()).select(F.concat_ws(":", mark, "path").alias("file"), "path", "content"))
     both = packages.unionByName(keys)
     part = lambda k: F.split("file", "\u001f")[k]
     return both.select(part(0).alias("image"), part(1).alias("file"), *(x for x in both.columns if x not in ("file", "artifact_ref"))).withColumn("artifact_ref", F.col("file"))

@@ -38,7 +38,7 @@ def kept_path(path: str = "path"):
     p = F.col(path)
     out = F.lit(True)
     for folder in LAYER_SKIP:
-        out = out & ~p.startswith(folder) & ~p.contains(f"/{folder}/")
+        out = out & ~p.startswith(folder) & ~F.concat(F.lit("/"), p, F.lit("/")).contains(f"/{folder}/")
     return out
 
 

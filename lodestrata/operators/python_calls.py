@@ -85,6 +85,22 @@ def call_sites(source: str) -> list[tuple]:
     return out
 
 
+def python_problems(files: DataFrame) -> DataFrame:
+    """path, problem of the .py files that can't be parsed."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, content in zip(b["rel_path"], b["content"]):
+                try:
+                    ast.parse(bytes(content).decode("utf-8", "replace"))
+                except (SyntaxError, ValueError) as e:
+                    rows.append((path, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "problem"])
+
+    return files.where("ext = '.py' and content is not null").select("rel_path", "content").mapInPandas(parse, "path string, problem string")
+
+
 def python_findings(files: DataFrame, calls_known: list[tuple] = CALLS) -> DataFrame:
     """Findings of the .py files of a tree (file, content): the first of a call's names that a rule has; else, for hashlib.new
     and hmac.new, the digest named by a literal."""
@@ -95,7 +111,7 @@ def python_findings(files: DataFrame, calls_known: list[tuple] = CALLS) -> DataF
             out = pd.DataFrame(rows, columns=[x.split()[0] for x in _SITES.split(", ")])
             yield out.astype({"key_size": "Int32"})
 
-    calls = files.where("ext = '.py'").select("rel_path", "content").mapInPandas(sites, _SITES)
+    calls = files.where("ext = '.py' and content is not null").select("rel_path", "content").mapInPandas(sites, _SITES)
     rules = F.broadcast(files.sparkSession.createDataFrame(calls_known, "name string, algorithm string, primitive string, library string"))
     tried = calls.select("file", "line", "ordinal", F.posexplode("candidates").alias("pos", "name")).join(rules, "name")
     best = tried.groupBy("file", "line", "ordinal").agg(F.min_by(F.struct("algorithm", "primitive", "library"), "pos").alias("rule"))

@@ -78,9 +78,17 @@ def private_key(kind: str, data: bytes) -> tuple[str, int | None, bool]:
     return name, size, name == "DSA" or name == "RSA" and size < 2048
 
 
+def _decoded(text: bytes) -> bytes | None:
+    try:
+        return base64.b64decode(re.sub(rb"\s", b"", text))
+    except ValueError:
+        return None
+
+
 def keys_of(data: bytes) -> list[tuple[str, str, int | None, bool]]:
-    """How it was found, name, size and weakness of the first certificate in the data, or else of the first private key."""
-    found = [(m[1].decode(), base64.b64decode(re.sub(rb"\s", b"", m[2]))) for m in _PEM.finditer(data)]
+    """How it was found, name, size and weakness of the first certificate in the data, or else of the first private key. What
+    is no base64 or no DER is passed over."""
+    found = [(m[1].decode(), raw) for m in _PEM.finditer(data) if (raw := _decoded(m[2])) is not None]
     certificates = [raw for kind, raw in found if kind == "CERTIFICATE"]
     try:
         if certificates or data[:1] == b"\x30":

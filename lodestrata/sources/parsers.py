@@ -96,7 +96,7 @@ def package_lock(text: str) -> Iterator[tuple]:
 
 def pom(text: str) -> Iterator[tuple]:
     if re.search("<!(DOCTYPE|ENTITY)", text, re.I):
-        return
+        raise ValueError("a document type or entity is declared")
     local = lambda e: e.tag.rpartition("}")[2]
     root = ElementTree.fromstring(text)
     parents = [root, *(e for e in root if local(e) == "dependencyManagement")]
@@ -111,12 +111,16 @@ def pom(text: str) -> Iterator[tuple]:
 MANIFESTS = {"pyproject.toml": pyproject, "Pipfile.lock": pipfile_lock, "poetry.lock": poetry_lock, "package.json": package_json, "package-lock.json": package_lock, "pom.xml": pom}
 
 
-def dependencies(name: str, content: bytes) -> list[tuple]:
-    """Ecosystem, name, version, scope and the declaration; nothing where the file can't be read."""
+def _why(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}".split("\n")[0][:500]
+
+
+def dependencies(name: str, content: bytes) -> tuple[list[tuple], str | None]:
+    """Ecosystem, name, version, scope and the declaration of each dependency; why there is none where the file can't be read."""
     try:
-        return list(MANIFESTS[name](content.decode("utf-8")))
-    except Exception:  # noqa: BLE001  a broken file is no finding
-        return []
+        return list(MANIFESTS[name](content.decode("utf-8"))), None
+    except Exception as e:  # noqa: BLE001  whatever is wrong with a file is a problem of that file
+        return [], _why(e)
 
 
 def walk(node, path: tuple = ()) -> Iterator[tuple[tuple, object]]:
@@ -207,18 +211,24 @@ def hcl(text: str) -> dict:
     return body()
 
 
-def pairs(kind: str, content: bytes) -> list[tuple]:
-    """Key path and value as text, of all documents of a file, in order."""
+def _yaml_loader():
+    import yaml
+
+    return getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+
+
+def pairs(kind: str, content: bytes) -> tuple[list[tuple], str | None]:
+    """Key path and value as text, of all documents of a file, in order; why there is none where the file can't be read."""
     try:
         text = content.decode("utf-8")
         if kind == "yaml":
             import yaml
 
-            docs = list(yaml.safe_load_all(text))
+            docs = list(yaml.load_all(text, Loader=_yaml_loader()))
         else:
             docs = [json.loads(text) if kind == "json" else hcl(text)]
         if kind == "json" and not isinstance(docs[0], (dict, list)):
-            return []
-        return [(list(path), str(value).strip()) for doc in docs for path, value in walk(doc)]
-    except Exception:  # noqa: BLE001
-        return []
+            return [], None
+        return [(list(path), str(value).strip()) for doc in docs for path, value in walk(doc)], None
+    except Exception as e:  # noqa: BLE001
+        return [], _why(e)

@@ -39,3 +39,40 @@ def test_confidence_vectors(spark):
     cases = [([], 0.0, "UNVERIFIED"), (["import_resolved", "call_site_matched", "literal_algorithm_arg", "expected_module_confirmed"], 0.9, "VERIFIED"), (["rule_yaml_matched", "dynamic_algorithm_arg", "import_unresolved"], 0.0, "UNVERIFIED"), (["no_such", "import_resolved"], 0.35, "UNVERIFIED"), (None, 0.0, "UNVERIFIED")]
     df = spark.createDataFrame([(s,) for s, *_ in cases], "s array<string>").withColumn("v", confidence.score(F.col("s"))).withColumn("b", confidence.band(F.col("v")))
     assert [(float(r.v), r.b) for r in df.collect()] == [(v, b) for _, v, b in cases]
+
+
+def test_a_tree_opens_only_what_is_asked_for(spark, tmp_path, monkeypatch):
+    """Counted opens; links within the root count, links out of it don't; what can't be read is a row."""
+    import builtins
+    import os
+
+    from pyspark.sql.types import StructType
+
+    from lodestrata.sources import tree
+
+    root = tmp_path / "root"
+    (root / "sub").mkdir(parents=True)
+    for name, data in {"a.py": b"x", "b.txt": b"yy", "sub/c.py": b"zzz", "sub/d.so": b"\x7fELFabc", "e.bin": b"MZ..", "big.py": b"x" * 100, "requirements-x.txt": b"r"}.items():
+        (root / name).write_bytes(data)
+    (tmp_path / "out.py").write_bytes(b"secret")
+    for name, target in {"in.py": root / "sub" / "c.py", "leads-out.py": tmp_path / "out.py", "dangling.py": root / "none"}.items():
+        os.symlink(target, root / name)
+    opened = []
+    monkeypatch.setattr(tree, "open", lambda p, *a: (opened.append(os.path.basename(p)), builtins.open(p, *a))[1], raising=False)
+
+    def rows(schema=None, **options):
+        opened.clear()
+        source = tree.TreeSource({"path": str(root)} | options)
+        reader = source.reader(StructType.fromDDL(schema or source.schema()))
+        return sorted(row for p in reader.partitions() for row in reader.read(p))
+
+    got = rows("rel_path string, problem string, content binary", extensions=".py", maxBytes="50")
+    assert got == [("a.py", None, b"x"), ("big.py", "more than 50 bytes", None), ("in.py", None, b"zzz"), ("sub/c.py", None, b"zzz")]
+    assert sorted(opened) == ["a.py", "c.py", "in.py"]
+    assert rows("rel_path string, length long", names="requirements*.txt") == [("requirements-x.txt", 1)] and not opened
+    assert rows("rel_path string, kind string", kinds="elf, pe") == [("e.bin", "pe"), ("sub/d.so", "elf")]
+    read = tree.read_tree(spark, str(root), extensions=[".py", ".txt"], names=["e.*"])
+    assert {r.rel_path for r in read.select("rel_path").collect()} == {"a.py", "b.txt", "sub/c.py", "big.py", "in.py", "requirements-x.txt", "e.bin"}
+    # two uses of one table in a query keep their own conditions
+    both = read.where("ext = '.py'").select("name").union(read.where("ext = '.txt'").select("name"))
+    assert sorted(r.name for r in both.collect()) == ["a.py", "b.txt", "big.py", "c.py", "in.py", "requirements-x.txt"]
