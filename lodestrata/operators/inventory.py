@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import confidence, risk
 from . import findings as ops
+from .numbering import carried, numbered, previous
 
 # fixed values: states of scans, criticalities, kinds of artefacts, ecosystems
 SCAN_STATES = ("pending", "running", "completed", "failed")
@@ -82,16 +83,16 @@ def scanner_output(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def normalize(items: DataFrame) -> DataFrame:
     """Items (scan_id, ordinal, item) as findings: fields under any of their names (the first with a value), coerced, with
-    defaults for what may not be null."""
-    items.createOrReplaceTempView("lodestrata_items")
-    fields = items.sparkSession.sql("SELECT scan_id, ordinal, f.pos, f.key, f.value FROM lodestrata_items, LATERAL variant_explode(item) AS f")
-    names = F.broadcast(items.sparkSession.createDataFrame(FIELD_NAMES, "name string, field string"))
-    fields = fields.withColumn("name", F.replace(F.lower("key"), F.lit(" "), F.lit(""))).join(names, "name").where(_kind(F.col("value")) != "VOID")
-    # a variant is no value to aggregate: its JSON text goes with its kind
-    one = F.struct(_kind(F.col("value")).alias("kind"), F.coalesce(_text(F.col("value")), F.to_json("value")).alias("text"), F.to_json("value").alias("json"))
-    best = fields.groupBy("scan_id", "ordinal", "field").agg(F.min_by(one, F.struct(_text(F.col("value")) == "", "pos")).alias("one"))
-    maps = best.groupBy("scan_id", "ordinal").agg(F.map_from_entries(F.collect_list(F.struct("field", "one"))).alias("m"))
-    rows = items.select("scan_id", "ordinal").join(maps, ["scan_id", "ordinal"], "left")
+    defaults for what may not be null.
+
+    All is done in an item's own row: its fields as an array in order, from which each column takes its best one."""
+    known = F.create_map(*(F.lit(x) for pair in FIELD_NAMES for x in pair))
+    entry = F.map_entries(F.try_variant_get("item", "$", "map<string,variant>"))
+    named = F.transform(entry, lambda e, k: F.struct(F.element_at(known, F.replace(F.lower(e["key"]), F.lit(" "), F.lit(""))).alias("field"), (_text(e["value"]) == "").alias("empty"), k.alias("pos"), _kind(e["value"]).alias("kind"), F.coalesce(_text(e["value"]), F.to_json(e["value"])).alias("text"), F.to_json(e["value"]).alias("json")))
+    given = F.filter(named, lambda e: e["field"].isNotNull() & (e["kind"] != "VOID"))
+    # the least of each field's entries: those with a value come first
+    best = F.aggregate(F.array_sort(given), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<struct<kind:string,text:string,json:string>>")), lambda m, e: F.when(F.map_contains_key(m, e["field"]), m).otherwise(F.map_concat(m, F.create_map(e["field"], F.struct(e["kind"].alias("kind"), e["text"].alias("text"), e["json"].alias("json"))))))
+    rows = items.select("scan_id", "ordinal", best.alias("m"))
     kind = lambda f: F.try_element_at("m", F.lit(f))["kind"]
     text = lambda f: F.try_element_at("m", F.lit(f))["text"]
     trimmed = lambda f: F.nullif(F.regexp_replace(text(f), "^\\s+|\\s+$", ""), F.lit(""))
@@ -192,6 +193,21 @@ def carried_triage(findings: DataFrame, triage: DataFrame) -> DataFrame:
     return findings.join(last, "fingerprint", "left").select(findings["*"], F.col("triage.status").alias("triage_status"), F.col("triage.updated_at").alias("triaged_at"))
 
 
+def triage_as_of(findings: DataFrame, triage: DataFrame, at: str = "started_at") -> DataFrame:
+    """Findings with the latest decision (fingerprint, updated_at, triage_id, status) on their fingerprint that was made by the
+    time `at` of their scan; later ones don't reach back. Null without one, without a time or without a fingerprint.
+
+    Both sides are one table in the order of fingerprint and time, and decisions are carried along it by ranges, so that a
+    fingerprint of very many findings is split over tasks."""
+    spots = findings.select(F.col("fingerprint"), F.col(at).alias("time"), F.lit(1).alias("side"), F.lit(None).cast(triage.schema["triage_id"].dataType).alias("triage_id"), F.lit(None).cast("string").alias("status"), F.struct(*(f"`{c}`" for c in findings.columns)).alias("finding"))
+    made = triage.select("fingerprint", F.col("updated_at").alias("time"), F.lit(0).alias("side"), "triage_id", F.col("status").cast("string").alias("status"), F.lit(None).cast(spots.schema["finding"].dataType).alias("finding"))
+    known = F.col("side") == 0
+    both = spots.unionByName(made.where("time is not null and fingerprint is not null"))
+    out = carried(both, ["fingerprint"], ["time", "side", "triage_id"], F.when(known, F.struct("status", "time")), "decision").where("side = 1")
+    valid = F.col("time").isNotNull() & F.col("fingerprint").isNotNull()
+    return out.select("finding.*", F.when(valid, F.col("decision.status")).alias("triage_status"), F.when(valid, F.col("decision.time")).alias("triaged_at"))
+
+
 def delivery_status(last: Column, now: Column, stale_after_hours: int) -> Column:
     return F.when(last.isNull(), "never_reported").when(last >= now - F.expr(f"INTERVAL {int(stale_after_hours)} HOURS"), "recent").otherwise("stale")
 
@@ -225,13 +241,16 @@ def with_entry_hash(entries: DataFrame) -> DataFrame:
     return entries.mapInPandas(compute, f"{schema}, computed_hash string")
 
 
-def verify_chain(entries: DataFrame, by: str = "organization_id") -> DataFrame:
-    """ok, checked, first_bad_id for each organization's chain: an entry is bad if its hash isn't that of its fields, or its
-    prev_hash isn't the hash of the entry before it."""
-    chain = W.partitionBy(by).orderBy("id")
-    out = with_entry_hash(entries).withColumn("before", F.lag("entry_hash").over(chain))
-    bad = (F.col("entry_hash") != F.col("computed_hash")) | ~F.col("prev_hash").eqNullSafe(F.col("before"))
-    return out.groupBy(by).agg((F.count_if(bad) == 0).alias("ok"), F.count("*").alias("checked"), F.min(F.when(bad, F.col("id"))).alias("first_bad_id"))
+def verify_chain(entries: DataFrame, by: str = "organization_id", recompute: bool = True) -> DataFrame:
+    """ok, checked, first_bad_id, bad for each organization's chain: an entry is bad if its hash isn't that of its fields (where
+    that is asked for), or its prev_hash isn't the hash of the entry before it.
+
+    A chain is split over tasks by ranges of ids, and the last hash of a range is handed over to the next."""
+    out = previous(with_entry_hash(entries) if recompute else entries, [by], ["id"], "entry_hash", "hash_before")
+    bad = ~F.col("prev_hash").eqNullSafe(F.col("hash_before"))
+    if recompute:
+        bad = bad | ~F.col("entry_hash").eqNullSafe(F.col("computed_hash"))
+    return out.groupBy(by).agg((F.count_if(bad) == 0).alias("ok"), F.count("*").alias("checked"), F.min(F.when(bad, F.col("id"))).alias("first_bad_id"), F.count_if(bad).alias("bad"))
 
 
 def audit_events(events: DataFrame, *, since=None, until=None, after_id=None, **equal) -> DataFrame:
@@ -251,6 +270,44 @@ def risk_distribution(findings: DataFrame, *by: str) -> DataFrame:
     return findings.groupBy(*by).agg(F.count_if(known).alias("total"), *(F.count_if(F.col("risk_tier") == t).alias(t) for t in (*risk.TIERS, "UNSCORED")))
 
 
+def trend(scans: DataFrame, repositories: DataFrame, findings: DataFrame) -> DataFrame:
+    """scan_id, repo_id, repository, started_at and counts of each scan of a known repository: all findings, those without a tier
+    too, and those of each tier. Findings are counted by scan before they meet the scans."""
+    counts = findings.groupBy("scan_id").agg(F.count("*").alias("total"), *(F.count_if(F.col("risk_tier") == t).alias(t) for t in risk.TIERS))
+    known = scans.join(repositories.select("repo_id", F.col("name").alias("repository")), "repo_id").join(counts, "scan_id", "left")
+    return known.select("scan_id", "repo_id", "repository", "started_at", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("total", *risk.TIERS)))
+
+
+def compliance(scored: DataFrame, *by: str) -> DataFrame:
+    """Counts by tier and band, of broken and quantum vulnerable findings and of files; the replacements that are due and the
+    models that judged, which are as few as the rules."""
+    return scored.groupBy(*by).agg(
+        *ops.tier_counts(),
+        *(F.count_if(F.col("confidence_band") == b).alias(b) for b in confidence.RANKS),
+        F.count_if("classical_broken").alias("broken"),
+        F.count_if("quantum_vulnerable").alias("quantum"),
+        F.countDistinct("file").alias("files"),
+        F.array_sort(F.collect_set("recommended_replacement")).alias("replacements"),
+        F.array_sort(F.collect_set("risk_model_version")).alias("models"),
+    )
+
+
+def dashboard(scans: DataFrame, findings: DataFrame) -> DataFrame:
+    """One row: scans that run, critical and quantum vulnerable findings, and for each tier its count, its part of the greatest
+    count and its part of all."""
+    active = scans.agg(F.count_if(F.col("status") == "running").alias("active_scans"))
+    counts = findings.agg(F.count_if("quantum_vulnerable").alias("quantum"), *ops.tier_counts())
+    tiers = (*risk.TIERS, "UNSCORED")
+    most, part = F.greatest(*tiers), lambda n, of: F.coalesce(F.try_divide(n, of), F.lit(0.0))
+    bars = F.array(*(F.struct(F.lit(t).alias("tier"), F.col(t).alias("n"), part(F.col(t), most).alias("of_greatest"), part(F.col(t), F.col("total")).alias("of_all")) for t in tiers))
+    return active.join(F.broadcast(counts.select(F.col("CRITICAL").alias("critical"), "quantum", "total", bars.alias("tiers"))))  # one row each
+
+
+def of_organization(rows: DataFrame, repositories: DataFrame, organization_id: str) -> DataFrame:
+    """Rows (with repo_id) of the repositories of one organization."""
+    return rows.join(repositories.where(F.col("organization_id") == organization_id).select("repo_id"), "repo_id", "left_semi")
+
+
 def first_and_latest(trend: DataFrame, key: str = "repo_id", at: str = "started_at", values: tuple[str, ...] = ("total", "critical")) -> DataFrame:
     """For each key the values of its first and latest scan, and the change between them."""
     order = F.struct(at, "scan_id")
@@ -259,7 +316,8 @@ def first_and_latest(trend: DataFrame, key: str = "repo_id", at: str = "started_
 
 
 def same_library(findings: DataFrame) -> DataFrame:
-    """Findings of packages across engines: ways they were found and the worst tier, by ecosystem, name, version and algorithm."""
+    """Findings of packages across engines: ways they were found and the worst tier, by ecosystem, name, version and algorithm;
+    a package without a version is one of its own."""
     worst = F.min(ops.severity_rank())
     tier = reduce(lambda col, t: col.when(F.col("rank") == ops.TIER_RANK[t], t), risk.TIERS, F).otherwise("UNSCORED")
     out = findings.where("package_name is not null").groupBy("package_ecosystem", "package_name", "package_version", "algorithm").agg(F.sort_array(F.collect_set("artifact_type")).alias("found_as"), F.count("*").alias("findings"), worst.alias("rank"))
@@ -273,10 +331,9 @@ def without_repositories(gone: DataFrame, repositories: DataFrame, scans: DataFr
     return repositories.join(ids, "repo_id", "left_anti"), left, findings.join(left.select("scan_id"), "scan_id", "left_semi")
 
 
-def positions(findings: DataFrame, *order: str, within: str | None = None) -> DataFrame:
+def positions(findings: DataFrame, *order: str) -> DataFrame:
     """finding_id and id: each finding's place from 0 in the order of file, line and what else is named."""
-    window = (W.partitionBy(within) if within else W).orderBy("file", "line", *order)
-    return findings.withColumn("finding_id", F.row_number().over(window) - 1).withColumn("id", F.col("finding_id"))
+    return numbered(findings.drop("id"), "file", "line", *order, position="finding_id").withColumn("id", F.col("finding_id"))
 
 
 def export_rows(findings: DataFrame) -> DataFrame:
@@ -300,6 +357,6 @@ def persist(findings: DataFrame, at: str) -> None:
 
 
 def remediation_text(findings: DataFrame) -> DataFrame:
-    """Adds prompt: the words that ask for a comment on the fix from the table."""
-    return ops.remediation(findings).withColumn("prompt", F.format_string("This file '%s' uses %s at line %d. The recommended fix is %s. Explain the risk and the fix in 1-2 sentences, like a senior engineer's PR comment. Do not suggest any fix other than the one given.", "file", "algorithm", "line", "fix"))
-
+    """Adds prompt: a question about the fix that the table has."""
+    words = "In '%s', line %d uses %s. Our table names this fix: %s. Say in one or two sentences why the use is a risk and how the fix answers it, in the tone of a code review, and name no other fix."
+    return ops.remediation(findings).withColumn("prompt", F.format_string(words, "file", "line", "algorithm", "fix"))

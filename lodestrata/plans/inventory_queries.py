@@ -107,9 +107,9 @@ def python_call_findings(spark, d):
 
 @query("""SELECT c_custkey AS agent_id, count(o_orderkey) AS report_count, max(o_orderdate) AS last_report_at, arg_max(o_orderkey, {'a': o_orderdate, 'b': o_orderkey}) AS last_report_id,
   CASE WHEN max(o_orderdate) IS NULL THEN 'never_reported' WHEN max(o_orderdate) >= TIMESTAMP '2001-08-02 00:00:00' - INTERVAL 2400 HOURS THEN 'recent' ELSE 'stale' END AS delivery_status
-FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') ON o_custkey = c_custkey GROUP BY c_custkey""")
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
 def agent_delivery(spark, d):
-    reports = derive.table(spark, d, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("report_id"), F.col("o_custkey").alias("agent_id"), F.col("o_orderdate").alias("created_at"))
+    reports = derive.table(spark, d, "orders").select(F.col("o_orderkey").alias("report_id"), F.col("o_custkey").alias("agent_id"), F.col("o_orderdate").alias("created_at"))
     agents = derive.table(spark, d, "customer").select(F.col("c_custkey").alias("agent_id"))
     out = inventory.agent_status(agents, reports, F.to_timestamp(F.lit("2001-08-02 00:00:00")), 2400)
     return out.select("agent_id", "report_count", "last_report_at", "last_report_id", "delivery_status")

@@ -43,7 +43,6 @@ UNION ALL SELECT 'r' || id || '/pyproject.toml', 0, 'pypi', 'cryptography', NULL
 UNION ALL SELECT 'r' || id || '/Pipfile.lock', 0, 'pypi', 'pycrypto', '2.' || v, 'UNKNOWN', true, 'python', 'develop: pycrypto==2.' || v FROM p WHERE shape = 3
 UNION ALL SELECT 'r' || id || '/poetry.lock', 0, 'pypi', 'pyopenssl', v, 'UNKNOWN', false, 'python', 'poetry.lock: pyOpenSSL==' || v FROM p WHERE shape = 4
 UNION ALL SELECT 'r' || id || '/pom.xml', 0, 'maven', 'org.bouncycastle:bcprov-jdk18on', CASE WHEN id % 2 = 0 THEN '1.' || v END, 'UNKNOWN', false, 'java', 'pom.xml: org.bouncycastle:bcprov-jdk18on:' || CASE WHEN id % 2 = 0 THEN '1.' || v ELSE '${bc}' END FROM p WHERE shape = 5
-UNION ALL SELECT 'r' || id || '/requirements-dev.txt', 2, 'pypi', 'pycrypto', '2.' || v, 'UNKNOWN', true, 'python', 'requirements-dev: py_crypto==2.' || v FROM p WHERE false
 UNION ALL SELECT 'r' || id || '/requirements-dev.txt', 2, 'pypi', 'pycryptodomex', '2.' || v, 'UNKNOWN', false, 'python', 'requirements-dev: PyCryptodomeX==2.' || v FROM p WHERE shape = 6
 ) SELECT * FROM f""")
 def dependency_findings(spark, d):

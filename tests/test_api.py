@@ -23,7 +23,7 @@ def test_inventory(spark, tmp_path):
     page, total, summary = inv.query_findings(second, sort_by="algorithm", limit=2, languages=["python", "java"])
     assert [r.algorithm for r in page.collect()] == ["3DES", "MD5"] and total.first()[0] == 3 and summary.first().total == 5
     one = page.first()
-    assert inv.get_finding(second, one.id).file == one.file and "The recommended fix is" in inv.remediate(second, one.id).prompt
+    assert inv.get_finding(second, one.id).file == one.file and "names this fix" in inv.remediate(second, one.id).prompt
     with pytest.raises(LookupError):
         inv.get_finding(first, one.id)
     doc = json.loads(inv.export_bom(second))
