@@ -13,6 +13,7 @@ from ..sources import code
 
 # fixed values: language by extension (TypeScript has the rules of JavaScript), and below the name of the method of detection
 EXTENSIONS = {".java": "java", ".js": "javascript", ".cjs": "javascript", ".mjs": "javascript", ".ts": "typescript", ".cts": "typescript", ".mts": "typescript", ".jsx": "javascript", ".tsx": "typescript"}
+PLAIN = (".ts", ".cts", ".mts")  # without elements: `<T>x` is a cast there
 WEB = "webcrypto-global"
 # fixed values: rules, object, method, text of the first argument, algorithm, primitive, weak by default, modules
 RULES = [
@@ -68,10 +69,11 @@ def java_js_findings(files: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
         for b in batches:
             rows = []
             for file, ext, content in zip(b["rel_path"], b["ext"], b["content"]):
-                text, language = bytes(content).decode("utf-8", "replace"), EXTENSIONS[ext]
-                imports = (code.java_imports if language == "java" else code.js_imports)(text)
+                language = EXTENSIONS[ext]
+                source = code.Source(bytes(content).decode("utf-8", "replace"), language, ext not in PLAIN)
+                imports = (code.java_imports if language == "java" else code.js_imports)(source)
                 rows += [(file, language, None, *own, *[None] * 8) for own in imports]
-                rows += [(file, language, k, None, None, None, *own) for k, own in enumerate(code.calls(text))]
+                rows += [(file, language, k, None, None, None, *own) for k, own in enumerate(code.calls(source))]
             out = pd.DataFrame(rows, columns=[x.split()[0] for x in _ROW.split(", ")], dtype=object)
             yield out
 

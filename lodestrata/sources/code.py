@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
-_TOKEN = re.compile(r"""(?P<skip>\s+|//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<text>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)|(?P<name>[A-Za-z_$][\w$]*)|(?P<number>\d[\w.]*)|(?P<sign>=>|\?\.|.)""", re.S)
+from . import jslex
+
+_TOKEN = re.compile(r"""(?P<skip>\s+|//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<text>\"\"\"(?:[^\\]|\\.)*?\"\"\"|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<name>[A-Za-z_$][\w$]*)|(?P<number>\d[\w.]*)|(?P<sign>=>|\?\.|.)""", re.S)
 _NO_CALL = frozenset("if for while switch catch function return typeof await new super synchronized assert do else in of instanceof void delete yield throw case".split())
 _OPEN, _CLOSE = "([{", ")]}"
 _SIZES = ("modulusLength", "keyLength", "length")
@@ -13,9 +15,12 @@ _SIZES = ("modulusLength", "keyLength", "length")
 class Source:
     """The tokens of a file: kind, text, and where they begin and end."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, language: str = "java", markup: bool = True):
         self.text = text
-        self.tokens = [(m.lastgroup, m[0], m.start(), m.end()) for m in _TOKEN.finditer(text) if m.lastgroup != "skip"]
+        if language == "java":
+            self.tokens = [(m.lastgroup, m[0], m.start(), m.end()) for m in _TOKEN.finditer(text) if m.lastgroup != "skip"]
+        else:
+            self.tokens = jslex.tokens(text, markup)
         self.partner: dict[int, int] = {}
         stack: list[int] = []
         for k, (kind, raw, *_) in enumerate(self.tokens):
@@ -72,7 +77,7 @@ class Source:
         while k >= 0:
             while self.word(k) in _CLOSE and self.kind(k) == "sign" and k in self.partner:
                 k = self.partner[k] - 1
-            if self.kind(k) not in ("name", "text"):
+            if self.kind(k) not in ("name", "text", "regex"):
                 return k + 1
             if self.word(k - 1) not in (".", "?."):
                 return k
@@ -87,9 +92,9 @@ class Source:
         return None
 
 
-def calls(text: str) -> list[tuple]:
+def calls(s: Source) -> list[tuple]:
     """Line, object, method, first literal text, size, the size that a chained initialize() has, inline module, the call's text."""
-    s, out = Source(text), []
+    text, out, line, counted = s.text, [], 1, 0
     for k in range(len(s.tokens)):
         if s.kind(k) != "name" or s.word(k + 1) != "(" or s.word(k) in _NO_CALL or s.word(k - 1) in ("new", "function", "class") or k + 1 not in s.partner:
             continue
@@ -100,13 +105,15 @@ def calls(text: str) -> list[tuple]:
             begin -= 1
         chained = s.size(end + 3) if s.word(end + 1) == "." and s.word(end + 2) == "initialize" and s.word(end + 3) == "(" else None
         obj = text[s.tokens[begin][2] : s.tokens[k - 1][2]].strip() if dotted else ""
-        out.append((text.count("\n", 0, s.tokens[begin][2]) + 1, obj, s.word(k), s.first_text(k + 1), s.size(k + 1), chained, s.module(begin, k) if dotted else None, text[s.tokens[begin][2] : s.tokens[end][3]]))
+        start = s.tokens[begin][2]
+        line, counted = (line + text.count("\n", counted, start), start) if start >= counted else (text.count("\n", 0, start) + 1, start)
+        out.append((line, obj, s.word(k), s.first_text(k + 1), s.size(k + 1), chained, s.module(begin, k) if dotted else None, text[s.tokens[begin][2] : s.tokens[end][3]]))
     return out
 
 
-def java_imports(text: str) -> list[tuple]:
+def java_imports(s: Source) -> list[tuple]:
     """Local name, what it stands for, and the member that a static import names."""
-    s, out = Source(text), []
+    out = []
     for k in range(len(s.tokens)):
         if s.word(k) == "import" and s.kind(k) == "name":
             end = next((j for j in range(k, len(s.tokens)) if s.word(j) == ";"), len(s.tokens))
@@ -122,9 +129,9 @@ def java_imports(text: str) -> list[tuple]:
     return out
 
 
-def js_imports(text: str) -> list[tuple]:
+def js_imports(s: Source) -> list[tuple]:
     """Local name, module, and the member where the name stands for one."""
-    s, out = Source(text), []
+    out = []
 
     def named(opening: int, module: str, between: str) -> None:
         for a, b in s.parts(opening):
@@ -132,8 +139,8 @@ def js_imports(text: str) -> list[tuple]:
 
     for k in range(len(s.tokens)):
         if s.word(k) == "import" and s.kind(k) == "name" and s.word(k + 1) != "(" and s.word(k - 1) not in (".", "?."):
-            end = next((j for j in range(k + 1, min(len(s.tokens), k + 400)) if s.kind(j) == "text"), None)
-            if end is None or s.word(end - 1) != "from":
+            end = next((j for j in range(k + 1, len(s.tokens)) if s.kind(j) == "text" or s.word(j) in (";", "(", "=")), None)
+            if end is None or s.kind(end) != "text" or s.word(end - 1) != "from":
                 continue
             module, j = s.word(end)[1:-1].replace("node:", ""), k + 1
             while j < end - 1:

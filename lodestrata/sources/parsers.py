@@ -8,6 +8,8 @@ import tomllib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+from . import hcl
+
 EXACT = re.compile(r"[0-9][A-Za-z0-9.+_-]*")
 _REQUIREMENT = re.compile(r"((?:\w|[.-])*)(?:\[[^\]]*\]?)?(.*)", re.S)
 
@@ -135,82 +137,6 @@ def walk(node, path: tuple = ()) -> Iterator[tuple[tuple, object]]:
         yield path, node
 
 
-_HCL = re.compile(r"""\s+|\#[^\n]*|//[^\n]*|/\*.*?\*/|<<[-~]?(?P<mark>\w+)\n(?P<doc>.*?)\n\s*(?P=mark)\b|(?P<text>"(?:[^"\\$]|\\.|\$\{[^}]*\}|\$)*")|(?P<word>[A-Za-z0-9_.*-]+)|(?P<sign>.)""", re.S)
-
-
-def hcl(text: str) -> dict:
-    """Blocks and attributes as nested dictionaries of lists. Expressions other than literals are `${...}`."""
-    tokens = [(m.lastgroup, m[m.lastgroup]) for m in _HCL.finditer(text) if m.lastgroup and m.lastgroup != "mark"]
-    at = 0
-
-    def peek(k: int = 0):
-        return tokens[at + k] if at + k < len(tokens) else (None, None)
-
-    def take():
-        nonlocal at
-        at += 1
-        return tokens[at - 1]
-
-    def literal(kind, raw):
-        if kind == "text":
-            return raw[1:-1]
-        if kind == "doc" or raw is None:
-            return raw
-        return {"true": True, "false": False, "null": None}[raw] if raw in ("true", "false", "null") else int(raw) if raw.lstrip("-").isdigit() else raw if re.fullmatch(r"-?\d+\.\d+", raw) else f"${{{raw}}}"
-
-    def value():
-        if peek()[1] == "[":
-            take()
-            out = []
-            while peek()[1] not in ("]", None):
-                out.append(value())
-                if peek()[1] == ",":
-                    take()
-            take()
-            return out
-        if peek()[1] == "{":
-            take()
-            return body()
-        kind, raw = take()
-        if peek()[1] not in ("(", "?", "+", "*", "/", "%", "=", "<", ">", "!", "&", "|", "["):
-            return literal(kind, raw)
-        depth, own = 0, [raw]  # an expression: up to the end of its brackets
-        while peek()[1] is not None:
-            sign = peek()[1]
-            if depth == 0 and (sign in (",", "]", "}") or peek(1)[1] == "=" and len(own) > 1 and own[-1] not in "?:+*/%=<>!&|"):
-                break
-            depth += (sign in ("(", "[")) - (sign in (")", "]"))
-            own.append(take()[1])
-            if depth == 0 and own[-1] in (")", "]") and peek()[1] not in ("?", "+", "*", "/", "[", "("):
-                break
-        return f"${{{''.join(own)}}}"
-
-    def body() -> dict:
-        out: dict = {}
-        while peek()[1] not in ("}", None):
-            kind, name = take()
-            if peek()[1] in ("=", ":"):
-                take()
-                out[name.strip('"')] = value()
-            elif kind in ("word", "text"):
-                labels = []
-                while peek()[0] in ("word", "text"):
-                    labels.append(take()[1].strip('"'))
-                if peek()[1] == "{":
-                    take()
-                    inner = body()
-                    for label in reversed(labels):
-                        inner = {label: inner}
-                    out.setdefault(name, []).append(inner)
-            if peek()[1] == ",":
-                take()
-        if at < len(tokens):
-            take()
-        return out
-
-    return body()
-
-
 def _yaml_loader():
     import yaml
 
@@ -226,7 +152,7 @@ def pairs(kind: str, content: bytes) -> tuple[list[tuple], str | None]:
 
             docs = list(yaml.load_all(text, Loader=_yaml_loader()))
         else:
-            docs = [json.loads(text) if kind == "json" else hcl(text)]
+            docs = [json.loads(text) if kind == "json" else hcl.parse(text)]
         if kind == "json" and not isinstance(docs[0], (dict, list)):
             return [], None
         return [(list(path), str(value).strip()) for doc in docs for path, value in walk(doc)], None
