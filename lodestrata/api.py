@@ -3,27 +3,35 @@
 from __future__ import annotations
 
 import datetime as dt
+import secrets
+import time
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import bom, inventory, scan
+from .operators import bom, bundles, inventory, scan
 from .operators import findings as ops
+from .operators.commits import Committed
 
 REPOSITORIES = "repo_id long, name string, url string, organization_id string, external_id string"
 SCANS = "scan_id long, repo_id long, started_at timestamp, at timestamp, ordinal int, status string"
 
 
 class Inventory:
-    """Tables `repositories`, `scans` (events of their states), `findings`, `assessments` and `reports` below a folder.
+    """Tables `repositories`, `scans` (events of their states), `findings`, `assessments`, `reports` and `report_findings` below a
+    folder. The last four are written all or nothing, a scan or an intake at a time.
 
-    Ids are the largest so far and one, so one process at a time may write."""
+    Ids of scans are made of the time and chance, so that several processes may scan at once; those of repositories are the
+    largest so far and one, so one process at a time may add repositories."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self.committed = Committed(spark, self.folder)
 
     def table(self, name: str, schema: str | None = None) -> DataFrame:
+        if name in ("findings", "assessments", "reports", "report_findings"):
+            return self.committed.read(name, schema)
         try:
             return self.spark.read.parquet(f"{self.folder}/{name}")
         except AnalysisException:
@@ -51,12 +59,12 @@ class Inventory:
 
     def run_scan(self, root: str, repo_id: int, types=("source",), min_band: str = "PROBABLE", **options) -> int:
         """Scans a tree and stores what passes the band; the scan's id. A scan that fails is marked so, and its error is raised."""
-        scan_id, started = self._next("scans", "scan_id", SCANS), dt.datetime.now()
+        scan_id, started = time.time_ns() // 1_000_000 << 20 | secrets.randbits(20), dt.datetime.now()
         self._state(scan_id, repo_id, started, 0, "running")
         try:
             raw = inventory.band_gate(scan.tree_findings(self.spark, root, types), min_band)
-            found = inventory.positions(scan.prepare(raw, root, **options), "algorithm", "matched_call").withColumn("scan_id", F.lit(scan_id).cast("long"))
-            inventory.persist(found.withColumn("id", F.concat_ws("-", "scan_id", "finding_id")), self.folder)
+            found = scan.in_order(scan.prepare(raw, root, **options), "finding_id").drop("engine").withColumn("scan_id", F.lit(scan_id).cast("long"))
+            inventory.persist(found.withColumn("id", F.concat_ws("-", "scan_id", "finding_id")), self.committed, f"scan-{scan_id}")
         except Exception:
             self._state(scan_id, repo_id, started, 1, "failed")
             raise
@@ -108,9 +116,29 @@ class Inventory:
             raise ValueError(f"the document has issues: {[(r.code, r.path) for r in wrong]}")
         return text
 
-    def ingest_bundles(self, bundles: DataFrame) -> None:
-        """Stores reports that are new, and their findings scored here. Findings come first: a run that is broken off before the
-        reports are stored is repeated as a whole."""
-        new, scored = inventory.ingest(bundles, self.table("reports", "report_id string, created_at timestamp"))
-        self._append("report_findings", scored)
-        self._append("reports", new.select("report_id", "created_at"))
+    def ingest_bundles(self, reports: DataFrame, key: str | None = None) -> int:
+        """Stores reports that are new and their findings, scored here, both or neither; the number of new reports. A key that has
+        been stored is not stored again."""
+        if key is not None and self.committed.done(key):
+            return 0
+        known = self.table("reports", "report_id string, created_at timestamp")
+        new, scored = inventory.ingest(reports, known)
+        new, scored = inventory.stored(new.select("report_id", "created_at"), "new"), inventory.stored(scored, "scored")
+        found = new.count()
+        if found:
+            self.committed.write(key or f"intake-{secrets.token_hex(8)}", {"report_findings": scored, "reports": new})
+        return found
+
+    def ingest_folder(self, folder: str) -> DataFrame:
+        """Takes in all bundles of a folder of files; source, report_id and reason of those that are refused."""
+        found = inventory.stored(bundles.read(self.spark, folder), "checked")
+        self.ingest_bundles(bundles.reports(found))
+        return found.where("reason is not null").select("source", "report_id", "reason")
+
+    def ingest_stream(self, folder: str, checkpoint: str):
+        """A query that takes in bundles as their files arrive. A batch that is repeated after a failure is stored once."""
+
+        def batch(checked: DataFrame, number: int) -> None:
+            self.ingest_bundles(bundles.reports(checked), f"stream-{checkpoint.rsplit('/', 1)[-1]}-{number}")
+
+        return bundles.read_stream(self.spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.finding import as_findings
+from ..functions.rules import rule_table
 from ..sources import executables
+from ..sources.patterns import Patterns
 
 # fixed values: part of a symbol, algorithm, primitive, library, weak by default
 SYMBOLS = [
@@ -43,21 +45,28 @@ CONSTANTS = [
 SYMBOL_SIGNALS = ("import_resolved", "call_site_matched", "expected_module_confirmed", "rule_yaml_matched")
 CONSTANT_SIGNALS = ("rule_yaml_matched", "import_unresolved")
 SHORT = 4  # shorter parts of symbols have to be the whole symbol
-_ROW = "file string, language string, ordinal int, symbol string, place string, constant int"
+_ROW = "file string, language string, ordinal int, symbol string, place string, constant int, rules array<int>"
 
 
 def binary_findings(files: DataFrame, symbols: list[tuple] = SYMBOLS, constants: list[tuple] = CONSTANTS) -> DataFrame:
     """Findings of executables among files (rel_path, content): each symbol once for an algorithm, each place of a constant."""
-    patterns = [bytes.fromhex(x) for x, *_ in constants]
+    places = Patterns([bytes.fromhex(x) for x, *_ in constants])
+    # short parts of symbols have to be the whole symbol
+    parts = Patterns([x.encode() if len(x) >= SHORT else b"" for x, *_ in symbols])
+    whole: dict[str, list[int]] = {}
+    for k, (x, *_) in enumerate(symbols):
+        whole.setdefault(x, []).append(k)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for file, content in zip(b["rel_path"], b["content"]):
-                if found := executables.read(bytes(content), patterns):
+                if found := executables.read(bytes(content), places):
                     kind, names, hits = found
-                    rows += [(file, kind, k, name, table, None) for k, (name, table) in enumerate(names)]
-                    rows += [(file, kind, None, None, f"{section}+0x{at:x}", k) for section, at, k in hits]
+                    for k, (name, table) in enumerate(names):
+                        if known := sorted({*whole.get(name, ()), *parts.within(name.encode("utf-8", "ignore"))}):
+                            rows.append((file, kind, k, name, table, None, known))
+                    rows += [(file, kind, None, None, f"{section}+0x{at:x}", k, None) for section, at, k in hits]
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in _ROW.split(", ")]).astype({"ordinal": "Int32", "constant": "Int32"})
 
     # an executable begins with one of these; others aren't sent to Python
@@ -65,14 +74,14 @@ def binary_findings(files: DataFrame, symbols: list[tuple] = SYMBOLS, constants:
     executable = start.startswith("4D5A") | start.isin("7F454C46", *(x.hex().upper() for x in executables._MACHO))
     rows = files.where(executable).select("rel_path", "content").mapInPandas(read, _ROW)
     spark = files.sparkSession
-    rules = F.broadcast(spark.createDataFrame([(k, *r) for k, r in enumerate(symbols)], "rule int, wanted string, algorithm string, primitive string, library string, weak_by_default boolean"))
+    rules = rule_table(spark, [(k, *r) for k, r in enumerate(symbols)], "rule int, wanted string, algorithm string, primitive string, library string, weak_by_default boolean")
     # Mach-O files are named otherwise by the rules' formats and match none
     found = rows.where("symbol is not null and language <> 'macho'")
-    hits = found.join(rules, (F.col("symbol") == F.col("wanted")) | (F.length("wanted") >= SHORT) & F.contains("symbol", "wanted"))
+    hits = found.withColumn("rule", F.explode("rules")).join(rules, "rule")
     first = hits.groupBy("file", "algorithm", "symbol").agg(F.min_by(F.struct("language", "place", "primitive", "library", "weak_by_default"), F.struct("ordinal", "rule")).alias("r")).select("file", "algorithm", "symbol", "r.*")
     call = F.concat_ws(":", F.when(F.col("place") == ".dynamic:NEEDED", ".dynamic").otherwise(F.col("place")), "symbol")
     by_symbol = as_findings(first.withColumn("line", F.lit(0)), matched_call=call, confidence_signals=F.array(*map(F.lit, SYMBOL_SIGNALS)), detection_method="binary_symbol_table").withColumn("confidence", F.lit("high"))
-    table = F.broadcast(spark.createDataFrame([(k, *r[1:]) for k, r in enumerate(constants)], "constant int, algorithm string, primitive string, weak_by_default boolean"))
+    table = rule_table(spark, [(k, *r[1:]) for k, r in enumerate(constants)], "constant int, algorithm string, primitive string, weak_by_default boolean")
     placed = rows.where("constant is not null").join(table, "constant").withColumn("line", F.lit(0))
     by_constant = as_findings(placed, matched_call=F.col("place"), library="unknown", confidence_signals=F.array(*map(F.lit, CONSTANT_SIGNALS)), detection_method="binary_constant_scan")
     return by_symbol.unionByName(by_constant)

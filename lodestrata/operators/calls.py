@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.finding import as_findings
+from ..functions.rules import rule_table
 from ..sources import code
 
 # fixed values: language by extension (TypeScript has the rules of JavaScript), and below the name of the method of detection
@@ -92,7 +93,7 @@ def java_js_findings(files: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
     out = out.withColumns({"module": module, "called": method, "rules_of": F.when(F.col("language") == "java", "java").otherwise("javascript")})
     named = F.when((F.col("object") == "") & (F.col("language") == "java"), F.substring_index("module", ".", -1)).otherwise(F.col("object"))
     rules = [(k, *r) for k, r in enumerate(rules)]
-    rules = F.broadcast(files.sparkSession.createDataFrame(rules, "rule int, rules_of string, library string, called string, wanted string, algorithm string, primitive string, weak_by_default boolean, modules array<string>"))
+    rules = rule_table(files.sparkSession, rules, "rule int, rules_of string, library string, called string, wanted string, algorithm string, primitive string, weak_by_default boolean, modules array<string>")
     plain = lambda x: F.regexp_replace(F.lower(x), "[^\\p{L}\\p{N}]", "")
     own_path = (F.col("language") == "java") & F.array_contains("modules", F.col("object"))
     hits = out.join(rules, ["rules_of", "called"]).where((F.array_contains("modules", F.col("module")) | own_path) & F.contains(plain(F.col("text")), plain(F.col("wanted"))))

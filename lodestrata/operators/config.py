@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.finding import as_findings
+from ..functions.rules import rule_table
 from ..sources import parsers
 from . import manifests
 
@@ -156,10 +157,10 @@ def config_findings(files: DataFrame, rules: list[tuple] = RULES, detectors: lis
     spark = files.sparkSession
     rules = {r[0]: (k, *r) for k, r in enumerate(rules)}
     rows = [(k, how, key, kind, *rules[rule], values) for k, (rule, kind, how, keys, values) in enumerate(detectors) for key in keys]
-    table = spark.createDataFrame(rows, "detector int, how string, wanted_key string, wanted_kind string, rule_order int, rule string, algorithm string, primitive string, key_size int, weak_by_default boolean, patterns array<string>")
+    table = rule_table(spark, rows, "detector int, how string, wanted_key string, wanted_kind string, rule_order int, rule string, algorithm string, primitive string, key_size int, weak_by_default boolean, patterns array<string>")
     pairs = config_pairs(files).withColumn("leaf", F.coalesce(F.lower(F.try_element_at("key_path", F.lit(-1))), F.lit(""))).withColumn("wanted_kind", F.when(F.col("kind") == "json", "yaml").otherwise(F.col("kind")))
-    exact = F.broadcast(table.where("how = 'equals'").drop("how"))
-    part = F.broadcast(table.where("how = 'contains'").drop("how").withColumnRenamed("wanted_kind", "part_kind"))
+    exact = table.where("how = 'equals'").drop("how")
+    part = table.where("how = 'contains'").drop("how").withColumnRenamed("wanted_kind", "part_kind")
     hits = pairs.join(exact, (F.col("leaf") == F.col("wanted_key")) & (pairs.wanted_kind == exact.wanted_kind)).drop(exact.wanted_kind)
     hits = hits.unionByName(pairs.join(part, F.contains("leaf", "wanted_key") & (F.col("wanted_kind") == F.col("part_kind"))).drop("part_kind"))
     open_ = interpolated(F.col("value"))

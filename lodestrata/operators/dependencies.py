@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.finding import as_findings
+from ..functions.rules import rule_table
 from ..sources import parsers
 from . import manifests
 
@@ -70,7 +71,7 @@ def dependency_problems(files: DataFrame) -> DataFrame:
 
 def dependency_findings(files: DataFrame, packages: list[tuple] = PACKAGES) -> DataFrame:
     """Packages that rules know, the first of each package and version in a file."""
-    rules = F.broadcast(files.sparkSession.createDataFrame(packages, "ecosystem string, package_name string, library string, algorithm string, primitive string, weak_by_default boolean"))
+    rules = rule_table(files.sparkSession, packages, "ecosystem string, package_name string, library string, algorithm string, primitive string, weak_by_default boolean")
     records = dependency_records(files).withColumn("package_name", manifests.package_name(F.col("name"), F.col("ecosystem")))
     hits = records.join(rules, ["ecosystem", "package_name"])
     first = hits.groupBy("path", "ecosystem", "package_name", "version", "algorithm").agg(F.min_by(F.struct("line", "scope", "declared", "library", "primitive", "weak_by_default"), "ordinal").alias("r"))

@@ -13,7 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import confidence, risk
+from ..sources.stored import stored
 from . import findings as ops
+from .commits import Committed
 from .numbering import carried, numbered, previous
 
 # fixed values: states of scans, criticalities, kinds of artefacts, ecosystems
@@ -349,11 +351,16 @@ def write_findings(findings: DataFrame, path: str, kind: str = "json") -> None:
         findings.write.json(path)
 
 
-def persist(findings: DataFrame, at: str) -> None:
-    """Appends scored findings and their assessments, both from one table that is written first."""
-    kept = ["classical_broken", "quantum_vulnerable", "hndl_exposure", "recommended_replacement", "recommendation_type", "migration_effort_days", "data_shelf_life_years", "quantum_threat_horizon_years", "assumption_source", "risk_model_version"]
-    findings.drop(*kept).write.mode("append").parquet(f"{at}/findings")
-    findings.select(F.col("id").alias("finding_id"), "scan_id", *kept).write.mode("append").parquet(f"{at}/assessments")
+ASSESSED = ("classical_broken", "quantum_vulnerable", "hndl_exposure", "recommended_replacement", "recommendation_type", "migration_effort_days", "data_shelf_life_years", "quantum_threat_horizon_years", "assumption_source", "risk_model_version")
+
+
+def persist(findings: DataFrame, at: Committed, key: str) -> bool:
+    """Stores scored findings and their assessments under a key, both or neither, from one table that is written first; False
+    where the key is stored already."""
+    if at.done(key):
+        return False
+    found = stored(findings, "findings")
+    return at.write(key, {"findings": found.drop(*ASSESSED), "assessments": found.select(F.col("id").alias("finding_id"), "scan_id", *ASSESSED)})
 
 
 def remediation_text(findings: DataFrame) -> DataFrame:

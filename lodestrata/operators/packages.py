@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.finding import as_findings
+from ..functions.rules import rule_table
 
 # fixed values: ecosystem, package, library; all stand for RSA in public key encryption and are not weak by default
 PACKAGES = [
@@ -67,12 +68,14 @@ def installed(databases: DataFrame) -> DataFrame:
 
 def package_findings(databases: DataFrame, packages: list[tuple] = PACKAGES) -> DataFrame:
     """Packages that a rule names, wholly or before a dash or underscore; of a package the first row and the first rule, in each
-    layer's database. The rules are 19 rows."""
+    layer's database. Rules are tried by the names' own beginnings, so that the join is one by equality."""
     rules = [(k, *r) for k, r in enumerate(packages)]
-    rules = F.broadcast(databases.sparkSession.createDataFrame(rules, "rule int, rule_ecosystem string, rule_package string, library string"))
+    rules = rule_table(databases.sparkSession, rules, "rule int, rule_ecosystem string, rule_package string, library string")
     name, wanted = F.col("package"), F.col("rule_package")
-    fits = (F.col("ecosystem") == F.col("rule_ecosystem")) & ((name == wanted) | name.startswith(F.concat(wanted, F.lit("-"))) | name.startswith(F.concat(wanted, F.lit("_"))))
-    hits = installed(databases).join(rules, fits)
+    # a rule's name is the whole name, or what stands before one of its dashes or underscores
+    tries = F.filter(F.transform(F.sequence(F.lit(1), F.length("package")), lambda k: F.when((k == F.length("package")) | F.substring(name, k + 1, F.lit(1)).isin("-", "_"), F.substring(name, F.lit(1), k))), lambda x: x.isNotNull())
+    tried = installed(databases).withColumn("tried", F.explode(tries))
+    hits = tried.join(rules, (F.col("ecosystem") == F.col("rule_ecosystem")) & (F.col("tried") == wanted))
     first = hits.groupBy("layer", "ecosystem", "package").agg(F.min_by(F.struct("version", "library"), F.struct("ordinal", "rule")).alias("r"))
     where = F.concat_ws(":", "layer", "package")
     first = first.select(where.alias("file"), F.lit(0).alias("line"), F.concat(F.col("ecosystem"), F.lit(":"), "package", F.lit("=="), "r.version").alias("matched_call"), "r.library", F.col("ecosystem").alias("package_ecosystem"), F.col("package").alias("package_name"), F.col("r.version").alias("package_version"))

@@ -19,6 +19,7 @@ from .python_calls import python_findings, python_problems
 
 TYPES = ("source", "dependency", "config", "binary", "container", "certificate")
 CONFIGS = (".yaml", ".yml", ".tf", ".conf", ".json")
+ARCHIVES = (".tar", ".tgz", ".gz")  # images, which have a scan of their own
 CERTIFICATE = 2 << 20  # bytes of a file that may be a certificate or key
 REDACTED = "[redacted]"
 
@@ -72,7 +73,7 @@ def tree_findings(spark: SparkSession, root: str, types=("source",), most: int =
     if "container" in types:
         add(image_findings(within_limit(read_images(spark, root, most), most)[0]).drop("image"))
     if "certificate" in types:
-        add(certificate_findings(files("certificate").where("content is not null")))
+        add(certificate_findings(files("certificate").where(F.col("content").isNotNull() & ~F.col("ext").isin(*ARCHIVES))))
     return reduce(DataFrame.unionByName, out)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import struct
 
+from .patterns import Patterns
+
 # fixed values: how Mach-O files begin
 _MACHO = frozenset(bytes.fromhex(x) for x in ("feedface", "feedfacf", "cefaedfe", "cffaedfe", "cafebabe", "bebafeca"))
 _WORD = re.compile(rb"[A-Za-z0-9_]{3,64}")
@@ -78,7 +80,7 @@ def pe(data: bytes) -> tuple[list[tuple[str, str]], list[tuple[str, bytes]]]:
     return symbols, sections
 
 
-def read(data: bytes, constants: list[bytes]) -> tuple[str, list[tuple[str, str]], list[tuple[str, int, int]]] | None:
+def read(data: bytes, constants: Patterns) -> tuple[str, list[tuple[str, str]], list[tuple[str, int, int]]] | None:
     """Format, symbols with their tables, and where constants stand: section, offset, number of the constant. A file that can't be
     parsed is one section, and its words are its symbols."""
     kind = file_format(data)
@@ -92,9 +94,5 @@ def read(data: bytes, constants: list[bytes]) -> tuple[str, list[tuple[str, str]
         symbols = [(w.decode(), ".dynsym") for w in dict.fromkeys(_WORD.findall(data))]
     hits = []
     for name, own in sections or [(".rodata", data)]:
-        for k, constant in enumerate(constants):
-            at = own.find(constant)
-            while at >= 0:
-                hits.append((name, at, k))
-                at = own.find(constant, at + len(constant))
+        hits += [(name, at, k) for at, k in constants.places(own)]
     return kind, symbols, hits

@@ -46,3 +46,59 @@ def test_sql_functions(spark):
     sql.register(spark)
     got = spark.sql("SELECT confidence_band(0.85) a, confidence_band(0.599) b, tier_rank('LOW') c, tier_rank(NULL) d, file_criticality('src/author.py') e, file_criticality(NULL) f, package_key('A_.b', 'pypi') g, package_key('A_.b', 'npm') h, exact_version('1.0.0-beta.1') i, exact_version('1.x') j, exact_version('^2') k, exact_version(NULL) l").first()
     assert tuple(got) == ("VERIFIED", "UNVERIFIED", 3, 4, "CRITICAL", "MEDIUM", "a-b", "a_.b", True, False, False, False)
+
+
+def test_writes_are_whole_or_nothing(spark, tmp_path, monkeypatch):
+    """A scan that breaks off between findings and assessments leaves nothing that is read, and its findings are computed once."""
+    from pyspark.sql import DataFrameWriter
+
+    from lodestrata.operators import inventory, scan
+
+    inv = Inventory(spark, f"file://{tmp_path}/tables")
+    root = tree(tmp_path / "tree", MIXED)
+    repo = inv.repository("own")
+    parquet = DataFrameWriter.parquet
+    computed = []
+    persist, prepare = inventory.persist, scan.prepare
+    monkeypatch.setattr(scan, "prepare", lambda *a, **k: (computed.append(1), prepare(*a, **k))[1])
+
+    def broken(self, path, *args, **kwargs):
+        if path.endswith("/assessments"):
+            raise OSError("the store is gone")
+        return parquet(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", broken)
+    with pytest.raises(OSError):
+        inv.run_scan(root, repo)
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    assert spark.read.parquet(f"file://{tmp_path}/tables/findings").count() == 3 and inv.table("findings").count() == 0
+    scan_id = inv.run_scan(root, repo)
+    assert inv.table("findings").count() == inv.table("assessments").count() == 3 and len(computed) == 2
+    assert {r.status for r in inv.scans().collect()} == {"failed", "completed"}
+    again = inv.table("findings").join(inv.table("assessments").drop("scan_id").withColumnRenamed("finding_id", "id"), "id")
+    assert not persist(again, inv.committed, f"scan-{scan_id}") and inv.table("findings").count() == 3
+
+
+def test_intake_of_files_and_streams(spark, tmp_path):
+    from tests.test_bundles import signed
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.json").write_text(json.dumps(signed()))
+    (folder / "b.json").write_text(json.dumps(signed(summary={})))
+    inv = Inventory(spark, f"file://{tmp_path}/tables")
+    assert [(r.report_id, r.reason) for r in inv.ingest_folder(str(folder)).collect()] == [("r1", "digest")]
+    assert inv.table("reports").count() == 1 and inv.table("report_findings").count() == 2
+    for _ in range(2):
+        query = inv.ingest_stream(str(folder), f"{tmp_path}/check").trigger(availableNow=True).start()
+        assert query.awaitTermination(180)
+    assert inv.table("reports").count() == 1
+    from lodestrata.operators import bundles
+
+    own = signed(report_id="r2")
+    (folder / "c.json").write_text(json.dumps(own | {"bundle_digest": bundles.digest(own)}))
+    query = inv.ingest_stream(str(folder), f"{tmp_path}/check").trigger(availableNow=True).start()
+    assert query.awaitTermination(180)
+    assert sorted(r.report_id for r in inv.table("reports").collect()) == ["r1", "r2"] and inv.table("report_findings").count() == 4
+    reports = bundles.reports(bundles.read(spark, str(folder)))
+    assert inv.ingest_bundles(reports, "batch-1") == 0 and inv.table("reports").count() == 2
