@@ -198,5 +198,75 @@ def level_of(keys: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+# Heavy keys. A sketch with counters of 32 bits over all keys, however many there are: a key whose counter is far above what
+# falls on each counter by chance has very many occurrences. Nothing but one bit a counter is broadcast.
+HEAVY_BITS = 24  # log2 of the counters at most: 64 MB in a task, 2 MB broadcast
+HEAVY_FACTOR = 8  # times the mean of all counters
+HEAVY_SCHEMA = "row int, block int, pos binary, n binary"
+
+
+class WideCounts:
+    """One partition's counters. drain() hands out the blocks that have been touched, compressed."""
+
+    def __init__(self, bits: int):
+        self.bits, self.n, self.gathered, self.held = bits, np.zeros(1 << bits, np.uint32), [], 0
+
+    def add(self, keys: np.ndarray) -> None:
+        self.gathered.append((keys >> _U(64 - self.bits)).astype(np.uint32))
+        self.held += len(keys)
+        if self.held >= 1_000_000:
+            self._count()
+
+    def _count(self) -> None:
+        if self.held:
+            at, n = np.unique(np.concatenate(self.gathered), return_counts=True)
+            self.n[at] += np.minimum(n, np.uint32(0xFFFFFFFF) - self.n[at]).astype(np.uint32)
+            self.gathered, self.held = [], 0
+
+    def drain(self) -> Iterator[pa.RecordBatch]:
+        self._count()
+        width = 1 << min(self.bits, BLOCK_BITS)
+        for block in range(len(self.n) // width):
+            own = self.n[block * width : (block + 1) * width]
+            if own.any():
+                packed = pa.compress(own.tobytes(), "zstd", asbytes=True)
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([block], pa.int32()), pa.array([packed], pa.binary()), pa.array([b""], pa.binary())], names=["row", "block", "pos", "n"])
+
+
+def heavy_bits(n_keys: int) -> int:
+    return int(min(HEAVY_BITS, max(16, np.ceil(np.log2(max(n_keys, 1))))))
+
+
+def heavy_flags(partial: DataFrame, bits: int, least: int) -> np.ndarray:
+    """One bit for each counter, packed: whether it reaches `least` and HEAVY_FACTOR times the mean of all counters."""
+    width = 1 << min(bits, BLOCK_BITS)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for block, packed in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                own = sums.setdefault(block, np.zeros(width, np.uint64))
+                own += np.frombuffer(pa.decompress(packed, 4 * width, "zstd", asbytes=True), np.uint32)
+        for block, own in sums.items():
+            top = np.flatnonzero(own >= least)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([int(own.sum())], pa.int64()), lists([top.astype(np.int32)], pa.int32()), lists([own[top].astype(np.int64)], pa.int64())], names=["block", "total", "at", "n"])
+
+    blocks = max(1, (1 << bits) // width)
+    dealt = partial.repartition(blocks, "block").mapInArrow(merge, "block int, total long, at array<int>, n array<long>")
+    merged = materialize(dealt, "heavy")
+    total = merged.agg(F.sum("total")).first()[0] or 0
+    limit = max(least, HEAVY_FACTOR * total >> bits)
+    flags = np.zeros(1 << bits, bool)
+    # no more than 1 / HEAVY_FACTOR of the counters can be so far above the mean
+    for r in merged.select("block", F.posexplode(F.arrays_zip("at", "n")).alias("k", "x")).where(F.col("x.n") >= limit).groupBy("block").agg(F.collect_list("x.at").alias("at")).toLocalIterator():
+        flags[r["block"] * width + np.array(r["at"])] = True
+    return np.packbits(flags, bitorder="little")
+
+
+def is_heavy(keys: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    at = (keys >> _U(64 - (len(flags) * 8).bit_length() + 1)).astype(np.int64)
+    return (flags[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def text_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(F.octet_length("text"))).first()[0] or 0

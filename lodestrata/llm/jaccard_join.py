@@ -6,7 +6,7 @@ Light sets, those up to a boundary size, enumerate their subsets of the sizes th
 when they have such a subset in common, so each group of equal subsets is linked by a star, without any comparison. Heavy
 sets go into inverted lists of their prefixes: in one global order of n-grams, rare ones first, linked sets share one of
 their first n - ceil(t * n) + 1. A counting sketch over the corpus gives that order; n-grams that it has seen once only are
-in no list. The boundary is the size at which the sum of both costs is least, from the measured number of sets and the
+in no list, and those that very many documents have (a notice, a license) come last, at any size of the corpus. The boundary is the size at which the sum of both costs is least, from the measured number of sets and the
 measured lengths of the lists that sets of each size are in.
 
 Lists are scanned in three passes, none of which makes all pairs of a group of copies. First every document is compared
@@ -34,6 +34,7 @@ from .components import connected
 _GRAM = {n: c.Rolling(0x8CB92BA72F3D8DD7 + 2 * n) for n in range(1, 9)}
 LIGHT_SIZES = 64  # sizes that the boundary is sought among; subsets of larger sets always cost more
 COUNTED = 0.3125  # share of the n-grams' hash space that the sketch counts
+HEAVY = 255  # documents' n-grams that may fall on a counter before its n-grams are heavy, whatever the mean
 PAIR = 0.25  # cost of an entry of a list that is scanned, in rows that are shuffled
 LEADERS = 4
 SOME = 32  # members of each list in the round before the last
@@ -97,29 +98,36 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, n_shingles long, fp1 long, fp2 long, " + ", ".join(f"{x} long" for x in BITS))
 
 
-def _sketch(docs: DataFrame, n: int) -> tuple[list[np.ndarray], np.uint64]:
-    """Levels of the counted n-grams, and the hash below which n-grams are counted. Beyond what a sketch of the largest width
-    holds, a smaller share is counted, so that the counts stay right at any size; the others' frequency is unknown."""
+def _sketch(docs: DataFrame, n: int) -> tuple[list[np.ndarray], np.uint64, np.ndarray]:
+    """Levels of the counted n-grams, the hash below which n-grams are counted, and flags of the heavy ones among all.
+
+    Beyond what a sketch of the largest width holds, a smaller share is counted, so that the counts stay right at any size. The
+    frequency of the others is unknown but for those that very many documents have: all are counted in wide counters too."""
     n_grams = c.text_bytes(docs) // 18 * (16 / 5)
     share = min(COUNTED, (1 << c.WIDEST) * 0.3 / max(n_grams, 1))
     bits, counted = c.sketch_bits(int(n_grams * share), 0.3), np.uint64(int(share * 2**64))
+    wide = c.heavy_bits(int(n_grams))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = c.PartialSketch(bits, 1)
+        sketch, counts = c.PartialSketch(bits, 1), c.WideCounts(wide)
         for b in batches:
             for t in b.column(0):
                 x = gram_set(t.as_py(), n)
+                counts.add(x)
                 if sketch.add(x[: np.searchsorted(x, counted)]):
                     yield from sketch.flush()
         yield from sketch.flush()
+        yield from counts.drain()
 
-    return c.merged_levels(docs.select("text").mapInArrow(count, c.SKETCH_SCHEMA), bits, 1, (2, 17, 255)), counted
+    partial = c.materialize(docs.select("text").mapInArrow(count, c.SKETCH_SCHEMA), "sketches")
+    levels = c.merged_levels(partial.where("row >= 0"), bits, 1, (2, 17, 255))
+    return levels, counted, c.heavy_flags(partial.where("row = -1"), wide, HEAVY)
 
 
-def _postings(docs: DataFrame, n: int, percent: int, levels, counted: np.uint64) -> DataFrame:
+def _postings(docs: DataFrame, n: int, percent: int, levels, counted: np.uint64, heavy: np.ndarray) -> DataFrame:
     """token, doc_id, fp1, size, pos (in the global order), ord (among the document's listed n-grams), single (how many in a
     thousand of its n-grams occur once)."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+    shared = docs.sparkSession.sparkContext.broadcast((levels, heavy))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -131,8 +139,9 @@ def _postings(docs: DataFrame, n: int, percent: int, levels, counted: np.uint64)
                 p = len(x) - least_overlap(len(x), percent) + 1
                 inside = int(np.searchsorted(x, counted))
                 rank = np.full(len(x), 3, np.uint8)  # not counted: after all that are known not to be frequent
-                level = c.level_of(x[:inside], shared.value)
+                level = c.level_of(x[:inside], shared.value[0])
                 rank[:inside] = np.where(level == 3, 4, level)
+                rank[c.is_heavy(x, shared.value[1])] = 4
                 first = np.argsort(rank, kind="stable")[:p]
                 pos = np.flatnonzero(rank[first] > 0).astype(np.int32)
                 if len(pos):
@@ -350,8 +359,7 @@ def similar_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     equal = c.materialize(_equal_links(sets), "equal")
     copies = equal.select(F.col("b").alias("doc_id"), "fp1")  # they are linked to their class's document already
     bits = sets.join(copies, ["doc_id", "fp1"], "left_anti").select("doc_id", F.col("n_shingles").alias("size"), *BITS).distinct()
-    levels, counted = _sketch(known, n)
-    posts = c.materialize(_postings(known, n, percent, levels, counted).join(copies, ["doc_id", "fp1"], "left_anti").drop("fp1"), "lists")
+    posts = c.materialize(_postings(known, n, percent, *_sketch(known, n)).join(copies, ["doc_id", "fp1"], "left_anti").drop("fp1"), "lists")
 
     number = {r[0]: r[1] for r in bits.where(f"size <= {LIGHT_SIZES}").groupBy("size").count().collect()}
     light = light_boundary(number, *_costs(posts), percent)

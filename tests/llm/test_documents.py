@@ -484,3 +484,54 @@ def test_candidates_of_any_number_and_length():
     long = key(5000)
     assert [(f[0], f[2]) for f in secret_scan.find(f"x {long} y")] == [(2, 5002)]
     assert secret_scan.find("password=" + long) == [(0, 0, 5009, long)]
+
+
+def notices(n):
+    """Documents of words of their own around one notice, some of them near copies."""
+    notice, chance = words(60, 7), random.Random(5)
+    own = lambda: [f"w{chance.randrange(10**9)}" for _ in range(100)]
+    rows = [(k, " ".join(own() + notice + own())) for k in range(n)]
+    return rows + [(n + k, rows[k][1].replace("w", "v", 3)) for k in range(0, n, 50)]
+
+
+def test_lists_of_a_notice_grow_with_the_documents(spark, monkeypatch):
+    """Where hardly any n-gram is counted one by one, as in very large corpora, those of the notice come last all the same."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(jaccard_join, "COUNTED", 1e-6)
+    pairs = {}
+    for n in (500, 1000, 2000):
+        df = spark.createDataFrame(notices(n), "doc_id long, text string").repartition(4)
+        lists = jaccard_join._postings(df, 4, 85, *jaccard_join._sketch(df, 4)).groupBy("token").count()
+        pairs[n] = lists.agg(F.sum(F.col("count") * F.col("count"))).first()[0]
+    assert pairs[2000] < 2.5 * pairs[1000] < 6.5 * pairs[500] and pairs[2000] < 500_000
+    rows = notices(300)
+    got = {r.doc_id: r.component_id for r in jaccard_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    grams = lambda t: {tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)}
+    assert got == components({i: grams(t) for i, t in rows}, 85)
+
+
+def test_heavy_keys(spark, monkeypatch):
+    """Counters far above the mean, and no other, are flagged; equal for any dealing of the keys."""
+    import numpy as np
+
+    from lodestrata.llm import common
+
+    chance = np.random.default_rng(4)
+    light, heavy = chance.integers(0, 2**64, 60_000, dtype=np.uint64), chance.integers(0, 2**64, 5, dtype=np.uint64)
+    keys = np.concatenate([light, np.repeat(heavy, [300, 400, 5000, 256, 100])])
+    chance.shuffle(keys)
+    bits = common.heavy_bits(len(keys))
+
+    def count(batches):
+        counts = common.WideCounts(bits)
+        for b in batches:
+            counts.add(b.column(0).to_numpy().view(np.uint64))
+        yield from counts.drain()
+
+    flags = []
+    for parts in (1, 7):
+        df = spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "k long").repartition(parts)
+        flags.append(common.heavy_flags(df.mapInArrow(count, common.HEAVY_SCHEMA), bits, 255))
+    assert np.array_equal(*flags)
+    assert common.is_heavy(heavy, flags[0]).tolist() == [True] * 4 + [False] and common.is_heavy(light, flags[0]).mean() < 0.01
