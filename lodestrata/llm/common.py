@@ -187,6 +187,31 @@ def merged_levels(partial: DataFrame, bits: int, depth: int, steps: tuple[int, .
     return out
 
 
+def level_blocks(partial: DataFrame, step: int) -> DataFrame:
+    """block, flags: one bit for each counter of a sketch of one row, whether it reaches `step`. Stays a table, for sketches that
+    no task could hold."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, current = None, None
+
+        def done() -> pa.RecordBatch:
+            flags = np.packbits(own >= step, bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([flags], pa.binary())], names=["block", "flags"])
+
+        for b in batches:
+            for block, pos, n in zip(*(b.column(k).to_pylist() for k in (1, 2, 3))):
+                if block != current:
+                    if own is not None:
+                        yield done()
+                    own, current = np.zeros(1 << BLOCK_BITS, np.uint8), block
+                at, add = np.frombuffer(pos, np.uint32), np.frombuffer(n, np.uint8)
+                own[at] = np.minimum(own[at].astype(np.uint16) + add, 255)
+        if own is not None:
+            yield done()
+
+    return partial.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, flags binary")
+
+
 def level_of(keys: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
     """The least level over the rows: an overestimate of each key's count, as a level."""
     bits = int(len(levels[0]) * 4).bit_length() - 1

@@ -5,8 +5,9 @@ smaller doc_id.
 
 1. Every window is represented by the least hash among its half-length word runs (equal windows have equal
    representatives). Each partition counts its documents' representatives in a count-min sketch; the merged sketch
-   overestimates in how many documents a window occurs. A sketch is 128 MB at most: representatives beyond what it holds
-   at its load are taken in slices of their hash space, with passes over the texts for each.
+   overestimates in how many documents a window occurs. A sketch of 128 MB at most is given to every task. A larger one is
+   dealt over the tasks by blocks of counters, and representatives meet their block there, so that the texts are passed over
+   twice at any size.
 2. Only windows estimated in two documents or more are grouped exactly. Neighbouring windows with one representative form a
    run. Equal runs are grouped first, then single windows among the different runs of one representative, by 128 bits of
    hash. Either grouping is a partial aggregate to the least doc_id, so a passage in a third of all documents is one row
@@ -15,9 +16,7 @@ smaller doc_id.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +26,9 @@ from pyspark.sql import functions as F
 from . import common as c
 
 _SHORT, _LONG, _RUN = c.Rolling(0xD6E8FEB86659FD93), c.Rolling(0xA0761D6478BD642F), c.Rolling(0xE7037ED1A0B428DB)
-LOAD = 0.5  # representatives for each counter of a sketch of the largest width
-SLICE = int(LOAD * (1 << c.WIDEST))  # representatives that one sketch counts
+LOAD = 0.5  # representatives for each counter of a sketch, at most
+SLICE = int(LOAD * (1 << c.WIDEST))  # representatives that a sketch for every task counts
+BLOCK_PARTS = 8  # parts of a block of a larger sketch
 MAX_RUN = 32  # windows in a run; longer runs are cut at multiples of it, counted from their start
 
 
@@ -50,48 +50,114 @@ def runs(rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, end
 
 
-def _repeated_runs(docs: DataFrame, window: int, bits: int, depth: int, k: int, slices: int) -> DataFrame:
-    """The runs of windows whose representatives are in slice k of `slices` and are estimated in two documents or more."""
+def _reps_of(text: pa.Scalar, window: int) -> np.ndarray:
+    words = c.split_words(text.as_py())
+    return np.unique(representatives(words, window)[0]) if len(words) >= window else np.empty(0, np.uint64)
 
-    def is_mine(rep: np.ndarray) -> np.ndarray:
-        return (rep >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32) == np.uint64(k)
 
-    def mine(rep: np.ndarray) -> np.ndarray:
-        return rep if slices == 1 else rep[is_mine(rep)]
+def _counted(docs: DataFrame, window: int, bits: int, depth: int) -> DataFrame:
+    """Partial sketches of the representatives of each document."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = c.PartialSketch(bits, depth)
         for b in batches:
             for text in b.column(0):
-                if len(words := c.split_words(text.as_py())) >= window and sketch.add(mine(np.unique(representatives(words, window)[0]))):
+                if len(reps := _reps_of(text, window)) and sketch.add(reps):
                     yield from sketch.flush()
         yield from sketch.flush()
 
-    levels = c.merged_levels(docs.select("text").mapInArrow(count, c.SKETCH_SCHEMA), bits, depth, (2,))
+    return docs.select("text").mapInArrow(count, c.SKETCH_SCHEMA)
+
+
+_RUNS = "doc_id long, key long, rep long, run long, start int, n int"
+
+
+def _runs_of(doc_id, key, words: list[bytes], window: int, wanted) -> tuple | None:
+    """The runs of a document whose representatives are wanted: their columns, and the hashes of their windows."""
+    if len(words) < window:
+        return None
+    rep, own = representatives(words, window)
+    start, end = runs(rep)
+    keep = wanted(rep[start])
+    if not keep.any():
+        return None
+    prefix = _RUN.prefix(own)
+    start, end = start[keep], end[keep]
+    n = end - start
+    columns = (np.full(len(start), doc_id), np.full(len(start), key), rep[start].view(np.int64), (_RUN.between(prefix, start, end) + n.astype(np.uint64)).view(np.int64), start.astype(np.int32), n.astype(np.int32))
+    return columns, [own[s:e].view(np.int64) for s, e in zip(start, end)]
+
+
+def _run_batches(batches: Iterator[pa.RecordBatch], window: int, wanted, with_wins: bool) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [x for doc_id, text, key in zip(*(b.column(k) for k in ("doc_id", "text", "key"))) if (x := _runs_of(doc_id.as_py(), key.as_py(), c.split_words(text.as_py()), window, wanted))]
+        if found:
+            columns = [pa.array(np.concatenate(x)) for x in zip(*(f[0] for f in found))]
+            wins = [c.lists([w for f in found for w in f[1]], pa.int64())] if with_wins else []
+            yield pa.RecordBatch.from_arrays([*columns, *wins], names=[*(x.split()[0] for x in _RUNS.split(", ")), *(["wins"] if with_wins else [])])
+
+
+def _repeated_runs(docs: DataFrame, window: int, n_reps: int) -> DataFrame:
+    """The runs of windows whose representatives are estimated in two documents or more, by one sketch that every task gets."""
+    levels = c.merged_levels(_counted(docs, window, c.sketch_bits(n_reps, 0.25), 2), c.sketch_bits(n_reps, 0.25), 2, (2,))
     shared = docs.sparkSession.sparkContext.broadcast(levels)
+    wanted = lambda rep: c.level_of(rep, shared.value) > 0
+    return c.materialize(docs.mapInArrow(lambda batches: _run_batches(batches, window, wanted, True), f"{_RUNS}, wins array<long>"), "windows")
+
+
+def _repeated_runs_by_blocks(docs: DataFrame, window: int, n_reps: int) -> DataFrame:
+    """The same, without the windows' hashes, by a sketch whose blocks meet the runs in a shuffle."""
+    bits = int(min(50, max(c.BLOCK_BITS + 1, np.ceil(np.log2(n_reps / LOAD)))))
+    flags = c.level_blocks(_counted(docs, window, bits, 1), 2)
+    all_runs = docs.mapInArrow(lambda batches: _run_batches(batches, window, lambda rep: np.ones(len(rep), bool), False), _RUNS)
+    names = [x.split()[0] for x in _RUNS.split(", ")]
 
-    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple[np.ndarray, ...]] = []
-            wins: list[np.ndarray] = []
-            for doc_id, text, key in zip(*(b.column(k) for k in ("doc_id", "text", "key"))):
-                words = c.split_words(text.as_py())
-                if len(words) < window:
-                    continue
-                rep, own = representatives(words, window)
-                start, end = runs(rep)
-                keep = (c.level_of(rep[start], shared.value) > 0) & is_mine(rep[start])
-                if not keep.any():
+            at = c.slots(b.column(2).to_numpy().view(np.uint64), 0, bits)
+            yield pa.RecordBatch.from_arrays([pa.array((at >> c.BLOCK_BITS).astype(np.int32)), pa.array((at & ((1 << c.BLOCK_BITS) - 1)).astype(np.int32)), *b.columns], names=["block", "at", *names])
+
+    # a representative of very many documents is one block's; blocks are dealt in parts, each with a copy of the flags
+    placed = all_runs.mapInArrow(place, f"block int, at int, {_RUNS}").withColumn("part", F.pmod(F.hash("doc_id"), F.lit(BLOCK_PARTS)))
+    flags = flags.select("block", F.lit(-1).alias("at"), *(F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in _RUNS.split(", ")), F.explode(F.sequence(F.lit(0), F.lit(BLOCK_PARTS - 1))).alias("part"), "flags")
+    both = placed.withColumn("flags", F.lit(None).cast("binary")).unionByName(flags)
+
+    def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, bits_of = None, None
+        for b in batches:
+            at, blocks, parts = (b.column(k).to_numpy() for k in ("at", "block", "part"))
+            cuts = [0, *(np.flatnonzero((np.diff(blocks) != 0) | (np.diff(parts) != 0)) + 1).tolist(), len(b)]
+            for s, e in zip(cuts, cuts[1:]):
+                if s == e:
                     continue
-                prefix = _RUN.prefix(own)
-                start, end = start[keep], end[keep]
-                n = end - start
-                out.append((np.full(len(start), doc_id.as_py()), np.full(len(start), key.as_py()), rep[start].view(np.int64), (_RUN.between(prefix, start, end) + n.astype(np.uint64)).view(np.int64), start.astype(np.int32), n.astype(np.int32)))
-                wins += [own[s:e].view(np.int64) for s, e in zip(start, end)]
-            if out:
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in zip(*out)), c.lists(wins, pa.int64())], names=["doc_id", "key", "rep", "run", "start", "n", "wins"])
+                if at[s] < 0:  # the flags come first in their block
+                    current, bits_of = (blocks[s], parts[s]), np.frombuffer(b.column("flags")[s].as_py(), np.uint8)
+                    s += 1
+                if s < e and current == (blocks[s], parts[s]):
+                    own = at[s:e]
+                    hit = (bits_of[own >> 3] >> (own & 7).astype(np.uint8)) & 1
+                    yield b.slice(s, e - s).select(names).filter(pa.array(hit.astype(bool)))
+
+    dealt = both.repartition("block", "part").sortWithinPartitions("block", "part", "at")
+    return c.materialize(dealt.mapInArrow(estimated, _RUNS), "windows")
+
+
+def _with_wins(docs: DataFrame, rows: DataFrame, window: int) -> DataFrame:
+    """doc_id, key, rep, start, wins: the hashes of the windows of the given runs, from the texts that have some."""
+    own = rows.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "n", "rep")).alias("runs")).withColumnsRenamed({"doc_id": "of", "key": "of_key"})
+    joined = docs.join(own, (F.col("doc_id") == F.col("of")) & (F.col("key") == F.col("of_key"))).dropDuplicates(["doc_id", "key"]).select("doc_id", "key", "text", "runs")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, wins = [], []
+            for doc_id, key, text, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
+                own = representatives(c.split_words(text.as_py()), window)[1].view(np.int64)
+                rows += [(doc_id, key, r["rep"], r["start"]) for r in found]
+                wins += [own[r["start"] : r["start"] + r["n"]] for r in found]
+            columns = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32()))] if rows else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, c.lists(wins, pa.int64())], names=["doc_id", "key", "rep", "start", "wins"])
 
-    return c.materialize(docs.mapInArrow(repeated, "doc_id long, key long, rep long, run long, start int, n int, wins array<long>"), "windows")
+    return joined.mapInArrow(cut, "doc_id long, key long, rep long, start int, wins array<long>")
 
 
 def covered_ranges(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -100,14 +166,14 @@ def covered_ranges(docs: DataFrame, window: int = 50) -> DataFrame:
     docs needs doc_id and text; rows without a doc_id or a text neither give nor get ranges."""
     docs = docs.select("doc_id", "text", c.text_key().alias("key")).where("doc_id is not null and text is not null")
     n_reps = c.text_bytes(docs) // 6 * 4 // max(window, 4) + 1
-    slices = int(-(-n_reps // SLICE))
-    bits, depth = c.sketch_bits(-(-n_reps // slices), 0.25 if slices == 1 else LOAD), 2
-    anchors = reduce(DataFrame.unionByName, [_repeated_runs(docs, window, bits, depth, k, slices) for k in range(slices)])
+    anchors = _repeated_runs(docs, window, n_reps) if n_reps <= SLICE else _repeated_runs_by_blocks(docs, window, n_reps)
     firsts = anchors.groupBy("rep", "run").agg(F.min("doc_id").alias("first_id"))
     several = firsts.groupBy("rep").agg((F.count("*") > 1).alias("several"))
     firsts = c.materialize(firsts.join(several, "rep"), "runs")
     whole = anchors.select("doc_id", "key", "rep", "run", "start", "n").join(firsts.select("rep", "run", "first_id"), ["rep", "run"]).where("doc_id > first_id").select("doc_id", "key", "start", "n")
-    single = anchors.join(firsts.where("several"), ["rep", "run"]).where("doc_id = first_id").select("doc_id", "key", "rep", "start", F.posexplode("wins").alias("at", "win"))
+    mixed = anchors.join(firsts.where("several"), ["rep", "run"]).where("doc_id = first_id")
+    mixed = mixed if "wins" in anchors.columns else _with_wins(docs, mixed, window)
+    single = mixed.select("doc_id", "key", "rep", "start", F.posexplode("wins").alias("at", "win"))
     least = single.groupBy("rep", "win").agg(F.min("doc_id").alias("win_id"))
     part = single.join(least, ["rep", "win"]).where("doc_id > win_id").select("doc_id", "key", (F.col("start") + F.col("at")).alias("start"), F.lit(1).alias("n"))
     return whole.unionByName(part).groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))

@@ -50,7 +50,7 @@ def docs(spark):
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
-def test_substring_dedup_in_slices(docs, monkeypatch):
+def test_substring_dedup_by_blocks(docs, monkeypatch):
     whole = Counter(map(tuple, substring_dedup.remove_repeats(docs).collect()))
     monkeypatch.setattr(substring_dedup, "SLICE", 400)
     assert Counter(map(tuple, substring_dedup.remove_repeats(docs).collect())) == whole
