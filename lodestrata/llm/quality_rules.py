@@ -3,19 +3,23 @@
 Native: DataFrame and SQL expressions only. Measures of each text are built-in expressions over its own row. Spark's
 approximate percentiles are mergeable quantile sketches: each task sketches the measures of its rows by language and source,
 and merged sketches of some kilobytes for each of the groups are all that is shuffled. A document is rejected where a measure
-lies beyond its group's fence, `spread` times the distance between quartiles above the third one, of those documents that
-the base rules keep; groups of few of these have the fence of all. Where three quarters of a group have one value (no symbols,
-no repeated lines), its quartiles do not differ, and the least distance decides."""
+lies beyond its group's fence, of those documents that the base rules keep; groups of few of these have the fence of all. A fence
+is `spread` times the distance between quartiles above the third one. Where three quarters of a group have one value (no
+symbols, no repeated lines), quartiles say nothing, and the fence is where the sketched quantiles from there up first jump:
+half way between the clean documents and the others, which is another place in each group. A least distance from the third
+quartile guards both against groups without any spread."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
+#: Quantiles that a group's sketch is asked for: both quartiles, and each hundredth from the third one up.
+QUANTILES = [0.25, *(k / 100 for k in range(75, 101))]
 #: Measures and the least distance of a fence from the third quartile, so that groups of nearly equal texts keep theirs.
 MEASURES = {"symbol_ratio": 0.02, "dup_line_ratio": 0.34, "repeat_ratio": 0.16, "word_length": 0.5}
 
@@ -58,14 +62,22 @@ def _ratios(out: DataFrame) -> DataFrame:
     return out.withColumns({"symbol_ratio": per("n_symbols", "word_chars"), "dup_line_ratio": per("n_dup_lines", "n_lines"), "repeat_ratio": per("n_repeat_words", "n_words"), "word_length": per("word_chars", "n_words")})
 
 
+def _fence(q: Column, spread: float, least: float) -> Column:
+    """From QUANTILES of a measure."""
+    low, third = q[0], q[1]
+    jump = lambda i: F.when(q[i] - q[i - 1] > 2 * least, (q[i] + q[i - 1]) / 2)
+    first_jump = F.coalesce(*(jump(i) for i in range(2, len(QUANTILES))), F.lit(0.0))
+    return F.greatest(third + spread * (third - low), F.when(third == low, first_jump), third + F.lit(least))
+
+
 def thresholds(measured: DataFrame, spread: float, least_docs: int, accuracy: int) -> DataFrame:
     """lang, source and a fence for each measure."""
-    quartiles = lambda x: F.percentile_approx(x, [0.25, 0.75], accuracy)
-    fence = lambda q, least: q[1] + F.greatest(spread * (q[1] - q[0]), F.lit(least))
-    groups = measured.groupBy("lang", "source").agg(F.count("*").alias("n"), *(quartiles(m).alias(m) for m in MEASURES))
-    overall = measured.agg(*(quartiles(m).alias(f"all_{m}") for m in MEASURES))
+    quantiles = lambda x: F.percentile_approx(x, QUANTILES, accuracy)
+    groups = measured.groupBy("lang", "source").agg(F.count("*").alias("n"), *(quantiles(m).alias(m) for m in MEASURES))
+    overall = measured.agg(*(quantiles(m).alias(f"all_{m}") for m in MEASURES))
     # one row for all beside each group
-    return groups.join(F.broadcast(overall)).select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *(fence(F.when(F.col("n") >= least_docs, F.col(m)).otherwise(F.col(f"all_{m}")), least).alias(f"max_{m}") for m, least in MEASURES.items()))
+    own = groups.join(F.broadcast(overall)).select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *(F.when(F.col("n") >= least_docs, F.col(m)).otherwise(F.col(f"all_{m}")).alias(m) for m in MEASURES))
+    return own.select("g_lang", "g_source", *(_fence(F.col(m), spread, least).alias(f"max_{m}") for m, least in MEASURES.items()))
 
 
 def _judged(docs: DataFrame, carried: list[str], spread: float, least_docs: int, accuracy: int) -> DataFrame:

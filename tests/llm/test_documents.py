@@ -1,6 +1,7 @@
 """Operators on documents against plain versions, with the cases that each docstring defines."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -303,7 +304,7 @@ def test_quality_measures(docs):
 
 
 def plain_verdicts(rows, spread=6.0, least_docs=30):
-    """rows: id, text, lang, source. Whether each is kept, by quartiles of sorted lists."""
+    """rows: id, text, lang, source. Whether each is kept, by quartiles and jumps of sorted lists."""
     measures, failed = {}, {}
     for i, t, *_ in rows:
         t = t or ""
@@ -320,8 +321,10 @@ def plain_verdicts(rows, spread=6.0, least_docs=30):
         out = []
         for k, least in enumerate(quality_rules.MEASURES.values()):
             v = sorted(measures[i][k] for i in ids)
-            q = [v[max(0, -(-len(v) * p // 4) - 1)] for p in (1, 3)]
-            out.append(q[1] + max(spread * (q[1] - q[0]), least))
+            at = lambda p: v[max(0, math.ceil(p * len(v)) - 1)]
+            q, upper = (at(0.25), at(0.75)), [at(p / 100) for p in range(75, 101)]
+            jumps = [(a + b) / 2 for a, b in zip(upper, upper[1:]) if b - a > 2 * least]
+            out.append(max(q[1] + spread * (q[1] - q[0]), jumps[0] if jumps and q[0] == q[1] else 0.0, q[1] + least))
         return out
 
     groups = defaultdict(list)
@@ -333,6 +336,15 @@ def plain_verdicts(rows, spread=6.0, least_docs=30):
     return {i: not failed[i] and all(m <= f for m, f in zip(measures[i], limit[lang, source])) for i, _, lang, source in rows}
 
 
+def test_fences_follow_their_groups(spark):
+    """Two groups without any symbol in three quarters of their documents: the fence lies in the gap of each one."""
+    rows = [(k, "en", s, 30, r, 0.0, 0.0, 5.0) for s, share, r0 in (("a", 10, 0.1), ("b", 20, 0.3)) for k in range(200) for r in [r0 + k / 1e4 if k < 200 * share // 100 else 0.0]]
+    df = spark.createDataFrame(rows, "k int, lang string, source string, n_words int, symbol_ratio double, dup_line_ratio double, repeat_ratio double, word_length double")
+    got = {r.g_source: r for r in quality_rules.thresholds(df, 6.0, 30, 10_000).collect()}
+    assert 0.05 <= got["a"].max_symbol_ratio < 0.051 and 0.15 <= got["b"].max_symbol_ratio < 0.152
+    assert got["a"].max_dup_line_ratio == quality_rules.MEASURES["dup_line_ratio"] and got["b"].max_word_length == 5.5
+
+
 def test_verdicts_equal_plain_quartiles(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
