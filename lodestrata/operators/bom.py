@@ -12,10 +12,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import risk
+from ..sources.stored import stored
 
 OWN = "lodestrata:"  # before the names of properties that the format doesn't have
 TIERS = (*risk.TIERS, "UNSCORED")
-SUMMARY = "x-risk-summary"
+SUMMARY, PROVENANCE = "x-risk-summary", "x-report-provenance"
+REPORT = ("report_id", "agent_id", "organization_id", "bundle_digest", "signature_algorithm", "classification")
 # fixed values: algorithm, its primitive and functions in a bill of materials
 ASSETS = [
     ("MD5", "hash", ["digest"]),
@@ -44,8 +46,8 @@ _PROPERTIES += [(x, None) for x in ("risk_model_version", "classical_broken", "q
 
 
 def components(findings: DataFrame, scan: str = "scan_id", ref: str = "id") -> DataFrame:
-    """scan, ref, component (a struct as it is written) for each scored finding. Algorithms are taken as they are named; a key
-    size of 0 is none; properties without a value are left out."""
+    """scan, ref, component (a struct as it is written), tier and reason for each scored finding. Algorithms are taken as they are
+    named; a key size of 0 is none; properties without a value are left out."""
     table = F.broadcast(findings.sparkSession.createDataFrame(ASSETS, "asset string, asset_primitive string, asset_functions array<string>"))
     rows = findings.withColumn("asset_name", F.when(F.coalesce("algorithm", F.lit("")) == "", "UNKNOWN").otherwise(F.col("algorithm"))).join(table, F.col("asset_name") == F.col("asset"), "left")
     size = F.nullif(F.col("key_size"), F.lit(0)) if "key_size" in findings.columns else F.lit(None).cast("int")
@@ -64,16 +66,30 @@ def components(findings: DataFrame, scan: str = "scan_id", ref: str = "id") -> D
         F.struct(F.array(F.struct(where.alias("location"), F.col("line").alias("line"))).alias("occurrences")).alias("evidence"),
         properties.alias("properties"),
     )
-    return rows.select(F.col(scan).alias("scan"), F.col(ref).cast("string").alias("ref"), component.alias("component"))
+    return rows.select(F.col(scan).alias("scan"), F.col(ref).cast("string").alias("ref"), component.alias("component"), value("risk_tier", "UNSCORED").alias("tier"), value("risk_reason", None).alias("reason"))
 
 
-def documents(findings: DataFrame, scans: DataFrame, scan: str = "scan_id", ref: str = "id") -> DataFrame:
-    """scan, document (JSON text) for each completed scan (scan_id, started_at, status): its components in the order of refs, and
-    the counts by tier. Serial numbers are derived from the scan and the content, so that a repeated run gives the same text.
+def provenance(scans: DataFrame, reports: DataFrame | None) -> Column:
+    """Where a scan comes from, with the columns of its report joined: a bundle that an agent sent, or this system's own scan."""
+    local = F.struct(F.lit("local-api").alias("origin"), F.lit("not-signed-bundle").alias("integrity"), *(F.lit(None).cast("string").alias(x) for x in REPORT))
+    if reports is None:
+        return local
+    sent = F.struct(F.lit("offline-agent-signed-bundle").alias("origin"), F.lit(None).cast("string").alias("integrity"), *(F.col(f"report.{x}").cast("string").alias(x) if x in reports.columns else F.lit(None).cast("string").alias(x) for x in REPORT))
+    return F.when(F.col("report").isNotNull(), sent).otherwise(local)
+
+
+def documents(findings: DataFrame, scans: DataFrame, scan: str = "scan_id", ref: str = "id", reports: DataFrame | None = None) -> DataFrame:
+    """scan, document (JSON text) for each completed scan (scan_id, started_at, status): its components in the order of refs, the
+    counts by tier, and where it comes from: the one of the reports that its report_id names, or this system. Serial numbers are
+    derived from the scan and the content, so that a repeated run gives the same text.
 
     A document is one row by its nature; its size is that of one scan's findings."""
-    scans = scans.where("status = 'completed'").select(F.col(scan).alias("scan"), F.col("started_at"))
-    own = components(findings, scan, ref).withColumn("tier", F.expr(f"filter(component.properties, p -> p.name = '{OWN}risk_tier')[0].value"))
+    known = reports is not None and "report_id" in scans.columns
+    scans = scans.where("status = 'completed'").select(F.col(scan).alias("scan"), F.col("started_at"), *(["report_id"] if known else []))
+    if known:
+        held = reports.groupBy("report_id").agg(F.min(F.struct(*(x for x in REPORT if x in reports.columns))).alias("report"))
+        scans = scans.join(held, "report_id", "left")
+    own = components(findings, scan, ref)
     counted = own.groupBy("scan").agg(F.transform(F.sort_array(F.collect_list(F.struct("ref", "component"))), lambda x: x["component"]).alias("components"), F.count("*").alias("total"), *(F.count_if(F.col("tier") == t).alias(t) for t in TIERS))
     out = scans.join(counted, "scan", "left")
     number = F.md5(F.concat_ws("|", F.col("scan").cast("string"), F.to_json("components")))
@@ -88,6 +104,7 @@ def documents(findings: DataFrame, scans: DataFrame, scan: str = "scan_id", ref:
         F.coalesce("components", F.array().cast(counted.schema["components"].dataType)).alias("components"),
         F.array().cast("array<string>").alias("externalReferences"),
         F.struct(*(F.coalesce(t, F.lit(0).cast("long")).alias(t) for t in ("total", *TIERS))).alias(SUMMARY),
+        provenance(scans, reports if known else None).alias(PROVENANCE),
     )
     return out.select("scan", F.to_json(document).alias("document"))
 
@@ -138,12 +155,13 @@ def _within(value: Column, least: int) -> Column:
 
 
 def issues(texts: DataFrame, key: str = "doc") -> DataFrame:
-    """key, code, path, message: what is wrong with documents (key, text). Valid ones have no row.
+    """key, code, path, message: what is wrong with documents (key, text), in the order of key, path, code and message. Valid ones
+    have no row.
 
     Where the structure is wrong nothing else is checked, as in the format's own rules. Of a bom-ref that is there more than
     once the second place is named."""
-    # a generator of one row: the checks stay above it, else Spark would parse the text for each of them
-    parsed = texts.select(key, F.explode(F.array(F.try_parse_json("text"))).alias("v"))
+    # written once, so that the texts are parsed once for all checks
+    parsed = stored(texts.select(key, F.try_parse_json("text").alias("v")), "documents")
     bad = F.when(F.col("v").isNull(), _issue("NOT_JSON_SERIALIZABLE", "", "Document is not JSON.")).when(_kind(F.col("v")) != "OBJECT", _issue("DOCUMENT_NOT_OBJECT", "", "Document must be a JSON object."))
     parsed = parsed.withColumn("bad", bad)
     docs = parsed.where("bad is null")
@@ -168,6 +186,7 @@ def issues(texts: DataFrame, key: str = "doc") -> DataFrame:
     found = docs.select(key, F.explode(F.array_compact(F.array(*own))).alias("i"))
 
     listed = docs.where(_kind(_get(v, "components")) == "ARRAY").select(key, F.posexplode(F.try_variant_get(v, "$.components", "array<variant>")).alias("at", "part"))
+    listed = stored(listed, "components")
     p, at = F.col("part"), F.concat(F.lit("/components/"), F.col("at"))
     crypto, evidence = _get(p, "cryptoProperties"), _get(p, "evidence")
     asset = _get(crypto, "assetType")
@@ -215,4 +234,4 @@ def issues(texts: DataFrame, key: str = "doc") -> DataFrame:
     structure = reduce(DataFrame.unionByName, [parsed.where("bad is not null").select(key, F.col("bad").alias("i")), found]).withColumn("level", F.lit(1))
     out = structure.unionByName(reduce(DataFrame.unionByName, more).withColumn("level", F.lit(2)))
     out = out.withColumn("least", F.min("level").over(W.partitionBy(key))).where("level = least")
-    return out.select(key, "i.*")
+    return out.select(key, "i.*").orderBy(key, "path", "code", "message")

@@ -41,10 +41,9 @@ ASSETS_SQL = """assets(asset, asset_primitive, functions) AS (VALUES ('MD5', 'ha
 def bom_components(spark, d):
     found = _scored(spark, d).withColumn("confidence", legacy(F.col("confidence_band")))
     c = F.col("component")
-    named = lambda name: F.expr(f"get(filter(component.properties, p -> p.name = '{bom.OWN}{name}'), 0).value")
     return bom.components(found).select(
         "scan", c["bom-ref"].alias("bom_ref"), c["name"].alias("name"), c["version"].alias("version"), c["description"].alias("description"), F.col("component.cryptoProperties.algorithmProperties.primitive").alias("primitive"),
-        F.array_join("component.cryptoProperties.algorithmProperties.cryptoFunctions", ",").alias("functions"), F.col("component.cryptoProperties.algorithmProperties.keySize").alias("key_size"), named("risk_tier").alias("risk_tier"), named("risk_reason").alias("risk_reason"), F.size("component.properties").alias("n_properties"),
+        F.array_join("component.cryptoProperties.algorithmProperties.cryptoFunctions", ",").alias("functions"), F.col("component.cryptoProperties.algorithmProperties.keySize").alias("key_size"), F.col("tier").alias("risk_tier"), F.col("reason").alias("risk_reason"), F.size("component.properties").alias("n_properties"),
     )
 
 

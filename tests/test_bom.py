@@ -78,3 +78,50 @@ def test_issues(spark, built):
     got = {name: sorted((r.code, r.path) for r in rows if r.doc == name) for name in texts}
     want = {name: sorted(x) for name, (_, x) in DAMAGE.items()} | {"no json": [("NOT_JSON_SERIALIZABLE", "")], "no object": [("DOCUMENT_NOT_OBJECT", "")], "no number": [("NOT_JSON_SERIALIZABLE", "")], "empty": []}
     assert got == want
+
+
+def test_provenance(spark):
+    scored = risk.score_findings(spark.createDataFrame(ROWS, SCHEMA))
+    scans = spark.createDataFrame([(1, "2026-01-02 03:04:05", "completed", "r1"), (2, "2026-01-02 03:04:05", "completed", None)], "scan_id long, started_at string, status string, report_id string")
+    reports = spark.createDataFrame([("r1", "a", "o", "sha256:0")] * 2, "report_id string, agent_id string, organization_id string, bundle_digest string")
+    got = {r.scan: json.loads(r.document)[bom.PROVENANCE] for r in bom.documents(scored, scans, reports=reports).collect()}
+    assert got == {1: {"origin": "offline-agent-signed-bundle", "report_id": "r1", "agent_id": "a", "organization_id": "o", "bundle_digest": "sha256:0"}, 2: {"origin": "local-api", "integrity": "not-signed-bundle"}}
+
+
+FINDING = {"file": "a.py", "line": 3, "library": "hashlib", "algorithm": "MD5", "confidence": "high", "risk_tier": "CRITICAL", "risk_reason": "r", "primitive": "hash", "classical_broken": True}
+
+
+def test_documents_of_files(spark, tmp_path):
+    from lodestrata.operators import offline
+
+    def made(findings, summary, as_lines=False):
+        text = "\n".join(map(json.dumps, findings)) if as_lines else json.dumps(findings, indent=1)
+        (tmp_path / "f.json").write_text(text)
+        (tmp_path / "s.json").write_text(json.dumps(summary))
+        return offline.document(spark, str(tmp_path / "f.json"), str(tmp_path / "s.json"), "2026-01-02 03:04:05", "org")
+
+    other = FINDING | {"risk_tier": None, "algorithm": "odd", "id": 77}
+    summary = {"total": 2, "CRITICAL": 1, "HIGH": 0, "MEDIUM": 0, "LOW": 0, "UNSCORED": 1}
+    for as_lines in (False, True):
+        text = made([FINDING, other], summary, as_lines)
+        doc = json.loads(text)
+        assert {c["bom-ref"] for c in doc["components"]} == {"finding-1", "finding-77"} and doc["x-risk-summary"] == summary and doc["metadata"]["properties"][0]["value"] == "org"
+        assert bom.issues(spark.createDataFrame([(1, text)], "doc int, text string")).count() == 0
+    lacking = {k: v for k, v in FINDING.items() if k not in ("library", "risk_reason")}
+    for rows, problem in (([FINDING, lacking], "index 1: missing required field: library"), ([3], "index 0: must be an object"), ([FINDING | {"line": -1}], "invalid line"), ([FINDING | {"line": 1.5}], "invalid line"), ([FINDING | {"file": None}], "invalid file"), ([FINDING | {"risk_tier": "WORST"}], "invalid risk_tier"), ([FINDING | {"risk_tier": 3}], "invalid risk_tier")):
+        with pytest.raises(ValueError, match=problem):
+            made(rows, summary)
+    for off, problem in (({"total": 3}, "total doesn't match"), ({"HIGH": 1}, "HIGH doesn't match"), ({"LOW": None}, "LOW is no count"), ({"LOW": "0"}, "LOW is no count")):
+        with pytest.raises(ValueError, match=problem):
+            made([FINDING, other], summary | off)
+    with pytest.raises(ValueError, match="must be an object"):
+        made([FINDING], [])
+    with pytest.raises(ValueError, match="summary has no LOW"):
+        made([FINDING, other], {k: v for k, v in summary.items() if k != "LOW"})
+
+
+def test_issues_come_in_order(spark, built):
+    doc = copy.deepcopy(built[1])
+    doc["bomFormat"], doc["version"], doc["components"][1]["name"], doc["components"][0]["name"] = "x", 0, "", ""
+    got = [(r.path, r.code) for r in bom.issues(spark.createDataFrame([(1, json.dumps(doc))], "doc int, text string")).collect()]
+    assert got == sorted(got) and len(got) == 4
