@@ -155,7 +155,7 @@ def severity_order(spark, d):
     return rows.withColumn("place", F.row_number().over(W.partitionBy("scan_id").orderBy(ops.severity_rank(), "id")))
 
 
-from . import inventory_queries, order_queries  # noqa: E402  they take queries of this module
+from . import artefact_queries, inventory_queries, order_queries  # noqa: E402  they take queries of this module
 
-QUERIES |= scans.QUERIES | inventory_queries.QUERIES | order_queries.QUERIES
-ORACLES |= scans.ORACLES | inventory_queries.ORACLES | order_queries.ORACLES
+QUERIES |= scans.QUERIES | inventory_queries.QUERIES | order_queries.QUERIES | artefact_queries.QUERIES
+ORACLES |= scans.ORACLES | inventory_queries.ORACLES | order_queries.ORACLES | artefact_queries.ORACLES
