@@ -318,3 +318,13 @@ def join_units(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.R
 
 def op13_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_rows(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP13_SQL = """
+WITH RECURSIVE fit AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM fit a JOIN fit b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+reach(id, other) AS (SELECT vec_id, vec_id FROM fit UNION SELECT id, b FROM reach JOIN links ON other = a),
+least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id),
+n AS (SELECT a AS id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN least ON least.id = vec_id LEFT JOIN n ON n.id = vec_id
+"""

@@ -188,3 +188,23 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 25, least_words:
 
 def op11_importance_resampling(spark, sf_dir: str) -> DataFrame:
     return resample(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE steps(i, k, c) AS (SELECT range, 0, range FROM range(256) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+texts AS (SELECT 's' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 't', item_id, text FROM benchmark),
+words AS (SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+features AS (SELECT side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM words),
+known AS (SELECT DISTINCT f, hex(f) AS h FROM features),
+hashed AS (SELECT f, xor(list_reduce(list_concat([4294967295], list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 10000 AS bucket FROM known, crc),
+own AS (SELECT side, id, bucket, count(*) AS n FROM features JOIN hashed USING (f) GROUP BY ALL),
+counts AS (SELECT bucket, sum(n) FILTER (side = 's') AS s, sum(n) FILTER (side = 't') AS t FROM own GROUP BY bucket),
+totals AS (SELECT sum(s) AS s, coalesce(sum(t), 0) AS t FROM counts),
+gains AS (SELECT bucket, CAST(floor(1000 * ln(((coalesce(c.t, 0) + 1)::DOUBLE * (x.s + 10000)::DOUBLE) / ((coalesce(c.s, 0) + 1)::DOUBLE * (x.t + 10000)::DOUBLE))) AS BIGINT) AS gain FROM counts c, totals x),
+sums AS (SELECT id, sum(n) AS n, sum(n * gain) AS total FROM own JOIN gains USING (bucket) WHERE side = 's' GROUP BY id),
+weighed AS (SELECT id AS doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(coalesce((total - ((total % n) + n) % n) // n, 0) AS BIGINT) AS weight, len(w) AS n_words FROM words LEFT JOIN sums USING (id) WHERE side = 's'),
+scored AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM weighed),
+drawn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, 25 * count(*) OVER () // 100 AS k FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= k THEN rank END AS rank FROM scored LEFT JOIN drawn USING (doc_id)
+"""

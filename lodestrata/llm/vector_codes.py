@@ -159,3 +159,26 @@ def compress(rows: DataFrame, parts: int = 4, entries: int = 256, rounds: int =
 
 def op12_vector_codes(spark, sf_dir: str) -> DataFrame:
     return compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("label")
+
+
+def _statement(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """compress() in SQL, a few tables for each round."""
+    far = "list_sum(list_transform(range(1, len(v) + 1), lambda d: (v[d] - e[d]) * (v[d] - e[d])))"
+    tables = [
+        """whole AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"parts AS MATERIALIZED (SELECT vec_id, p, list_slice(v, p * len(v) // {parts} + 1, (p + 1) * len(v) // {parts}) AS v FROM whole, range({parts}) AS r(p))",
+        f"b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k, v AS e FROM parts QUALIFY k < {entries})",
+    ]
+    for r in range(rounds + 1):
+        tables.append(f"a{r} AS MATERIALIZED (SELECT vec_id, p, any_value(v) AS v, min({{'far': {far}, 'k': k}}) AS best FROM parts JOIN b{r} USING (p) GROUP BY vec_id, p)")
+        if r < rounds:
+            tables.append(f"m{r} AS (SELECT p, best.k AS k, d, sum(v[d]) AS s, count(*) AS n FROM a{r}, LATERAL (SELECT unnest(range(1, len(v) + 1)) AS d) GROUP BY ALL)")
+            means = f"SELECT p, k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY d) AS mean FROM m{r} GROUP BY p, k"
+            tables.append(f"b{r + 1} AS MATERIALIZED (SELECT p, k, coalesce(mean, e) AS e FROM b{r} LEFT JOIN ({means}) USING (p, k))")
+    tables.append(f"book AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY p, k)) AS digest FROM b{rounds})")
+    tables.append(f"coded AS (SELECT vec_id, string_agg(lower(printf('%02x', best.k)), '' ORDER BY p) AS code, CAST(sum(best.far) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)")
+    return "WITH " + ",\n".join(tables) + "\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest AS codebooks_sha256 FROM coded JOIN whole USING (vec_id), book"
+
+
+OP12_SQL = _statement()

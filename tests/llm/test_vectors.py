@@ -205,3 +205,36 @@ def test_kth_key(spark, spread):
     df = spark.createDataFrame(keys, "a long, b long")
     for k in (1, 2, 77, 250, 499, 500):
         assert tuple(importance.kth_key(df, ["a", "b"], k)) == sorted(keys)[k - 1]
+
+
+@pytest.mark.parametrize("name", ["op11_importance_resampling", "op12_vector_codes", "op13_embedding_near_dedup"])
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_statements(spark, name, folder):
+    """On the whole tables; and for vectors, on some that are near each other, or no vectors."""
+    import duckdb
+
+    from lodestrata.llm import queries
+
+    con = duckdb.connect()
+    for table in ("documents", "benchmark", "embeddings"):
+        con.sql(f"create view {table} as select * from '/root/testdata/{folder}/{table}.parquet'")
+    want = con.sql(queries.ORACLES[name])
+    got = queries.QUERIES[name](spark, f"/root/testdata/{folder}")
+    assert sorted(got.columns) == sorted(want.columns)
+    assert Counter(map(tuple, got.select(*want.columns).collect())) == Counter(want.fetchall())
+
+
+def test_statements_of_near_vectors(spark, tmp_path):
+    import duckdb
+
+    from lodestrata.llm import queries
+
+    rows = [(k, v.tolist(), k % 3 if k % 7 else None) for k, v in enumerate(vectors(300, 8, 9, groups=6))] + odd_rows(8)
+    frame(spark, rows).select("vec_id", "embedding", "label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("op12_vector_codes", "op13_embedding_near_dedup"):
+        want = con.sql(queries.ORACLES[name])
+        got = queries.QUERIES[name](spark, str(tmp_path)).select(*want.columns).collect()
+        assert Counter(map(tuple, got)) == Counter(want.fetchall())
+    assert sum(r.n_links > 0 for r in got) > 100
