@@ -136,15 +136,13 @@ def slots(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
 class PartialSketch:
     """One partition's counts. flush() hands out what has gathered, so memory stays bounded for any partition."""
 
-    LIMIT = 3_000_000
-
-    def __init__(self, bits: int, depth: int):
-        self.bits, self.depth, self.keys, self.held = bits, depth, [], 0
+    def __init__(self, bits: int, depth: int, limit: int = 3_000_000):
+        self.bits, self.depth, self.limit, self.keys, self.held = bits, depth, limit, [], 0
 
     def add(self, keys: np.ndarray) -> bool:
         self.keys.append(keys)
         self.held += len(keys)
-        return self.held >= self.LIMIT
+        return self.held >= self.limit
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.held:
@@ -162,31 +160,63 @@ class PartialSketch:
             )
 
 
-def merged_levels(partial: DataFrame, bits: int, depth: int, steps: tuple[int, ...]) -> list[np.ndarray]:
-    """Merges partial sketches and returns, for each row, the packed level of every counter: how many of `steps` (at most
-    three, up to 255) it reaches, in 2 bits. The driver gets depth * 2**bits / 4 bytes, which sketch_bits bounds."""
+_MERGED = "row int, block int, levels binary, total long, at array<int>, n array<long>"
+
+
+def _packed(counts: np.ndarray, steps: tuple[int, ...]) -> bytes:
+    level = sum((counts >= s).astype(np.uint8) for s in steps).reshape(-1, 4)
+    return (level[:, 0] | level[:, 1] << 2 | level[:, 2] << 4 | level[:, 3] << 6).astype(np.uint8).tobytes()
+
+
+def _merged(partial: DataFrame, bits: int, depth: int, steps: tuple[int, ...], wide: int | None = None, least: int = 0) -> DataFrame:
+    """The merged blocks of partial sketches: packed levels, and for those of wide counters (row -1) their sum and the counters that
+    reach `least`. A task holds one block at a time."""
+    width = 1 << min(wide or 0, BLOCK_BITS)
+
+    def done(row: int, block: int, own: np.ndarray) -> pa.RecordBatch:
+        if row < 0:
+            top = np.flatnonzero(own >= least)
+            columns = [pa.array([None], pa.binary()), pa.array([int(own.sum())], pa.int64()), lists([top.astype(np.int32)], pa.int32()), lists([own[top].astype(np.int64)], pa.int64())]
+        else:
+            columns = [pa.array([_packed(own, steps)], pa.binary()), pa.array([0], pa.int64()), lists([np.empty(0, np.int32)], pa.int32()), lists([np.empty(0, np.int64)], pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([block], pa.int32()), *columns], names=[x.split()[0] for x in _MERGED.split(", ")])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
+        own, current = None, None
         for b in batches:
-            for row, block, pos, n in zip(*(b.column(k).to_pylist() for k in range(4))):
-                own = sums.setdefault((row, block), np.zeros(1 << BLOCK_BITS, np.uint8))
-                at, add = np.frombuffer(pos, np.uint32), np.frombuffer(n, np.uint8)
-                own[at] = np.minimum(own[at].astype(np.uint16) + add, 255)
-        for (row, block), own in sums.items():
-            level = sum((own >= s).astype(np.uint8) for s in steps).reshape(-1, 4)
-            packed = level[:, 0] | level[:, 1] << 2 | level[:, 2] << 4 | level[:, 3] << 6
-            yield pa.RecordBatch.from_pydict({"row": pa.array([row], pa.int32()), "block": pa.array([block], pa.int32()), "levels": pa.array([packed.astype(np.uint8).tobytes()], pa.binary())})
+            for row, block, pos, n in zip(*(b.column(k) for k in range(4))):
+                key = row.as_py(), block.as_py()
+                if key != current:
+                    if own is not None:
+                        yield done(*current, own)
+                    current, own = key, np.zeros(width, np.uint64) if key[0] < 0 else np.zeros(1 << BLOCK_BITS, np.uint8)
+                if key[0] < 0:
+                    own += np.frombuffer(pa.decompress(pos.as_py(), 4 * width, "zstd", asbytes=True), np.uint32)
+                else:
+                    at, add = np.frombuffer(pos.as_py(), np.uint32), np.frombuffer(n.as_py(), np.uint8)
+                    own[at] = np.minimum(own[at].astype(np.uint16) + add, 255)
+        if own is not None:
+            yield done(*current, own)
 
-    blocks = depth << (bits - BLOCK_BITS)
+    blocks = (depth << (bits - BLOCK_BITS)) + ((1 << wide) // width if wide else 0)
     dealt = partial.repartition(min(blocks, max(8, int(partial.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "row", "block")
+    return dealt.sortWithinPartitions("row", "block").mapInArrow(merge, _MERGED)
+
+
+def _levels_of(rows, bits: int, depth: int) -> list[np.ndarray]:
     out = [np.zeros(1 << (bits - 2), np.uint8) for _ in range(depth)]
     size = 1 << (BLOCK_BITS - 2)
-    for r in dealt.mapInArrow(merge, "row int, block int, levels binary").toLocalIterator():
+    for r in rows:
         out[r["row"]][r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["levels"], np.uint8)
     return out
 
 
+def merged_levels(partial: DataFrame, bits: int, depth: int, steps: tuple[int, ...]) -> list[np.ndarray]:
+    """Merges partial sketches and returns, for each row, the packed level of every counter: how many of `steps` (at most
+    three, up to 255) it reaches, in 2 bits. The driver gets depth * 2**bits / 4 bytes, which sketch_bits bounds."""
+    return _levels_of(_merged(partial, bits, depth, steps).select("row", "block", "levels").toLocalIterator(), bits, depth)
+
+
 def level_blocks(partial: DataFrame, step: int) -> DataFrame:
     """block, flags: one bit for each counter of a sketch of one row, whether it reaches `step`. Stays a table, for sketches that
     no task could hold."""
@@ -225,9 +255,8 @@ def level_of(keys: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
 
 # Heavy keys. A sketch with counters of 32 bits over all keys, however many there are: a key whose counter is far above what
 # falls on each counter by chance has very many occurrences. Nothing but one bit a counter is broadcast.
-HEAVY_BITS = 24  # log2 of the counters at most: 64 MB in a task, 2 MB broadcast
+HEAVY_BITS = 22  # log2 of the counters at most: 16 MB in a task, 512 KB broadcast
 HEAVY_FACTOR = 8  # times the mean of all counters
-HEAVY_SCHEMA = "row int, block int, pos binary, n binary"
 
 
 class WideCounts:
@@ -262,30 +291,19 @@ def heavy_bits(n_keys: int) -> int:
     return int(min(HEAVY_BITS, max(16, np.ceil(np.log2(max(n_keys, 1))))))
 
 
-def heavy_flags(partial: DataFrame, bits: int, least: int) -> np.ndarray:
-    """One bit for each counter, packed: whether it reaches `least` and HEAVY_FACTOR times the mean of all counters."""
-    width = 1 << min(bits, BLOCK_BITS)
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for block, packed in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                own = sums.setdefault(block, np.zeros(width, np.uint64))
-                own += np.frombuffer(pa.decompress(packed, 4 * width, "zstd", asbytes=True), np.uint32)
-        for block, own in sums.items():
-            top = np.flatnonzero(own >= least)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([int(own.sum())], pa.int64()), lists([top.astype(np.int32)], pa.int32()), lists([own[top].astype(np.int64)], pa.int64())], names=["block", "total", "at", "n"])
-
-    blocks = max(1, (1 << bits) // width)
-    dealt = partial.repartition(blocks, "block").mapInArrow(merge, "block int, total long, at array<int>, n array<long>")
-    merged = materialize(dealt, "heavy")
-    total = merged.agg(F.sum("total")).first()[0] or 0
-    limit = max(least, HEAVY_FACTOR * total >> bits)
-    flags = np.zeros(1 << bits, bool)
-    # no more than 1 / HEAVY_FACTOR of the counters can be so far above the mean
-    for r in merged.select("block", F.posexplode(F.arrays_zip("at", "n")).alias("k", "x")).where(F.col("x.n") >= limit).groupBy("block").agg(F.collect_list("x.at").alias("at")).toLocalIterator():
-        flags[r["block"] * width + np.array(r["at"])] = True
-    return np.packbits(flags, bitorder="little")
+def merged_with_heavy(partial: DataFrame, bits: int, steps: tuple[int, ...], wide: int, least: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """merged_levels() of a sketch of one row, and one bit for each wide counter, packed: whether it reaches `least` and
+    HEAVY_FACTOR times the mean of all counters. No more than 1 / HEAVY_FACTOR of the counters can be so far above the mean."""
+    table = materialize(_merged(partial, bits, 1, steps, wide, least), "merged")
+    levels = _levels_of(table.where("row >= 0").select("row", "block", "levels").toLocalIterator(), bits, 1)
+    counters = table.where("row = -1")
+    total = counters.agg(F.sum("total")).first()[0] or 0
+    limit = max(least, HEAVY_FACTOR * total >> wide)
+    flags, width = np.zeros(1 << wide, bool), 1 << min(wide, BLOCK_BITS)
+    far = F.filter(F.arrays_zip("at", "n"), lambda x: x["n"] >= limit)
+    for r in counters.select("block", F.transform(far, lambda x: x["at"]).alias("at")).toLocalIterator():
+        flags[r["block"] * width + np.array(r["at"], np.int64)] = True
+    return levels, np.packbits(flags, bitorder="little")
 
 
 def is_heavy(keys: np.ndarray, flags: np.ndarray) -> np.ndarray:

@@ -159,10 +159,10 @@ def near_rows(rows: DataFrame, least: float = 0.9, block: int = 4096, most_pivot
 
     more = assigned.select("node", "pivot", "core", "embedding").mapInArrow(tally, "w long, q long, c long, n long").groupBy("w", "q", "c").agg(F.sum("n").alias("n")).collect()
     plan, tasks = deal({k: v[0] for k, v in found.own.items()}, {(x["w"], x["q"], x["c"]): x["n"] for x in more}, block)
-    sent_plan = spark.sparkContext.broadcast((found, plan))
+    sent_plan = spark.sparkContext.broadcast((found, plan, tasks))
     links = assigned.select("node", "size", "pivot", "core", "embedding").mapInArrow(lambda batches: replicate(batches, *sent_plan.value), _SENT)
     at = [F.col(c) for c in ("task", "unit", "side")]
-    joined = links.repartition(max(tasks, 1), "task").sortWithinPartitions(*at).mapInArrow(lambda batches: join_units(batches, least), "u long, v long, n long")
+    joined = links.repartition(tasks, "task").sortWithinPartitions(*at).mapInArrow(lambda batches: join_units(batches, least), "u long, v long, n long")
     within = assigned.where("core").join(F.broadcast(by_cell.where("core").select("width", "pivot", F.col("size").alias("all_rows"), F.col("node").alias("first"))), ["width", "pivot"])
     cored = within.select(F.col("node").alias("u"), F.col("first").alias("v"), (F.col("all_rows") - F.col("size")).alias("n"))
     edges = materialize(joined.unionByName(cored), "links")
@@ -185,45 +185,72 @@ def _vectors(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
 
 
-def deal(own: dict[tuple, int], others: dict[tuple, int], block: int) -> tuple[dict[tuple, tuple], int]:
-    """For each cell: how many blocks its own vectors and the others make, and unit and task of each pair of blocks.
+class Deal:
+    """How one cell's blocks meet: `a` blocks of its own vectors and `b` of others. Pairs of blocks are numbered, so that no task
+    and no driver holds a list of them: first those of own blocks i <= j, row by row, then own block i with each other one."""
 
-    Tasks get consecutive units of about two blocks of rows together."""
+    def __init__(self, own: int, others: int, core: bool, block: int):
+        self.a, self.b, self.core = -(-own // block), -(-others // block), core
+        inner = 0 if core else self.a * (self.a + 1) // 2
+        self.inner, self.pairs = inner, inner + self.a * self.b
+        self.rows = inner * 2 * own / self.a + self.a * self.b * (own / self.a + others / max(self.b, 1))
+        self.first = self.task = 0
+        self.each = 1  # pairs of one task
+
+    def number(self, i: int, j: int) -> int:
+        """Of own block i and block j, which is one of the others from a on."""
+        return i * self.a - i * (i - 1) // 2 + j - i if j < self.a else self.inner + i * self.b + j - self.a
+
+    def of_own(self, i: int) -> Iterator[tuple[int, int]]:
+        """(pair, side) that own block i takes part in; side -1 stands for the pair with itself."""
+        if not self.core:
+            yield from ((self.number(i, j), 0 if j > i else -1) for j in range(i, self.a))
+            yield from ((self.number(j, i), 1) for j in range(i))
+        yield from ((self.number(i, self.a + j), 0) for j in range(self.b))
+
+    def of_other(self, j: int) -> Iterator[tuple[int, int]]:
+        return ((self.number(i, self.a + j), 1) for i in range(self.a))
+
+
+MOST_TASKS = 50_000
+
+
+def deal(own: dict[tuple, int], others: dict[tuple, int], block: int) -> tuple[dict[tuple, Deal], int]:
+    """The cells' deals and the number of tasks. A task gets pairs of about two blocks of rows: one large pair, or those of several
+    small cells."""
     plan, unit, held = {}, 0, 0.0
     for key in sorted(own):
-        a, b = -(-own[key] // block), -(-others.get(key, 0) // block)
-        pairs = {}
-        mine, theirs = own[key] / a, others.get(key, 0) / max(b, 1)
-        inner = [] if key[2] else [(i, j) for i in range(a) for j in range(i, a)]
-        for i, j in [*inner, *((i, a + j) for i in range(a) for j in range(b))]:
-            pairs[i, j] = (int(held // (2 * block)), unit)
-            held, unit = held + mine + (theirs if j >= a else mine if j > i else 0), unit + 1
-        plan[key] = (a, b, pairs)
-    return plan, int(held // (2 * block)) + 1
-
-
-def replicate(batches: Iterator[pa.RecordBatch], found: Cells, plan: dict[tuple, tuple]) -> Iterator[pa.RecordBatch]:
-    """Each vector for every unit that it takes part in: side 0 is the block of own vectors, 1 the block beside it."""
+        d = plan[key] = Deal(own[key], others.get(key, 0), bool(key[2]), block)
+        d.first, d.task = unit, int(held // (2 * block))
+        d.each = max(1, int(2 * block * d.pairs // max(d.rows, 1))) if d.pairs else 1
+        unit, held = unit + d.pairs, max(held + d.rows, (d.task + -(-d.pairs // d.each)) * 2 * block if d.pairs > d.each else 0)
+    return plan, min(MOST_TASKS, int(held // (2 * block)) + 1)
+
+
+def replicate(batches: Iterator[pa.RecordBatch], found: Cells, plan: dict[tuple, Deal], tasks: int) -> Iterator[pa.RecordBatch]:
+    """Each vector for every unit that it takes part in: side 0 is the block of own vectors (-1 where it meets itself), 1 the block beside it."""
+
+    def sent(d: Deal, pair: int, side: int, rows: np.ndarray) -> pa.RecordBatch:
+        n = len(rows)
+        task = (d.task + pair // d.each) % tasks
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, task, np.int32)), pa.array(np.full(n, d.first + pair, np.int64)), pa.array(np.full(n, side, np.int32)), pa.array(node[at[rows]]), pa.array(size[at[rows]]), _vectors(x[rows])], names=[c.split()[0] for c in _SENT.split(", ")])
+
     for b in batches:
         node, size, pivot, core = (np.asarray(b.column(k)) for k in range(4))
         for width, at, x in _batches(b):
-            dealt = []
             home = np.stack([pivot[at], core[at].astype(np.int64)], axis=1)
             for q, c in np.unique(home, axis=0).tolist():
-                rows = np.flatnonzero((home == (q, c)).all(axis=1))
-                a, _, pairs = plan[width, q, c]
-                part = node[at[rows]] % a
-                for (i, j), (task, unit) in pairs.items():
-                    dealt.append((task, unit, 0, rows[part == i]))
-                    if i < j < a:
-                        dealt.append((task, unit, 1, rows[part == j]))
+                d, rows = plan[width, q, c], np.flatnonzero((home == (q, c)).all(axis=1))
+                part = node[at[rows]] % d.a
+                for i in np.unique(part).tolist():
+                    for pair, side in d.of_own(i):
+                        yield sent(d, pair, side, rows[part == i])
             for key, rows in found.others(width, x, pivot[at], core[at]):
-                a, parts, pairs = plan[key]
-                part = a + node[at[rows]] % parts
-                dealt += [(task, unit, 1, rows[part == j]) for (_, j), (task, unit) in pairs.items() if j >= a]
-            for task, unit, side, rows in dealt:
-                if n := len(rows):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, task, np.int32)), pa.array(np.full(n, unit, np.int64)), pa.array(np.full(n, side, np.int32)), pa.array(node[at[rows]]), pa.array(size[at[rows]]), _vectors(x[rows])], names=[c.split()[0] for c in _SENT.split(", ")])
+                d = plan[key]
+                part = node[at[rows]] % d.b
+                for j in np.unique(part).tolist():
+                    for pair, side in d.of_other(j):
+                        yield sent(d, pair, side, rows[part == j])
 
 
 class Unit:
@@ -287,7 +314,7 @@ def join_units(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.R
         unit.close()
         if not unit.parts:
             return
-        if not unit.beside:  # a block with itself
+        if unit.alone:  # a block with itself
             for start in range(0, len(unit.node), 1024):
                 unit.n[start : start + 1024] += unit.compare(unit.node[start : start + 1024], unit.size[start : start + 1024], unit.x[start : start + 1024], start)
         yield rows(unit.node, unit.n, unit.edges)
@@ -295,18 +322,17 @@ def join_units(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.R
     unit, current = None, None
     for b in batches:
         ids, side, node, size = (np.asarray(b.column(k)) for k in (1, 2, 3, 4))
-        cuts = np.flatnonzero(np.diff(ids * 2 + side, prepend=-1)).tolist() + [len(ids)]
+        cuts = np.flatnonzero(np.diff(ids * 4 + side, prepend=-9)).tolist() + [len(ids)]
         for s, e in zip(cuts, cuts[1:]):
             if ids[s] != current:
                 if unit:
                     yield from end(unit)
                 unit, current = Unit(least), ids[s]
-                unit.beside = False
+                unit.alone = side[s] < 0
             _, _, x = next(_batches(b.slice(s, e - s)))
-            if side[s] == 0:
+            if side[s] <= 0:
                 unit.take(node[s:e], size[s:e], x)
             elif unit.parts:
-                unit.beside = True
                 unit.close()
                 for k in range(s, e, 1024):
                     own = slice(k, min(k + 1024, e))

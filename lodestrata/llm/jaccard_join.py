@@ -34,6 +34,7 @@ from .components import connected
 _GRAM = {n: c.Rolling(0x8CB92BA72F3D8DD7 + 2 * n) for n in range(1, 9)}
 LIGHT_SIZES = 64  # sizes that the boundary is sought among; subsets of larger sets always cost more
 COUNTED = 0.3125  # share of the n-grams' hash space that the sketch counts
+SKETCH_LOAD = 0.6  # n-grams for each counter of the sketch
 HEAVY = 255  # documents' n-grams that may fall on a counter before its n-grams are heavy, whatever the mean
 PAIR = 0.25  # cost of an entry of a list that is scanned, in rows that are shuffled
 LEADERS = 4
@@ -104,12 +105,12 @@ def _sketch(docs: DataFrame, n: int) -> tuple[list[np.ndarray], np.uint64, np.nd
     Beyond what a sketch of the largest width holds, a smaller share is counted, so that the counts stay right at any size. The
     frequency of the others is unknown but for those that very many documents have: all are counted in wide counters too."""
     n_grams = c.text_bytes(docs) // 18 * (16 / 5)
-    share = min(COUNTED, (1 << c.WIDEST) * 0.3 / max(n_grams, 1))
-    bits, counted = c.sketch_bits(int(n_grams * share), 0.3), np.uint64(int(share * 2**64))
+    share = min(COUNTED, (1 << c.WIDEST) * SKETCH_LOAD / max(n_grams, 1))
+    bits, counted = c.sketch_bits(int(n_grams * share), SKETCH_LOAD), np.uint64(int(share * 2**64))
     wide = c.heavy_bits(int(n_grams))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, counts = c.PartialSketch(bits, 1), c.WideCounts(wide)
+        sketch, counts = c.PartialSketch(bits, 1, limit=1_000_000), c.WideCounts(wide)
         for b in batches:
             for t in b.column(0):
                 x = gram_set(t.as_py(), n)
@@ -119,9 +120,8 @@ def _sketch(docs: DataFrame, n: int) -> tuple[list[np.ndarray], np.uint64, np.nd
         yield from sketch.flush()
         yield from counts.drain()
 
-    partial = c.materialize(docs.select("text").mapInArrow(count, c.SKETCH_SCHEMA), "sketches")
-    levels = c.merged_levels(partial.where("row >= 0"), bits, 1, (2, 17, 255))
-    return levels, counted, c.heavy_flags(partial.where("row = -1"), wide, HEAVY)
+    levels, heavy = c.merged_with_heavy(docs.select("text").mapInArrow(count, c.SKETCH_SCHEMA), bits, (2, 17, 255), wide, HEAVY)
+    return levels, counted, heavy
 
 
 def _postings(docs: DataFrame, n: int, percent: int, levels, counted: np.uint64, heavy: np.ndarray) -> DataFrame:

@@ -544,6 +544,6 @@ def test_heavy_keys(spark, monkeypatch):
     flags = []
     for parts in (1, 7):
         df = spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "k long").repartition(parts)
-        flags.append(common.heavy_flags(df.mapInArrow(count, common.HEAVY_SCHEMA), bits, 255))
+        flags.append(common.merged_with_heavy(df.mapInArrow(count, common.SKETCH_SCHEMA), common.BLOCK_BITS + 1, (2,), bits, 255)[1])
     assert np.array_equal(*flags)
     assert common.is_heavy(heavy, flags[0]).tolist() == [True] * 4 + [False] and common.is_heavy(light, flags[0]).mean() < 0.01

@@ -119,6 +119,23 @@ def test_metric_range_join(spark, width, block, cell, most):
     assert sorted((tuple(r) for r in got.collect()), key=str) == plain_links(rows)
 
 
+def test_deals():
+    """Each two blocks of a cell meet once, and tasks get about two blocks of rows."""
+    for own, others, core in ((100, 0, False), (100, 250, False), (95, 31, True), (1, 0, False), (7, 3, True), (10, 0, True)):
+        d = embedding_join.Deal(own, others, core, 10)
+        met = Counter((pair, side) for i in range(d.a) for pair, side in d.of_own(i))
+        met += Counter((pair, side) for j in range(d.b) for pair, side in d.of_other(j))
+        assert set(met.values()) <= {1} and {p for p, _ in met} == set(range(d.pairs))
+        alone = d.a if not core else 0
+        assert sum(side == -1 for _, side in met) == alone and sum(side == 1 for _, side in met) == d.pairs - alone
+    plan, tasks = embedding_join.deal({(8, k, 0): 10 * k + 5 for k in range(30)}, {(8, 0, 0): 1000}, 20)
+    rows = Counter()
+    for d in plan.values():
+        for pair in range(d.pairs):
+            rows[d.task + pair // d.each] += d.rows / d.pairs
+    assert max(rows) < tasks and max(rows.values()) <= 4 * 20
+
+
 def test_metric_range_join_of_no_rows(spark):
     assert embedding_join.near_rows(frame(spark, [])).count() == 0
     got = embedding_join.near_rows(frame(spark, odd_rows(4))).collect()
