@@ -37,12 +37,14 @@ def package_name(name: Column, ecosystem: Column) -> Column:
 def requirements(files: DataFrame) -> DataFrame:
     """path, line, name, version, declared of requirement files. Options, paths and bare addresses are no requirements; continued
     lines belong to the first and are joined without a space."""
-    text = F.regexp_replace(F.regexp_replace("text", "\\r\\n?", "\n"), "\\\\[^\\S\\n]*\\n[^\\S\\n]*", "\u0001")
-    lines = files.select("path", F.posexplode(F.split(text, "\n")).alias("n", "raw"), F.split(text, "\n").alias("all"))
-    before = F.aggregate(F.slice("all", 1, F.col("n")), F.lit(0), lambda s, x: s + F.length(x) - F.length(F.replace(x, F.lit("\u0001"), F.lit(""))))
-    line = trimmed(F.replace("raw", F.lit("\u0001"), F.lit("")))
+    # each line begins with its number, of which a continuation takes away those of the lines that go on
+    numbers = F.transform(F.split(F.regexp_replace("text", "\\r\\n?", "\n"), "\n"), lambda x, n: F.concat((n + 1).cast("string"), F.lit("\u0002"), x))
+    joined = F.regexp_replace(F.array_join(numbers, "\n"), "\\\\[^\\S\\n]*\\n[0-9]+\u0002[^\\S\\n]*", "")
+    lines = files.select("path", F.explode(F.split(joined, "\n")).alias("raw"))
+    part = lambda k: F.regexp_extract("raw", "(?s)^([0-9]+)\u0002(.*)$", k)
+    line = trimmed(part(2))
     line = trimmed(F.regexp_replace(line, "(^#|[ \\t]#).*$", ""))
-    out = lines.select("path", (F.col("n") + 1 + before).cast("int").alias("line"), line.alias("spec")).where("spec <> '' and not spec rlike '^[-./]'")
+    out = lines.select("path", part(1).cast("int").alias("line"), line.alias("spec")).where("spec <> '' and not spec rlike '^[-./]'")
     address = F.contains("spec", F.lit("://"))
     out = out.where(~address | F.contains("spec", F.lit(" @ ")))
     name, spec = requirement_parts(trimmed(F.split("spec", "--hash")[0]))

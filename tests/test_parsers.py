@@ -101,3 +101,18 @@ def test_problems_of_settings(spark):
     df = spark.createDataFrame([(*f[:3], bytearray(f[3])) for f in files], "path string, name string, ext string, content binary")
     assert {r.path for r in config.config_problems(df).collect()} == {"a.tf", "c.yaml", "d.conf", "e.yaml"}
     assert {(r.file, r.algorithm, r.key_size) for r in config.config_findings(df).collect()} == {("b.json", "RSA", 1024), ("f.tf", "TLS", None), ("f.tf", "RSA", 1024)}
+
+
+def test_requirements_of_many_lines(spark):
+    """Continued lines keep the number of their first one; the time grows with the lines."""
+    import time
+
+    from lodestrata.operators import manifests
+
+    text = "a==1 \\\n  --hash=sha256:0 \\ \n --hash=sha256:1\r\n# c\r\nb \\\n==2\rc>=3\\"
+    got = manifests.requirements(spark.createDataFrame([("p", text)], "path string, text string")).collect()
+    assert [(r.line, r.name, r.version, r.declared) for r in got] == [(1, "a", "1", "a==1"), (5, "b", "2", "b==2"), (7, "c", None, "c>=3\\")]
+    long = "\n".join(f"p{k}==1" + (" \\\n --hash=x" if k % 3 == 0 else "") for k in range(200_000))
+    began = time.perf_counter()
+    assert manifests.requirements(spark.createDataFrame([("p", long)], "path string, text string")).agg({"line": "max"}).first()[0] == 266_667
+    assert time.perf_counter() - began < 60
