@@ -15,12 +15,13 @@ from .operators import findings as ops
 from .operators.commits import Committed
 
 REPOSITORIES = "repo_id long, name string, url string, organization_id string, external_id string"
+REPORTS = "report_id string, created_at timestamp, organization_id string, repository_id string, agent_id string, bundle_digest string, scan_id long, repo_id long"
 SCANS = "scan_id long, repo_id long, started_at timestamp, at timestamp, ordinal int, status string"
 
 
 class Inventory:
     """Tables `repositories`, `scans` (events of their states), `findings`, `assessments`, `reports` and `report_findings` below a
-    folder. The last four are written all or nothing, a scan or an intake at a time.
+    folder. What a scan finds, and what an intake brings (its repositories and scans too), is written all or nothing.
 
     Ids of scans are made of the time and chance, so that several processes may scan at once; those of repositories are the
     largest so far and one, so one process at a time may add repositories."""
@@ -33,11 +34,12 @@ class Inventory:
         if name in ("findings", "assessments", "reports", "report_findings"):
             return self.committed.read(name, schema)
         try:
-            return self.spark.read.parquet(f"{self.folder}/{name}")
+            own = self.spark.read.parquet(f"{self.folder}/{name}")
         except AnalysisException:
             if schema is None:
                 raise LookupError(f"no {name} yet") from None
-            return self.spark.createDataFrame([], schema)
+            own = self.spark.createDataFrame([], schema)
+        return own.unionByName(self.committed.read(f"sent_{name}", schema)) if name in ("repositories", "scans") else own
 
     def _append(self, name: str, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(f"{self.folder}/{name}")
@@ -109,7 +111,9 @@ class Inventory:
             raise ValueError(f"scan {scan_id} is {state.status}")
         found = self.table("findings").where(F.col("scan_id") == scan_id)
         assessed = self.table("assessments").where(F.col("scan_id") == scan_id).drop("scan_id").withColumnRenamed("finding_id", "assessed_id")
-        documents = bom.documents(found.join(assessed, found.id == assessed.assessed_id, "left"), own)
+        sent = self.table("reports", REPORTS)
+        own = own.join(sent.select("scan_id", "report_id"), "scan_id", "left")
+        documents = bom.documents(found.join(assessed, found.id == assessed.assessed_id, "left"), own, reports=sent)
         text = documents.first().document
         wrong = bom.issues(self.spark.createDataFrame([(scan_id, text)], "doc long, text string")).collect()
         if wrong:
@@ -117,16 +121,37 @@ class Inventory:
         return text
 
     def ingest_bundles(self, reports: DataFrame, key: str | None = None) -> int:
-        """Stores reports that are new and their findings, scored here, both or neither; the number of new reports. A key that has
-        been stored is not stored again."""
+        """Stores reports that are new, each as a completed scan of its repository, and their findings, scored here; all or
+        nothing. The number of new reports. A key that has been stored is not stored again.
+
+        A repository is known by its organization and the id that it has there; ids of new repositories and of scans are derived
+        from these and from the report, so that no order of writes matters."""
         if key is not None and self.committed.done(key):
             return 0
-        known = self.table("reports", "report_id string, created_at timestamp")
-        new, scored = inventory.ingest(reports, known)
-        new, scored = inventory.stored(new.select("report_id", "created_at"), "new"), inventory.stored(scored, "scored")
+        for name in ("organization_id", "repository_id", "agent_id", "digest"):
+            if name not in reports.columns:
+                reports = reports.withColumn(name, F.lit(None).cast("string"))
+        new, scored = inventory.ingest(reports, self.table("reports", REPORTS))
+        derived = lambda *of: F.shiftrightunsigned(F.xxhash64(*of), 2)
+        new = new.select("report_id", "created_at", "organization_id", "repository_id", "agent_id", F.col("digest").alias("bundle_digest"), derived(F.lit("report"), "report_id").alias("scan_id"))
+        new = inventory.stored(new, "new")
         found = new.count()
-        if found:
-            self.committed.write(key or f"intake-{secrets.token_hex(8)}", {"report_findings": scored, "reports": new})
+        if not found:
+            return 0
+        asked = new.select(F.coalesce("repository_id", F.lit("unknown")).alias("name"), F.lit(None).cast("string").alias("url"), "organization_id", F.col("repository_id").alias("external_id")).distinct()
+        resolved = inventory.stored(inventory.resolve_repositories(asked, self.table("repositories", REPOSITORIES)).withColumn("known", F.col("repo_id").isNotNull()).withColumn("repo_id", F.coalesce("repo_id", derived(F.lit("repository"), "organization_id", "name"))), "resolved")
+        own = new.join(resolved.select("repo_id", F.col("organization_id").alias("of"), F.col("name").alias("called")), F.col("organization_id").eqNullSafe(F.col("of")) & (F.coalesce("repository_id", F.lit("unknown")) == F.col("called"))).drop("of", "called")
+        own = inventory.stored(own, "own")
+        scored = inventory.stored(scored.join(own.select("report_id", "scan_id"), "report_id"), "scored")
+        findings = scored.withColumns({"finding_id": F.col("ordinal").cast("long"), "id": F.concat_ws("-", "scan_id", "ordinal")})
+        self.committed.write(key or f"intake-{secrets.token_hex(8)}", {
+            "sent_repositories": resolved.where("not known").select(*(x.split()[0] for x in REPOSITORIES.split(", "))),
+            "sent_scans": own.select("scan_id", "repo_id", F.col("created_at").alias("started_at"), F.col("created_at").alias("at"), F.lit(1).alias("ordinal"), F.lit("completed").alias("status")),
+            "findings": findings.drop("report_id", "ordinal", *inventory.ASSESSED),
+            "assessments": findings.select(F.col("id").alias("finding_id"), "scan_id", *inventory.ASSESSED),
+            "report_findings": scored.drop("scan_id"),
+            "reports": own,
+        })
         return found
 
     def ingest_folder(self, folder: str) -> DataFrame:

@@ -21,7 +21,7 @@ class Committed:
 
     def _read(self, name: str, schema: str | None = None) -> DataFrame:
         try:
-            return self.spark.read.parquet(f"{self.folder}/{name}")
+            return self.spark.read.option("mergeSchema", True).parquet(f"{self.folder}/{name}")
         except AnalysisException:
             if schema is None:
                 raise LookupError(f"no {name} yet") from None

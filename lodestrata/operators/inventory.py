@@ -305,6 +305,18 @@ def dashboard(scans: DataFrame, findings: DataFrame) -> DataFrame:
     return active.join(F.broadcast(counts.select(F.col("CRITICAL").alias("critical"), "quantum", "total", bars.alias("tiers"))))  # one row each
 
 
+def report_lines(scans: DataFrame, findings: DataFrame) -> DataFrame:
+    """place, line: a short report in words, of the counts in dashboard()."""
+    one = dashboard(scans, findings)
+    tier = lambda k: F.format_string("%s: %d findings, %.1f%% of all", F.col("tiers")[k]["tier"], F.col("tiers")[k]["n"], 100 * F.col("tiers")[k]["of_all"])
+    lines = F.array(
+        F.format_string("%d findings in all, %d scans are running.", "total", "active_scans"),
+        F.format_string("%d are critical; %d rest on algorithms that quantum computers break.", "critical", "quantum"),
+        *(tier(k) for k in range(5)),
+    )
+    return one.select(F.posexplode(lines).alias("place", "line"))
+
+
 def of_organization(rows: DataFrame, repositories: DataFrame, organization_id: str) -> DataFrame:
     """Rows (with repo_id) of the repositories of one organization."""
     return rows.join(repositories.where(F.col("organization_id") == organization_id).select("repo_id"), "repo_id", "left_semi")

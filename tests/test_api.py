@@ -5,7 +5,7 @@ import json
 
 import pytest
 
-from lodestrata.api import Inventory
+from lodestrata.api import REPOSITORIES, Inventory
 from lodestrata.functions import sql
 from tests.test_scan import MIXED, tree
 
@@ -100,5 +100,14 @@ def test_intake_of_files_and_streams(spark, tmp_path):
     query = inv.ingest_stream(str(folder), f"{tmp_path}/check").trigger(availableNow=True).start()
     assert query.awaitTermination(180)
     assert sorted(r.report_id for r in inv.table("reports").collect()) == ["r1", "r2"] and inv.table("report_findings").count() == 4
+    # a report is a scan of its repository, which is found again by the organization and its own id there
+    repositories, scans = inv.table("repositories", REPOSITORIES).collect(), inv.list_scans().collect()
+    assert [(r.name, r.organization_id, r.external_id) for r in repositories] == [("repo", "org", "repo")] and {s.repo_id for s in scans} == {repositories[0].repo_id} and [s.status for s in scans] == ["completed"] * 2
+    _, found, summary = inv.scan_detail(scans[0].scan_id)
+    assert {(r.file, r.algorithm, r.risk_assessment.hndl_exposure) for r in found.collect()} == {("a.py", "RSA", "HIGH"), ("é.py", "MD5", "NOT_APPLICABLE")} and summary.first().total == 2
+    doc = json.loads(inv.export_bom(scans[0].scan_id))
+    assert doc["x-report-provenance"]["origin"] == "offline-agent-signed-bundle" and doc["x-report-provenance"]["report_id"] in ("r1", "r2") and len(doc["components"]) == 2
+    scan_id = inv.run_scan(tree(tmp_path / "tree", MIXED), inv.repository("own"))
+    assert json.loads(inv.export_bom(scan_id))["x-report-provenance"]["origin"] == "local-api" and inv.list_scans().count() == 3
     reports = bundles.reports(bundles.read(spark, str(folder)))
     assert inv.ingest_bundles(reports, "batch-1") == 0 and inv.table("reports").count() == 2

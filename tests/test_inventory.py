@@ -100,3 +100,13 @@ def test_installed_packages(spark):
     assert got == {("deb", "libssl3", "3.0.11-1", "openssl"), ("deb", "openssl", "unknown", "openssl"), ("deb", "libgcrypt20_x", "1", "libgcrypt"), ("apk", "libcrypto3", "3.0.8-r0", "openssl"), ("apk", "libssl3-extra", "unknown", "openssl"), ("rpm", "openssl-libs", "3.0.7-16.el9", "openssl")}
     paths = spark.createDataFrame([("etc/a",), ("runtime/x",), ("usr/share/doc/y",), ("a/proc/b",), ("usr/lib/z",)], "path string")
     assert {r.path for r in paths.where(packages.kept_path()).collect()} == {"etc/a", "usr/lib/z"}
+
+
+def test_reports_in_words(spark):
+    scans = spark.createDataFrame([(1, "running"), (2, "completed")], "scan_id int, status string")
+    found = spark.createDataFrame([("CRITICAL", True), ("HIGH", False), (None, None)], "risk_tier string, quantum_vulnerable boolean")
+    lines = [r.line for r in inv.report_lines(scans, found).orderBy("place").collect()]
+    assert lines[:3] == ["3 findings in all, 1 scans are running.", "1 are critical; 1 rest on algorithms that quantum computers break.", "CRITICAL: 1 findings, 33.3% of all"] and len(lines) == 7
+    assert [r.line for r in inv.report_lines(scans, found.where("false")).collect()][2] == "CRITICAL: 0 findings, 0.0% of all"
+    repositories = spark.createDataFrame([(1, "o"), (2, "p"), (3, None)], "repo_id int, organization_id string")
+    assert [r.repo_id for r in inv.of_organization(repositories.select("repo_id"), repositories, "o").collect()] == [1]
