@@ -6,7 +6,7 @@ short prefix is a rule's get past the join, so what is shuffled is a few rows fo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -14,6 +14,11 @@ BROADCAST_ROWS = 200_000  # more rules than these are joined by a shuffle
 LONGEST_PATH = 2048
 
 
+def lowered(text: Column) -> Column:
+    """A-Z in lower case, other letters as they are."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def url_parts(url: str = "url"):
     """Host (A-Z in lower case) and path; both empty for null and for texts without `://`."""
     at = F.instr(F.col(url), "://")
@@ -22,7 +27,7 @@ def url_parts(url: str = "url"):
     slash = F.instr(tail, "/")
     host = F.when(slash > 0, F.substring(tail, F.lit(1), slash - 1)).otherwise(tail)
     path = F.when(slash > 0, F.substring(tail, slash, F.length(tail))).otherwise("")
-    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
+    return lowered(host), path
 
 
 def rule_table(spark, rules=RULES) -> DataFrame:
@@ -36,7 +41,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     ones the first in order of text. Null and malformed URLs have an empty host and path, which no rule fits, and get the
     default. Repeated rows and null page_ids give their own rows; further columns are ignored; an empty table of pages or
     rules is allowed. Rule paths over 2048 characters are an error."""
-    rules = rules.select(F.lower("rule_host").alias("rule_host"), F.coalesce("rule_path", F.lit("")).alias("rule_path"), "rule_verdict").where("rule_host <> ''").dropDuplicates(["rule_host", "rule_path"])
+    rules = rules.select(lowered(F.col("rule_host")).alias("rule_host"), F.coalesce("rule_path", F.lit("")).alias("rule_path"), "rule_verdict").where("rule_host <> ''").dropDuplicates(["rule_host", "rule_path"])
     # host depths and path lengths that rules have: at most 127 labels and 2049 lengths
     limits = rules.agg(F.collect_set(F.length("rule_path")).alias("lengths"), F.max(F.size(F.split("rule_host", "\\."))).alias("labels"), F.count("*").alias("n")).first()
     lengths, labels = sorted(limits["lengths"]), limits["labels"] or 1
