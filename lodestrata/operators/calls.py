@@ -1,10 +1,10 @@
-"""Cryptographic calls in Java, JavaScript and TypeScript: calls and imports are read file by file, bound and matched by joins."""
+"""Cryptographic calls in Java, JavaScript and TypeScript: calls and what they are bound to are read file by file and matched by joins."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,37 +59,32 @@ RULES = [
     ("javascript", "crypto", "generateKey", "ec", "ECC", "asymmetric-keygen", False, ["crypto", WEB]),
 ]
 SIGNALS = ("import_resolved", "call_site_matched", "expected_module_confirmed", "rule_yaml_matched", "literal_algorithm_arg")
-_ROW = "file string, language string, ordinal int, local string, module string, member string, line int, object string, method string, text string, size int, chained int, inline string, snippet string"
+_ROW = "file string, language string, ordinal int, module string, member string, line int, object string, method string, text string, size int, chained int, inline string, snippet string"
 
 
 def java_js_findings(files: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
     """Findings of the sources of a tree (rel_path, ext, content): the first rule that a call matches whose module is the one
-    that its object or method is bound to. Files that are no UTF-8 are read with replacements."""
+    that its object or method is bound to. Files that are no UTF-8 are read with replacements.
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Each file is read once, and of its imports only those go on that a call is bound to."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = [x.split() for x in _ROW.split(", ")]
+        schema = pa.schema([(name, pa.int32() if kind == "int" else pa.string()) for name, kind in columns])
         for b in batches:
             rows = []
-            for file, ext, content in zip(b["rel_path"], b["ext"], b["content"]):
+            for file, ext, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 language = EXTENSIONS[ext]
-                source = code.Source(bytes(content).decode("utf-8", "replace"), language, ext not in PLAIN)
-                imports = (code.java_imports if language == "java" else code.js_imports)(source)
-                rows += [(file, language, None, *own, *[None] * 8) for own in imports]
-                rows += [(file, language, k, None, None, None, *own) for k, own in enumerate(code.calls(source))]
-            out = pd.DataFrame(rows, columns=[x.split()[0] for x in _ROW.split(", ")], dtype=object)
-            yield out
+                source = code.Source(content.as_py().decode("utf-8", "replace"), language, ext not in PLAIN)
+                found = code.calls(source)
+                bound = code.bound((code.java_imports if language == "java" else code.js_imports)(source), found)
+                rows += [(file, language, k, *to, *own) for k, (to, own) in enumerate(zip(bound, found))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(schema.types)], schema=schema)
 
-    rows = files.where(F.col("ext").isin(*EXTENSIONS) & F.col("content").isNotNull()).select("rel_path", "ext", "content").mapInPandas(read, _ROW)
-    calls = rows.where("ordinal is not null").drop("local", "module", "member")
-    # the last import of a name holds; a file's rows come in order
-    imports = rows.where("local is not null").select("file", "local", "module", "member").groupBy("file", "local").agg(F.max_by(F.struct("module", "member"), F.struct("module", "member")).alias("bound"))
-    tries = F.when(F.col("object") == "", F.array("method")).otherwise(F.array("object", F.substring_index("object", ".", 1)))
-    tried = calls.select("file", "ordinal", "object", F.posexplode(tries).alias("try", "local")).join(imports, ["file", "local"])
-    tried = tried.where((F.col("object") != "") | F.col("bound.member").isNotNull())
-    bound = tried.groupBy("file", "ordinal").agg(F.min_by("bound", "try").alias("bound"))
-    out = calls.join(bound, ["file", "ordinal"], "left")
+    out = files.where(F.col("ext").isin(*EXTENSIONS) & F.col("content").isNotNull()).select("rel_path", "ext", "content").mapInArrow(read, _ROW)
     web = F.col("object").startswith("window.crypto.") | F.col("object").startswith("globalThis.crypto.")
-    module = F.coalesce("bound.module", "inline", F.when(web & (F.col("language") != "java"), WEB))
-    method = F.when(F.col("object") == "", F.coalesce("bound.member", "method")).otherwise(F.col("method"))
+    module = F.coalesce("module", "inline", F.when(web & (F.col("language") != "java"), WEB))
+    method = F.when(F.col("object") == "", F.coalesce("member", "method")).otherwise(F.col("method"))
     out = out.withColumns({"module": module, "called": method, "rules_of": F.when(F.col("language") == "java", "java").otherwise("javascript")})
     named = F.when((F.col("object") == "") & (F.col("language") == "java"), F.substring_index("module", ".", -1)).otherwise(F.col("object"))
     rules = [(k, *r) for k, r in enumerate(rules)]

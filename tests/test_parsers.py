@@ -116,3 +116,15 @@ def test_requirements_of_many_lines(spark):
     began = time.perf_counter()
     assert manifests.requirements(spark.createDataFrame([("p", long)], "path string, text string")).agg({"line": "max"}).first()[0] == 266_667
     assert time.perf_counter() - began < 60
+
+
+def test_plain_tokens_are_read_in_one_pass(monkeypatch):
+    """A list of names takes no step of the modes for each token, and gives the tokens that such steps give."""
+    text = "#!x\nimport { " + ", ".join(f"n{k} as #m{k}" for k in range(500)) + " } from \"a\"; // b\nx = 1.5e-3 + .5 / 2 ?. y => `${z}`;\n"
+    steps = []
+    step = jslex.Lexer.code
+    monkeypatch.setattr(jslex.Lexer, "code", lambda self: (steps.append(self.at), step(self)))
+    got = jslex.Lexer(text, True).run()
+    assert len(steps) < 20
+    monkeypatch.setattr(jslex.Lexer, "plain", lambda self: None)
+    assert got == jslex.Lexer(text, True).run() and len(got) > 2000 and type(got[0]) is jslex.Token
