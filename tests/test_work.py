@@ -2,7 +2,7 @@
 
 import pytest
 
-from lodestrata.plans import artefact_queries, derive, scans
+from lodestrata.plans import artefact_queries, derive, inventory_queries, scans
 
 DIR = "/root/testdata/sf0.001"
 
@@ -11,7 +11,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("query", [artefact_queries.template_and_element_calls])
+@pytest.mark.parametrize("query", [artefact_queries.template_and_element_calls, inventory_queries.java_js_calls])
 def test_sources_are_read_once(spark, query):
     assert plan(query(spark, DIR)).count("MapInArrow") == 1
 
