@@ -21,3 +21,8 @@ def test_files_are_made_by_many_tasks(spark):
     files = scans._files(rows, [("a.txt", "x")])
     assert files.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
     assert files.count() == rows.count()
+
+
+@pytest.mark.parametrize("query", [artefact_queries.nested_module_settings, scans.config_findings])
+def test_settings_are_parsed_once(spark, query):
+    assert plan(query(spark, DIR)).count("MapInArrow") == 1
