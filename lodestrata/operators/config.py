@@ -159,10 +159,13 @@ def config_findings(files: DataFrame, rules: list[tuple] = RULES, detectors: lis
     rows = [(k, how, key, kind, *rules[rule], values) for k, (rule, kind, how, keys, values) in enumerate(detectors) for key in keys]
     table = rule_table(spark, rows, "detector int, how string, wanted_key string, wanted_kind string, rule_order int, rule string, algorithm string, primitive string, key_size int, weak_by_default boolean, patterns array<string>")
     pairs = config_pairs(files).withColumn("leaf", F.coalesce(F.lower(F.try_element_at("key_path", F.lit(-1))), F.lit(""))).withColumn("wanted_kind", F.when(F.col("kind") == "json", "yaml").otherwise(F.col("kind")))
-    exact = table.where("how = 'equals'").drop("how")
-    part = table.where("how = 'contains'").drop("how").withColumnRenamed("wanted_kind", "part_kind")
-    hits = pairs.join(exact, (F.col("leaf") == F.col("wanted_key")) & (pairs.wanted_kind == exact.wanted_kind)).drop(exact.wanted_kind)
-    hits = hits.unionByName(pairs.join(part, F.contains("leaf", "wanted_key") & (F.col("wanted_kind") == F.col("part_kind"))).drop("part_kind"))
+    # each pair looks its whole key up, and those of its kind that a part of a key is enough for; files are parsed once for both
+    table = table.withColumn("at", F.when(F.col("how") == "equals", F.col("wanted_key")).otherwise(""))
+    parts = sorted({kind for _, kind, how, _, _ in detectors if how == "contains"})
+    looked = F.array(F.struct(F.lit("equals").alias("how"), F.col("leaf").alias("at")), F.struct(F.lit("contains").alias("how"), F.lit("").alias("at")))
+    looked = F.when(F.col("wanted_kind").isin(parts), looked).otherwise(F.slice(looked, 1, 1))
+    spots = pairs.select("*", F.inline(looked))
+    hits = spots.join(table, ["wanted_kind", "how", "at"]).where(F.contains("leaf", "wanted_key")).drop("how", "at")
     open_ = interpolated(F.col("value"))
     found = hits.where(_matches(F.col("kind"), F.col("value"), F.col("patterns")) | open_ & (F.col("wanted_kind") == "yaml"))
     path = F.array_join("key_path", ".")
