@@ -60,13 +60,14 @@ def call_sites(source: str) -> list[tuple]:
     except (SyntaxError, ValueError):
         return []
     names: dict[str, str] = {}
-    for node in ast.walk(tree):
+    nodes = list(ast.walk(tree))
+    for node in nodes:
         if isinstance(node, ast.Import):
             names.update((a.asname or a.name.split(".")[0], a.name) for a in node.names)
         elif isinstance(node, ast.ImportFrom):
             names.update((a.asname or a.name, f"{node.module or ''}.{a.name}") for a in node.names)
     out = []
-    for node in (n for n in ast.walk(tree) if isinstance(n, ast.Call)):
+    for node in (n for n in nodes if isinstance(n, ast.Call)):
         parts, at = [], node.func
         while isinstance(at, ast.Attribute):
             parts.append(at.attr)
@@ -113,11 +114,13 @@ def python_findings(files: DataFrame, calls_known: list[tuple] = CALLS) -> DataF
 
     calls = files.where("ext = '.py' and content is not null").select("rel_path", "content").mapInPandas(sites, _SITES)
     rules = F.broadcast(files.sparkSession.createDataFrame(calls_known, "name string, algorithm string, primitive string, library string"))
-    tried = calls.select("file", "line", "ordinal", F.posexplode("candidates").alias("pos", "name")).join(rules, "name")
-    best = tried.groupBy("file", "line", "ordinal").agg(F.min_by(F.struct("algorithm", "primitive", "library"), "pos").alias("rule"))
+    # the names of a call are tried side by side, and its row goes on with the first that a rule has; files are read once
+    tried = calls.select("*", F.posexplode("candidates").alias("pos", "name")).join(rules, "name", "left")
+    own = F.struct("algorithm", "primitive", "library")
+    best = tried.groupBy("file", "line", "ordinal").agg(F.min_by(own, F.when(F.col("algorithm").isNotNull(), F.col("pos"))).alias("rule"), *(F.any_value(c).alias(c) for c in ("candidates", "digest", "key_size", "alias_traced", "snippet")))
     named = reduce(lambda c, x: c.when(F.lower("digest") == x[0], x[1]), DIGESTS.items(), F)
     of = lambda name: F.array_contains("candidates", name)
-    out = calls.join(best, ["file", "line", "ordinal"], "left").withColumn("algorithm", F.coalesce("rule.algorithm", F.when(of("hashlib.new") | of("hmac.new"), named))).where("algorithm is not null")
+    out = best.withColumn("algorithm", F.coalesce("rule.algorithm", F.when(of("hashlib.new") | of("hmac.new"), named))).where("algorithm is not null")
     mac = F.col("rule").isNull() & of("hmac.new")
     sized = F.when(F.col("algorithm").isin("RSA", "ECC", "DSA"), F.col("key_size"))
     signals = F.array_compact(F.array(*map(F.lit, ("import_resolved", "call_site_matched", "expected_module_confirmed", "literal_algorithm_arg")), F.when(F.col("alias_traced"), "alias_traced"), F.when(sized.isNotNull(), "key_size_extracted")))

@@ -22,7 +22,7 @@ def query(sql: str):
 
 def _files(rows: DataFrame, shapes: list[tuple]) -> DataFrame:
     """Files path, name, ext, content: for each row the one whose place is its shape."""
-    rows = derive.dealt(rows)
+    rows = derive.dealt(rows, "id")
     name = content = F
     for k, (file, *parts) in enumerate(shapes):
         name, content = name.when(F.col("shape") == k, F.lit(file)), content.when(F.col("shape") == k, F.concat(*(F.lit(p) if isinstance(p, str) else p() if callable(p) else p for p in parts)))

@@ -26,3 +26,7 @@ def test_files_are_made_by_many_tasks(spark):
 @pytest.mark.parametrize("query", [artefact_queries.nested_module_settings, scans.config_findings])
 def test_settings_are_parsed_once(spark, query):
     assert plan(query(spark, DIR)).count("MapInArrow") == 1
+
+
+def test_python_sources_are_read_once(spark):
+    assert plan(inventory_queries.python_call_findings(spark, DIR)).count("MapInPandas") == 1
