@@ -135,6 +135,7 @@ UNION ALL SELECT path, 2, 'a.b', '1!2.' || v || '+x' FROM p WHERE shape = 2
 UNION ALL SELECT path, 3, 'c', NULL FROM p WHERE shape = 2""")
 def requirement_lines(spark, d):
     p = derive.table(spark, d, "part").select(F.col("p_partkey").alias("path"), (F.col("p_partkey") % 3).alias("shape"), F.col("p_size").cast("string").alias("v"))
+    p = derive.dealt(p, "path")
     spec = F.concat(F.when(F.col("path") % 2 == 0, "==").otherwise(">="), F.lit("2."), "v")
     text = (
         F.when(F.col("shape") == 0, F.concat(F.lit("# pins\n-r base.txt\nPy_Crypto.x[extra]"), spec, F.lit(" ; python_version > '3' \\\n  --hash=sha256:00 # why\ncryptography ==41.* # loose\ngit+https://host/x.git\n")))

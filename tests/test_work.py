@@ -2,7 +2,7 @@
 
 import pytest
 
-from lodestrata.plans import artefact_queries, derive, inventory_queries, scans
+from lodestrata.plans import artefact_queries, derive, inventory_queries, registry, scans
 
 DIR = "/root/testdata/sf0.001"
 
@@ -30,3 +30,7 @@ def test_settings_are_parsed_once(spark, query):
 
 def test_python_sources_are_read_once(spark):
     assert plan(inventory_queries.python_call_findings(spark, DIR)).count("MapInPandas") == 1
+
+
+def test_requirement_files_are_read_by_many_tasks(spark):
+    assert registry.requirement_lines(spark, DIR).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
