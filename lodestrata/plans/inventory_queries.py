@@ -56,6 +56,7 @@ UNION ALL SELECT doc, 'SUMMARY_TIER_MISMATCH', '/x-risk-summary/' || t FROM o, (
 UNION ALL SELECT doc, 'NOT_JSON_SERIALIZABLE', '' FROM o WHERE shape = 6""")
 def bom_issues(spark, d):
     o = derive.table(spark, d, "customer").select(F.col("c_custkey").alias("doc"), (F.col("c_custkey") % 7).alias("shape"), F.md5(F.col("c_custkey").cast("string")).alias("m"))
+    o = derive.dealt(o, "doc")
     at = lambda k, damaged, fine: F.when(F.col("shape") == k, damaged).otherwise(fine)
     part = lambda ref, name: F.concat(F.lit('{"type": "cryptographic-asset", "bom-ref": "'), ref, F.lit('", "name": '), name, F.lit(', "cryptoProperties": {"assetType": "protocol"}, "evidence": {"occurrences": [{"location": "a"}]}, "properties": [{"name": "lodestrata:risk_tier", "value": "HIGH"}]}'))
     serial = F.concat_ws("-", *(F.substring("m", a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))

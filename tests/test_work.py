@@ -34,3 +34,10 @@ def test_python_sources_are_read_once(spark):
 
 def test_requirement_files_are_read_by_many_tasks(spark):
     assert registry.requirement_lines(spark, DIR).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_documents_are_checked_by_many_tasks(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(inventory_queries.bom, "issues", lambda texts: given.append(texts) or texts.selectExpr("doc", "'' AS code", "'' AS path"))
+    inventory_queries.bom_issues(spark, DIR)
+    assert given[0].rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
