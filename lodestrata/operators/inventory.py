@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import confidence, risk
+from ..functions.rules import BROADCAST
 from ..sources.stored import stored
 from . import findings as ops
 from .commits import Committed
@@ -190,8 +191,13 @@ def ingest(bundles: DataFrame, known_reports: DataFrame) -> tuple[DataFrame, Dat
 
 
 def carried_triage(findings: DataFrame, triage: DataFrame) -> DataFrame:
-    """Findings with the latest decision (fingerprint, updated_at, triage_id, status) on their fingerprint, null without one."""
+    """Findings with the latest decision (fingerprint, updated_at, triage_id, status) on their fingerprint, null without one.
+
+    Up to BROADCAST decisions go to every task, so that findings stay where they are and those of one fingerprint aren't brought
+    together; more are joined as Spark sees fit."""
     last = triage.groupBy("fingerprint").agg(F.max_by(F.struct("status", "updated_at"), F.struct("updated_at", "triage_id")).alias("triage"))
+    if triage.select("fingerprint").distinct().limit(BROADCAST + 1).count() <= BROADCAST:
+        last = F.broadcast(last)
     return findings.join(last, "fingerprint", "left").select(findings["*"], F.col("triage.status").alias("triage_status"), F.col("triage.updated_at").alias("triaged_at"))
 
 

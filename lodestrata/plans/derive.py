@@ -16,14 +16,19 @@ SIGNALS = ["import_resolved", "call_site_matched", "expected_module_confirmed",
 BITS = [1, 2, 3, 5, 7, 11, 13]  # a signal is there where its number does not divide the key
 
 
+DEALT = 1_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def dealt(rows: DataFrame, key: str) -> DataFrame:
-    """Rows of which much is made, some to each of many tasks: a few MB of a table would be one task, and its files GBs."""
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of which much is made, some to each of many tasks by their keys: a few MB of a table would be one task, and its files
+    GBs. A task gets some DEALT rows however many there are, so that what it holds doesn't grow with the table."""
     spark = rows.sparkSession
-    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // DEALT))
+    return rows.repartition(tasks, *keys)
 
 
 def pick(values: list, key: str):

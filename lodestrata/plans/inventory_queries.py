@@ -119,6 +119,7 @@ def agent_delivery(spark, d):
 SELECT l_orderkey AS scan_id, l_partkey AS part, l_suppkey % 120 AS fingerprint, status AS triage_status, count(*) AS n FROM lineitem LEFT JOIN t ON f = l_suppkey % 120 GROUP BY ALL""")
 def triage_carried_forward(spark, d):
     found = derive.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("scan_id"), F.col("l_partkey").alias("part"), (F.col("l_suppkey") % 120).alias("fingerprint"))
+    found = derive.dealt(found, "scan_id", "part", "fingerprint")
     triage = derive.table(spark, d, "orders").select((F.col("o_custkey") % 97).alias("fingerprint"), F.col("o_orderdate").alias("updated_at"), F.col("o_orderkey").alias("triage_id"), F.col("o_orderstatus").alias("status"))
     return inventory.carried_triage(found, triage).groupBy("scan_id", "part", "fingerprint", "triage_status").agg(F.count("*").alias("n"))
 

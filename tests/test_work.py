@@ -41,3 +41,18 @@ def test_documents_are_checked_by_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(inventory_queries.bom, "issues", lambda texts: given.append(texts) or texts.selectExpr("doc", "'' AS code", "'' AS path"))
     inventory_queries.bom_issues(spark, DIR)
     assert given[0].rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_findings_of_one_fingerprint_stay_apart(spark, monkeypatch):
+    """Decisions come to the findings; what a task holds is bounded by the rows that it is dealt."""
+    monkeypatch.setattr(derive, "DEALT", 200)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = inventory_queries.triage_carried_forward(spark, DIR)
+        text = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in text and "hashpartitioning(fingerprint" not in text.split("BroadcastExchange")[0]
+        rows = derive.table(spark, DIR, "lineitem").count()
+        assert out.rdd.getNumPartitions() == max(4 * spark.sparkContext.defaultParallelism, -(-rows // 200))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
