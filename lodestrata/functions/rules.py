@@ -17,10 +17,10 @@ KINDS = ("yaml", "hcl2", "nginx", "json")
 _TIERS = {"symbol": 1, "constant": 2}
 
 
-def rule_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """Rules as a table, which is broadcast where it is small."""
+def rule_table(spark: SparkSession, rows: list[tuple], schema: str, rules: int | None = None) -> DataFrame:
+    """Rules as a table, which is broadcast where it is small. `rules` is their number where a row has several."""
     table = spark.createDataFrame(rows, schema)
-    return F.broadcast(table) if len(rows) <= BROADCAST else table
+    return F.broadcast(table) if (len(rows) if rules is None else rules) <= BROADCAST else table
 
 
 @dataclass

@@ -128,3 +128,24 @@ def test_plain_tokens_are_read_in_one_pass(monkeypatch):
     assert len(steps) < 20
     monkeypatch.setattr(jslex.Lexer, "plain", lambda self: None)
     assert got == jslex.Lexer(text, True).run() and len(got) > 2000 and type(got[0]) is jslex.Token
+
+
+@pytest.mark.parametrize("markup", [True, False])
+def test_brackets_are_plain_outside_of_templates_and_elements(monkeypatch, markup):
+    """They take no step each, and what follows them is read as after such steps."""
+    text = "if (a) { f({ b: [c(1)] }); } else { g(); }\n" * 300 + "if (x) /f('1')/.test(y); z = a / g('2') / b; w = {} / h('3'); function f() {}\n/g('1')/.exec(`${{ a: f(1) }} }`);\n"
+    steps = []
+    step = jslex.Lexer.code
+    monkeypatch.setattr(jslex.Lexer, "code", lambda self: (steps.append(self.at), step(self)))
+    got = jslex.Lexer(text, markup).run()
+    assert len(steps) < 50
+    monkeypatch.setattr(jslex.Lexer, "plain", lambda self: None)
+    assert got == jslex.Lexer(text, markup).run() and len(got) > 8000
+
+
+def test_calls_of_other_names_are_not_looked_into(monkeypatch):
+    source = code.Source("import { createHash as h } from 'crypto'\nf(g(1), h('md5'));\nx.y.h(2); h\n", "javascript")
+    whole, looked = code.calls(source), []
+    size = code.Source.size
+    monkeypatch.setattr(code.Source, "size", lambda self, k: looked.append(k) or size(self, k))
+    assert code.calls(source, {"h"}) == [c for c in whole if c[2] == "h"] and len(whole) == 4 and len(looked) == 2
