@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -119,6 +120,48 @@ def test_metric_range_join(spark, width, block, cell, most):
     assert sorted((tuple(r) for r in got.collect()), key=str) == plain_links(rows)
 
 
+@pytest.mark.parametrize("copies", [0, 1e9])
+def test_units_by_copies_or_by_stored_blocks(spark, copies):
+    """Both ways have the same results, also for copies of a vector, several lengths, and vectors that the sample of pivots has not."""
+    x = vectors(700, 6, 11, groups=6)
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(x)] + [(800 + k, x[k % 5].tolist(), 2) for k in range(60)] + [(None, x[9].tolist(), 0), (None, x[650].tolist(), 0)]
+    rows += [(1000 + k, v.tolist(), 0) for k, v in enumerate(vectors(90, 5, 12, groups=2))] + odd_rows(6)
+    for block in (30, 4096):
+        got = embedding_join.near_rows(frame(spark, rows), block=block, cell=50, fewest_pivots=2, copies=copies)
+        assert sorted((tuple(r) for r in got.collect()), key=str) == plain_links(rows)
+
+
+def test_disk_of_vectors_that_all_cells_need(spark, tmp_path):
+    """Of vectors that fill 64 dimensions no cell excludes any: files and shuffles stay below four times the table, in however many blocks."""
+    x = np.random.default_rng(6).normal(size=(4000, 64)).astype(np.float32)
+    frame(spark, [(k, v.tolist(), 0) for k, v in enumerate(x)]).select("vec_id", "embedding").write.parquet(f"{tmp_path}/v")
+    shared = Path(spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file:"))
+    shuffled = lambda: spark._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    stored = lambda top: sum(f.stat().st_size for f in Path(top).rglob("*.parquet"))
+    before = shuffled() + stored(shared)
+    assert embedding_join.near_rows(spark.read.parquet(f"{tmp_path}/v"), block=100).where("kept and n_links = 0").count() == 4000
+    assert 0 < shuffled() + stored(shared) - before < 4 * stored(f"{tmp_path}/v")
+
+
+def test_slots_and_parts_are_small():
+    """A share is about a block, less of wide vectors; a part has few of them, in the order of cells."""
+    own = {(64, 0, 0): 5000, (64, 0, 1): 3, (64, 1, 0): 100_000, (8192, 0, 0): 1000}
+    slots = embedding_join.Slots(own, 4096)
+    assert slots.shares == {(64, 0, 0): 2, (64, 0, 1): 1, (64, 1, 0): 25, (8192, 0, 0): 8}
+    assert (np.diff(slots.part) >= 0).all() and max(Counter(slots.part.tolist()).values()) <= 6 and slots.parts == 9
+    assert [slots.cells[slots.first[k]] for k in sorted(own)] == [0, 1, 2, 3] and embedding_join.Slots({}, 4096).parts == 1
+
+
+def test_equal_keys_of_different_vectors_are_not_passed_over():
+    import pyarrow as pa
+
+    key, size, ids = np.array([5, 5]), np.array([1, 2]), pa.array([None, 3], pa.int64())
+    starts, n, least = embedding_join.one_for_each(key, key, size, ids, np.array([[0.0, 1], [-0.0, 1]]))
+    assert (starts.tolist(), n.tolist(), least.to_pylist()) == ([0], [3], [3])
+    with pytest.raises(RuntimeError, match="equal keys"):
+        embedding_join.one_for_each(key, key, size, ids, np.array([[0.5, 1], [0.0, 1]]))
+
+
 def test_deals():
     """Each two blocks of a cell meet once, and tasks get about two blocks of rows."""
     for own, others, core in ((100, 0, False), (100, 250, False), (95, 31, True), (1, 0, False), (7, 3, True), (10, 0, True)):
